@@ -6,18 +6,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import U64, Words, bloom, chunks, components, cut, discard, mix, texts_of
 
-#: Buckets of the frequency sketch (4 bytes each, whatever the corpus): any total order is exact, this one is rare-first.
-SKETCH_BITS = 20
+#: Buckets of the frequency sketch (2 bytes each, whatever the corpus): any total order is exact, this one is rare-first.
+SKETCH_BITS = 23
 SKETCH_SLICES = 16
 #: Intervals of the suffix filter.
 PARTS = 8
-#: Star rounds go on while the pairs left to compare exceed this many for each token.
-STAR_ROUNDS, PAIRS_PER_TOKEN = 4, 1
+#: Buckets of more classes than this are compared in blocks of about BLOCK_GRAMS shingles, not as pairs.
+LARGE_BUCKET, BLOCK_GRAMS = 64, 400_000
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -52,14 +53,15 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)  # exact sums
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], ["part", "counts"])
+            small = [np.minimum(s, 65535).astype(np.uint16) for s in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in small], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    out = np.zeros(width, np.uint64)
+    out = np.zeros(width, np.uint16)
     for row in docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():
-        out[row["part"] * per : (row["part"] + 1) * per] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+        out[row["part"] * per : (row["part"] + 1) * per] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
     return out
 
 
@@ -89,13 +91,31 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<int>, prefix array<long>")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those linked: whole sets of both are compared, once a pair."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    count = ids.count()
-    if not count:
-        return pairs.limit(0)
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, count))
+def _shared_tokens(classes: DataFrame) -> DataFrame:
+    """(pos, g, rep, n) of the prefix n-grams that two classes or more have in their prefixes, and a few others.
+
+    Only the bare hashes are counted by a shuffle; the filter over the repeated ones goes to where the prefixes lie.
+    """
+    repeated = cut(classes.select(F.explode("prefix").alias("g")).groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"))
+    wanted = classes.sparkSession.sparkContext.broadcast(bloom(repeated, repeated.count()))
+
+    def keep(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            row, g = pc.list_parent_indices(prefix), prefix.flatten().to_numpy(zero_copy_only=False)
+            row = np.asarray(row, np.int64)
+            first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            found = np.flatnonzero(wanted.value.has(g)) if len(g) else np.zeros(0, np.int64)
+            of = row[found]
+            yield pa.RecordBatch.from_arrays([pa.array((found - first[of]).astype(np.int32)), pa.array(g[found]), batch.column("rep").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["pos", "g", "rep", "n"])
+
+    return cut(classes.select("prefix", "rep", "n").mapInArrow(keep, "pos int, g long, rep long, n int"))
+
+
+def _fetch(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, grams) of the documents whose doc_id is in ids(id), and of a few others, from one scan."""
+    ids = cut(ids.distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
 
     def sets(batches):
         for batch in batches:
@@ -104,16 +124,62 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
             for part in chunks([batch.filter(pa.array(found))], "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for _, s in _sets(part, n)], pa.list_(pa.int64()))], ["id", "grams"])
 
-    grams = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "id long, grams array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    grams = cut(grams)
-    hub, other = grams.toDF("a", "ga"), grams.toDF("b", "gb")
-    same = F.size(F.array_intersect("ga", "gb"))
-    linked = pairs.join(other, "b").join(hub, "a").where(same * (den + num) >= num * (F.size("ga") + F.size("gb")))
-    out = cut(linked.select("a", "b"))
-    discard(ids, grams)
+    out = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "id long, grams array<long>"))
+    discard(ids)
     return out
 
 
+def _linked(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the candidate pairs (a, b), those linked: whole sets of both are compared, once a pair."""
+    same = F.size(F.array_intersect("ga", "gb"))
+    both = pairs.join(grams.toDF("b", "gb"), "b").join(grams.toDF("a", "ga"), "a")
+    return both.where(same * (den + num) >= num * (F.size("ga") + F.size("gb"))).select("a", "b")
+
+
+def _block_links(num: int, den: int):
+    """For applyInArrow: links between the documents of two blocks, as a spanning forest and never as all pairs."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        grams = rows.column("grams").combine_chunks()
+        lists = grams.flatten().to_numpy(zero_copy_only=False)
+        row = np.asarray(pc.list_parent_indices(grams), np.int64)
+        size = np.bincount(row, minlength=len(ids))
+        _, token, often = np.unique(lists, return_inverse=True, return_counts=True)
+        keep = often[token] > 1
+        row, token = row[keep], np.unique(token[keep], return_inverse=True)[1]
+        width, m = 4096, len(ids)
+        links = []
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        step = 512
+        for lo in range(0, m, step):
+            same = np.zeros((min(step, m - lo), m), np.float32)
+            for first in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+                at = slice(*np.searchsorted(token, [first, first + width]))
+                has = np.zeros((m, width), np.float32)
+                has[row[at], token[at] - first] = 1
+                same += has[lo : lo + step] @ has.T
+            total = size[lo : lo + step, None] + size[None, :]
+            x, y = np.nonzero((same.astype(np.int64) * (den + num) >= num * total) & (comp[lo : lo + step, None] != comp[None, :]))
+            links.append(np.stack([x + lo, y]))
+        x, y = np.concatenate(links, axis=1)
+        label = np.arange(m)
+        while len(x):
+            least = np.minimum(label[x], label[y])
+            before = label.copy()
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+            label = label[label]
+            if (label == before).all():
+                break
+        joined = np.flatnonzero(label != np.arange(m))
+        return pa.table({"a": ids[label[joined]], "b": ids[joined]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text); component_id is the smallest id reachable.
 
@@ -122,17 +188,20 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     with nothing; rows without doc_id link with nothing and have a null component_id. Repeated rows each get their row.
 
     Documents with equal sets are one class. Classes are joined on their prefix n-grams, rarest first. A first pass
-    pairs each member of a token's bucket with one leader only; pairs within what that has already connected are never
-    made, and the rest of a bucket is compared in full, so no link between components is lost whatever a bucket holds.
+    pairs each member of a token's bucket with one leader only, the one with the fewest rarer shingles (in a group of
+    edited copies the least edited); pairs within what that has already connected are never made. The rest of a bucket
+    is compared in full, so no link between components is lost: as pairs where a bucket has at most LARGE_BUCKET
+    classes, else in blocks of bounded size that give only the links that connect something. Classes of one large
+    bucket that stay unlinked cost work in the square of their number; rows grow by their number of blocks.
     Sets are compared by 64-bit hashes of their shingles.
     """
     rows = cut(_signatures(docs, n, num, den))
     live = rows.where("n > 0 and doc_id is not null")
     classes = live.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
-    tokens = classes.select(F.posexplode("prefix").alias("pos", "g"), "rep", "n")
+    tokens = _shared_tokens(classes)
     seed = F.xxhash64("rep")
-    buckets = tokens.groupBy("g").agg(F.count("*").alias("c"), F.min(F.struct(seed.alias("r"), "rep", "n", "pos")).alias("top")).where("c > 1").select("g", "top")
+    buckets = tokens.groupBy("g").agg(F.count("*").alias("c"), F.min(F.struct("pos", seed.alias("r"), "rep", "n")).alias("top")).where("c > 1").select("g", "top")
     shared = cut(tokens.join(buckets, "g").select("g", "rep", "n", "pos", F.col("top.rep").alias("l_rep"), F.col("top.n").alias("l_n"), F.col("top.pos").alias("l_pos")))
 
     def fits(n1, p1, n2, p2):
@@ -150,29 +219,37 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         total = F.col("na").cast("long") + F.col("nb")
         return both.where((total - apart) * (den + num) >= total * (2 * num)).select("a", "b")
 
-    links, label = None, None
     pairs = shared.where("rep <> l_rep").where(fits("n", "pos", "l_n", "l_pos")).select(F.col("l_rep").alias("a"), F.col("rep").alias("b")).distinct()
-    for round_ in range(1, STAR_ROUNDS + 1):
-        found = _verify(docs, cut(suffix_filter(pairs)), n, num, den)
-        links = found if links is None else cut(links.union(found))
-        old, label = label, cut(components(links.toDF("u", "v")))
-        marked = shared.select("g", "rep", "n", "pos").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        by = marked.groupBy("g", "component").agg(F.count("*").alias("k"))
-        mixed = by.groupBy("g").agg(F.count("*").alias("c"), F.max_by("component", "k").alias("major"), F.max("k").alias("top"), F.sum("k").alias("all")).where("c > 1")
-        marked = cut(marked.join(mixed.select("g", "major", "all", "top"), "g"))
-        load = marked.groupBy("g").agg(F.first("all").alias("all"), F.first("top").alias("top")).agg(F.sum(F.expr("(all - top) * all")).alias("pairs"), F.sum("all").alias("tokens")).first()
-        if not load["pairs"]:
-            break
-        if round_ == STAR_ROUNDS or load["pairs"] <= PAIRS_PER_TOKEN * load["tokens"] * 8:
-            minor = marked.where("component <> major").select("g", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("c1"))
-            every = marked.select("g", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"), (F.col("component") == F.col("major")).alias("major"))
-            rest = minor.join(every, "g").where((F.col("c1") != F.col("c2")) & (F.col("major") | (F.col("a") < F.col("b")))).where(fits("n1", "p1", "n2", "p2"))
-            found = _verify(docs, cut(suffix_filter(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), n, num, den)
-            label = cut(components(links.union(found).toDF("u", "v")))
-            break
-        top = marked.groupBy("g").agg(F.min(F.struct(F.xxhash64("rep", F.lit(round_)).alias("r"), "rep", "n", "pos", "component")).alias("top"))
-        star = marked.join(top, "g").where("component <> top.component").select("rep", "n", "pos", F.col("top.rep").alias("l_rep"), F.col("top.n").alias("l_n"), F.col("top.pos").alias("l_pos"))
-        pairs = star.where(fits("n", "pos", "l_n", "l_pos")).select(F.col("l_rep").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = cut(suffix_filter(pairs))
+    grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
+    links = cut(_linked(pairs, grams, num, den))
+    discard(pairs, grams)
+    label = cut(components(links.toDF("u", "v")))
+
+    marked = shared.select("g", "rep", "n", "pos").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by = marked.groupBy("g", "component").agg(F.count("*").alias("k"))
+    mixed = by.groupBy("g").agg(F.count("*").alias("c"), F.max_by("component", "k").alias("major"), F.sum("k").alias("all"), F.min("component").alias("low")).where("c > 1")
+    marked = cut(marked.join(mixed.select("g", "major", "all", "low"), "g"))
+
+    few = marked.where(F.col("all") <= LARGE_BUCKET)
+    minor = few.where("component <> major").select("g", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("c1"))
+    every = few.select("g", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"), (F.col("component") == F.col("major")).alias("major"))
+    rest = minor.join(every, "g").where((F.col("c1") != F.col("c2")) & (F.col("major") | (F.col("a") < F.col("b")))).where(fits("n1", "p1", "n2", "p2"))
+    pairs = cut(suffix_filter(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+
+    many = marked.where(F.col("all") > LARGE_BUCKET)
+    canopy = components(many.join(many.groupBy("g").agg(F.min("rep").alias("v")), "g").select(F.col("rep").alias("u"), "v"))
+    canopy = canopy.toDF("id", "canopy").join(classes.select(F.col("rep").alias("id"), "n"), "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    canopy = cut(canopy)
+    blocks = canopy.groupBy("canopy").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    placed = canopy.join(blocks, "canopy").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("canopy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
+
+    grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(canopy.select("id")), n)
+    near = _linked(pairs, grams, num, den)
+    dense = placed.join(grams, "id").groupBy("canopy", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
+    label = cut(components(links.union(near).union(dense).toDF("u", "v")))
 
     named = classes.select("n", "sig1", "sig2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"], "left")

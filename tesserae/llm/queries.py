@@ -2,13 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from tesserae.llm.common import table
+from tesserae.llm.mixing import mix_sources
 from tesserae.llm.ngram_join import ngram_components
+from tesserae.llm.packing import pack
+from tesserae.llm.quality import quality_scores
+from tesserae.llm.suffix_dedup import merged_passages
+
+#: Production parameters: the tokenizer's files and what its split pattern and special token are.
+BYTE_BPE = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": ("<|endoftext|>",)}
+
+
+def op2_vector_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op3_suffix_array_dedup(spark, sf_dir):
+    found = merged_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.expr("transform(spans, s -> s.lo)").alias("first_words"), F.expr("transform(spans, s -> s.hi)").alias("end_words"), F.expr("cast(aggregate(spans, 0, (a, s) -> a + s.hi - s.lo) as long)").alias("n_words"), "sources")
+
+
+def op5_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_source_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"), exponent=0.5)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_vector_packing": op2_vector_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+}
+ORACLES: dict[str, str] = {
+    "op7_source_mixing": """
+        WITH sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM documents GROUP BY source),
+        rates AS (SELECT source, (SELECT sum(n) FROM sizes) * w / (SELECT sum(w) FROM sizes) / n AS r FROM sizes),
+        steps AS (SELECT source, k, sum(exp(-r + k * ln(r) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+                  FROM rates CROSS JOIN range(0, 400) AS t(k) WHERE k <= ceil(r + 12 * sqrt(r) + 40)),
+        draws AS (SELECT d.*, CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents d),
+        times AS (SELECT d.doc_id, count(*) AS x FROM draws d JOIN steps s ON d.source = s.source AND s.cdf <= d.u GROUP BY d.doc_id)
+        SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.k AS INTEGER) AS "copy"
+        FROM documents d JOIN times t ON d.doc_id = t.doc_id JOIN range(1, 400) AS c(k) ON c.k <= t.x""",
+}

@@ -125,11 +125,17 @@ class Words:
         self.start, self.end = change[0::2], change[1::2]
         n = len(blob)
         with np.errstate(over="ignore"):
-            weighted = ((LOWER if fold else KEEP)[blob].astype(U64) + U64(1)) * _power("base", BASE, n)
-            total = np.concatenate([np.zeros(1, U64), np.cumsum(weighted, dtype=U64)])
-            self.hash = mix((total[self.end] - total[self.start]) * _power("inverse", BASE_INVERSE, n)[self.start])
+            self.bytes = (LOWER if fold else KEEP)[blob]
+            weighted = (self.bytes.astype(U64) + U64(1)) * _power("base", BASE, n)
+            self.total = np.concatenate([np.zeros(1, U64), np.cumsum(weighted, dtype=U64)])
+        self.hash = self.spans(self.start, self.end)
         self.first = np.searchsorted(self.start, self.text_start)  # first[i]:first[i + 1] are text i's words
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans of the joined texts."""
+        with np.errstate(over="ignore"):
+            return mix((self.total[end] - self.total[start]) * _power("inverse", BASE_INVERSE, len(self.total))[start])
+
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words from each word on, across texts too; the last n - 1 words have none."""
         m = len(self.hash) - n + 1

@@ -14,6 +14,7 @@ from tesserae.llm.ngram_join import ngram_components
 from tesserae.llm.packing import pack
 from tesserae.llm.quality import quality_scores
 from tesserae.llm.suffix_dedup import merged_passages
+from tesserae.llm.toxicity import toxicity_scores
 from tesserae.llm.url_filter import filter_urls
 
 #: Production parameters: the tokenizer's files and what its split pattern and special token are.
@@ -65,7 +66,11 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_vector_packing, op3_suffix_array_dedup, op4_url_filter, op5_quality_classifier, op6_fingerprints, op7_source_mixing, op8_chat_format, op9_ngram_jaccard_join)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_vector_packing, op3_suffix_array_dedup, op4_url_filter, op5_quality_classifier, op6_fingerprints, op7_source_mixing, op8_chat_format, op9_ngram_jaccard_join, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op7_source_mixing": """
         WITH sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM documents GROUP BY source),

@@ -16,6 +16,8 @@ from tesserae.llm.common import U64, mix
 MODULI = ((2147483647, 911382323), (2147483629, 972663749))
 #: Code points of a span of the sketch, hashes kept of each text, code points that a task holds at once.
 SPAN, KEPT, CHUNK = 20, 64, 1 << 20
+#: The most that unequal texts get.
+UNEQUAL = 1 - 1 / 1024
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -96,12 +98,12 @@ def _written(n: int, whole: int, sketch: np.ndarray) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """Estimated Jaccard similarity of two fingerprints' spans: 1 where they are equal, exact for short texts."""
+    """Estimated Jaccard similarity of two fingerprints' spans: exact for short texts, 1 only where they are equal."""
     if a == b:
         return 1.0
     x, y = (np.frombuffer(bytes.fromhex(s.rsplit("-", 1)[1]), ">u4") for s in (a, b))
     least = np.union1d(x, y)[:KEPT]
-    return float(np.isin(least, np.intersect1d(x, y)).sum() / len(least)) if len(least) else 0.0
+    return min(UNEQUAL, float(np.isin(least, np.intersect1d(x, y)).sum() / len(least))) if len(least) else 0.0
 
 
 def _sketchable(spans: np.ndarray) -> np.ndarray:

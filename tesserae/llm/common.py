@@ -42,6 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # shuffle files of what has just been written go once the driver collects its garbage
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -16,7 +16,7 @@ from tesserae.llm.common import U64, Words, bloom, chunks, components, cut, disc
 SKETCH_BITS = 23
 SKETCH_SLICES = 16
 #: Intervals of the suffix filter.
-PARTS = 8
+PARTS = 32
 #: Buckets of more classes than this are compared in blocks of about BLOCK_GRAMS shingles, not as pairs.
 LARGE_BUCKET, BLOCK_GRAMS = 64, 400_000
 
@@ -79,16 +79,16 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     one.append(int(mix(s, 1).sum(dtype=U64).astype(np.int64)))
                     two.append(int(mix(s, 2).sum(dtype=U64).astype(np.int64)))
-                parts.append(np.bincount((s >> U64(61)).astype(np.int64), minlength=PARTS).tolist())
+                parts.append(np.bincount((s >> U64(59)).astype(np.int64), minlength=PARTS).clip(max=32767).tolist())
                 keep = k - (num * k + den - 1) // den + 1 if k else 0
                 f = freq[(s & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 prefixes.append(s[np.lexsort((s, f))[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "n", "sig1", "sig2", "parts", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<int>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<smallint>, prefix array<long>")
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
@@ -199,6 +199,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     live = rows.where("n > 0 and doc_id is not null")
     classes = live.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
+    slim = cut(rows.select("doc_id", "n", "sig1", "sig2"))
+    discard(rows)
+    rows = slim
     tokens = _shared_tokens(classes)
     seed = F.xxhash64("rep")
     buckets = tokens.groupBy("g").agg(F.count("*").alias("c"), F.min(F.struct("pos", seed.alias("r"), "rep", "n")).alias("top")).where("c > 1").select("g", "top")
@@ -215,7 +218,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     def suffix_filter(pairs):
         """Counts by hash interval bound the distance of two sets from below."""
         both = pairs.join(parts.toDF("a", "na", "pa"), "a").join(parts.toDF("b", "nb", "pb"), "b")
-        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
         total = F.col("na").cast("long") + F.col("nb")
         return both.where((total - apart) * (den + num) >= total * (2 * num)).select("a", "b")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import cut
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 Rule = tuple[str, str, str]
 #: Characters of the longest context, size of the alphabet that the shortest backs off to.
@@ -71,14 +73,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("text", F.concat("host", "path"))
-    texts = rows.groupBy("text").agg(F.first("ruled").alias("verdict"), F.count("*").alias("n"))
+    texts = cut(rows.groupBy("text").agg(F.first("ruled").alias("verdict"), F.count("*").alias("n")))
     held = F.crc32(F.col("text").cast("binary")) % FOLDS == 0
     grams = _grams(texts)
     one = lambda kind: F.sum(F.when(~held & (F.col("verdict") == kind), F.col("n")).otherwise(0))
-    ratios = _ratios(grams.groupBy("g").agg(one("allow").alias("a"), one("block").alias("b")))
+    ratios = cut(_ratios(cut(grams.groupBy("g").agg(one("allow").alias("a"), one("block").alias("b")))))
     small = ratios.count() <= BROADCAST_GRAMS
     scored = grams.join(F.broadcast(ratios) if small else ratios, "g").groupBy("text").agg(F.avg("ratio").alias("score"))
-    judged = texts.join(scored, "text", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"), "verdict", "n")
+    judged = cut(texts.join(scored, "text", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"), "verdict", "n"))
     bin_ = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score"))) + SPAN) / (2 * SPAN) * BINS).alias("bin")
     check = judged.where(held & F.col("verdict").isNotNull()).groupBy(bin_).agg(F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("b")).collect()
     threshold = _threshold([(r["bin"], r["a"], r["b"]) for r in check])

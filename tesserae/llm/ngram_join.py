@@ -226,6 +226,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     pairs = cut(suffix_filter(pairs))
     grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
     links = cut(_linked(pairs, grams, num, den))
+    checked = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     discard(pairs, grams)
     label = cut(components(links.toDF("u", "v")))
 
@@ -238,7 +239,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     minor = few.where("component <> major").select("g", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("c1"))
     every = few.select("g", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"), (F.col("component") == F.col("major")).alias("major"))
     rest = minor.join(every, "g").where((F.col("c1") != F.col("c2")) & (F.col("major") | (F.col("a") < F.col("b")))).where(fits("n1", "p1", "n2", "p2"))
-    pairs = cut(suffix_filter(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(suffix_filter(rest.join(checked, ["a", "b"], "left_anti")))
 
     many = marked.where(F.col("all") > LARGE_BUCKET)
     canopy = components(many.join(many.groupBy("g").agg(F.min("rep").alias("v")), "g").select(F.col("rep").alias("u"), "v"))

@@ -15,8 +15,9 @@ from tesserae.llm.common import U64, Words, bloom, chunks, components, cut, disc
 #: Buckets of the frequency sketch (2 bytes each, whatever the corpus): any total order is exact, this one is rare-first.
 SKETCH_BITS = 23
 SKETCH_SLICES = 16
-#: Intervals of the suffix filter.
-PARTS = 32
+#: Intervals of the suffix filter, for all sets and besides for sets of FINE_FROM shingles or more: the distance of two
+#: unlike sets over few intervals is a small share of long sets.
+PARTS, FINE_PARTS, FINE_FROM = 32, 256, 512
 #: Buckets of more classes than this are compared in blocks of about BLOCK_GRAMS shingles, not as pairs.
 LARGE_BUCKET, BLOCK_GRAMS = 64, 400_000
 
@@ -72,23 +73,25 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def rows(batches):
         freq = counts.value
         for batch in chunks(batches, "text"):
-            size, one, two, parts, prefixes = [], [], [], [], []
+            size, one, two, parts, fine, prefixes = [], [], [], [], [], []
             for _, s in _sets(batch, n):
                 k = len(s)
                 size.append(k)
                 with np.errstate(over="ignore"):
                     one.append(int(mix(s, 1).sum(dtype=U64).astype(np.int64)))
                     two.append(int(mix(s, 2).sum(dtype=U64).astype(np.int64)))
-                parts.append(np.bincount((s >> U64(59)).astype(np.int64), minlength=PARTS).clip(max=32767).tolist())
+                finest = np.bincount((s >> U64(56)).astype(np.int64), minlength=FINE_PARTS)
+                parts.append(finest.reshape(PARTS, -1).sum(1).clip(max=32767).tolist())
+                fine.append(finest.clip(max=32767).tolist() if k >= FINE_FROM else None)
                 keep = k - (num * k + den - 1) // den + 1 if k else 0
                 f = freq[(s & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 prefixes.append(s[np.lexsort((s, f))[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig1", "sig2", "parts", "prefix"],
+                [batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(fine, pa.list_(pa.int16())), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "n", "sig1", "sig2", "parts", "fine", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<smallint>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<smallint>, fine array<smallint>, prefix array<long>")
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
@@ -197,7 +200,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """
     rows = cut(_signatures(docs, n, num, den))
     live = rows.where("n > 0 and doc_id is not null")
-    classes = live.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix"))
+    classes = live.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.first("fine").alias("fine"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
     slim = cut(rows.select("doc_id", "n", "sig1", "sig2"))
     discard(rows)
@@ -213,12 +216,16 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         need = (F.col(n1).cast("long") + F.col(n2)) * num
         return (F.least(n1, n2).cast("long") * den >= F.greatest(n1, n2).cast("long") * num) & (most.cast("long") * (den + num) >= need)
 
-    parts = classes.select("rep", "n", "parts")
+    parts = classes.select("rep", "n", "parts", "fine")
 
     def suffix_filter(pairs):
         """Counts by hash interval bound the distance of two sets from below."""
-        both = pairs.join(parts.toDF("a", "na", "pa"), "a").join(parts.toDF("b", "nb", "pb"), "b")
-        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
+        both = pairs.join(parts.toDF("a", "na", "pa", "fa"), "a").join(parts.toDF("b", "nb", "pb", "fb"), "b")
+
+        def distance(x, y):
+            return F.aggregate(F.zip_with(x, y, lambda s, t: F.abs(s.cast("int") - t)), F.lit(0), lambda total, d: total + d)
+
+        apart = F.when(F.col("fa").isNotNull() & F.col("fb").isNotNull(), distance("fa", "fb")).otherwise(distance("pa", "pb"))
         total = F.col("na").cast("long") + F.col("nb")
         return both.where((total - apart) * (den + num) >= total * (2 * num)).select("a", "b")
 

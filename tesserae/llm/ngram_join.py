@@ -112,7 +112,9 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
             of = row[found]
             yield pa.RecordBatch.from_arrays([pa.array((found - first[of]).astype(np.int32)), pa.array(g[found]), batch.column("rep").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["pos", "g", "rep", "n"])
 
-    return cut(classes.select("prefix", "rep", "n").mapInArrow(keep, "pos int, g long, rep long, n int"))
+    out = cut(classes.select("prefix", "rep", "n").mapInArrow(keep, "pos int, g long, rep long, n int"))
+    discard(repeated)
+    return out
 
 
 def _fetch(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -261,9 +263,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(canopy.select("id")), n)
     near = _linked(pairs, grams, num, den)
     dense = placed.join(grams, "id").groupBy("canopy", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
-    label = cut(components(links.union(near).union(dense).toDF("u", "v")))
+    final = cut(components(links.union(near).union(dense).toDF("u", "v")))
 
-    named = classes.select("n", "sig1", "sig2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component"))
+    named = cut(classes.select("n", "sig1", "sig2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component")))
+    discard(classes, tokens, shared, links, checked, label, marked, pairs, canopy, grams, final)
     out = rows.select("doc_id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Words, chunks, crc32_of_id, cut, texts_of
+from tesserae.llm.common import Words, chunks, crc32_of_id, cut, discard, texts_of
 
 #: Classes of bytes that are counted. Other bytes below 128 are symbols, those from 128 on letters.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "line": b"\n", "stop": b".", "comma": b",;:", "mark": b"!?", "bar": b"|", "quote": b"'\"()-"}
@@ -201,7 +201,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least threshold."""
-    model = fit(cut(measured(docs)), labels)
+    features = cut(measured(docs))
+    model = fit(features, labels)
+    discard(features)
 
     def run(batches):
         for batch in chunks(batches, "text"):

@@ -1,4 +1,4 @@
-"""Sparse suffix arrays: passages that repeat across documents, found from minimiser suffixes and their neighbours."""
+"""Passages that repeat across documents, found from minimiser suffixes and the windows that they were retained for."""
 
 from __future__ import annotations
 
@@ -7,14 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import U64, Words, bloom, chunks, cut, texts_of
+from tesserae.llm.common import U64, Words, bloom, chunks, cut, discard, texts_of
 
 #: A passage of MIN_WORDS words holds WINDOW grams of GRAM words, so at least one of its suffixes is retained.
 MIN_WORDS, GRAM = 50, 16
 WINDOW = MIN_WORDS - GRAM + 1
-LEFT, RIGHT = WINDOW - 1, MIN_WORDS
-#: Occurrences of a gram that one task compares; more are split over tasks first and their leaders compared after.
-SALT_ROWS = 4096
 
 
 def _slide(a: np.ndarray, width: int, fn) -> np.ndarray:
@@ -27,119 +24,94 @@ def _slide(a: np.ndarray, width: int, fn) -> np.ndarray:
     return fn(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(position, gram hash) of the retained suffixes: each is the leftmost least gram of some window of its text."""
+def suffixes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, count, gram hash) of the retained suffixes: each is the leftmost least gram of some window of its text.
+
+    Those windows start at the words first, ..., first + count - 1, and every window of a text belongs to one suffix.
+    """
     grams = words.grams(GRAM)
     m = len(grams) - WINDOW + 1
     if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    key = (grams >> U64(22) << U64(22)) | (np.arange(len(grams), dtype=U64) & U64((1 << 22) - 1))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    mask = (1 << 22) - 1
+    key = (grams >> U64(22) << U64(22)) | (np.arange(len(grams), dtype=U64) & U64(mask))
     least = _slide(key, WINDOW, np.minimum)
     crosses = np.zeros(len(words.hash) + 1, np.int64)
     np.add.at(crosses, words.first[1:-1], 1)
     seen = np.cumsum(crosses)
     at = np.arange(m)
-    least = np.where(seen[at + MIN_WORDS - 1] == seen[at], least, U64(0))
-    wide = np.concatenate([np.zeros(WINDOW - 1, U64), least, np.zeros(WINDOW - 1, U64)])
-    found = np.flatnonzero(_slide(wide, WINDOW, np.maximum) == key)
-    return found, grams[found]
-
-
-def _contexts(words: Words, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the RIGHT words from each position on and the LEFT words before it, 0 beyond the text."""
-    short = np.maximum((words.hash >> U64(32)).astype(np.uint32), 1)
-    padded = np.concatenate([np.zeros(LEFT, np.uint32), short, np.zeros(RIGHT, np.uint32)])
-    right = at[:, None] + np.arange(RIGHT)
-    left = at[:, None] - 1 - np.arange(LEFT)
-    r = np.where(right < words.first[text + 1][:, None], padded[right + LEFT], 0)
-    lf = np.where(left >= words.first[text][:, None], padded[left + LEFT], 0)
-    return r.astype(np.uint32), lf.astype(np.uint32)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row of a and b, within the text."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def _mark(gram, right, left, doc, text, pos):
-    """For occurrences sorted in no order: (lo, hi, source) words of each that an earlier document's occurrence repeats.
+    at = at[seen[at + MIN_WORDS - 1] == seen[at]]
+    suffix = at + (((least[at] & U64(mask)).astype(np.int64) - at) & mask)
+    starts = np.flatnonzero((np.diff(suffix, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 1))
+    return at[starts], np.diff(np.append(starts, len(at))), grams[suffix[starts]]
+
+
+def _binary(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
+    """values[first : first + count] of each pair as bytes."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    flat = values[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(flat)])
+
+
+OCCURRENCE = "gram long, doc_id long, text_key long, pos int, windows binary"
+SPAN = "doc_id long, text_key long, lo int, hi int, source long"
+
+
+def _unpacked(rows: pa.Table):
+    """(occurrence, number within it, hash) of each window, and each occurrence's rank by (doc_id, text_key)."""
+    windows = rows.column("windows").to_pylist()
+    count = np.fromiter(map(len, windows), np.int64, len(windows)) // 8
+    owner = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    doc, text = rows.column("doc_id").to_numpy(), rows.column("text_key").to_numpy()
+    order = np.lexsort((text, doc))
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], (np.diff(doc[order]) != 0) | (np.diff(text[order]) != 0)])[: len(doc)])
+    return owner, nth, np.frombuffer(b"".join(windows), U64), rank
+
+
+def _later(rows: pa.Table) -> pa.RecordBatch:
+    """SPAN rows: runs of an occurrence's windows that an earlier document among the rows holds too, and the first such."""
+    owner, nth, window, rank = _unpacked(rows)
+    doc, text, pos = (rows.column(c).to_numpy() for c in ("doc_id", "text_key", "pos"))
+    order = np.argsort(window)
+    group = np.cumsum(np.diff(window[order], prepend=window[order][:1]) != 0)
+    head = np.empty(len(order), np.int64)
+    head[order] = np.minimum.reduceat(rank[owner[order]], np.flatnonzero(np.diff(group, prepend=-1)))[group]
+    at = np.flatnonzero(rank[owner] != head)
+    new = (np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0) | (np.diff(head[at], prepend=-1) != 0)
+    starts = np.flatnonzero(new)
+    lo, hi = at[starts], at[np.append(starts, len(at))[1:] - 1]
+    doc_of = np.empty(len(doc), np.int64)
+    doc_of[rank] = doc
+    own = owner[lo]
+    columns = [doc[own], text[own], (pos[own] + nth[lo]).astype(np.int32), (pos[own] + nth[hi] + MIN_WORDS).astype(np.int32), doc_of[head[lo]]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "text_key", "lo", "hi", "source"])
+
+
+def _by_group(batches, keys: tuple[str, ...], fn):
+    """fn of tables of rows sorted by the keys; rows with equal keys are never split over two tables."""
+
+    def changes(rows):
+        return np.flatnonzero(np.any([np.diff(rows.column(k).to_numpy()) != 0 for k in keys], axis=0)) + 1
 
-    Suffixes are sorted by what follows and again by what precedes; neighbours in either order are extended both ways.
-    In each run of neighbours all are also compared with the run's first occurrence. Whatever is marked refers to an
-    earlier occurrence of the same words, so one copy of everything stays. It is repeated over what is unmarked.
-    """
-    n = len(gram)
-    took_l, took_r, source = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, -1, np.int64)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((pos, text, doc))] = np.arange(n)
-
-    def compare(x, y):
-        """y may mark x: y comes earlier and is in another document."""
-        ok = (rank[y] < rank[x]) & ((doc[x] != doc[y]) | (text[x] != text[y])) & (gram[x] == gram[y])
-        x, y = x[ok], y[ok]
-        r, lf = _common(right[x], right[y]), _common(left[x], left[y])
-        hit = r + lf >= MIN_WORDS
-        x, y, r, lf = x[hit], y[hit], r[hit], lf[hit]
-        new = source[x] < 0
-        took_r[x], took_l[x] = np.maximum(took_r[x], r), np.maximum(took_l[x], lf)
-        source[x] = np.where(new, doc[y], source[x])
-        return int(new.sum())
-
-    big = right.astype(">u4").view(f"S{4 * RIGHT}").ravel(), left.astype(">u4").view(f"S{4 * LEFT}").ravel()
-    live = np.arange(n)
-    while len(live) > 1:
-        found = 0
-        for first, second in (big, big[::-1]):
-            order = live[np.lexsort((rank[live], second[live], first[live], gram[live]))]
-            a, b = order[:-1], order[1:]
-            near = (gram[a] == gram[b]) & (_common(right[a], right[b]) + _common(left[a], left[b]) >= MIN_WORDS)
-            run = np.concatenate([[0], np.cumsum(~near)])
-            starts = np.flatnonzero(np.diff(run, prepend=-1))
-            head = np.minimum.reduceat(rank[order], starts)
-            by_rank = np.empty(n, np.int64)
-            by_rank[rank] = np.arange(n)
-            found += compare(order, by_rank[head][run])
-            found += compare(a, b) + compare(b, a)
-        if not found:
-            break
-        live = live[source[live] < 0]
-    return took_l, took_r, source
-
-
-OCCURRENCE = "gram long, doc_id long, text_key long, pos int, right binary, left binary"
-SPAN = "gram long, doc_id long, text_key long, pos int, right binary, left binary, lo int, hi int, source long"
-
-
-def _neighbours(batches):
-    """Rows come sorted by gram within a partition; groups are never split over two calls of _mark."""
     held: list[pa.RecordBatch] = []
-
-    def flush(rows: pa.Table):
-        rows = rows.combine_chunks()
-        col = lambda k: rows.column(k).to_numpy()
-        right = np.frombuffer(b"".join(rows.column("right").to_pylist()), np.uint32).reshape(-1, RIGHT)
-        left = np.frombuffer(b"".join(rows.column("left").to_pylist()), np.uint32).reshape(-1, LEFT)
-        pos = col("pos")
-        lf, r, source = _mark(col("gram"), right, left, col("doc_id"), col("text_key"), pos)
-        out = rows.append_column("lo", pa.array((pos - lf).astype(np.int32))).append_column("hi", pa.array((pos + r).astype(np.int32)))
-        out = out.append_column("source", pa.array(source, mask=source < 0))
-        yield from out.to_batches()
-
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) < 20_000:
+        n += batch.num_rows
+        if n < 20_000:
             continue
         rows = pa.Table.from_batches(held).combine_chunks()
-        gram = rows.column("gram").to_numpy()
-        last = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
+        ends = changes(rows)
+        last = int(ends[-1]) if len(ends) else 0
         if last:
-            yield from flush(rows.slice(0, last))
-        held = rows.slice(last).to_batches()
+            yield fn(rows.slice(0, last))
+        held, n = rows.slice(last).to_batches(), rows.num_rows - last
     if held:
-        yield from flush(pa.Table.from_batches(held))
+        yield fn(pa.Table.from_batches(held).combine_chunks())
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -149,67 +121,42 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     doc_id, is not reported; within one document nothing is. Spans of one document may overlap. Null and empty texts and
     rows without doc_id have none; rows that repeat doc_id and text are one document (text_key = xxhash64 of the text).
 
-    Two scans: the first counts the hashes at minimiser positions, the second emits for positions with a repeated hash
-    the words around them. These are sorted by hash and following words and compared with their neighbours, first within
-    salted parts of very frequent grams, then what is left of those together. Each retained suffix carries MIN_WORDS
-    words to its right and WINDOW - 1 to its left: a passage of any length is the union of what its suffixes cover.
+    Two scans: the first counts the hashes of the retained suffixes' grams, the second emits each suffix with a repeated
+    hash and the 64-bit hashes of the windows of MIN_WORDS words that it was retained for. Equal windows retain equal
+    grams, so all documents that hold a window meet in its gram's group; each window but the first document's is
+    reported. A longer passage is the union of its windows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     spark = docs.sparkSession
 
     def hashes(batches):
         for batch in chunks(batches, "text"):
-            _, gram = minimisers(Words(texts_of(batch), fold=False))
+            _, _, gram = suffixes(Words(texts_of(batch), fold=False))
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
 
     often = docs.select("text").mapInArrow(hashes, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     often = cut(often)
     wanted = spark.sparkContext.broadcast(bloom(often.select("gram"), often.count()))
+    discard(often)
 
     def occurrences(batches):
         for batch in chunks(batches, "text"):
             words = Words(texts_of(batch), fold=False)
-            at, gram = minimisers(words)
-            if len(at):
-                hit = wanted.value.has(gram.view(np.int64))
-                at, gram = at[hit], gram[hit]
-            text = np.searchsorted(words.first[1:], at, side="right")
-            right, left = _contexts(words, at, text)
+            first, count, gram = suffixes(words)
+            hit = wanted.value.has(gram.view(np.int64))
+            first, count, gram = first[hit], count[hit], gram[hit]
+            if not len(gram):
+                continue
+            text = np.searchsorted(words.first[1:], first, side="right")
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "text_key"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((at - words.first[text]).astype(np.int32)), pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in left], pa.binary())],
-                ["gram", "doc_id", "text_key", "pos", "right", "left"],
-            )
+            windows = _binary(words.grams(MIN_WORDS), first, count)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((first - words.first[text]).astype(np.int32)), windows], ["gram", "doc_id", "text_key", "pos", "windows"])
 
     rows = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(occurrences, OCCURRENCE)
-    hot = often.where(F.col("n") > SALT_ROWS).select("gram", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
-    rows = rows.join(hot, "gram", "left") if hot.limit(1).count() else rows.withColumn("salts", F.lit(None).cast("long"))
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "pos"), "salts"), F.lit(0)))
-    first = cut(rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt").drop("salts").withColumn("gram", F.col("gram")).select("gram", "doc_id", "text_key", "pos", "right", "left", "salt").mapInArrow(_by_salt, SPAN + ", salt long"))
-    marked = first.where("source is not null")
-    left_over = first.where("source is null").join(hot.select("gram"), "gram", "left_semi")
-    second = left_over.select("gram", "doc_id", "text_key", "pos", "right", "left").repartition("gram").sortWithinPartitions("gram").mapInArrow(_neighbours, SPAN)
-    spans = marked.select("doc_id", "text_key", "lo", "hi", "source").union(second.where("source is not null").select("doc_id", "text_key", "lo", "hi", "source"))
+    spans = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _by_group(b, ("gram",), _later), SPAN)
     return spans.distinct()
 
 
-def _by_salt(batches):
-    """_neighbours for each (gram, salt): the salt is folded into the gram while comparing."""
-
-    def fold():
-        for batch in batches:
-            gram = batch.column("gram").to_numpy(zero_copy_only=False)
-            salt = batch.column("salt").to_numpy(zero_copy_only=False)
-            with np.errstate(over="ignore"):
-                key = gram + salt * np.int64(0x5851F42D4C957F2D)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in ("doc_id", "text_key", "pos", "right", "left", "salt"))], ["gram", "doc_id", "text_key", "pos", "right", "left", "salt"])
-
-    for out in _neighbours(fold()):
-        with np.errstate(over="ignore"):
-            gram = out.column("gram").to_numpy(zero_copy_only=False) - out.column("salt").to_numpy(zero_copy_only=False) * np.int64(0x5851F42D4C957F2D)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), *(out.column(c) for c in ("doc_id", "text_key", "pos", "right", "left", "lo", "hi", "source", "salt"))], ["gram", "doc_id", "text_key", "pos", "right", "left", "lo", "hi", "source", "salt"])
-
-
 def merged_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans, sources): the repeated word spans of each document, overlapping ones merged."""
     spans = repeated_passages(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"), F.array_sort(F.collect_set("source")).alias("sources"))

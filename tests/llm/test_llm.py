@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import chat_format, fingerprints, packing, queries, toxicity
+from tesserae.llm.common import Words
 from tesserae.llm.embedding_dedup import near_duplicates
 from tesserae.llm.mixing import mix_sources
 from tesserae.llm.ngram_join import ngram_components
@@ -84,6 +85,43 @@ def test_repeats(docs):
         assert (r["text"] or "").split() == [w for i, w in enumerate((rows[r["doc_id"]] or "").split()) if i not in want.get(r["doc_id"], ())]
 
 
+def later_windows(rows):
+    """Words of each document in windows of 50 that an earlier document holds, by brute force."""
+    first, want = {}, defaultdict(set)
+    for doc, text in sorted(rows):
+        w = text.split()
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), doc) != doc:
+                want[doc].update(range(i, i + 50))
+    return want
+
+
+def covered_words(found):
+    return {r["doc_id"]: {i for s in r["spans"] for i in range(s["lo"], s["hi"])} for r in found.collect()}
+
+
+def split_overlaps():
+    """Pairs that share 50 words amid documents that share more with either of them on one side, but less in all."""
+    texts = []
+    for k in range(12):
+        p = prose(100 + k, 50).split()
+        left, right = prose(200 + k, 60).split(), prose(300 + k, 60).split()
+        a, b = [*left, *p, *right], [*prose(400 + k, 60).split(), *p, *prose(500 + k, 60).split()]
+        texts += [a, b]
+        g = int(np.argmin(Words([" ".join(p).encode()]).grams(16)))  # where the suffix that A and B both retain starts
+        for j in range(8):
+            other = prose(1000 + 20 * k + j, 60).split()
+            texts += [[*other, *p[g:], *right[: max(0, g - 10)], *other[::-1]], [*other, *left[-5:], *p[: g + 16], *other[::-1]]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_repeats_split_over_both_sides(spark):
+    rows = split_overlaps()
+    want = later_windows(rows)
+    assert len(want) >= 12
+    assert covered_words(merged_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_packing(docs):
     encoder = packing.Encoder(**queries.BYTE_BPE)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import U64, Words, bloom, chunks, cut, discard, texts_of
+from tesserae.llm.common import U64, Words, bloom, chunks, cut, discard, mix, texts_of
 
 #: A passage of MIN_WORDS words holds WINDOW grams of GRAM words, so at least one of its suffixes is retained.
 MIN_WORDS, GRAM = 50, 16
 WINDOW = MIN_WORDS - GRAM + 1
+#: Suffixes of a gram that one task compares; more frequent grams are split by document into SALTS parts or more, so that
+#: a part has about SALT_ROWS suffixes of a gram at most. A document of more than BLOCK words is split like several.
+SALT_ROWS, SALTS, BLOCK = 4096, 64, 1 << 16
 
 
 def _slide(a: np.ndarray, width: int, fn) -> np.ndarray:
@@ -54,7 +57,7 @@ def _binary(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Arra
 
 
 OCCURRENCE = "gram long, doc_id long, text_key long, pos int, windows binary"
-SPAN = "doc_id long, text_key long, lo int, hi int, source long"
+SPAN = "doc_id long, text_key long, spans array<struct<lo:int,hi:int>>, sources array<long>"
 
 
 def _unpacked(rows: pa.Table):
@@ -71,7 +74,7 @@ def _unpacked(rows: pa.Table):
 
 
 def _later(rows: pa.Table) -> pa.RecordBatch:
-    """SPAN rows: runs of an occurrence's windows that an earlier document among the rows holds too, and the first such."""
+    """A SPAN row for each document: its windows that an earlier document among the rows holds too, and the first such."""
     owner, nth, window, rank = _unpacked(rows)
     doc, text, pos = (rows.column(c).to_numpy() for c in ("doc_id", "text_key", "pos"))
     order = np.argsort(window)
@@ -79,14 +82,30 @@ def _later(rows: pa.Table) -> pa.RecordBatch:
     head = np.empty(len(order), np.int64)
     head[order] = np.minimum.reduceat(rank[owner[order]], np.flatnonzero(np.diff(group, prepend=-1)))[group]
     at = np.flatnonzero(rank[owner] != head)
-    new = (np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0) | (np.diff(head[at], prepend=-1) != 0)
-    starts = np.flatnonzero(new)
-    lo, hi = at[starts], at[np.append(starts, len(at))[1:] - 1]
-    doc_of = np.empty(len(doc), np.int64)
-    doc_of[rank] = doc
-    own = owner[lo]
-    columns = [doc[own], text[own], (pos[own] + nth[lo]).astype(np.int32), (pos[own] + nth[hi] + MIN_WORDS).astype(np.int32), doc_of[head[lo]]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "text_key", "lo", "hi", "source"])
+    own, word = rank[owner[at]], pos[owner[at]] + nth[at]
+    order = np.lexsort((word, own))
+    by, word = own[order], word[order]
+    starts = np.flatnonzero((np.diff(by, prepend=-1) != 0) | (np.diff(word, prepend=0) > MIN_WORDS))
+    lo, hi = word[starts], word[np.append(starts, len(word))[1:] - 1] + MIN_WORDS
+    spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi)], ["lo", "hi"])
+    pairs = np.unique(np.stack([own, head[at]], axis=1), axis=0)
+    docs = np.unique(own)
+    doc_of, text_of = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    doc_of[rank], text_of[rank] = doc, text
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(key, docs), len(key)).astype(np.int32)), values) for key, values in ((by[starts], spans), (pairs[:, 0], pa.array(doc_of[pairs[:, 1]])))]
+    return pa.RecordBatch.from_arrays([pa.array(doc_of[docs]), pa.array(text_of[docs]), *lists], ["doc_id", "text_key", "spans", "sources"])
+
+
+def _first(rows: pa.Table) -> pa.RecordBatch:
+    """For each gram and salt among the rows and each distinct window there: the first document that holds it."""
+    owner, _, window, rank = _unpacked(rows)
+    gram, salt, doc, text = (rows.column(c).to_numpy() for c in ("gram", "salt", "doc_id", "text_key"))
+    group = np.cumsum((np.diff(gram, prepend=gram[:1]) != 0) | (np.diff(salt, prepend=salt[:1]) != 0))[owner]
+    order = np.lexsort((rank[owner], window, group))
+    pick = order[np.concatenate([[True], (np.diff(window[order]) != 0) | (np.diff(group[order]) != 0)])[: len(order)]]
+    own, one = owner[pick], np.ones(len(pick), np.int64)
+    columns = [pa.array(c[own]) for c in (gram, salt, doc, text)]
+    return pa.RecordBatch.from_arrays([*columns, _binary(window, pick, one)], ["gram", "salt", "doc_id", "text_key", "windows"])
 
 
 def _by_group(batches, keys: tuple[str, ...], fn):
@@ -115,16 +134,18 @@ def _by_group(batches, keys: tuple[str, ...], fn):
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lo, hi, source) for docs(doc_id, text): words lo..hi-1 of the text repeat in document source.
+    """(doc_id, text_key, spans, sources) for docs(doc_id, text): words lo..hi-1 of each span repeat in the sources.
 
     A passage is MIN_WORDS words or more between ASCII white space, byte for byte. The first document that holds it, by
-    doc_id, is not reported; within one document nothing is. Spans of one document may overlap. Null and empty texts and
-    rows without doc_id have none; rows that repeat doc_id and text are one document (text_key = xxhash64 of the text).
+    doc_id, is not reported; within one document nothing is. A document may have several rows with spans that overlap.
+    Null and empty texts and rows without doc_id have none; rows that repeat doc_id and text are one document (text_key = xxhash64 of the text).
 
     Two scans: the first counts the hashes of the retained suffixes' grams, the second emits each suffix with a repeated
     hash and the 64-bit hashes of the windows of MIN_WORDS words that it was retained for. Equal windows retain equal
     grams, so all documents that hold a window meet in its gram's group; each window but the first document's is
-    reported. A longer passage is the union of its windows.
+    reported. A longer passage is the union of its windows. Grams of more than SALT_ROWS suffixes are scanned once more
+    and split over tasks; what comes first in each part is compared over all parts and given back to them, so the
+    results do not depend on the split.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     spark = docs.sparkSession
@@ -137,29 +158,46 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     often = docs.select("text").mapInArrow(hashes, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     often = cut(often)
     wanted = spark.sparkContext.broadcast(bloom(often.select("gram"), often.count()))
+    most = often.where(F.col("n") > SALT_ROWS).collect()
     discard(often)
+    salts = max([SALTS, *(-(-r["n"] // SALT_ROWS) for r in most)])
+    frequent = spark.sparkContext.broadcast(np.array(sorted(r["gram"] for r in most), np.int64))
 
-    def occurrences(batches):
+    def occurrences(batches, of_hot: bool):
         for batch in chunks(batches, "text"):
             words = Words(texts_of(batch), fold=False)
             first, count, gram = suffixes(words)
-            hit = wanted.value.has(gram.view(np.int64))
-            first, count, gram = first[hit], count[hit], gram[hit]
+            is_hot = np.isin(gram.view(np.int64), frequent.value)
+            hit = is_hot if of_hot else wanted.value.has(gram.view(np.int64)) & ~is_hot
+            first, count, gram = first[hit], count[hit], gram[hit].view(np.int64)
             if not len(gram):
                 continue
             text = np.searchsorted(words.first[1:], first, side="right")
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "text_key"))
             windows = _binary(words.grams(MIN_WORDS), first, count)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((first - words.first[text]).astype(np.int32)), windows], ["gram", "doc_id", "text_key", "pos", "windows"])
-
-    rows = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(occurrences, OCCURRENCE)
+            pos = first - words.first[text]
+            columns = [pa.array(gram), pa.array(ids), pa.array(keys), pa.array(pos.astype(np.int32)), windows]
+            if of_hot:
+                part = mix(keys.astype(np.int64).view(U64) ^ mix(ids.astype(np.int64).view(U64), 31), 32) + (pos // BLOCK).astype(U64)
+                columns.append(pa.array((part % U64(salts)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "text_key", "pos", "windows", "salt"][: len(columns)])
+
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    rows = docs.mapInArrow(lambda b: occurrences(b, False), OCCURRENCE)
     spans = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _by_group(b, ("gram",), _later), SPAN)
-    return spans.distinct()
+    if not most:
+        return spans
+    rows = cut(docs.mapInArrow(lambda b: occurrences(b, True), f"{OCCURRENCE}, salt long"))
+    firsts = rows.repartition("salt").sortWithinPartitions("salt", "gram").mapInArrow(lambda b: _by_group(b, ("salt", "gram"), _first), "gram long, salt long, doc_id long, text_key long, windows binary")
+    firsts = firsts.groupBy("gram", "windows").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.collect_list("salt").alias("salts")).where(F.size("salts") > 1)
+    firsts = firsts.select("gram", "f.doc_id", "f.text_key", F.lit(-1).alias("pos"), "windows", F.explode("salts").alias("salt"))
+    rows = rows.union(firsts).repartition("salt").sortWithinPartitions("salt", "gram")
+    return spans.union(rows.mapInArrow(lambda b: _by_group(b, ("salt", "gram"), _later), SPAN))
 
 
 def merged_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans, sources): the repeated word spans of each document, overlapping ones merged."""
-    spans = repeated_passages(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"), F.array_sort(F.collect_set("source")).alias("sources"))
+    spans = repeated_passages(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     last = lambda acc: F.element_at(acc, -1)
     joined = F.aggregate(
         "s",

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, fingerprints, packing, queries, toxicity
+from tesserae.llm import chat_format, fingerprints, packing, queries, suffix_dedup, toxicity
 from tesserae.llm.common import Words
 from tesserae.llm.embedding_dedup import near_duplicates
 from tesserae.llm.mixing import mix_sources
@@ -122,6 +122,18 @@ def test_repeats_split_over_both_sides(spark):
     assert covered_words(merged_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
+def test_repeats_of_frequent_grams(spark, monkeypatch):
+    """A passage that all share, and longer ones that fewer share: whatever the split, the same windows are found."""
+    rng, rows = np.random.default_rng(5), split_overlaps()
+    base, tails = prose(6, 60).split(), [prose(700 + k, 40).split() for k in range(6)]
+    for i in range(len(rows), len(rows) + 60):
+        rows.append((i, " ".join([*prose(800 + i, 30).split(), *base[rng.integers(0, 20) :], *tails[rng.integers(6)], *prose(900 + i, 30).split()])))
+    want, df = later_windows(rows), spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for size in (4096, 8, 1):
+        monkeypatch.setattr(suffix_dedup, "SALT_ROWS", size)
+        assert covered_words(merged_passages(df)) == want
+
+
 def test_packing(docs):
     encoder = packing.Encoder(**queries.BYTE_BPE)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

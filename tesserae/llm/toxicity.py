@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import U64, Words, chunks, crc32_of_id, mix, texts_of
+from tesserae.llm.common import IS_SPACE, U64, Words, chunks, crc32_of_id, mix, texts_of
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
 #: Hashed rows of the word and character tables, their width, hidden units of each direction.
 WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 16, 6, 8
-#: Character n-grams of a word: prefixes of these lengths, and all of GRAM bytes up to GRAMS of them.
+#: Character n-grams of a word: prefixes of these lengths, and all of GRAM bytes. GRAMS of them are one step's, so a word
+#: of more than LONG bytes is cut at symbols and foreign spaces first, and what is still longer takes further steps.
 PREFIXES, GRAM, GRAMS = (3, 4, 5, 6), 4, 8
+LONG = GRAMS + GRAM - 1
 #: Training is on a bounded sample: at most so many toxic and other labelled documents, of at most so many characters.
 TOXIC_ROWS, OTHER_ROWS, TRAIN_CHARS = 2500, 3500, 20_000
 #: At least EPOCHS rounds over half of the sample, and at least STEPS steps.
@@ -27,28 +29,59 @@ SYMBOL = np.ones(256, bool)
 SYMBOL[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def _breaks(b: np.ndarray) -> np.ndarray:
+    """Bytes that part a long word: ASCII symbols, and spaces beyond ASCII (U+00A0, U+2000-200B, 202F, 205F, 3000)."""
+    one, two = np.append(b[1:], 0), np.append(b[2:], [0, 0])[: len(b)]
+    pair = (b == 0xC2) & (one == 0xA0)
+    three = (b == 0xE2) & (((one == 0x80) & (((two >= 0x80) & (two <= 0x8B)) | (two == 0xAF))) | ((one == 0x81) & (two == 0x9F)))
+    three |= (b == 0xE3) & (one == 0x80) & (two == 0x80)
+    out = SYMBOL[b] | pair | three
+    out[1:] |= pair[:-1] | three[:-1]
+    out[2:] |= three[:-2]
+    return out
+
+
+def _parts(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the words, of more than LONG bytes those of their parts; words of breaks alone stay as they are."""
+    breaks = _breaks(words.bytes)
+    other = np.concatenate([[0], np.cumsum(~breaks)])
+    long = (words.end - words.start > LONG) & (other[words.end] > other[words.start])
+    edge = np.zeros(len(breaks) + 1, np.int64)
+    edge[words.start[long]] += 1
+    edge[words.end[long]] -= 1
+    inside = ~IS_SPACE[words.bytes] & ~(breaks & (np.cumsum(edge)[:-1] > 0))
+    change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return change[0::2], change[1::2]
+
+
 class Inputs:
-    """The distinct words of some texts as rows of the tables, and each text's windows over them."""
+    """The distinct steps (words and further parts of long words) of some texts, and each text's windows over them."""
 
     def __init__(self, texts: list[bytes]):
         words = Words(texts)
-        start, end = words.start.copy(), words.end.copy()
+        start, end = _parts(words)
         for _ in range(4):
             end -= SYMBOL[words.bytes[end - 1]] & (end - start > 1)
             start += SYMBOL[words.bytes[start]] & (end - start > 1)
-        _, first, self.word = np.unique(words.spans(start, end), return_index=True, return_inverse=True)
-        start, end = start[first], end[first]
+        pieces = np.maximum(1, -(-(end - start - GRAM + 1) // GRAMS))
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        whole = np.repeat(words.spans(start, end), pieces)
+        start, end = np.repeat(start, pieces) + nth * GRAMS, np.repeat(end, pieces)
+        end = np.minimum(end, start + LONG)
+        self.first = np.searchsorted(start, words.text_start)
+        key = np.where(nth > 0, mix(words.spans(start, end), 40), whole)
+        _, first, self.word = np.unique(key, return_index=True, return_inverse=True)
+        start, end, further = start[first], end[first], nth[first] > 0
         length = end - start
-        self.row = (words.spans(start, end) & U64(WORD_ROWS - 1)).astype(np.int64)
+        self.row = np.where(further, WORD_ROWS, (whole[first] & U64(WORD_ROWS - 1)).astype(np.int64))
         columns = []
         for n in PREFIXES:
-            columns.append(np.where(length >= n, (mix(words.spans(start, np.minimum(start + n, end)), 20 + n) & U64(CHAR_ROWS - 1)).astype(np.int64), CHAR_ROWS))
+            columns.append(np.where((length >= n) & ~further, (mix(words.spans(start, np.minimum(start + n, end)), 20 + n) & U64(CHAR_ROWS - 1)).astype(np.int64), CHAR_ROWS))
         for k in range(GRAMS):
             at = np.minimum(start + k, end)
             columns.append(np.where(length >= k + GRAM, (mix(words.spans(at, np.minimum(at + GRAM, end)), 30) & U64(CHAR_ROWS - 1)).astype(np.int64), CHAR_ROWS))
         self.chars = np.stack(columns, axis=1)
-        self.n_words = np.diff(words.first)
-        self.first = words.first
+        self.n_words = np.diff(self.first)
         steps = np.where(self.n_words > 0, 1 + np.maximum(0, -(-(self.n_words - WINDOW) // STRIDE)), 0)
         self.text = np.repeat(np.arange(len(texts)), steps)
         nth = np.arange(len(self.text)) - np.repeat(np.cumsum(steps) - steps, steps)
@@ -56,7 +89,7 @@ class Inputs:
         begin = np.minimum(nth * STRIDE, np.maximum(0, n - WINDOW))
         offset = begin[:, None] + np.arange(WINDOW)
         inside = offset < n[:, None]
-        at = np.where(inside, words.first[self.text][:, None] + offset, 0)
+        at = np.where(inside, self.first[self.text][:, None] + offset, 0)
         self.ids = np.where(inside, self.word[at] if len(self.word) else 0, len(self.row))  # the last row is padding
 
 
@@ -72,6 +105,7 @@ class Network:
         draw = lambda *shape, s=0.2: rng.normal(0, s, shape).astype(np.float32)
         h, d = HIDDEN, 2 * EMBED
         self.p = {"words": draw(WORD_ROWS, EMBED, s=0.05), "chars": draw(CHAR_ROWS + 1, EMBED, s=0.05), "bias": np.zeros(1, np.float32), "attend": draw(2 * h), "value": draw(2 * h)}
+        self.p["words"] = np.vstack([self.p["words"], np.zeros((1, EMBED), np.float32)])  # the last row is further parts'
         for side in "fb":
             self.p |= {f"wx{side}": draw(d, 3 * h), f"wh{side}": draw(h, 3 * h), f"wb{side}": np.zeros(3 * h, np.float32)}
         self.base = 0.0
@@ -191,7 +225,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, steps: int =
         half = order, order
     a = Inputs([texts[i] for i in half[0]])
     used = [np.unique(a.word[a.first[i] : a.first[i + 1]]) for i in range(len(half[0]))]
-    net.p["words"][:, 0] = 0.5 * _log_odds(WORD_ROWS, [np.unique(a.row[u]) for u in used], y[half[0]])
+    net.p["words"][:, 0] = 0.5 * _log_odds(WORD_ROWS + 1, [np.unique(a.row[u]) for u in used], y[half[0]])
     net.p["chars"][:, 0] = 0.5 * _log_odds(CHAR_ROWS + 1, [np.unique(a.chars[u]) for u in used], y[half[0]])
     net.p["chars"][CHAR_ROWS] = 0
     b, label = Inputs([texts[i] for i in half[1]]), y[half[1]]

@@ -322,6 +322,20 @@ def test_gradient():
         assert (up - down) / 2e-2 == pytest.approx(float(g[name][at]), rel=0.05, abs=2e-4)
 
 
+def test_toxicity_reads_whole_words():
+    rng = np.random.default_rng(3)
+    plain = ["river", "garden", "window", "market", "summer", "letter", "bridge", "kitchen", "paper", "morning"]
+    text = lambda n, *more: [*(plain[i] for i in rng.integers(0, len(plain), n)), *more]
+    texts = [text(12, "zzqvile") if i % 2 else text(12) for i in range(400)]
+    net = toxicity.train([" ".join(x).encode() for x in texts], np.arange(400) % 2)
+    for sep in (" ", "\u00a0", "\u3000", "\u2009", "_", "-", ".", "...", ""):
+        for n in (3, 200):
+            good, bad = toxicity.score_texts(net, [sep.join(x).encode() for x in (text(n), text(n, "zzqvile"))])
+            assert good < 0.5 < bad, (sep, n)
+    steps = toxicity.Inputs([b"a" * 11, b"abcdefghijklmnopqrstuvwxyz", b"", b"-" * 30, b"x y"])
+    assert steps.n_words.tolist() == [1, 3, 0, 3, 2]
+
+
 @pytest.mark.parametrize("name", ["op3_suffix_array_dedup", "op7_source_mixing", "op9_ngram_jaccard_join"])
 def test_empty_tables(spark, docs, name):
     empty = docs.select(*DOCS.replace(" long", "").replace(" string", "").split(", ")).limit(0)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, discard
 
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -173,12 +173,49 @@ def _sequences(batches):
         yield now.batch()
 
 
+LEAVES = "conv_id long, seg int, sequence long, top int, intervals array<struct<start:int, end:int>>"
+BEFORE = "sequence long, top int, before array<struct<sequence:long, start:int, end:int>>"
+
+
+def _leaves(batches):
+    """Of conversations of several segments: where each segment lies and the tree's first turn that it starts with."""
+    schema = pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("sequence", pa.int64()), ("top", pa.int32()), ("intervals", pa.list_(_INTERVAL))])
+    for batch in batches:
+        for row in batch.to_pylist():
+            nodes, out = row["nodes"], []
+            for leaf in row["leaves"]:
+                if leaf["seg"] == 0 and leaf["last"]:
+                    continue
+                top, own = leaf["node"], nodes[leaf["node"]]
+                while nodes[top]["parent"] >= 0:
+                    top = nodes[top]["parent"]
+                intervals = [*row["ancestors"][leaf["node"]], {"start": own["start"], "end": own["end"]}]
+                out.append({"conv_id": leaf["conv_id"], "seg": leaf["seg"], "sequence": row["sequence"], "top": top, "intervals": intervals})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def _before(batches):
+    """Segments sorted by conversation and number, to the intervals of all segments before each."""
+    schema = pa.schema([("sequence", pa.int64()), ("top", pa.int32()), ("before", pa.list_(pa.struct([("sequence", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
+    above: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["seg"] == 0:
+                above = []
+            else:
+                yield pa.RecordBatch.from_pylist([{"sequence": row["sequence"], "top": row["top"], "before": above}], schema=schema)
+            above = above + [{"sequence": row["sequence"], **x} for x in row["intervals"]]
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """Sequences of turns of conversations(conv_id, turn, role, text), each a forest of shared prefixes in DFS order.
 
     text is the formatted sequence. Each node is a turn: its span, its parent, the position id of its first character
     (the length of what stands above it) and the span under the loss mask (an assistant's escaped text, else -1). A
     node's characters attend to the intervals in ancestors and to themselves. leaves say where conversations end.
+    Segments bound what a task holds, not the attention: before has, for each first turn (top) of a later segment, the
+    intervals of sequences that hold all turns of the segments before; top and all below it attend to these as well.
 
     Null texts and roles are empty. Rows with equal turns follow each other by role and text, and repeated rows stay;
     null turns come first. Rows without conv_id are one conversation. Long conversations go on in further segments
@@ -189,7 +226,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     segments = cut(rows.select("conv_id", "role", "text").mapInArrow(_segments, SEGMENTS))
     order = ["root", "path", "conv_id", "seg"]
-    return segments.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sequences, SEQUENCES)
+    sequences = segments.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sequences, SEQUENCES)
+    if not segments.where("seg > 0").limit(1).count():
+        return sequences.withColumn("before", F.expr("cast(array() as array<struct<top:int, before:array<struct<sequence:long, start:int, end:int>>>>)"))
+    sequences = cut(sequences)
+    discard(segments)
+    before = sequences.select("sequence", "nodes", "ancestors", "leaves").mapInArrow(_leaves, LEAVES).repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_before, BEFORE)
+    before = before.groupBy("sequence", "top").agg(F.min("before").alias("before"))  # of equal paths any will do
+    before = before.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("top", "before"))).alias("before"))
+    return sequences.join(before, "sequence", "left").withColumn("before", F.coalesce("before", F.array().cast(before.schema["before"].dataType)))
 
 
 PARTS = "conv_id long, seg int, last boolean, n_turns long, turns string, loss string, formatted_chars long, turns_sha256 string, loss_chars long, loss_sha256 string"

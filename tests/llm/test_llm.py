@@ -270,6 +270,25 @@ def test_chat(spark):
         assert g["formatted_chars"] == sum(len(chat_format.render(r, t)[0]) for r, t in turns)
 
 
+def test_chat_attends_over_segments(spark):
+    """What a conversation's last turn attends to, with itself, is the whole conversation, however many segments."""
+    lengths = {1: 700, 2: 660, 3: 256, 4: 257, 5: 5, None: 300}
+    rows = [(c, t, "user", f"turn {t}" if t < 600 or c == 1 else f"other {t}") for c, n in lengths.items() for t in range(n)]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    texts, ends = {s["sequence"]: s["text"] for s in got}, {}
+    for s in got:
+        before = {x["top"]: x["before"] for x in s["before"]}
+        for leaf in (x for x in s["leaves"] if x["last"]):
+            top, node = leaf["node"], s["nodes"][leaf["node"]]
+            while s["nodes"][top]["parent"] >= 0:
+                top = s["nodes"][top]["parent"]
+            seen = "".join(texts[i["sequence"]][i["start"] : i["end"]] for i in before.get(top, ()))
+            seen += "".join(s["text"][i["start"] : i["end"]] for i in s["ancestors"][leaf["node"]])
+            assert len(seen) == node["position"]
+            ends[leaf["conv_id"]] = seen + s["text"][node["start"] : node["end"]]
+    assert ends == {c: "".join(chat_format.render(r[2], r[3])[0] for r in rows if r[0] == c) for c in lengths}
+
+
 def test_mixing(docs, spark):
     got = mix_sources(docs, exponent=0.5)
     assert {*got.columns} == {*docs.columns, "copy"}

@@ -25,13 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at Jaccard 0.8 or more, the document with the smallest id stays.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id link with nothing and stay.
+    Of rows that repeat doc_id and text the least by the other columns stays, of unlike texts under one doc_id each;
+    rows without doc_id link with nothing and stay.
     """
     found = cut(ngram_components(docs, n=5, num=80, den=100))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        single = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+        single = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
         kept = single.union(kept.where("doc_id is null"))
     return kept
 

@@ -362,6 +362,15 @@ def test_empty_tables(spark, docs, name):
     assert fn(empty).count() == 0
 
 
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(50, 40), prose(51, 40), prose(52, 40)
+    rows = [(1, a, "en", "s1", 5), (1, a, "en", "s0", 5), (1, b, "en", "s0", 5), (2, c, "en", "s0", 5), (None, c, "en", "s0", 5), (3, None, None, None, None), (3, None, None, None, None)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    assert Counter(map(tuple, kept.collect())) == Counter(rows[1:6])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -28,21 +29,34 @@ CHUNK_BYTES = 1 << 20
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a temporary folder takes its place.
+    Where that setting is missing, a temporary folder takes its place if driver and executors are one process (a local
+    master, as in tests); on a cluster it is an error, since executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tesserae-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files of a query go when it ends, not when the driver collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends here and survives lost executors."""
+    """Write df to the shared folder and read it back: its lineage ends here and survives lost executors.
+
+    The write's shuffle files go with its end, since nothing after it reads them.
+    """
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # shuffle files of what has just been written go once the driver collects its garbage
+    path, before = scratch(spark), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -58,6 +72,17 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def hidden(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that none of the given columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- Arrow helpers
 
 

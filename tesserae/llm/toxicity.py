@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import IS_SPACE, U64, Words, chunks, crc32_of_id, mix, texts_of
+from tesserae.llm.common import IS_SPACE, U64, Words, chunks, crc32_of_id, cut, discard, mix, texts_of
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
@@ -17,12 +17,12 @@ WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 16, 6, 8
 #: of more than LONG bytes is cut at symbols and foreign spaces first, and what is still longer takes further steps.
 PREFIXES, GRAM, GRAMS = (3, 4, 5, 6), 4, 8
 LONG = GRAMS + GRAM - 1
-#: Training is on a bounded sample: at most so many toxic and other labelled documents, of at most so many characters.
-TOXIC_ROWS, OTHER_ROWS, TRAIN_CHARS = 2500, 3500, 20_000
-#: At least EPOCHS rounds over half of the sample, and at least STEPS steps.
-EPOCHS, STEPS, BATCH, RATE, SEED = 8, 120, 128, 0.01, 11
+#: Training is on a bounded sample: at most so many toxic and other labelled documents, of so many characters a kind.
+TOXIC_ROWS, OTHER_ROWS, SAMPLE_CHARS = 2500, 3500, 12_000_000
+#: At least EPOCHS rounds over the sample, and at least STEPS steps. Parts of the sample that start from the others' odds.
+EPOCHS, STEPS, BATCH, RATE, SEED, PARTS = 6, 240, 128, 0.01, 11, 4
 #: Share of the rate that the tables learn at: they start from log-odds, and learning them fast is learning by heart.
-TABLE_RATE = 0.1
+TABLE_RATE = 0.3
 FOLDS, HELD_OUT = 3, 1
 #: Bytes that are neither letters nor digits: a word is looked up without those around it.
 SYMBOL = np.ones(256, bool)
@@ -108,7 +108,7 @@ class Network:
         self.p["words"] = np.vstack([self.p["words"], np.zeros((1, EMBED), np.float32)])  # the last row is further parts'
         for side in "fb":
             self.p |= {f"wx{side}": draw(d, 3 * h), f"wh{side}": draw(h, 3 * h), f"wb{side}": np.zeros(3 * h, np.float32)}
-        self.base = 0.0
+        self.base, self.slope, self.offset = 0.0, 1.0, 0.0
 
     def embed(self, row: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of distinct words: their own vector, and the sum of their n-grams' over the root of their number."""
@@ -207,11 +207,58 @@ def _log_odds(size: int, rows: list[np.ndarray], y: np.ndarray, smooth: float =
     return np.log((seen[1] + smooth * rate) / (total + smooth) / rate) - np.log((seen[0] + smooth * (1 - rate)) / (total + smooth) / (1 - rate))
 
 
+class _Part:
+    """Documents of one part of the sample, with the odds that the other parts give."""
+
+    def __init__(self, texts: list[bytes], y: np.ndarray):
+        self.inputs, self.y = Inputs(texts), y
+        self.docs = np.unique(self.inputs.text)
+        first = self.inputs.first
+        self.used = [np.unique(self.inputs.word[first[i] : first[i + 1]]) for i in range(len(texts))]
+        self.odds: tuple[np.ndarray, np.ndarray] | None = None
+
+    def logits(self, net: Network) -> np.ndarray:
+        x, _ = net.embed(self.inputs.row, self.inputs.chars)
+        ids = self.inputs.ids
+        return np.concatenate([net.run(x, ids[i : i + 4096]) for i in range(0, len(ids), 4096)])
+
+    def best(self, score: np.ndarray) -> np.ndarray:
+        """The window of the highest score of each document."""
+        order = np.lexsort((score, self.inputs.text))
+        return order[np.append(np.flatnonzero(np.diff(self.inputs.text[order])), len(order) - 1)]
+
+
+def _odds_of(parts: list[_Part]) -> tuple[np.ndarray, np.ndarray]:
+    y = np.concatenate([p.y for p in parts])
+    words = [np.unique(p.inputs.row[u]) for p in parts for u in p.used]
+    chars = [np.unique(p.inputs.chars[u]) for p in parts for u in p.used]
+    odds = 0.5 * _log_odds(WORD_ROWS + 1, words, y), 0.5 * _log_odds(CHAR_ROWS + 1, chars, y)
+    odds[1][CHAR_ROWS] = 0
+    return odds
+
+
+def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve from logits to probabilities, with smoothed targets, by Newton steps."""
+    good, bad = (y == 0).sum(), (y == 1).sum()
+    target = np.where(y == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+    x = np.stack([logit, np.ones(len(logit))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = _sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(w[0]), 1e-3), float(w[1])
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS) -> Network:
     """Multiple-instance training: a document is as toxic as its most toxic window.
 
-    The first column of each table starts from log-odds over half of the documents; the network is fitted to the other
-    half, on each document's most toxic window by the network so far (at first by those log-odds).
+    The sample is dealt into PARTS parts, both kinds evenly. The first column of each table starts from log-odds: for a
+    part's own documents from those of the other parts, so that the network is fitted to odds as unseen texts have them.
+    It is fitted on each document's most toxic window by the network so far (at first by those odds). A logistic curve
+    over the logits so found calibrates the probabilities. What is kept starts from the odds of all parts.
     """
     net, rng = Network(), np.random.default_rng(SEED)
     net.base = float(y.mean()) if len(y) else 0.5
@@ -219,40 +266,67 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, steps: int =
         net.p["bias"][0] = np.log(max(net.base, 0.01) / max(1 - net.base, 0.01))
         net.p["value"][:] = 0
         return net
-    order = rng.permutation(len(y))
-    half = order[: len(order) // 2], order[len(order) // 2 :]
-    if len({*y[half[0]]}) < 2 or len({*y[half[1]]}) < 2:
-        half = order, order
-    a = Inputs([texts[i] for i in half[0]])
-    used = [np.unique(a.word[a.first[i] : a.first[i + 1]]) for i in range(len(half[0]))]
-    net.p["words"][:, 0] = 0.5 * _log_odds(WORD_ROWS + 1, [np.unique(a.row[u]) for u in used], y[half[0]])
-    net.p["chars"][:, 0] = 0.5 * _log_odds(CHAR_ROWS + 1, [np.unique(a.chars[u]) for u in used], y[half[0]])
-    net.p["chars"][CHAR_ROWS] = 0
-    b, label = Inputs([texts[i] for i in half[1]]), y[half[1]]
-    x, _ = net.embed(b.row, b.chars)
-    rank = np.append(x[:, 0] + x[:, EMBED], -9).astype(np.float32)
-    score = np.sort(rank[b.ids], axis=1)[:, -3:].sum(axis=1)
+    dealt = np.zeros(len(y), np.int64)
+    for kind in (0, 1):
+        of = rng.permutation(np.flatnonzero(y == kind))
+        dealt[of] = np.arange(len(of)) % PARTS
+    parts = [_Part([texts[i] for i in np.flatnonzero(dealt == k)], y[dealt == k]) for k in range(PARTS) if (dealt == k).any()]
+    net.p["words"][:, 0] = 0
+    net.p["chars"][:, 0] = 0
+    for k, part in enumerate(parts):
+        others = parts[:k] + parts[k + 1 :]
+        part.odds = _odds_of(others if {0, 1} == {int(v) for p in others for v in p.y} else parts)
+    parts_with_words = [p for p in parts if len(p.docs)]
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
-    docs = np.unique(b.text)
-    for epoch in range(max(epochs, -(-steps // max(1, -(-len(docs) // BATCH))))):
-        if epoch and epoch % 2 == 0:
-            x, _ = net.embed(b.row, b.chars)
-            score = np.concatenate([net.run(x, b.ids[i : i + 4096]) for i in range(0, len(b.ids), 4096)])
-        best = np.lexsort((score, b.text))
-        window = best[np.append(np.flatnonzero(np.diff(b.text[best])), len(best) - 1)]
-        for lo in range(0, len(docs), BATCH):
-            pick = window[np.sort(rng.choice(len(docs), BATCH, replace=False))] if len(docs) > BATCH else window
-            own, ids = np.unique(b.ids[pick], return_inverse=True)
-            ids = ids.reshape(len(pick), -1)
-            words = own[own < len(b.row)]
-            g = net.gradient((b.row[words], b.chars[words]), ids, label[b.text[pick]])
-            step += 1
-            for k, v in net.p.items():
-                mean[k] += 0.1 * (g[k] - mean[k])
-                square[k] += 0.01 * (g[k] ** 2 - square[k])
-                v -= RATE * (TABLE_RATE if k in ("words", "chars") else 1) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
+    step, per_epoch = 0, sum(-(-len(p.docs) // BATCH) for p in parts_with_words)
+    windows: list[np.ndarray] = []
+
+    def started(part: _Part, sign: float) -> None:
+        net.p["words"][:, 0] += (sign * part.odds[0]).astype(np.float32)
+        net.p["chars"][:, 0] += (sign * part.odds[1]).astype(np.float32)
+
+    for epoch in range(max(epochs, -(-steps // max(1, per_epoch))) if per_epoch else 0):
+        if epoch % 2 == 0:
+            windows = []
+            for part in parts_with_words:
+                started(part, 1)
+                if epoch:
+                    score = part.logits(net)
+                else:
+                    x, _ = net.embed(part.inputs.row, part.inputs.chars)
+                    rank = np.append(x[:, 0] + x[:, EMBED], -9).astype(np.float32)
+                    score = np.sort(rank[part.inputs.ids], axis=1)[:, -3:].sum(axis=1)
+                windows.append(part.best(score))
+                started(part, -1)
+        for part, window in zip(parts_with_words, windows, strict=True):
+            b = part.inputs
+            shuffled = rng.permutation(window)
+            started(part, 1)
+            for lo in range(0, len(window), BATCH):
+                pick = np.sort(shuffled[lo : lo + BATCH])
+                own, ids = np.unique(b.ids[pick], return_inverse=True)
+                ids = ids.reshape(len(pick), -1)
+                words = own[own < len(b.row)]
+                g = net.gradient((b.row[words], b.chars[words]), ids, part.y[b.text[pick]])
+                step += 1
+                for k, v in net.p.items():
+                    mean[k] += 0.1 * (g[k] - mean[k])
+                    square[k] += 0.01 * (g[k] ** 2 - square[k])
+                    v -= RATE * (TABLE_RATE if k in ("words", "chars") else 1) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
+            started(part, -1)
+    found, label = [], []
+    for part in parts_with_words:
+        started(part, 1)
+        score = part.logits(net)
+        found.append(score[part.best(score)])
+        label.append(part.y[part.docs])
+        started(part, -1)
+    if found:
+        net.slope, net.offset = _calibrated(np.concatenate(found).astype(float), np.concatenate(label))
+    whole = _odds_of(parts)
+    net.p["words"][:, 0] += whole[0].astype(np.float32)
+    net.p["chars"][:, 0] += whole[1].astype(np.float32)
     net.p["chars"][CHAR_ROWS] = 0
     return net
 
@@ -267,24 +341,43 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
         for i in range(0, len(inputs.ids), 2048):
             np.maximum.at(best, inputs.text[i : i + 2048], net.run(x, inputs.ids[i : i + 2048]))
         has = np.isfinite(best)
-        out[has] = _sigmoid(best[has])
+        out[has] = _sigmoid(net.slope * best[has] + net.offset)
     return out
 
 
+def _sample(docs: DataFrame, labels: DataFrame) -> list:
+    """(text, y) of the sampled documents: in hash order, as many of each kind as the bounds on rows and characters allow.
+
+    A doc_id with labels of both kinds is toxic; of the texts that share a doc_id the least counts, so that what comes
+    to the driver is bounded whatever repeats.
+    """
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+    known = known.where(F.pmod(crc32_of_id(), F.lit(FOLDS)) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
+    order = F.xxhash64("doc_id")
+    chosen = known.where("y = 1").orderBy(order).limit(TOXIC_ROWS).union(known.where("y = 0").orderBy(order).limit(OTHER_ROWS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    found = cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("t")).select("doc_id", "y", "t.n", "t.text"))
+    left, ids = {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}, []
+    for r in found.select("doc_id", "y", "n", order.alias("h")).orderBy("h").collect():  # at most TOXIC_ROWS + OTHER_ROWS rows
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            ids.append((r["doc_id"],))
+    taken = docs.sparkSession.createDataFrame(ids, "doc_id long")
+    sample = found.join(F.broadcast(taken), "doc_id").select("text", "y", "doc_id").orderBy("doc_id").collect()
+    discard(found)
+    return sample
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text), from the whole text alone.
 
     The network learns on the driver from a sample of labelled documents, bounded by TOXIC_ROWS, OTHER_ROWS and
-    TRAIN_CHARS, chosen by a hash of doc_id outside the held-out fold (crc32(doc_id as text) mod 3 = 1; false where
-    doc_id is null). Null texts count as empty. A text without words scores the share of toxic sampled documents,
-    0.5 where no labelled document is known.
+    SAMPLE_CHARS characters a kind, chosen by a hash of doc_id outside the held-out fold (crc32(doc_id as text) mod 3 = 1;
+    false where doc_id is null). Null texts count as empty. A text without words scores the share of toxic sampled
+    documents, 0.5 where no labelled document is known. Every row gets its own row, repeated ones too; equal texts get
+    equal scores. Columns but doc_id and text are not read.
     """
-    fold = F.pmod(crc32_of_id(), F.lit(FOLDS))
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(fold != HELD_OUT)
-    order = F.xxhash64("doc_id")
-    chosen = known.where("y = 1").orderBy(order).limit(TOXIC_ROWS).union(known.where("y = 0").orderBy(order).limit(OTHER_ROWS))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") <= TRAIN_CHARS)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").collect()
+    sample = _sample(docs, labels)
     net = train([r["text"].encode() for r in sample], np.array([r["y"] for r in sample], np.int64))
     model = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -293,5 +386,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(model.value, texts_of(batch)))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
-    held = F.coalesce(fold == HELD_OUT, F.lit(False))
+    held = F.coalesce(F.pmod(crc32_of_id(), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

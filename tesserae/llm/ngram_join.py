@@ -18,8 +18,8 @@ SKETCH_SLICES = 16
 #: Intervals of the suffix filter, for all sets and besides for sets of FINE_FROM shingles or more: the distance of two
 #: unlike sets over few intervals is a small share of long sets.
 PARTS, FINE_PARTS, FINE_FROM = 32, 256, 512
-#: Buckets of more classes than this are compared in blocks of about BLOCK_GRAMS shingles, not as pairs.
-LARGE_BUCKET, BLOCK_GRAMS = 64, 400_000
+#: Buckets of more classes than this are filtered in blocks of about BLOCK_ROWS classes of like lengths, not as joined pairs.
+LARGE_BUCKET, BLOCK_ROWS = 64, 1024
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -46,7 +46,8 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(width, np.uint32)
         for batch in chunks(batches, "text"):
-            total += np.bincount((Words(texts_of(batch)).grams(n) & U64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
+            at, times = np.unique((Words(texts_of(batch)).grams(n) & U64(width - 1)).astype(np.uint32), return_counts=True)
+            total[at] += times.astype(np.uint32)
         parts = total.reshape(SKETCH_SLICES, per)
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
 
@@ -141,51 +142,81 @@ def _linked(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame
     return both.where(same * (den + num) >= num * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def _block_links(num: int, den: int):
-    """For applyInArrow: links between the documents of two blocks, as a spanning forest and never as all pairs."""
+def _fitting(num: int, den: int):
+    """For applyInArrow: pairs of two blocks of a bucket that pass the length, positional and suffix filters.
+
+    left rows are classes outside the bucket's largest component, the others any; pairs within a component are left out.
+    """
+
+    def bins(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = column.combine_chunks()
+        has = lists.is_valid().to_numpy(zero_copy_only=False)
+        flat = lists.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int16)
+        return has, flat.reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 1), np.int16)
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), len(y)), np.int32)
+        for k in range(x.shape[1]):
+            total += np.abs(x[:, k : k + 1].astype(np.int32) - y[:, k].astype(np.int32))
+        return total
 
     def run(rows: pa.Table) -> pa.Table:
-        ids = rows.column("id").to_numpy()
-        comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
-        grams = rows.column("grams").combine_chunks()
-        lists = grams.flatten().to_numpy(zero_copy_only=False)
-        row = np.asarray(pc.list_parent_indices(grams), np.int64)
-        size = np.bincount(row, minlength=len(ids))
-        _, token, often = np.unique(lists, return_inverse=True, return_counts=True)
-        keep = often[token] > 1
-        row, token = row[keep], np.unique(token[keep], return_inverse=True)[1]
-        width, m = 4096, len(ids)
-        links = []
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        step = 512
-        for lo in range(0, m, step):
-            same = np.zeros((min(step, m - lo), m), np.float32)
-            for first in range(0, int(token[-1]) + 1 if len(token) else 0, width):
-                at = slice(*np.searchsorted(token, [first, first + width]))
-                has = np.zeros((m, width), np.float32)
-                has[row[at], token[at] - first] = 1
-                same += has[lo : lo + step] @ has.T
-            total = size[lo : lo + step, None] + size[None, :]
-            x, y = np.nonzero((same.astype(np.int64) * (den + num) >= num * total) & (comp[lo : lo + step, None] != comp[None, :]))
-            links.append(np.stack([x + lo, y]))
-        x, y = np.concatenate(links, axis=1)
-        label = np.arange(m)
-        while len(x):
-            least = np.minimum(label[x], label[y])
-            before = label.copy()
-            np.minimum.at(label, x, least)
-            np.minimum.at(label, y, least)
-            label = label[label]
-            if (label == before).all():
-                break
-        joined = np.flatnonzero(label != np.arange(m))
-        return pa.table({"a": ids[label[joined]], "b": ids[joined]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        rep, size, pos, component = (rows.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "pos", "component"))
+        is_left, major = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "major"))
+        _, coarse = bins(rows.column("parts"))
+        has, fine = bins(rows.column("fine"))
+        at_fine = np.cumsum(has) - 1
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        found = []
+        for lo in range(0, len(left), 256):
+            x, y = left[lo : lo + 256], right
+            total = size[x, None] + size[y]
+            most = np.minimum((size - pos)[x, None], (size - pos)[y]) + np.minimum(pos[x, None], pos[y])
+            ok = (component[x, None] != component[y]) & (major[y] | (rep[x, None] < rep[y]))
+            ok &= np.minimum(size[x, None], size[y]) * den >= np.maximum(size[x, None], size[y]) * num
+            ok &= most * (den + num) >= total * num
+            x, y = x[ok.any(axis=1)], y[ok.any(axis=0)]
+            if not len(x) or not len(y):
+                continue
+            ok = ok[np.ix_(np.isin(left[lo : lo + 256], x), np.isin(right, y))]
+            total = size[x, None] + size[y]
+            ok &= (total - apart(coarse[x], coarse[y])) * (den + num) >= total * (2 * num)
+            fx, fy = np.flatnonzero(has[x] & ok.any(axis=1)), np.flatnonzero(has[y] & ok.any(axis=0))
+            if len(fx) and len(fy):
+                cross = np.ix_(fx, fy)
+                ok[cross] &= (total[cross] - apart(fine[at_fine[x[fx]]], fine[at_fine[y[fy]]])) * (den + num) >= total[cross] * (2 * num)
+            i, j = np.nonzero(ok)
+            found.append(np.stack([np.minimum(rep[x[i]], rep[y[j]]), np.maximum(rep[x[i]], rep[y[j]])]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _dense_pairs(many: DataFrame, parts: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(a, b): pairs of different components in large buckets that pass all filters; many(g, rep, n, pos, component, major).
+
+    Sets can only link where their sizes are within den / num of each other, so a class meets its own band of lengths
+    and the two beside it. Each band's classes are dealt by hash into blocks; only block pairs meet, and a task holds two
+    blocks of signatures, whatever the bucket's size.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) if den > num else 1.0) + F.lit(1e-9)).cast("int")
+    rows = many.withColumn("band", band).withColumn("minor", F.col("component") != F.col("major"))
+    sizes = rows.groupBy("g", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if("minor") / block).cast("int").alias("minors"))
+    near = sizes.select("g", F.explode(F.array(*(F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), "blocks", "minors") for d in (-1, 0, 1)))).alias("z"))
+    near = near.groupBy("g", F.col("z.band").alias("band")).agg(F.array_sort(F.collect_list("z")).alias("near"))  # three at most
+    own = F.xxhash64("rep")
+    rows = rows.join(sizes, ["g", "band"]).join(near, ["g", "band"]).withColumn("own", own)
+    other = lambda z, count: F.when(z[count] > 0, F.transform(F.sequence(F.lit(0), F.greatest(z[count] - 1, F.lit(0))), lambda k: F.struct((F.col("band") - z["d"]).alias("band"), k.alias("k")))).otherwise(F.expr("cast(array() as array<struct<band:int,k:int>>)"))
+    all_of = lambda count: F.flatten(F.transform("near", lambda z: other(z, count)))
+    keep = ["g", "rep", "n", "pos", "component", (F.col("component") == F.col("major")).alias("major")]
+    left = rows.where("minor").select(*keep, F.lit(True).alias("left"), F.col("band").alias("b1"), F.pmod("own", F.greatest("minors", F.lit(1))).cast("int").alias("i"), F.explode(all_of("blocks")).alias("o")).select("*", F.col("o.band").alias("b2"), F.col("o.k").alias("j")).drop("o")
+    right = rows.select(*keep, F.lit(False).alias("left"), F.col("band").alias("b2"), F.pmod("own", "blocks").cast("int").alias("j"), F.explode(all_of("minors")).alias("o")).select("*", F.col("o.band").alias("b1"), F.col("o.k").alias("i")).drop("o")
+    tasks = left.unionByName(right).join(parts.select("rep", "parts", "fine"), "rep")
+    return tasks.groupBy("g", "b1", "i", "b2", "j").applyInArrow(_fitting(num, den), "a long, b long").distinct()
+
+
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, large: int = LARGE_BUCKET, block: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text); component_id is the smallest id reachable.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of distinct n-word shingles (ASCII-lower-cased
@@ -195,10 +226,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     Documents with equal sets are one class. Classes are joined on their prefix n-grams, rarest first. A first pass
     pairs each member of a token's bucket with one leader only, the one with the fewest rarer shingles (in a group of
     edited copies the least edited); pairs within what that has already connected are never made. The rest of a bucket
-    is compared in full, so no link between components is lost: as pairs where a bucket has at most LARGE_BUCKET
-    classes, else in blocks of bounded size that give only the links that connect something. Classes of one large
-    bucket that stay unlinked cost work in the square of their number; rows grow by their number of blocks.
-    Sets are compared by 64-bit hashes of their shingles.
+    is compared in full under the length, positional and suffix filters, so no link between components is lost: as
+    joined pairs where a bucket has at most `large` classes, else in blocks of `block` classes of like lengths, which give
+    only the pairs that pass. What passes is verified once a pair. large and block change the plan, not the result.
+    Classes of one large bucket that stay unlinked cost compares in the square of their number and rows by their number
+    of blocks. Sets are compared by 64-bit hashes of their shingles.
     """
     rows = cut(_signatures(docs, n, num, den))
     live = rows.where("n > 0 and doc_id is not null")
@@ -241,32 +273,22 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
 
     marked = shared.select("g", "rep", "n", "pos").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     by = marked.groupBy("g", "component").agg(F.count("*").alias("k"))
-    mixed = by.groupBy("g").agg(F.count("*").alias("c"), F.max_by("component", "k").alias("major"), F.sum("k").alias("all"), F.min("component").alias("low")).where("c > 1")
-    marked = cut(marked.join(mixed.select("g", "major", "all", "low"), "g"))
+    mixed = by.groupBy("g").agg(F.count("*").alias("c"), F.max_by("component", "k").alias("major"), F.sum("k").alias("all")).where("c > 1")
+    marked = cut(marked.join(mixed.select("g", "major", "all"), "g"))
 
-    few = marked.where(F.col("all") <= LARGE_BUCKET)
+    few = marked.where(F.col("all") <= large)
     minor = few.where("component <> major").select("g", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("c1"))
     every = few.select("g", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"), (F.col("component") == F.col("major")).alias("major"))
     rest = minor.join(every, "g").where((F.col("c1") != F.col("c2")) & (F.col("major") | (F.col("a") < F.col("b")))).where(fits("n1", "p1", "n2", "p2"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(suffix_filter(rest.join(checked, ["a", "b"], "left_anti")))
-
-    many = marked.where(F.col("all") > LARGE_BUCKET)
-    canopy = components(many.join(many.groupBy("g").agg(F.min("rep").alias("v")), "g").select(F.col("rep").alias("u"), "v"))
-    canopy = canopy.toDF("id", "canopy").join(classes.select(F.col("rep").alias("id"), "n"), "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    canopy = cut(canopy)
-    blocks = canopy.groupBy("canopy").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    placed = canopy.join(blocks, "canopy").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("canopy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
-
-    grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(canopy.select("id")), n)
+    rest = suffix_filter(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
+    dense = _dense_pairs(marked.where(F.col("all") > large), parts, num, den, block)
+    pairs = cut(rest.union(dense.join(checked, ["a", "b"], "left_anti")).distinct())
+    grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
     near = _linked(pairs, grams, num, den)
-    dense = placed.join(grams, "id").groupBy("canopy", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
-    final = cut(components(links.union(near).union(dense).toDF("u", "v")))
+    final = cut(components(links.union(near).toDF("u", "v")))
 
     named = cut(classes.select("n", "sig1", "sig2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component")))
-    discard(classes, tokens, shared, links, checked, label, marked, pairs, canopy, grams, final)
+    discard(classes, tokens, shared, links, checked, label, marked, pairs, grams, final)
     out = rows.select("doc_id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import U64, Words, bloom, chunks, cut, discard, mix, texts_of
+from tesserae.llm.common import U64, Words, bloom, chunks, cut, discard, hidden, mix, texts_of
 
 #: A passage of MIN_WORDS words holds WINDOW grams of GRAM words, so at least one of its suffixes is retained.
 MIN_WORDS, GRAM = 50, 16
@@ -214,15 +214,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut from its text but for the first document's; other columns stay.
 
     A cut takes the words and the white space after them. n_chars, where there is one, follows the new text. Documents
-    that the cuts leave without a word stay as rows with an empty text.
+    that the cuts leave without a word stay as rows with an empty text. Null texts, rows without doc_id, repeated rows
+    and columns of any other name stay as they are; an empty table gives an empty one.
     """
-    found = merged_passages(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
     columns = docs.columns
+    doc, key, cuts_of = hidden(columns, "doc", "key", "cuts")
+    found = merged_passages(docs).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(cuts_of))
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left").drop(doc, key)
 
     def apply(batches):
         for batch in batches:
-            spans = batch.column("spans").to_pylist()
+            spans = batch.column(cuts_of).to_pylist()
             if not any(spans):
                 yield batch.select(columns)
                 continue

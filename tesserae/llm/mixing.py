@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import hidden
+
 #: Above this many sources their rates are joined, not broadcast.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
@@ -28,37 +30,41 @@ def uniform(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, exponent: float = 0.5, total: int | None = None, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, exponent: float = 0.5, total: int | None = None, seed: int = 7, sources: int = BROADCAST_SOURCES) -> DataFrame:
     """docs with each row repeated X times, X a Poisson number of mean rate(source), in one global random order.
 
     weights gives the target share of each source (others get 0); without it a source of n rows weighs n ** exponent.
     rate = total * share / n; total is the number of rows unless given. X comes from a uniform number hashed from seed
     and doc_id, so it is the same on every run; rows that repeat a doc_id get the same X. A null source is a source.
-    copy (from 1) counts a row's repetitions; a column of that name is replaced. Rates are per source, so no row is
-    shuffled by its source; the one shuffle deals rows out by a hash of doc_id and copy.
+    copy (from 1) counts a row's repetitions; a column of that name is replaced, all others stay whatever their names.
+    Null and empty texts are rows like others; an empty table gives an empty one, and so do weights that are all 0.
+    Rates are per source, so no row is shuffled by its source; the one shuffle deals rows out by a hash of doc_id and
+    copy. `sources` is the number of sources up to which their rates are broadcast; more are joined by salted keys.
     """
+    docs = docs.drop("copy")
+    own, salt, cdf, times, order = hidden([*docs.columns, "copy"], "key", "salt", "cdf", "times", "order")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    sizes = docs.groupBy(key.alias("_key")).agg(F.count("*").alias("_n"))
+    sizes = docs.groupBy(key.alias(own)).agg(F.count("*").alias("n"))
     if weights is None:
-        weight = F.pow("_n", F.lit(exponent))
+        weight = F.pow("n", F.lit(exponent))
     else:
         weight = F.lit(0.0)
         for name, w in weights.items():
-            weight = F.when(F.col("_key") == ("null" if name is None else f"s{name}"), F.lit(float(w))).otherwise(weight)
-    sizes = sizes.withColumn("_w", weight)
-    both = sizes.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"), F.count("*").alias("sources")).first()
+            weight = F.when(F.col(own) == ("null" if name is None else f"s{name}"), F.lit(float(w))).otherwise(weight)
+    sizes = sizes.withColumn("w", weight)
+    both = sizes.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     if not both["n"] or not both["w"]:
-        return docs.drop("copy").withColumn("copy", F.lit(1)).limit(0)
-    rates = sizes.select("_key", poisson_cdf(F.lit(float(total or both["n"]) / both["w"]) * F.col("_w") / F.col("_n")).alias("_cdf"))
-    rows = docs.drop("copy").withColumn("_key", key)
-    if both["sources"] <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(rates), "_key")
+        return docs.withColumn("copy", F.lit(1)).limit(0)
+    rates = sizes.select(own, poisson_cdf(F.lit(float(total or both["n"]) / both["w"]) * F.col("w") / F.col("n")).alias(cdf))
+    rows = docs.withColumn(own, key)
+    if both["sources"] <= sources:
+        rows = rows.join(F.broadcast(rates), own)
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).drop("_salt")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = F.pmod(F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else [])), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn(salt, dealt).join(salted, [own, salt]).drop(salt)
     u = uniform(seed, "doc_id")
-    times = F.size(F.filter("_cdf", lambda c: c <= u))
-    rows = rows.withColumn("_times", times).where("_times > 0").drop("_cdf", "_key")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
-    order = F.xxhash64(F.lit(seed), "doc_id", "copy")
-    return rows.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    rows = rows.withColumn(times, F.size(F.filter(cdf, lambda c: c <= u))).where(F.col(times) > 0).drop(cdf, own)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
+    dealt = F.xxhash64(F.lit(seed), "doc_id", "copy", *(["text"] if "text" in docs.columns else []))
+    return rows.withColumn(order, dealt).repartition(order).sortWithinPartitions(order).drop(order)

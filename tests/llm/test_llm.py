@@ -382,3 +382,51 @@ def test_pipeline(spark):
         assert docs.count() > 0
         assert name == "packing" or docs.columns == columns
     assert sorted(map(tuple, docs.select("doc_id", "ids_crc32").collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "ids_crc32").collect()))
+
+
+def brute_components(rows, n, num, den=100):
+    """component of each doc_id by comparing all pairs of whole sets."""
+    sets = {}
+    for doc, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[doc] = frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
+    return components([*sets], [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize(("large", "block"), [(64, 1024), (2, 7), (0, 1)])
+def test_ngram_join_of_large_buckets(spark, large, block):
+    """Chains of copies whose ends are unlike, and many documents that share a passage but are unlike: any plan, one result."""
+    rng, rows = np.random.default_rng(9), []
+    for group in range(4):
+        now = prose(60 + group, 80).split()
+        for _ in range(40):
+            rows.append((len(rows), " ".join(now)))
+            at = int(rng.integers(0, len(now) - 1))
+            now = [*now[:at], f"x{rng.integers(0, 9999)}", *now[at + 1 :]] if rng.random() < 0.7 else [*now, f"y{rng.integers(0, 9999)}"]
+    shared = prose(80, 40)
+    rows += [(len(rows) + i, f"{shared} {prose(2000 + i, int(rng.integers(1, 12)))}") for i in range(60)]
+    rows += [(len(rows) + i, prose(3000 + i, 700 + i)) for i in range(4)] + [(900, prose(3000, 700) + " z"), (901, None), (902, "")]
+    found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100, large=large, block=block).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows, 4, 85)
+
+
+def test_columns_may_have_any_name(spark):
+    names = ["_id", "_key", "spans", "_cdf", "_order", "_times", "_n", "_w", "_salt", "key", "doc", "cuts", "cdf", "order", "times", "Salt", "_gone", "rest", "n", "w", "copy"]
+    passage = prose(5, 60)
+    rows = [(i, f"{prose(10 + i, 20)} {passage}" if i < 3 else None, f"s{i % 2}", 5) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    df = df.select("*", *(F.lit(f"v {c}").alias(c) for c in names))
+    kept = remove_repeats(df)
+    assert kept.columns == df.columns and {r["order"] for r in kept.collect()} == {"v order"}
+    assert {r["doc_id"]: len((r["text"] or "").split()) for r in kept.collect()} == {0: 80, 1: 20, 2: 20, 3: 0, 4: 0, 5: 0}
+    for sources in (10, 1):
+        got = mix_sources(df, sources=sources)
+        assert sorted(got.columns) == sorted(df.columns)
+        assert {r["_order"] for r in got.collect()} == {"v _order"}
+
+
+def test_mixing_by_salted_rates(spark):
+    """The join of salted rates gives the rows that broadcast rates give."""
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 2 == 0, "b").alias("source"), F.lit("t").alias("text"))
+    rows = [Counter(map(tuple, mix_sources(many, sources=n).collect())) for n in (10_000, 0)]
+    assert rows[0] == rows[1] and sum(rows[0].values()) > 2000

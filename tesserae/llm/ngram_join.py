@@ -18,8 +18,9 @@ SKETCH_SLICES = 16
 #: Intervals of the suffix filter, for all sets and besides for sets of FINE_FROM shingles or more: the distance of two
 #: unlike sets over few intervals is a small share of long sets.
 PARTS, FINE_PARTS, FINE_FROM = 32, 256, 512
-#: Buckets of more classes than this are filtered in blocks of about BLOCK_ROWS classes of like lengths, not as joined pairs.
-LARGE_BUCKET, BLOCK_ROWS = 64, 1024
+#: Buckets of more classes than this are compared in blocks of about BLOCK_ROWS classes of like lengths and BLOCK_GRAMS
+#: shingles, not as joined pairs.
+LARGE_BUCKET, BLOCK_ROWS, BLOCK_GRAMS = 64, 2048, 400_000
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -142,78 +143,105 @@ def _linked(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame
     return both.where(same * (den + num) >= num * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def _fitting(num: int, den: int):
-    """For applyInArrow: pairs of two blocks of a bucket that pass the length, positional and suffix filters.
+def _merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label (the least number of each component) once the components of x[i] and y[i] are one."""
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
-    left rows are classes outside the bucket's largest component, the others any; pairs within a component are left out.
-    """
 
-    def bins(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        lists = column.combine_chunks()
-        has = lists.is_valid().to_numpy(zero_copy_only=False)
-        flat = lists.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int16)
-        return has, flat.reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 1), np.int16)
+def _block_links(num: int, den: int):
+    """For applyInArrow: the links between two blocks of documents, as a spanning forest and never as all pairs.
 
-    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(x), len(y)), np.int32)
-        for k in range(x.shape[1]):
-            total += np.abs(x[:, k : k + 1].astype(np.int32) - y[:, k].astype(np.int32))
-        return total
+    left rows are outside the canopy's largest component, the others any. Pairs pass the component, length and suffix
+    filters first; only documents of a pair that passes are compared, by products of their sets' incidence.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        rep, size, pos, component = (rows.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "pos", "component"))
-        is_left, major = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "major"))
-        _, coarse = bins(rows.column("parts"))
-        has, fine = bins(rows.column("fine"))
-        at_fine = np.cumsum(has) - 1
-        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        found = []
+        rep, component = (rows.column(c).to_numpy().astype(np.int64) for c in ("rep", "component"))
+        left = np.flatnonzero(rows.column("left").to_numpy(zero_copy_only=False))
+        right = np.flatnonzero(~rows.column("left").to_numpy(zero_copy_only=False))
+        major = rows.column("major").to_numpy(zero_copy_only=False)
+        lists = rows.column("grams").combine_chunks()
+        gram, row = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(pc.list_parent_indices(lists), np.int64)
+        size = np.bincount(row, minlength=len(rep))
+        first = np.concatenate([[0], np.cumsum(size)])
+        fine = np.bincount(row * FINE_PARTS + (gram.view(U64) >> U64(56)).astype(np.int64), minlength=len(rep) * FINE_PARTS).reshape(-1, FINE_PARTS)
+        coarse = fine.reshape(len(rep), PARTS, -1).sum(2)
+        ids, at = np.unique(rep, return_inverse=True)
+        label = np.arange(len(ids))
+
+        def passes(x: np.ndarray, y: np.ndarray, bins: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            total = size[x, None] + size[y]
+            apart = np.zeros(ok.shape, np.int32)
+            for k in range(bins.shape[1]):
+                apart += np.abs(bins[x, k : k + 1] - bins[y, k]).astype(np.int32)
+            return ok & ((total - apart) * (den + num) >= total * (2 * num))
+
+        def overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            mine = np.concatenate([gram[first[i] : first[i + 1]] for i in x])
+            other = np.concatenate([gram[first[i] : first[i + 1]] for i in y])
+            both = np.intersect1d(mine, other)
+            same = np.zeros((len(x), len(y)), np.float32)
+            of_x, of_y = np.repeat(np.arange(len(x)), size[x]), np.repeat(np.arange(len(y)), size[y])
+            place = [np.searchsorted(both, g) for g in (mine, other)]
+            known = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == g) if len(both) else np.zeros(len(g), bool) for p, g in zip(place, (mine, other), strict=True)]
+            for lo in range(0, len(both), 4096):
+                sides = []
+                for p, k, of, n in zip(place, known, (of_x, of_y), (len(x), len(y)), strict=True):
+                    here = k & (p >= lo) & (p < lo + 4096)
+                    has = np.zeros((n, min(4096, len(both) - lo)), np.float32)
+                    has[of[here], p[here] - lo] = 1
+                    sides.append(has)
+                same += sides[0] @ sides[1].T
+            return same.astype(np.int64)
+
         for lo in range(0, len(left), 256):
             x, y = left[lo : lo + 256], right
-            total = size[x, None] + size[y]
-            most = np.minimum((size - pos)[x, None], (size - pos)[y]) + np.minimum(pos[x, None], pos[y])
             ok = (component[x, None] != component[y]) & (major[y] | (rep[x, None] < rep[y]))
             ok &= np.minimum(size[x, None], size[y]) * den >= np.maximum(size[x, None], size[y]) * num
-            ok &= most * (den + num) >= total * num
-            x, y = x[ok.any(axis=1)], y[ok.any(axis=0)]
-            if not len(x) or not len(y):
-                continue
-            ok = ok[np.ix_(np.isin(left[lo : lo + 256], x), np.isin(right, y))]
-            total = size[x, None] + size[y]
-            ok &= (total - apart(coarse[x], coarse[y])) * (den + num) >= total * (2 * num)
-            fx, fy = np.flatnonzero(has[x] & ok.any(axis=1)), np.flatnonzero(has[y] & ok.any(axis=0))
-            if len(fx) and len(fy):
-                cross = np.ix_(fx, fy)
-                ok[cross] &= (total[cross] - apart(fine[at_fine[x[fx]]], fine[at_fine[y[fy]]])) * (den + num) >= total[cross] * (2 * num)
-            i, j = np.nonzero(ok)
-            found.append(np.stack([np.minimum(rep[x[i]], rep[y[j]]), np.maximum(rep[x[i]], rep[y[j]])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            for bins in (coarse, fine):
+                i, j = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+                x, y, ok = x[i], y[j], ok[np.ix_(i, j)]
+                ok = passes(x, y, bins, ok)
+            i, j = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+            if len(i):
+                x, y = x[i], y[j]
+                near = ok[np.ix_(i, j)] & (overlap(x, y) * (den + num) >= num * (size[x, None] + size[y]))
+                a, b = np.nonzero(near)
+                label = _merged(label, at[x[a]], at[y[b]])
+        joined = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[label[joined]], "b": ids[joined]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
-def _dense_pairs(many: DataFrame, parts: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """(a, b): pairs of different components in large buckets that pass all filters; many(g, rep, n, pos, component, major).
+def _dense_links(members: DataFrame, grams: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(a, b): links between components of members(g, rep, n, component, major) of canopies g; grams(rep, grams).
 
-    Sets can only link where their sizes are within den / num of each other, so a class meets its own band of lengths
-    and the two beside it. Each band's classes are dealt by hash into blocks; only block pairs meet, and a task holds two
-    blocks of signatures, whatever the bucket's size.
+    Sets can only link where their sizes are within den / num of each other, so a document meets its own band of lengths
+    and the two beside it. Each band is dealt by hash into blocks of about `block` documents and BLOCK_GRAMS shingles;
+    only block pairs meet, and a task holds two blocks, whatever the canopy's size.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) if den > num else 1.0) + F.lit(1e-9)).cast("int")
-    rows = many.withColumn("band", band).withColumn("minor", F.col("component") != F.col("major"))
-    sizes = rows.groupBy("g", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if("minor") / block).cast("int").alias("minors"))
+    minor = F.col("component") != F.col("major")
+    rows = members.withColumn("band", band)
+    count = lambda kind: F.ceil(F.greatest(F.sum(kind.cast("long")) / block, F.sum(F.when(kind, F.col("n")).otherwise(0)) / BLOCK_GRAMS)).cast("int")
+    sizes = rows.groupBy("g", "band").agg(count(F.lit(True)).alias("blocks"), count(minor).alias("minors"))
     near = sizes.select("g", F.explode(F.array(*(F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), "blocks", "minors") for d in (-1, 0, 1)))).alias("z"))
     near = near.groupBy("g", F.col("z.band").alias("band")).agg(F.array_sort(F.collect_list("z")).alias("near"))  # three at most
-    own = F.xxhash64("rep")
-    rows = rows.join(sizes, ["g", "band"]).join(near, ["g", "band"]).withColumn("own", own)
+    rows = rows.join(sizes, ["g", "band"]).join(near, ["g", "band"]).withColumn("own", F.xxhash64("rep"))
     other = lambda z, count: F.when(z[count] > 0, F.transform(F.sequence(F.lit(0), F.greatest(z[count] - 1, F.lit(0))), lambda k: F.struct((F.col("band") - z["d"]).alias("band"), k.alias("k")))).otherwise(F.expr("cast(array() as array<struct<band:int,k:int>>)"))
     all_of = lambda count: F.flatten(F.transform("near", lambda z: other(z, count)))
-    keep = ["g", "rep", "n", "pos", "component", (F.col("component") == F.col("major")).alias("major")]
-    left = rows.where("minor").select(*keep, F.lit(True).alias("left"), F.col("band").alias("b1"), F.pmod("own", F.greatest("minors", F.lit(1))).cast("int").alias("i"), F.explode(all_of("blocks")).alias("o")).select("*", F.col("o.band").alias("b2"), F.col("o.k").alias("j")).drop("o")
+    keep = ["g", "rep", "component", (~minor).alias("major")]
+    left = rows.where(minor).select(*keep, F.lit(True).alias("left"), F.col("band").alias("b1"), F.pmod("own", F.greatest("minors", F.lit(1))).cast("int").alias("i"), F.explode(all_of("blocks")).alias("o")).select("*", F.col("o.band").alias("b2"), F.col("o.k").alias("j")).drop("o")
     right = rows.select(*keep, F.lit(False).alias("left"), F.col("band").alias("b2"), F.pmod("own", "blocks").cast("int").alias("j"), F.explode(all_of("minors")).alias("o")).select("*", F.col("o.band").alias("b1"), F.col("o.k").alias("i")).drop("o")
-    tasks = left.unionByName(right).join(parts.select("rep", "parts", "fine"), "rep")
-    return tasks.groupBy("g", "b1", "i", "b2", "j").applyInArrow(_fitting(num, den), "a long, b long").distinct()
+    tasks = left.unionByName(right).join(grams, "rep")
+    return tasks.groupBy("g", "b1", "i", "b2", "j").applyInArrow(_block_links(num, den), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, large: int = LARGE_BUCKET, block: int = BLOCK_ROWS) -> DataFrame:
@@ -227,10 +255,11 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pairs each member of a token's bucket with one leader only, the one with the fewest rarer shingles (in a group of
     edited copies the least edited); pairs within what that has already connected are never made. The rest of a bucket
     is compared in full under the length, positional and suffix filters, so no link between components is lost: as
-    joined pairs where a bucket has at most `large` classes, else in blocks of `block` classes of like lengths, which give
-    only the pairs that pass. What passes is verified once a pair. large and block change the plan, not the result.
-    Classes of one large bucket that stay unlinked cost compares in the square of their number and rows by their number
-    of blocks. Sets are compared by 64-bit hashes of their shingles.
+    joined pairs where a bucket has at most `large` classes, which are verified once a pair. Larger buckets that share
+    classes are one canopy; its classes are compared in blocks of `block` classes of like lengths, under the length and
+    suffix filters, and each block pair gives only the links that connect something. large and block change the plan, not
+    the result. Classes of one canopy that stay unlinked cost compares in the square of their number and rows by their
+    number of blocks. Sets are compared by 64-bit hashes of their shingles.
     """
     rows = cut(_signatures(docs, n, num, den))
     live = rows.where("n > 0 and doc_id is not null")
@@ -281,14 +310,18 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     every = few.select("g", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"), (F.col("component") == F.col("major")).alias("major"))
     rest = minor.join(every, "g").where((F.col("c1") != F.col("c2")) & (F.col("major") | (F.col("a") < F.col("b")))).where(fits("n1", "p1", "n2", "p2"))
     rest = suffix_filter(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
-    dense = _dense_pairs(marked.where(F.col("all") > large), parts, num, den, block)
-    pairs = cut(rest.union(dense.join(checked, ["a", "b"], "left_anti")).distinct())
-    grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
+    pairs = cut(rest)
+    many = marked.where(F.col("all") > large).select("g", "rep", "n", "component")
+    canopy = components(many.join(many.groupBy("g").agg(F.min("rep").alias("v")), "g").select(F.col("rep").alias("u"), "v"))
+    members = cut(canopy.toDF("rep", "g").join(many.select("rep", "n", "component").distinct(), "rep"))
+    major = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
+    grams = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("rep")), n)
     near = _linked(pairs, grams, num, den)
-    final = cut(components(links.union(near).toDF("u", "v")))
+    dense = _dense_links(members.join(major, "g"), grams.toDF("rep", "grams"), num, den, block)
+    final = cut(components(links.union(near).union(dense).toDF("u", "v")))
 
     named = cut(classes.select("n", "sig1", "sig2", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component")))
-    discard(classes, tokens, shared, links, checked, label, marked, pairs, grams, final)
+    discard(classes, tokens, shared, links, checked, label, marked, pairs, members, grams, final)
     out = rows.select("doc_id", "n", "sig1", "sig2").join(named, ["n", "sig1", "sig2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))

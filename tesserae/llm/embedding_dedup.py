@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, cut
+from tesserae.llm.common import components, cut, discard
 
-#: Pivots, and rows of the sample that they are chosen from (by a hash of vec_id, so at random).
-PIVOTS, SAMPLE = 16, 2000
-#: Vectors that one task compares with as many others.
-BLOCK = 1024
-#: More than rounding can add to an angle.
+#: Most pivots of a label, vectors of a label that they are chosen from (by a hash of vec_id, so at random), and bytes of
+#: pivots that go to all tasks; labels beyond that have one cell.
+PIVOTS, SAMPLE, PIVOT_BYTES = 256, 4000, 64 << 20
+#: Vectors that one task compares with as many others, and rows of them at a time.
+BLOCK, STRIP = 8192, 128
+#: More than rounding can add to an angle or a projection.
 SLACK = 1e-7
 
 
@@ -43,6 +44,19 @@ def choose_pivots(vectors: np.ndarray, k: int) -> np.ndarray:
     return vectors[chosen]
 
 
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the least number of each component) once the components of a[i] and b[i] are one."""
+    pairs = np.unique(np.stack([label[a], label[b]], axis=1), axis=0)
+    a, b = pairs[pairs[:, 0] != pairs[:, 1]].T
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def _links(cosine: float):
     """For applyInArrow on a block pair: link counts, and a spanning forest of the links, never all pairs."""
 
@@ -54,32 +68,53 @@ def _links(cosine: float):
         left = np.flatnonzero(home & (block == i))
         right = left if i == j else np.flatnonzero(home & (block == j)) if j >= 0 else np.flatnonzero(~home)
         count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        near_a, near_b = [], []
-        for lo in range(0, len(left), 512):
-            part = left[lo : lo + 512]
-            a, b = np.nonzero(x[part] @ x[right].T >= cosine)
-            a, b = part[a], right[b]
-            other = a != b
-            a, b = a[other], b[other]
-            np.add.at(count, a, weight[b])
+        other = x[right].T
+        for lo in range(0, len(left), STRIP):
+            part = left[lo : lo + STRIP]
+            near = x[part] @ other >= cosine
+            if i == j:
+                near[np.arange(len(part)), lo + np.arange(len(part))] = False
+            if not near.any():
+                continue
+            count[part] += near @ weight[right]
             if i != j:
-                np.add.at(count, b, weight[a])
-            near_a.append(a)
-            near_b.append(b)
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (near_a, near_b))
-        while len(a):
-            before, least = label.copy(), np.minimum(label[a], label[b])
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-            label = label[label]
-            if (label == before).all():
-                break
+                count[right] += weight[part] @ near
+            a, b = np.nonzero(near)
+            label = _merge(label, part[a], right[b])
         some = np.flatnonzero(count)
         return pa.table({"vec_id": ids[some], "n": count[some], "root": ids[label[some]]}, schema=pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
     return run
 
 
+def _pivots(classes: DataFrame, most: int, block: int, kind: str) -> dict[tuple, np.ndarray]:
+    """By (label, dim): farthest-first pivots, one for each `block` vectors, `most` at most, of labels with more than a block.
+
+    Such labels are fewer than vectors / block; those with the most vectors come first, until PIVOT_BYTES are used.
+    """
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    wanted, used = [], 0
+    for r in sizes.orderBy(F.desc("n"), "label", "dim").toLocalIterator():
+        k = min(most, -(-r["n"] // block))
+        used += k * r["dim"] * 8
+        if used > PIVOT_BYTES:
+            break
+        wanted.append((r["label"], r["dim"], k))
+    if not wanted:
+        return {}
+    chosen = classes.sparkSession.createDataFrame(wanted, f"label {kind}, dim int, k int")
+    order = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    sample = classes.join(F.broadcast(chosen), ["label", "dim"]).select("label", "dim", "k", "unit", order.alias("at")).where(F.col("at") <= SAMPLE)
+
+    def choose(rows: pa.Table) -> pa.Table:
+        dim, k = rows.column("dim")[0].as_py(), rows.column("k")[0].as_py()
+        x = np.frombuffer(b"".join(rows.sort_by("at").column("unit").to_pylist())).reshape(-1, dim)
+        return pa.table({"label": rows.column("label").slice(0, 1), "dim": rows.column("dim").slice(0, 1), "set": pa.array([choose_pivots(x, k).tobytes()], pa.binary())})
+
+    found = sample.groupBy("label", "dim").applyInArrow(choose, f"label {kind}, dim int, set binary")
+    return {(r["label"], r["dim"]): np.frombuffer(bytes(r["set"])).reshape(-1, r["dim"]) for r in found.toLocalIterator()}
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
@@ -88,47 +123,60 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVO
     n_links 0, component_id their own. Rows without vec_id do too, with a null component_id. Rows that repeat a vec_id
     count as vectors of their own in n_links and each get a row. Other columns are left out.
 
-    Equal vectors are one class. On the sphere the angle is a metric: a class lies in the cell of its nearest pivot, and
-    is replicated to each cell of a lower number whose pivot is at most 2 r farther (r = acos(cosine)), since by the
-    triangle inequality only such a cell can hold a vector within r. So each pair meets in one cell, and cells join
-    independently, in blocks of bounded size that give link counts and spanning links. The pivots are farthest-first
-    from a sample of SAMPLE usable vectors, which any choice of pivots leaves exact.
+    Null, empty, repeated and clashing columns change nothing else, and an empty table gives an empty one. The label may
+    be of any type that has an equality.
+
+    Equal vectors are one class. On the sphere the angle is a metric: a class lies in the cell of its nearest pivot of its
+    label, and is replicated to each cell of a lower number that can hold a vector within r (r = acos(cosine)): by the
+    triangle inequality its pivot is at most 2 r farther, and x is within r of the half of the sphere that is nearer to
+    it. So each pair meets in one cell, and cells join independently, in blocks of bounded size that give link counts and
+    spanning links. Pivots are farthest-first from a sample of SAMPLE vectors of a label, one for each `block` vectors and
+    `pivots` at most, which any choice leaves exact; a label of one block needs none.
     """
     base = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
-    dims = "vec_id long, label long, unit binary, dim int"
+    kind = base.schema["label"].dataType.simpleString()
+    dims = f"vec_id long, label {kind}, unit binary, dim int"
 
     def units(batches):
         for batch in batches:
             for dim, (rows, x) in unit(batch.column("embedding")).items():
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("label").take(at).cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(len(rows), dim, np.int32))], ["vec_id", "label", "unit", "dim"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("label").take(at), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(len(rows), dim, np.int32))], ["vec_id", "label", "unit", "dim"])
 
     whole = F.forall("embedding", lambda v: v.isNotNull()) & (F.size("embedding") > 0)
     usable = base.where("vec_id is not null and label is not null and embedding is not null").where(whole).mapInArrow(units, dims)
     usable = cut(usable)
     classes = usable.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes = cut(classes)
-    sample = classes.select("dim", "unit").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()  # at most SAMPLE rows
-    sets = {}
-    for dim in {r["dim"] for r in sample}:
-        sets[dim] = choose_pivots(np.frombuffer(b"".join(bytes(r["unit"]) for r in sample if r["dim"] == dim)).reshape(-1, dim), pivots)
-    reach = 2 * float(np.arccos(min(1.0, cosine))) + SLACK
+    sets = vectors.sparkSession.sparkContext.broadcast(_pivots(classes, pivots, block, kind))
+    angle_of = float(np.arccos(np.clip(cosine, -1.0, 1.0)))
+    reach, beyond = 2 * angle_of + SLACK, (np.sin(angle_of) if cosine > 0 else 2.0) + SLACK
 
     def place(batches):
         for batch in batches:
-            dim = batch.column("dim").to_numpy(zero_copy_only=False)
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
             units_ = batch.column("unit").to_pylist()
-            for d in np.unique(dim):
-                rows = np.flatnonzero(dim == d)
-                x = np.frombuffer(b"".join(units_[r] for r in rows)).reshape(-1, d)
-                angle = np.arccos(np.clip(x @ sets[int(d)].T, -1, 1)) if int(d) in sets else np.zeros((len(rows), 1))
-                cell = angle.argmin(axis=1)
-                near = angle <= angle.min(axis=1)[:, None] + reach
-                near &= np.arange(angle.shape[1]) <= cell[:, None]
-                row, to = np.nonzero(near)
+            by: dict = {}
+            for row, key in enumerate(keys):
+                by.setdefault(key if key in sets.value else None, []).append(row)
+            for key, of in by.items():
+                rows = np.array(of)
+                if key is None:
+                    row, to, cell = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                else:
+                    p = sets.value[key]
+                    dots = np.frombuffer(b"".join(units_[r] for r in of)).reshape(len(of), -1) @ p.T
+                    cell = dots.argmax(axis=1)
+                    angle = np.arccos(np.clip(dots, -1, 1))
+                    near = angle <= angle[np.arange(len(of)), cell][:, None] + reach
+                    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-30))
+                    near &= (dots[np.arange(len(of)), cell][:, None] - dots) <= beyond * apart[cell]
+                    near &= np.arange(len(p)) < cell[:, None]
+                    near[np.arange(len(of)), cell] = True
+                    row, to = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows[row])) for c in ("vec_id", "label", "dim", "unit", "copies")), pa.array(to.astype(np.int32)), pa.array(to == cell[row])], ["vec_id", "label", "dim", "unit", "copies", "cell", "home"])
 
-    placed = cut(classes.select("vec_id", "label", "dim", "unit", "copies").mapInArrow(place, "vec_id long, label long, dim int, unit binary, copies long, cell int, home boolean"))
+    placed = cut(classes.select("vec_id", "label", "dim", "unit", "copies").mapInArrow(place, f"vec_id long, label {kind}, dim int, unit binary, copies long, cell int, home boolean"))
     cell = ["label", "dim", "cell"]
     blocks = placed.groupBy(*cell).agg(F.ceil(F.sum(F.col("home").cast("long")) / block).cast("int").alias("homes"), F.ceil(F.sum((~F.col("home")).cast("long")) / block).cast("int").alias("guests"))
     rows = placed.join(blocks.where("homes > 0"), cell)
@@ -146,6 +194,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVO
     found = cut(tasks.groupBy(*cell, "i", "j").applyInArrow(_links(cosine), "vec_id long, n long, root long"))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     label = components(found.where("vec_id <> root").select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
+    discard(placed)
     per_class = classes.join(counts, "vec_id", "left").join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     per_class = per_class.select("label", "dim", "unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     linked = usable.join(per_class, ["label", "dim", "unit"]).select("vec_id", "n_links", "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, discard
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 Rule = tuple[str, str, str]
@@ -37,9 +37,19 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    """(text, n, verdict, g) for each character with the ORDER characters before it."""
-    at = F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")
-    return texts.where("text <> ''").select("text", "n", "verdict", at).select("text", "n", "verdict", F.concat(F.lit(PAD * ORDER), F.col("text")).substr(F.col("at"), F.lit(ORDER + 1)).alias("g"))
+    """(id, n, verdict, held, g) for each character with the ORDER characters before it; the text itself stays behind.
+
+    A text is split into characters once, so a long one costs time and rows in proportion to its length.
+    """
+    chars = F.split(F.concat(F.lit(PAD * ORDER), F.col("text")), "")
+    rows = texts.where("text <> ''").select("id", "n", "verdict", held_out(F.col("text")).alias("held"), chars.alias("chars"))
+    gram = lambda i: F.concat(*(F.get("chars", i + k) for k in range(ORDER + 1)))
+    return rows.select("id", "n", "verdict", "held", F.explode(F.transform(F.sequence(F.lit(0), F.size("chars") - ORDER - 1), gram)).alias("g"))
+
+
+def held_out(text: Column) -> Column:
+    """The fifth of the urls that the models do not learn from."""
+    return F.crc32(text.cast("binary")) % FOLDS == 0
 
 
 def _ratios(counts: DataFrame) -> DataFrame:
@@ -58,33 +68,38 @@ def _ratios(counts: DataFrame) -> DataFrame:
     return out.select("g", (F.log("pa") - F.log("pb")).alias("ratio"))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of pages(page_id, url).
 
-    Null urls and those without :// have an empty host and path; rows are neither merged nor dropped. verdict is the
-    longest fitting rule's. Where none fits, it comes from score, the log-likelihood ratio a character of host and path
-    under models of the urls that rules allow and of those they block: block below the threshold. One fifth of the
-    ruled urls (crc32 of host and path mod 5 = 0) is kept from the models and sets the threshold of least mean error of
-    the two kinds. Without both kinds of examples every ratio is 0, and the verdict is allow.
+    Null urls and those without :// have an empty host and path; rows are neither merged nor dropped, other columns are
+    left out, and an empty table gives an empty one. verdict is the longest fitting rule's. Where none fits, it comes from
+    score, the log-likelihood ratio a character of host and path under models of the urls that rules allow and of those
+    they block: block below the threshold, allow at it. One fifth of the ruled urls (crc32 of host and path mod 5 = 0) is
+    kept from the models and sets the threshold of least mean error of the two kinds, of several the middle. Without both
+    kinds of examples every ratio is 0, and the verdict is allow. An empty host and path scores 0.
 
-    Counts are over distinct host and path texts weighted by their pages, and summed before they are joined.
+    Counts are over distinct host and path texts weighted by their pages; a gram's row carries a number, not its text.
+    Ratios of up to broadcast_grams distinct grams go to all tasks, more are joined by shuffle with the same result.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("text", F.concat("host", "path"))
-    texts = cut(rows.groupBy("text").agg(F.first("ruled").alias("verdict"), F.count("*").alias("n")))
-    held = F.crc32(F.col("text").cast("binary")) % FOLDS == 0
+    texts = rows.where("text <> ''").groupBy("text").agg(F.first("ruled").alias("verdict"), F.count("*").alias("n"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))  # written once, so a text keeps its number
     grams = _grams(texts)
-    one = lambda kind: F.sum(F.when(~held & (F.col("verdict") == kind), F.col("n")).otherwise(0))
-    ratios = cut(_ratios(cut(grams.groupBy("g").agg(one("allow").alias("a"), one("block").alias("b")))))
-    small = ratios.count() <= BROADCAST_GRAMS
-    scored = grams.join(F.broadcast(ratios) if small else ratios, "g").groupBy("text").agg(F.avg("ratio").alias("score"))
-    judged = cut(texts.join(scored, "text", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"), "verdict", "n"))
+    one = lambda kind: F.sum(F.when(~F.col("held") & (F.col("verdict") == kind), F.col("n")).otherwise(0))
+    counts = cut(grams.groupBy("g").agg(one("allow").alias("a"), one("block").alias("b")))
+    ratios = cut(_ratios(counts))
+    small = ratios.count() <= broadcast_grams
+    scored = grams.select("id", "g").join(F.broadcast(ratios) if small else ratios.hint("merge"), "g").groupBy("id").agg(F.avg("ratio").alias("score"))
+    judged = cut(texts.join(scored, "id", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"), "verdict", "n"))
+    discard(texts, counts, ratios)
     bin_ = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score"))) + SPAN) / (2 * SPAN) * BINS).alias("bin")
-    check = judged.where(held & F.col("verdict").isNotNull()).groupBy(bin_).agg(F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("b")).collect()
+    check = judged.where(held_out(F.col("text")) & F.col("verdict").isNotNull()).groupBy(bin_).agg(F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("b")).collect()
     threshold = _threshold([(r["bin"], r["a"], r["b"]) for r in check])
-    out = rows.join(judged.select("text", "score"), "text")
+    known = rows.where("text <> ''").join(judged.select("text", "score"), "text")
+    out = known.unionByName(rows.where("text = ''").withColumn("score", F.lit(0.0)))  # rows without a host share no join key
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") < threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
 

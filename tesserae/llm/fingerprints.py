@@ -14,8 +14,9 @@ from tesserae.llm.common import U64, mix
 
 #: Two primes below 2**31 with their bases: products fit 64 bits.
 MODULI = ((2147483647, 911382323), (2147483629, 972663749))
-#: Code points of a span of the sketch, hashes kept of each text, code points that a task holds at once.
-SPAN, KEPT, CHUNK = 20, 64, 1 << 20
+#: Code points of a span, hashes kept of each text, code points that a task holds at once. Anchors are the spans whose hash
+#: is 0 modulo ANCHORS: what is chosen depends on the content alone.
+SPAN, KEPT, CHUNK, ANCHORS = 20, 64, 1 << 20, 16
 #: The most that unequal texts get.
 UNEQUAL = 1 - 1 / 1024
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
@@ -66,8 +67,20 @@ class PrefixHashes:
         """Whether [i, j) here equals the span of that length from k on in other."""
         return self.spans(i, j) == other.spans(k, k + j - i)
 
+    def extensions(self, i: np.ndarray, j: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+        """Lengths of the longest common extensions from i and from j on (or up to them), `most` at most, by binary search."""
+        low, high = np.zeros(len(i), np.int64), np.maximum(np.asarray(most, np.int64), 0)
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo] + 1) // 2
+            a, b = (i[todo] - middle, j[todo] - middle) if back else (i[todo], j[todo])
+            same = self.spans(a, a + middle) == self.spans(b, b + middle)
+            low[todo[same]], high[todo[~same]] = middle[same], middle[~same] - 1
+            todo = todo[low[todo] < high[todo]]
+        return low
+
     def extension(self, i: int, other: PrefixHashes, j: int) -> int:
-        """Length of the longest common extension from i here and j there, by binary search."""
+        """Length of the longest common extension from i here and j in another text, by binary search."""
         low, high = 0, min(self.n - i, other.n - j)
         while low < high:
             middle = (low + high + 1) // 2
@@ -116,6 +129,69 @@ def _short(part: str) -> np.ndarray:
     return _sketchable(np.atleast_1d(h.spans(0, h.n))) if h.n else np.zeros(0, np.uint32)
 
 
+class _Covered:
+    """Spans of some texts in one array, and how much of each text they cover together."""
+
+    def __init__(self, n: int):
+        self.edges = np.zeros(n + 1, np.int64)
+
+    def add(self, start: np.ndarray, length: np.ndarray) -> None:
+        np.add.at(self.edges, start, 1)
+        np.add.at(self.edges, start + length, -1)
+
+    def lengths(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(np.cumsum(self.edges[:-1]) > 0)])
+        return total[end] - total[begin]
+
+
+def _shared_anchors(windows: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, position, position): for pair i, each anchor that [lo, hi) of text i and [first, last) of text i + 1 hold.
+
+    Of an anchor that a text holds several times the first counts. All are positions in the joined texts.
+    """
+    at = np.flatnonzero(mix(windows, 9) % U64(ANCHORS) == 0)
+    of = np.searchsorted(begin, at, side="right") - 1
+    n = len(lo)
+
+    def keyed(pair: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, one = np.unique(mix(windows[here] ^ mix(pair.astype(U64), 10), 11), return_index=True)
+        return key, here[one]
+
+    own = at[(of < n) & (at >= np.append(lo, 0)[np.minimum(of, n)]) & (at + SPAN <= np.append(hi, 0)[np.minimum(of, n)])]
+    up = np.maximum(of - 1, 0)
+    next_ = at[(of > 0) & (at >= first[up]) & (at + SPAN <= last[up])] if n else at[:0]
+    a, where_a = keyed(np.searchsorted(begin, own, side="right") - 1, own)
+    b, where_b = keyed(np.searchsorted(begin, next_, side="right") - 2, next_)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return np.searchsorted(begin, where_a[i], side="right") - 1, where_a[i], where_b[j]
+
+
+def _common(hashes: PrefixHashes, windows: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[_Covered, _Covered]:
+    """What [lo, hi) of each text and [first, last) of the next have in common, as the spans covered in each.
+
+    Common spans are the longest common extensions from both starts, to both ends, and both ways from each shared anchor.
+    """
+    a, b = _Covered(hashes.n), _Covered(hashes.n)
+    short = np.minimum(hi - lo, last - first)
+    head = hashes.extensions(lo, first, short)
+    tail = hashes.extensions(hi, last, short - head, back=True)
+    a.add(lo, head)
+    b.add(first, head)
+    a.add(hi - tail, tail)
+    b.add(last - tail, tail)
+    pair, i, j = _shared_anchors(windows, begin, lo, hi, first, last)
+    right = hashes.extensions(i, j, np.minimum(hi[pair] - i, last[pair] - j))
+    left = hashes.extensions(i, j, np.minimum(i - lo[pair], j - first[pair]), back=True)
+    a.add(i - left, left + right)
+    b.add(j - left, left + right)
+    return a, b
+
+
+def _share(covered: np.ndarray, total: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Covered code points of both texts over all of both; 1 for equal texts only."""
+    return np.where(same, 1.0, np.minimum(UNEQUAL, covered / np.maximum(total, 1)))
+
+
 def _pairs(docs: list[tuple[int | None, str, bool]]):
     """For consecutive (doc_id, text, linked to the next): the row of each linked document."""
     texts = [t for _, t, _ in docs]
@@ -123,48 +199,56 @@ def _pairs(docs: list[tuple[int | None, str, bool]]):
     begin = np.concatenate([[0], np.cumsum(n)])
     hashes = PrefixHashes("".join(texts))
     whole = hashes.spans(begin[:-1], begin[1:])
-    marks = _sketchable(hashes.windows(SPAN))
+    windows = hashes.windows(SPAN)
+    marks = _sketchable(windows)
     own = [marks[b : b + k - SPAN + 1] if k >= SPAN else _short(t) for b, k, t in zip(begin[:-1].tolist(), n.tolist(), texts, strict=True)]
     prints = [_written(k, w, _least(s)) for k, w, s in zip(n.tolist(), whole.tolist(), own, strict=True)]
-    halves, seams, edges = [], [], [0]
+    linked = np.array([d[2] for d in docs[:-1]], bool)
+    keep, half = n[:-1] - n[:-1] // 2, np.where(linked, np.minimum(n[:-1] // 2, n[1:]), 0)
+    seams, edges = [], [0]
     for i in range(len(docs) - 1):
-        half = min(int(n[i]) // 2, int(n[i + 1])) if docs[i][2] else 0
-        keep = int(n[i]) - int(n[i]) // 2
-        halves.append((keep, half))
-        seams.append(texts[i][max(0, keep - SPAN + 1) : keep] + texts[i + 1][: min(half, SPAN - 1)] if docs[i][2] else "")
+        seams.append(texts[i][max(0, keep[i] - SPAN + 1) : keep[i]] + texts[i + 1][: min(half[i], SPAN - 1)] if linked[i] else "")
         edges.append(edges[-1] + len(seams[-1]))
     across = _sketchable(PrefixHashes("".join(seams)).windows(SPAN))
-    heads = hashes.spans(begin[:-2], begin[:-2] + np.array([k for k, _ in halves], np.int64)) if halves else []
-    tails = hashes.spans(begin[1:-1], begin[1:-1] + np.array([h for _, h in halves], np.int64)) if halves else []
-    for i, (keep, half) in enumerate(halves):
-        doc, text, linked = docs[i]
-        if not linked:
-            continue
-        edited = text[:keep] + texts[i + 1][:half]
-        size = keep + half
-        if size >= SPAN:
+    here, there, size = begin[:-2], begin[1:-1], keep + half
+    heads, tails = hashes.spans(here, here + keep), hashes.spans(there, there + half)
+    a, b = _common(hashes, windows, begin[:-1], here, begin[1:-1], there, begin[2:])
+    near_next = _share(a.lengths(here, begin[1:-1]) + b.lengths(there, begin[2:]), n[:-1] + n[1:], (whole[:-1] == whole[1:]) & (n[:-1] == n[1:]))
+    a, b = _common(hashes, windows, begin[:-1], here + keep, begin[1:-1], there, there + half)
+    joined = [join_hashes(int(x), int(k), int(y)) for x, k, y in zip(heads, keep, tails, strict=True)]
+    same = (np.array(joined, U64) == whole[:-1]) & (size == n[:-1])
+    near_edited = _share(2 * keep + a.lengths(here + keep, begin[1:-1]) + b.lengths(there, there + half), n[:-1] + size, same)
+    for i in np.flatnonzero(linked):
+        doc, text, _ = docs[i]
+        edited = text[: keep[i]] + texts[i + 1][: half[i]]
+        if size[i] >= SPAN:
             b, c = int(begin[i]), int(begin[i + 1])
-            parts = [marks[b : b + max(0, keep - SPAN + 1)], across[edges[i] : max(edges[i], edges[i + 1] - SPAN + 1)], marks[c : c + max(0, half - SPAN + 1)]]
+            parts = [marks[b : b + max(0, keep[i] - SPAN + 1)], across[edges[i] : max(edges[i], edges[i + 1] - SPAN + 1)], marks[c : c + max(0, half[i] - SPAN + 1)]]
             sketch = _least(np.concatenate(parts))
         else:
             sketch = _least(_short(edited))
-        print_edited = _written(size, join_hashes(int(heads[i]), keep, int(tails[i])), sketch)
-        yield doc, int(n[i]), hashlib.sha256(edited.encode()).hexdigest(), prints[i], print_edited, likeness(prints[i], print_edited), likeness(prints[i], prints[i + 1])
+        yield doc, int(n[i]), hashlib.sha256(edited.encode()).hexdigest(), prints[i], _written(int(size[i]), joined[i], sketch), float(near_edited[i]), float(near_next[i])
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Fingerprints of every whole text of docs(doc_id, text), of its edited text, and likenesses; one row a row.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document in
     descending doc_id, after the last one of the first. Null texts are empty. Rows that repeat a doc_id follow each other
-    by text; rows without doc_id come last. A fingerprint holds the length, the polynomial hash of the text and the
-    least KEPT hashes of its spans of SPAN code points; two texts are equal where theirs are.
+    by text; rows without doc_id come last. Every row has its own, empty texts and repeated rows too; an empty table gives
+    an empty one, and columns but doc_id and text are not read. A fingerprint holds the length, the polynomial hash of the
+    text and the least KEPT hashes of its spans of SPAN code points; two texts are equal where theirs are.
+
+    near_next and near_edited are the share of both texts' code points that common spans cover: the longest common
+    extensions, by binary search over the prefix arrays, from both starts, to both ends and around each anchor that both
+    hold (of the edited text: its kept half, and such spans of what was replaced and what replaced it). Unequal texts
+    get less than 1. likeness() estimates it from two fingerprints alone.
 
     One shuffle deals documents into ranges of doc_id, each with a copy of the next range's first document; the ranges
-    come from approximate quantiles. What a task holds at once is bounded by CHUNK code points and one text.
+    come from approximate quantiles. What a task holds at once is bounded by `chunk` code points and one text.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -214,7 +298,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 closed = head
                 held.append((doc, text, not head))
                 size += len(text)
-                if size > CHUNK:
+                if size > chunk:
                     yield from flush(False)
         yield from flush(True)
 

@@ -1,15 +1,20 @@
-"""Chat formatting over prefix trees: shared first turns once, depth-first, with position ids and ancestor intervals."""
+"""Chat formatting over prefix trees: shared first turns' tokens once, depth-first, with position ids and ancestor intervals."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, discard
+from tesserae.llm.packing import Encoder
 
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -46,17 +51,61 @@ def parse(turn: str) -> tuple[str, str]:
     return unescape(role), unescape(body)
 
 
+class Template:
+    """The units of formatted turns: ids of a tokenizer where an encoder is given (arguments of Encoder), else characters.
+
+    A turn's mark, its escaped text and its end are encoded each by itself, so that turns and the loss mask begin and end
+    between ids, and a turn has the same ids wherever it stands.
+    """
+
+    def __init__(self, encoder: dict | None):
+        self.encoder = Encoder(**encoder) if encoder else None
+        self.marks: dict[str, array] = {}
+
+    def ids(self, text: str) -> array:
+        return array("I", self.encoder.encode(text)) if text else array("I")
+
+    def mark(self, text: str) -> array:
+        if text not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[text] = self.ids(text)
+        return self.marks[text]
+
+    def turn(self, role: str, text: str):
+        """A formatted turn, its number of units, and where its text begins and ends there."""
+        whole, lo, hi = render(role, text)
+        if self.encoder is None:
+            return whole, len(whole), lo, hi
+        head, body, end = self.mark(whole[:lo]), self.ids(whole[lo:hi]), self.mark(END)
+        return head + body + end, len(head) + len(body) + len(end), len(head), len(head) + len(body)
+
+
+class Reader:
+    """Text of what a Template wrote."""
+
+    def __init__(self, encoder: dict | None):
+        self.table = None
+        if encoder:
+            with open(encoder["ranks_path"], "rb") as f:
+                self.table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+
+    def text(self, units) -> str:
+        return units if self.table is None else b"".join(map(self.table.__getitem__, units)).decode()
+
+
 SEGMENTS = "conv_id long, seg int, last boolean, root string, base long, path string, roles array<string>, texts array<string>"
-SEQUENCES = """sequence long, text string,
+SEQUENCES = """sequence long, text string, ids array<int>,
     nodes array<struct<parent:int, start:int, end:int, position:long, loss_start:int, loss_end:int>>,
     ancestors array<array<struct<start:int, end:int>>>,
     leaves array<struct<conv_id:long, seg:int, last:boolean, node:int>>"""
 
 
-def _segments(batches):
+def _segments(batches, encoder: dict | None, most_turns: int, most_chars: int):
     """Rows sorted by conversation and turn, to a row for each segment. A segment's bounds depend on its turns alone."""
     out: list[tuple] = []
     state = None
+    template = Template(encoder)
 
     def close(last: bool):
         conv, seg, root, base, path, roles, texts, _ = state
@@ -76,9 +125,9 @@ def _segments(batches):
                 if state is not None:
                     close(True)
                 state = (conv, 0, "", 0, [], [], [], "")
-            elif len(state[5]) >= SEGMENT_TURNS or sum(map(len, state[6][-1:])) + held > SEGMENT_CHARS:
+            elif len(state[5]) >= most_turns or sum(map(len, state[6][-1:])) + held > most_chars:
                 close(False)
-                base = state[3] + sum(len(render(r, t)[0]) for r, t in zip(state[5], state[6], strict=True))
+                base = state[3] + sum(template.turn(r, t)[1] for r, t in zip(state[5], state[6], strict=True))
                 state = (conv, state[1] + 1, state[7], base, [], [], [], state[7])
             held = sum(map(len, state[6])) if not state[5] else held + len(state[6][-1])
             node = hashlib.blake2b(f"{state[7]}\0{len(role)}\0{role}{text}".encode(), digest_size=12).hexdigest()
@@ -97,8 +146,8 @@ def _segments(batches):
 class _Sequence:
     """A forest of turns in depth-first order while its conversations come sorted by path."""
 
-    def __init__(self, number: int):
-        self.number, self.parts, self.size = number, [], 0
+    def __init__(self, number: int, template: Template):
+        self.number, self.template, self.parts, self.size, self.chars = number, template, [], 0, 0
         self.nodes: list[dict] = []
         self.ancestors: list[list[dict]] = []
         self.leaves: list[dict] = []
@@ -117,7 +166,7 @@ class _Sequence:
         del self.stack[n:]
         self.root = root
         for node, role, text in zip(path[n:], roles[n:], texts[n:], strict=True):
-            turn, lo, hi = render(role, text)
+            turn, units, lo, hi = self.template.turn(role, text)
             parent = self.stack[-1][1] if self.stack else -1
             intervals = []
             if parent >= 0:
@@ -131,15 +180,19 @@ class _Sequence:
             else:
                 position = base
             loss = role == LOSS_ROLE
-            self.nodes.append({"parent": parent, "start": self.size, "end": self.size + len(turn), "position": position, "loss_start": self.size + lo if loss else -1, "loss_end": self.size + hi if loss else -1})
+            self.nodes.append({"parent": parent, "start": self.size, "end": self.size + units, "position": position, "loss_start": self.size + lo if loss else -1, "loss_end": self.size + hi if loss else -1})
             self.ancestors.append(intervals)
             self.parts.append(turn)
-            self.size += len(turn)
+            self.size += units
+            self.chars += len(role) + len(text) + len(START) + len(END) + 1
             self.stack.append((node, len(self.nodes) - 1))
         self.leaves.append({"conv_id": conv, "seg": seg, "last": last, "node": self.stack[-1][1]})
 
     def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"sequence": self.number, "text": "".join(self.parts), "nodes": self.nodes, "ancestors": self.ancestors, "leaves": self.leaves}], schema=_ARROW)
+        ids = None
+        if self.template.encoder is not None:
+            ids = np.concatenate([np.frombuffer(p, np.uint32) for p in self.parts]).astype(np.int32)
+        return pa.RecordBatch.from_pylist([{"sequence": self.number, "text": "".join(self.parts) if ids is None else None, "ids": ids, "nodes": self.nodes, "ancestors": self.ancestors, "leaves": self.leaves}], schema=_ARROW)
 
 
 _INTERVAL = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -147,6 +200,7 @@ _ARROW = pa.schema(
     [
         ("sequence", pa.int64()),
         ("text", pa.string()),
+        ("ids", pa.list_(pa.int32())),
         ("nodes", pa.list_(pa.struct([("parent", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("position", pa.int64()), ("loss_start", pa.int32()), ("loss_end", pa.int32())]))),
         ("ancestors", pa.list_(pa.list_(_INTERVAL))),
         ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("seg", pa.int32()), ("last", pa.bool_()), ("node", pa.int32())]))),
@@ -154,20 +208,18 @@ _ARROW = pa.schema(
 )
 
 
-def _sequences(batches):
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 40
-    now = _Sequence(number)
+def _sequences(batches, encoder: dict | None, most_chars: int):
+    number, template = TaskContext.get().partitionId() << 40, Template(encoder)
+    now = _Sequence(number, template)
     for batch in batches:
         for row in batch.to_pylist():
             path = [row["path"][i : i + 24] for i in range(0, len(row["path"]), 24)]
             n = now.shared(row["root"], path)
             new = sum(len(r) + len(t) + len(START) + len(END) + 1 for r, t in zip(row["roles"][n:], row["texts"][n:], strict=True))
-            if now.leaves and (now.size + new > SEQUENCE_CHARS or len(now.leaves) >= 4096):
+            if now.leaves and (now.chars + new > most_chars or len(now.leaves) >= 4096):
                 yield now.batch()
                 number += 1
-                now = _Sequence(number)
+                now = _Sequence(number, template)
             now.add(row["conv_id"], row["seg"], row["last"], row["root"], row["base"], path, row["roles"], row["texts"])
     if now.leaves:
         yield now.batch()
@@ -208,25 +260,27 @@ def _before(batches):
             above = above + [{"sequence": row["sequence"], **x} for x in row["intervals"]]
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, encoder: dict | None = None, segment_turns: int = SEGMENT_TURNS, segment_chars: int = SEGMENT_CHARS, sequence_chars: int = SEQUENCE_CHARS) -> DataFrame:
     """Sequences of turns of conversations(conv_id, turn, role, text), each a forest of shared prefixes in DFS order.
 
-    text is the formatted sequence. Each node is a turn: its span, its parent, the position id of its first character
-    (the length of what stands above it) and the span under the loss mask (an assistant's escaped text, else -1). A
-    node's characters attend to the intervals in ancestors and to themselves. leaves say where conversations end.
-    Segments bound what a task holds, not the attention: before has, for each first turn (top) of a later segment, the
-    intervals of sequences that hold all turns of the segments before; top and all below it attend to these as well.
+    ids is the formatted sequence in ids of the encoder's tokenizer, which the spans count; without an encoder text is,
+    and they count characters. Each node is a turn: its span, its parent, the position id of its first unit (the length
+    of what stands above it) and the span under the loss mask (an assistant's escaped text, else -1). A node's units
+    attend to the intervals in ancestors and to themselves. leaves say where conversations end. Segments bound what a
+    task holds, not the attention: before has, for each first turn (top) of a later segment, the intervals of sequences
+    that hold all turns of the segments before; top and all below it attend to these as well.
 
     Null texts and roles are empty. Rows with equal turns follow each other by role and text, and repeated rows stay;
-    null turns come first. Rows without conv_id are one conversation. Long conversations go on in further segments
-    (after SEGMENT_TURNS turns or SEGMENT_CHARS characters), which are shared like first turns are. Conversations are
-    sorted by their paths over range partitions, so a first turn that all share is split over tasks and sequences; it
-    is repeated once in each sequence of at most SEQUENCE_CHARS characters.
+    null turns come first. Rows without conv_id are one conversation. Other columns are left out, and an empty table gives
+    an empty one. Long conversations go on in further segments (after segment_turns turns or segment_chars characters),
+    which are shared like first turns are. Conversations are sorted by their paths over range partitions, so a first turn
+    that all share is split over tasks and sequences; it is repeated once in each sequence of at most sequence_chars
+    characters.
     """
     rows = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    segments = cut(rows.select("conv_id", "role", "text").mapInArrow(_segments, SEGMENTS))
+    segments = cut(rows.select("conv_id", "role", "text").mapInArrow(lambda b: _segments(b, encoder, segment_turns, segment_chars), SEGMENTS))
     order = ["root", "path", "conv_id", "seg"]
-    sequences = segments.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sequences, SEQUENCES)
+    sequences = segments.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _sequences(b, encoder, sequence_chars), SEQUENCES)
     if not segments.where("seg > 0").limit(1).count():
         return sequences.withColumn("before", F.expr("cast(array() as array<struct<top:int, before:array<struct<sequence:long, start:int, end:int>>>>)"))
     sequences = cut(sequences)
@@ -245,22 +299,29 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _read(batches):
+def _read(batches, encoder: dict | None):
+    reader = Reader(encoder)
     for batch in batches:
         for row in batch.to_pylist():
-            text, nodes, out = row["text"], row["nodes"], []
+            units, nodes, out = row["text"] if encoder is None else row["ids"], row["nodes"], []
+            texts: dict[int, tuple[str, str, str, int]] = {}  # by node: role and text, parsed once however many share them
             for leaf in row["leaves"]:
                 path, at = [], leaf["node"]
                 while at >= 0:
                     path.append(nodes[at])
                     at = nodes[at]["parent"]
                 path.reverse()
-                turns = [parse(text[x["start"] : x["end"]]) for x in path]
-                canon = "".join(f"{role}\n{body}\n" for role, body in turns)
-                loss = "".join(unescape(text[x["loss_start"] : x["loss_end"]]) for x in path if x["loss_start"] >= 0)
+                for x in path:
+                    if x["start"] not in texts:
+                        turn = reader.text(units[x["start"] : x["end"]])
+                        masked = reader.text(units[x["loss_start"] : x["loss_end"]]) if x["loss_start"] >= 0 else ""
+                        texts[x["start"]] = (*parse(turn), unescape(masked), len(turn))
+                turns = [texts[x["start"]] for x in path]
+                canon = "".join(f"{role}\n{body}\n" for role, body, _, _ in turns)
+                loss = "".join(masked for _, _, masked, _ in turns)
                 whole = leaf["seg"] == 0 and leaf["last"]
                 out.append(
-                    {"conv_id": leaf["conv_id"], "seg": leaf["seg"], "last": leaf["last"], "n_turns": len(turns), "turns": None if whole else canon, "loss": None if whole else loss, "formatted_chars": sum(x["end"] - x["start"] for x in path)}
+                    {"conv_id": leaf["conv_id"], "seg": leaf["seg"], "last": leaf["last"], "n_turns": len(turns), "turns": None if whole else canon, "loss": None if whole else loss, "formatted_chars": sum(n for _, _, _, n in turns)}
                     | ({"turns_sha256": _digest(canon), "loss_chars": len(loss), "loss_sha256": _digest(loss)} if whole else {"turns_sha256": None, "loss_chars": None, "loss_sha256": None})
                 )
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("last", pa.bool_()), ("n_turns", pa.int64()), ("turns", pa.string()), ("loss", pa.string()), ("formatted_chars", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())]))
@@ -283,9 +344,9 @@ def _joined(batches):
                 turns = None
 
 
-def read_back(sequences: DataFrame) -> DataFrame:
-    """Digests of each conversation as parsed from the formatted sequences alone."""
-    parts = cut(sequences.mapInArrow(_read, PARTS))
+def read_back(sequences: DataFrame, encoder: dict | None = None) -> DataFrame:
+    """Digests of each conversation as parsed from the formatted sequences alone, with the encoder that they were made with."""
+    parts = cut(sequences.select("text", "ids", "nodes", "leaves").mapInArrow(lambda b: _read(b, encoder), PARTS))
     names = [x.split()[0] for x in DIGESTS.split(", ")]
     whole = parts.where("turns_sha256 is not null").select(*names)
     split = parts.where("turns_sha256 is null").repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(_joined, DIGESTS)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Words, chunks, crc32_of_id, cut, discard, texts_of
+from tesserae.llm.common import Words, bloom, chunks, crc32_of_id, cut, discard, texts_of
 
 #: Classes of bytes that are counted. Other bytes below 128 are symbols, those from 128 on letters.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "line": b"\n", "stop": b".", "comma": b",;:", "mark": b"!?", "bar": b"|", "quote": b"'\"()-"}
@@ -100,13 +100,24 @@ def isotonic(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of every whole text."""
+def measured(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(doc_id, x): the statistics of every whole text; with among(doc_id), of the rows with these ids and a few others."""
+    spark = docs.sparkSession
+    wanted = None
+    if among is not None:
+        ids = cut(among.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
+        wanted = spark.sparkContext.broadcast(bloom(ids, ids.count()))
+        discard(ids)
 
     def run(batches):
-        for batch in chunks(batches, "text"):
-            x = statistics(texts_of(batch)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
+        for batch in batches:
+            if wanted is not None:
+                keys = batch.column("doc_id")
+                found = keys.is_valid().to_numpy(zero_copy_only=False) & wanted.value.has(np.asarray(keys.fill_null(0).to_numpy(zero_copy_only=False), np.int64))
+                batch = batch.filter(pa.array(found))
+            for part in chunks([batch], "text"):
+                x = statistics(texts_of(part)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
 
@@ -200,8 +211,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least threshold."""
-    features = cut(measured(docs))
+    """The rows of docs, all columns, whose text scores at least threshold.
+
+    Null texts count as empty, repeated rows stay or go together, columns may have any names, and without labelled rows
+    to learn from every row stays. The model learns from all labelled rows outside the held-out fold, of which the first
+    scan measures the texts; the second scores every whole text and filters.
+    """
+    features = cut(measured(docs, labels.where("quality is not null")))
     model = fit(features, labels)
     discard(features)
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that wait at once in a task, and words whose ids a task remembers.
+#: Documents that wait at once in a task, and words whose ids a task remembers.
 POOL, REMEMBERED = 256, 300_000
 EDGE_SPACE = re.compile(r"^\s|\s$")
 
@@ -65,31 +65,44 @@ class Encoder:
 
 
 class Packer:
-    """Packs a stream of documents; finished sequences leave as lists of pieces (row, start, ids)."""
+    """Packs a stream of documents; finished sequences leave as lists of pieces (row, start, ids).
 
-    def __init__(self, tokens: int, segments: int, loss: int):
-        self.limit = np.array([tokens, segments, loss])
-        self.rows: list[tuple] = []  # (row, start, ids bytes, first position that bears loss)
-        self.size = np.zeros((0, 3), np.int64)
+    A document's tokens before loss_from (its prompt) bear no loss. Waiting ones are rows of three sizes: tokens, one
+    segment, loss-bearing tokens.
+    """
+
+    def __init__(self, tokens: int, segments: int, loss: int, pool: int = POOL):
+        if min(tokens, segments, loss, pool) < 1:
+            raise ValueError("limits are 1 at least")
+        self.limit, self.pool = np.array([tokens, segments, loss]), pool
+        self.items: list[tuple] = []  # (row, ids bytes, first position that bears loss)
+        self.start: list[int] = []
+        self.size = np.zeros((pool + 1, 3), np.int64)
+        self.share = np.zeros((pool + 1, 3))
 
     def _loss(self, start: int, length: int, loss_from: int) -> int:
         return max(0, start + length - max(start, loss_from))
 
-    def _put(self, item: tuple) -> None:
-        self.rows.append(item)
-        length = len(item[2]) // 4
-        self.size = np.vstack([self.size, [length, 1, self._loss(item[1], length, item[3])]])
-
-    def _take(self, i: int) -> tuple:
-        item = self.rows.pop(i)
-        self.size = np.delete(self.size, i, axis=0)
-        return item
-
-    def _fitting(self, item: tuple, left: np.ndarray) -> int:
-        """How many of the item's first tokens fit."""
-        length = min(len(item[2]) // 4, int(left[0]))
-        over = self._loss(item[1], length, item[3]) - int(left[2])
-        return length - max(0, over)
+    def _set(self, i: int, start: int) -> None:
+        _, ids, loss_from = self.items[i]
+        length = len(ids) // 4 - start
+        self.start[i] = start
+        self.size[i] = length, 1, self._loss(start, length, loss_from)
+        self.share[i] = self.size[i] / self.limit
+
+    def _cut(self, i: int, length: int) -> tuple:
+        """The next `length` tokens of a waiting document, which goes when none are left."""
+        row, ids, _ = self.items[i]
+        start = self.start[i]
+        if 4 * (start + length) < len(ids):
+            self._set(i, start + length)
+        else:
+            last = len(self.items) - 1
+            self.items[i], self.start[i] = self.items[last], self.start[last]
+            self.size[i], self.share[i] = self.size[last], self.share[last]
+            self.items.pop()
+            self.start.pop()
+        return row, start, ids[4 * start : 4 * (start + length)]
 
     def add(self, row, ids: bytes, loss_from: int):
         tokens, start = int(self.limit[0]), 0
@@ -97,32 +110,34 @@ class Packer:
             yield [(row, start, ids[4 * start : 4 * (start + tokens)])]
             start += tokens
         if 4 * start < len(ids):
-            self._put((row, start, ids[4 * start :], loss_from))
-        while len(self.rows) >= POOL:
+            self.items.append((row, ids, loss_from))
+            self.start.append(start)
+            self._set(len(self.items) - 1, start)
+        while len(self.items) >= self.pool:
             yield from self.bin()
 
     def bin(self):
-        """One sequence: the piece with the largest dot product of its size and what is left, again and again.
+        """One sequence: the document with the largest dot product of its size and what is left, again and again.
 
-        Sizes and rooms count as shares of their limits. Where no whole piece fits, the largest is cut to fit.
+        Sizes and rooms count as shares of their limits. Where none fits whole, the one of which most fits is cut. Of
+        equal ones the first counts.
         """
         left, chosen = self.limit.copy(), []
-        while self.rows and left[0] > 0 and left[1] > 0:
-            fits = (self.size <= left).all(axis=1)
-            score = (self.size / self.limit) @ (left / self.limit)
+        while self.items and left[0] > 0 and left[1] > 0:
+            size = self.size[: len(self.items)]
+            fits = (size[:, 0] <= left[0]) & (size[:, 2] <= left[2])
             if fits.any():
-                item = self._take(int(np.argmax(np.where(fits, score, -1.0))))
-                length = len(item[2]) // 4
+                i = int(np.argmax(np.where(fits, self.share[: len(self.items)] @ (left / self.limit), -1.0)))
+                length = int(size[i, 0])
             else:
-                i = int(np.argmax(score))
-                length = self._fitting(self.rows[i], left)
+                some = np.minimum(np.minimum(size[:, 0], left[0]), size[:, 0] - size[:, 2] + left[2])
+                i = int(np.argmax(some))
+                length = int(some[i])
                 if length <= 0:
                     break
-                row, start, ids, loss_from = self._take(i)
-                item = (row, start, ids[: 4 * length], loss_from)
-                self._put((row, start + length, ids[4 * length :], loss_from))
-            left -= [length, 1, self._loss(item[1], length, item[3])]
-            chosen.append(item[:3])
+            loss_from = self.items[i][2]
+            left -= [length, 1, self._loss(self.start[i], length, loss_from)]
+            chosen.append(self._cut(i, length))
         yield from self.trimmed(chosen)
 
     def trimmed(self, chosen: list[tuple]):
@@ -142,18 +157,19 @@ class Packer:
             yield now
 
     def finish(self):
-        while self.rows:
+        while self.items:
             yield from self.bin()
 
 
-def pack(docs: DataFrame, encoder: dict, end_id: int = 1, tokens: int = 2048, segments: int = 256, loss: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, encoder: dict, end_id: int = 1, tokens: int = 2048, segments: int = 256, loss: int | None = None, prompt: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens[, ids]): the pieces of all docs.
 
-    encoder holds the arguments of Encoder. Each text's ids end with end_id; null texts are empty, and every row of
-    docs, repeated ones too, is packed once. Tokens from a row's loss_from on bear loss (without that column, or where it
-    is null, from the second on). A sequence holds at most `tokens` tokens, `segments` pieces and `loss` (else `tokens`)
-    loss-bearing tokens. Each task packs what it scans, holding POOL pieces of less than a sequence, and no row is
-    shuffled. sequence_id is the scan's partition and a number within it.
+    encoder holds the arguments of Encoder. Each text's ids end with end_id; null and empty texts are that id alone, and
+    every row of docs, repeated ones and those without doc_id too, is packed once; an empty table gives an empty one.
+    Tokens from a row's loss_from on bear loss (without that column, or where it is null, from the token number `prompt`
+    on or from its middle, whichever comes first, but not the first token). A sequence holds at most `tokens` tokens, `segments` pieces and `loss` (else `tokens`)
+    loss-bearing tokens. Each task packs what it scans, holding POOL documents, and no row is shuffled. sequence_id is
+    the scan's partition and a number within it. Columns but doc_id, text and loss_from are not read.
     """
     loss_column = "loss_from" in docs.columns
     source = docs.select(F.col("doc_id").cast("long"), "text", F.col("loss_from").cast("long") if loss_column else F.lit(None).cast("long").alias("loss_from"))
@@ -187,7 +203,7 @@ def pack(docs: DataFrame, encoder: dict, end_id: int = 1, tokens: int = 2048, se
         for batch in batches:
             for doc, text, loss_from in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = (encode(text) if text else b"") + end
-                first = 1 if loss_from is None else loss_from
+                first = max(1, min(prompt, len(ids) // 8)) if loss_from is None else loss_from
                 emit(packer.add((doc, len(ids) // 4, first), ids, first))
                 if len(out) >= 5000:
                     yield flush()

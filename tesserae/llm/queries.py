@@ -21,6 +21,10 @@ from tesserae.llm.url_filter import filter_urls
 BYTE_BPE = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": ("<|endoftext|>",)}
 
 
+#: Production parameters of the packing: the first 32 tokens of a document (at most half) count as its prompt and bear no
+#: loss, and a sequence has at most 64 documents and 2016 loss-bearing tokens of 2048.
+PACKING = {"tokens": 2048, "segments": 64, "loss": 2016, "prompt": 32}
+
 #: The url rules of op4's contract.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: op8's conversation -1, whose texts hold control strings.
@@ -32,7 +36,7 @@ def op1_embedding_dedup(spark, sf_dir):
 
 
 def op2_vector_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, **PACKING)
 
 
 def op3_suffix_array_dedup(spark, sf_dir):
@@ -59,7 +63,7 @@ def op7_source_mixing(spark, sf_dir):
 def op8_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], turns.schema)
-    return read_back(format_conversations(turns.union(own)))
+    return read_back(format_conversations(turns.union(own), BYTE_BPE), BYTE_BPE)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):

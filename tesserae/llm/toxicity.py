@@ -24,6 +24,8 @@ EPOCHS, STEPS, BATCH, RATE, SEED, PARTS = 6, 240, 128, 0.01, 11, 4
 #: Share of the rate that the tables learn at: they start from log-odds, and learning them fast is learning by heart.
 TABLE_RATE = 0.3
 FOLDS, HELD_OUT = 3, 1
+#: Bytes of the sample's texts that are turned to inputs at once.
+PIECE_BYTES = 2 << 20
 #: Bytes that are neither letters nor digits: a word is looked up without those around it.
 SYMBOL = np.ones(256, bool)
 SYMBOL[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -80,7 +82,7 @@ class Inputs:
         for k in range(GRAMS):
             at = np.minimum(start + k, end)
             columns.append(np.where(length >= k + GRAM, (mix(words.spans(at, np.minimum(at + GRAM, end)), 30) & U64(CHAR_ROWS - 1)).astype(np.int64), CHAR_ROWS))
-        self.chars = np.stack(columns, axis=1)
+        self.chars = np.stack(columns, axis=1).astype(np.int32)
         self.n_words = np.diff(self.first)
         steps = np.where(self.n_words > 0, 1 + np.maximum(0, -(-(self.n_words - WINDOW) // STRIDE)), 0)
         self.text = np.repeat(np.arange(len(texts)), steps)
@@ -90,7 +92,7 @@ class Inputs:
         offset = begin[:, None] + np.arange(WINDOW)
         inside = offset < n[:, None]
         at = np.where(inside, self.first[self.text][:, None] + offset, 0)
-        self.ids = np.where(inside, self.word[at] if len(self.word) else 0, len(self.row))  # the last row is padding
+        self.ids = np.where(inside, self.word[at] if len(self.word) else 0, len(self.row)).astype(np.int32)  # the last row is padding
 
 
 def _sigmoid(x):
@@ -208,10 +210,10 @@ def _log_odds(size: int, rows: list[np.ndarray], y: np.ndarray, smooth: float =
 
 
 class _Part:
-    """Documents of one part of the sample, with the odds that the other parts give."""
+    """Some documents of one part of the sample, with the odds that the other parts give."""
 
-    def __init__(self, texts: list[bytes], y: np.ndarray):
-        self.inputs, self.y = Inputs(texts), y
+    def __init__(self, texts: list[bytes], y: np.ndarray, number: int):
+        self.inputs, self.y, self.number = Inputs(texts), y, number
         self.docs = np.unique(self.inputs.text)
         first = self.inputs.first
         self.used = [np.unique(self.inputs.word[first[i] : first[i + 1]]) for i in range(len(texts))]
@@ -270,12 +272,19 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, steps: int =
     for kind in (0, 1):
         of = rng.permutation(np.flatnonzero(y == kind))
         dealt[of] = np.arange(len(of)) % PARTS
-    parts = [_Part([texts[i] for i in np.flatnonzero(dealt == k)], y[dealt == k]) for k in range(PARTS) if (dealt == k).any()]
+    parts = []
+    for k in range(PARTS):
+        of = np.flatnonzero(dealt == k)
+        piece = np.cumsum([len(texts[i]) + 16 for i in of]) // PIECE_BYTES
+        parts += [_Part([texts[i] for i in of[piece == p]], y[of[piece == p]], k) for p in np.unique(piece)]
     net.p["words"][:, 0] = 0
     net.p["chars"][:, 0] = 0
-    for k, part in enumerate(parts):
-        others = parts[:k] + parts[k + 1 :]
-        part.odds = _odds_of(others if {0, 1} == {int(v) for p in others for v in p.y} else parts)
+    for k in range(PARTS):
+        others = [p for p in parts if p.number != k]
+        odds = _odds_of(others if {0, 1} == {int(v) for p in others for v in p.y} else parts)
+        for part in parts:
+            if part.number == k:
+                part.odds = odds
     parts_with_words = [p for p in parts if len(p.docs)]
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}

@@ -6,15 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, table
+from tesserae.llm.common import cut, hidden, table
 from tesserae.llm.mixing import mix_sources
 from tesserae.llm.ngram_join import ngram_components
 from tesserae.llm.packing import pack
 from tesserae.llm.quality import keep_good
 from tesserae.llm.suffix_dedup import remove_repeats
 
-#: Files of the tokenizer that the last stage uses.
-ENCODER = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": ("<|endoftext|>",)}
+#: Files of the tokenizer that the last stage uses, and its limits on a sequence; a text's first 32 tokens bear no loss.
+ENCODER = {
+    "tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"),
+    "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    "pattern": public_tokenizers.PATTERN,
+    "special": ("<|endoftext|>",),
+}
+LIMITS = {"tokens": 2048, "segments": 64, "loss": 2016, "prompt": 32}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +34,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat doc_id and text the least by the other columns stays, of unlike texts under one doc_id each;
     rows without doc_id link with nothing and stay.
     """
+    gone_id, rest_of = hidden(docs.columns, "gone", "rest")
     found = cut(ngram_components(docs, n=5, num=80, den=100))
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-        single = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
-        kept = single.union(kept.where("doc_id is null"))
+        rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        single = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(rest_of))
+        kept = single.select("doc_id", "text", f"{rest_of}.*").select(*(f"`{c}`" for c in docs.columns)).union(kept.where("doc_id is null"))
     return kept
 
 
@@ -49,13 +56,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens in sequences of at most 2048."""
-    return pack(docs, ENCODER)
+    """Every document's tokens in sequences of at most 2048, 64 pieces and 2016 tokens that bear loss."""
+    return pack(docs, ENCODER, **LIMITS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixing", mixing), ("packing", packing)]
 
-#: Quality scores, suffix sorting and tokens are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Quality scores, suffix sorting and tokens are beyond SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -155,15 +155,36 @@ def test_packing(docs):
     assert covered[4] == 2 * next(p["doc_tokens"] for p in pieces if p["doc_id"] == 4)  # the row is there twice
 
 
-def test_packing_limits():
+@pytest.mark.parametrize(("limits", "pool"), [((64, 4, 40), 256), ((64, 4, 40), 5), ((32, 1, 32), 8), ((64, 64, 1), 16)])
+def test_packing_limits(limits, pool):
     rng = np.random.default_rng(0)
-    packer, done = packing.Packer(64, 4, 40), []
+    packer, done, docs = packing.Packer(*limits, pool=pool), [], {}
     for k in range(300):
         n = int(rng.integers(1, 150))
-        done += packer.add(k, np.zeros(n, "<u4").tobytes(), int(rng.integers(0, n)))
+        docs[k] = np.arange(n, dtype="<u4").tobytes(), int(rng.integers(0, n + 1))
+        done += packer.add(k, *docs[k])
     done += packer.finish()
+    got = defaultdict(list)
     for s in done:
-        assert sum(len(p[2]) // 4 for p in s) <= 64 and len(s) <= 4
+        size = sum(len(p[2]) // 4 for p in s)
+        assert 0 < size <= limits[0] and len(s) <= limits[1]
+        assert sum(max(0, p[1] + len(p[2]) // 4 - max(p[1], docs[p[0]][1])) for p in s) <= limits[2]
+        assert size & (size - 1) == 0
+        for row, start, ids in s:
+            got[row].append((start, ids))
+    for k, (ids, _) in docs.items():
+        assert b"".join(x for _, x in sorted(got[k])) == ids and [a for a, _ in sorted(got[k])] == np.cumsum([0] + [len(x) // 4 for _, x in sorted(got[k])])[:-1].tolist()
+
+
+def test_packing_by_three_limits_is_full(spark):
+    """With the query's limits nearly all tokens are in whole sequences although the limit on loss binds."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000").coalesce(1)
+    found = packing.pack(docs, queries.BYTE_BPE, **queries.PACKING)
+    rows = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("loss"), F.count("*").alias("pieces")).collect()
+    assert max(r["loss"] for r in rows) == queries.PACKING["loss"] and max(r["pieces"] for r in rows) <= queries.PACKING["segments"]
+    full = sum(r["n"] == 2048 for r in rows)
+    assert full * 2048 / sum(r["n"] for r in rows) > 0.7
+    assert sum(r["n"] == 2048 and r["loss"] == 2016 for r in rows) > 0.3 * full
 
 
 def test_encoder_is_the_tokenizer():
@@ -184,9 +205,16 @@ def test_url_rules(spark):
 def test_url_model(spark):
     """Scores against the same smoothed models computed here."""
     rows = [(i, f"http://s{i % 7}.{'example.org/es/' if i % 3 else 'b.org/k/'}{i}") for i in range(60)] + [(100, "http://z.net/es/1"), (101, "http://z.net/k/1")]
-    got = {r["page_id"]: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    rows += [(102, None), (103, "http://z.net/" + "caf\u00e9/\U0001f600" * 300), (104, rows[0][1]), (104, rows[0][1]), (None, "http://z.net/es/1")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("text", F.lit("clash")).withColumn("score", F.lit("clash"))
+    found = filter_urls(df, queries.URL_RULES).collect()
+    by_shuffle = filter_urls(df, queries.URL_RULES, broadcast_grams=0).collect()
+    flat = lambda rows: sorted((r["page_id"] or -1, r["host"], r["path"], r["verdict"], round(r["score"], 9)) for r in rows)
+    assert flat(found) == flat(by_shuffle) and len(found) == len(rows) and filter_urls(df.limit(0), queries.URL_RULES).count() == 0
+    got = {r["page_id"]: r for r in found}
+    assert got[102]["score"] == 0
     counts = {"allow": Counter(), "block": Counter()}
-    for r in got.values():
+    for r in found:
         text = r["host"] + r["path"]
         if r["rule"] and zlib.crc32(text.encode()) % 5:
             padded = "\x01" * 4 + text
@@ -201,7 +229,7 @@ def test_url_model(spark):
                 out = (after.get(gram[4 - k :], 0) + len(after) * out) / (sum(after.values()) + len(after))
         return out
 
-    for page in (0, 1, 100, 101):
+    for page in (0, 1, 100, 101, 103):
         text = "\x01" * 4 + got[page]["host"] + got[page]["path"]
         want = np.mean([np.log(p("allow", text[i - 4 : i + 1]) / p("block", text[i - 4 : i + 1])) for i in range(4, len(text))])
         assert got[page]["score"] == pytest.approx(want, abs=1e-9)
@@ -217,9 +245,14 @@ def test_embeddings(spark):
     good = {i: (np.array(v) / np.linalg.norm(v), k) for i, v, k in rows if v and k is not None and np.isfinite(v).all() and any(v)}
     links = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] >= 0.98]
     n, want = Counter(i for pair in links for i in pair), components([r[0] for r in rows], links)
-    for options in ({}, {"block": 16, "pivots": 5}):
-        got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit(0)), **options).collect()
-        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], want[i], want[i] == i) for i, _, _ in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit(0))
+    for options in ({}, {"block": 16, "pivots": 5}, {"block": 7, "pivots": 30}, {"block": 16, "pivots": 1}):
+        for given in (df, df.withColumn("label", F.concat(F.lit("l"), "label"))):
+            got = near_duplicates(given, **options).collect()
+            assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], want[i], want[i] == i) for i, _, _ in rows}
+    again = near_duplicates(df.union(df.where("vec_id in (3, 300)"))).where("vec_id in (3, 300)").collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in again) == [(3, n[3] + 1, want[3])] * 2 + [(300, 0, 300)] * 2
+    assert near_duplicates(df.limit(0)).count() == 0
 
 
 def test_fingerprints(docs):
@@ -238,6 +271,57 @@ def test_fingerprints(docs):
     assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[9]["fingerprint"] == got[10]["fingerprint"]
 
 
+def covered_share(a, b):
+    """Common spans by plain comparison: from the starts, to the ends, and around the first places of shared anchors."""
+    if a == b:
+        return 1.0
+
+    def run(x, y):
+        return next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+    def anchors(t):
+        h = fingerprints.PrefixHashes(t).windows(20)
+        out = {}
+        for i in np.flatnonzero(fingerprints.mix(h, 9) % np.uint64(16) == 0):
+            out.setdefault(t[i : i + 20], int(i))
+        return out
+
+    head = run(a, b)
+    tail = run(a[head:][::-1], b[head:][::-1])
+    spans = [(0, 0, head), (len(a) - tail, len(b) - tail, tail)]
+    mine, other = anchors(a), anchors(b)
+    for t in mine.keys() & other.keys():
+        i, j = mine[t], other[t]
+        left = run(a[:i][::-1], b[:j][::-1])
+        spans.append((i - left, j - left, left + run(a[i:], b[j:])))
+    cover = [{x for s in spans for x in range(s[k], s[k] + s[2])} for k in (0, 1)]
+    return min(1 - 1 / 1024, (len(cover[0]) + len(cover[1])) / max(1, len(a) + len(b)))
+
+
+def test_likeness_by_extensions(spark):
+    """near_next and near_edited against plain character comparison; in one task's chunk and split over many."""
+    rng, texts = np.random.default_rng(8), []
+    for i in range(60):
+        base = texts[-1] if texts and rng.random() < 0.6 else prose(5000 + i, int(rng.integers(1, 120)))
+        at, to = np.sort(rng.integers(0, len(base) + 1, 2)).tolist()
+        texts.append([base, base[:at] + prose(6000 + i, 5) + base[to:], base[to:] + " " + base[:at], base[at:], "\u00e9\U0001f600" + base][int(rng.integers(5))])
+    texts += ["", "", "a", "ab", "x" * 50, "x" * 50, "x" * 49]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"chunk": 300}, {"buckets": 1}):
+        got = {r["doc_id"]: r for r in fingerprints.fingerprints(df, **options).collect()}
+        for i, text in enumerate(texts):
+            other = texts[i - 1]
+            keep, half = len(text) - len(text) // 2, other[: len(text) // 2]
+            rest = text[keep:]
+            assert got[i]["near_next"] == pytest.approx(covered_share(text, other))
+            if text == text[:keep] + half:
+                want = 1.0
+            else:
+                inner = 1.0 if rest == half else covered_share(rest, half)
+                want = (2 * keep + inner * (len(rest) + len(half))) / (len(text) + keep + len(half))
+            assert got[i]["near_edited"] == pytest.approx(min(want, 1 - 1 / 1024) if want < 1 else want, abs=2e-3)
+
+
 def test_prefix_hashes():
     a, b = fingerprints.PrefixHashes("xxabcdef"), fingerprints.PrefixHashes("abcdeg")
     assert a.equal(2, 7, b, 0) and not a.equal(2, 8, b, 0)
@@ -245,21 +329,31 @@ def test_prefix_hashes():
     assert fingerprints.join_hashes(int(a.spans(2, 4)), 2, int(a.spans(4, 7))) == int(b.spans(0, 5))
 
 
-def test_chat(spark):
+CHAT_LIMITS = [{}, {"segment_turns": 3, "sequence_chars": 300}, {"segment_chars": 60}]
+
+
+@pytest.mark.parametrize("limits", CHAT_LIMITS)
+@pytest.mark.parametrize("encoder", [None, queries.BYTE_BPE])
+def test_chat(spark, encoder, limits):
     rows = [(c, t, "assistant" if t % 2 else "user", f"t{t}" if t < c % 4 else f"c{c}t{t}\\n <|im_end|>") for c in range(12) for t in range(5)]
-    rows += [(50, t, "user", f"long {t}") for t in range(700)] + [(51, t, "user" if t < 650 else "assistant", f"long {t}") for t in range(660)]
+    rows += [(50, t, "user", f"long {t}") for t in range(300)] + [(51, t, "user" if t < 270 else "assistant", f"long {t}") for t in range(280)]
     rows += [(60, 0, None, None), (60, 0, "as\nsistant", "x\\|<|"), (60, None, "system", ""), (61, 0, "user", "a"), (61, 0, "user", "a"), (None, 0, "user", "q")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1))
-    sequences = chat_format.format_conversations(df).collect()
+    rows += [(70, 0, "user", queries.CONTROL), (70, 1, "assistant", queries.CONTROL + "<|endoftext|> \u00e9\U0001f600"), (71, 0, "assistant", "  two  spaces \n\n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1)).withColumn("ids", F.lit(1))
+    sequences = chat_format.format_conversations(df, encoder, **limits).collect()
     for s in sequences:
+        assert (s["ids"] is None) == (encoder is None) == (s["text"] is not None)
         for node, up in zip(s["nodes"], s["ancestors"], strict=True):
             root = node
             while root["parent"] >= 0:
                 root = s["nodes"][root["parent"]]
             assert node["position"] == root["position"] + sum(i["end"] - i["start"] for i in up)
-    assert sum(len(s["text"]) for s in sequences) < sum(len(chat_format.render(r[2] or "", r[3] or "")[0]) for r in rows)
-    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+    size = lambda s: len(s["text"] if encoder is None else chat_format.Reader(encoder).text(s["ids"]))
+    if not limits:
+        assert sum(map(size, sequences)) < sum(len(chat_format.render(r[2] or "", r[3] or "")[0]) for r in rows)
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(df, encoder, **limits), encoder).collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
+    assert len(got) == len({r[0] for r in rows})
     for conv in {r[0] for r in rows}:
         turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
         loss = "".join(t for r, t in turns if r == "assistant")
@@ -268,24 +362,27 @@ def test_chat(spark):
         assert g["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert g["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
         assert g["formatted_chars"] == sum(len(chat_format.render(r, t)[0]) for r, t in turns)
+    empty = chat_format.format_conversations(df.limit(0), encoder, **limits)
+    assert chat_format.read_back(empty, encoder).count() == 0
 
 
-def test_chat_attends_over_segments(spark):
+@pytest.mark.parametrize("encoder", [None, queries.BYTE_BPE])
+def test_chat_attends_over_segments(spark, encoder):
     """What a conversation's last turn attends to, with itself, is the whole conversation, however many segments."""
     lengths = {1: 700, 2: 660, 3: 256, 4: 257, 5: 5, None: 300}
     rows = [(c, t, "user", f"turn {t}" if t < 600 or c == 1 else f"other {t}") for c, n in lengths.items() for t in range(n)]
-    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    texts, ends = {s["sequence"]: s["text"] for s in got}, {}
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), encoder).collect()
+    texts, ends, read = {s["sequence"]: s["ids"] or s["text"] for s in got}, {}, chat_format.Reader(encoder).text
     for s in got:
         before = {x["top"]: x["before"] for x in s["before"]}
         for leaf in (x for x in s["leaves"] if x["last"]):
             top, node = leaf["node"], s["nodes"][leaf["node"]]
             while s["nodes"][top]["parent"] >= 0:
                 top = s["nodes"][top]["parent"]
-            seen = "".join(texts[i["sequence"]][i["start"] : i["end"]] for i in before.get(top, ()))
-            seen += "".join(s["text"][i["start"] : i["end"]] for i in s["ancestors"][leaf["node"]])
-            assert len(seen) == node["position"]
-            ends[leaf["conv_id"]] = seen + s["text"][node["start"] : node["end"]]
+            seen = [texts[i["sequence"]][i["start"] : i["end"]] for i in before.get(top, ())]
+            seen += [texts[s["sequence"]][i["start"] : i["end"]] for i in s["ancestors"][leaf["node"]]]
+            assert sum(map(len, seen)) == node["position"]
+            ends[leaf["conv_id"]] = "".join(map(read, [*seen, texts[s["sequence"]][node["start"] : node["end"]]]))
     assert ends == {c: "".join(chat_format.render(r[2], r[3])[0] for r in rows if r[0] == c) for c in lengths}
 
 

@@ -155,7 +155,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
         found = train.select("x", "y").mapInArrow(part, "s binary").repartition(8).mapInArrow(add, "s binary")
-        return sum((np.frombuffer(r["s"]) for r in found.toLocalIterator()), np.zeros(size))
+        return sum((np.frombuffer(r["s"]) for r in found.collect()), np.zeros(size))
 
     k = N_FEATURES
     first = sums(lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 1 + 2 * k)

@@ -1,4 +1,4 @@
-"""Column functions on text: stripping, labels, entities, identifiers, verdicts, shapes. All native expressions."""
+"""Column functions on text: stripping, labels, numbers, entities, identifiers, shapes. All native expressions."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: What Python's str.strip removes among ASCII and the usual Unicode spaces.
 WHITE = r"[\s\u001c-\u001f\u0085   -     　]"
-#: Patterns of the record formats.
-IDENTIFIER = r"\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+/[A-Za-z0-9_.-]+"
-SNAKE_WORD = r"\b[a-z]+(?:_[a-z]+)+\b"
-K8S_NAME = r"^[a-z0-9](?:[-a-z0-9]*[a-z0-9])?$"
+#: Patterns of the record formats, and identifiers that need no reference.
+IDENTIFIER = r"\b[a-z0-9][a-z0-9.]*\.[a-z]{2,}/[A-Za-z0-9][A-Za-z0-9._-]*\b"
+KNOWN_IDENTIFIERS = ("apps/v1", "v1", "batch/v1")
+SNAKE_WORD = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
+K8S_NAME = r"^[a-z0-9]([-a-z0-9.]{0,251}[a-z0-9])?$"
 TOKEN = r"(?U)\w+(?:[-./]\w+)*|[^\w\s]"
 
 
@@ -45,13 +46,24 @@ def primary_label(c: Column, mode: str, taxonomy: list[str] | None = None) -> Co
     raise ValueError(mode)
 
 
+def py_float(c: Column) -> Column:
+    """The number that Python's float() reads from a text (underscores between digits, nan and inf too), else null."""
+    t = py_strip(c)
+    digits = r"\d+(_\d+)*"
+    number = t.rlike(rf"^[+-]?({digits}\.?({digits})?|\.{digits})([eE][+-]?{digits})?$")
+    value = F.when(number, F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+    infinite = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(t.rlike("(?i)^[+-]?nan$"), F.lit(float("nan"))).when(t.rlike("(?i)^[+-]?inf(inity)?$"), infinite).otherwise(value)
+
+
 def parsed_score(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     """A score as `%.4f` text, or null where it is not a number in [lo, hi]; percents above hi are divided by 100."""
-    token = F.split(py_strip(F.regexp_replace(F.regexp_replace(c, "%", ""), "^[\"' ]+|[\"' ]+$", "")), r"\s+")[0]
-    number = F.when(token.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.expr("1")).isNotNull()
-    value = F.when(number, token.try_cast("double"))
+    bare = py_strip(F.regexp_replace(py_strip(F.regexp_replace(c, "%", "")), '^"+|"+$', ""))
+    token = F.split(bare, r"\s+")[0]
+    value = py_float(token)
     value = F.when((value > hi) & F.contains(c, F.lit("%")), value / 100).otherwise(value)
-    return F.when(value.between(lo, hi), F.format_string("%.4f", F.bround(value, 4)))
+    sign = F.when((value == 0) & token.startswith("-"), "-").otherwise("")  # a negative zero keeps its sign
+    return F.when(value.between(lo, hi), F.concat(sign, F.format_string("%.4f", F.abs(F.bround(value, 4)))))
 
 
 def entities(c: Column) -> Column:
@@ -73,11 +85,10 @@ def identifiers(c: Column) -> Column:
 
 
 def reference_text(c: Column, opened: str, closed: str) -> Column:
-    """What stands between two markers; the whole text where they are missing or in the wrong order."""
-    a = F.instr(c, opened)
-    b = F.locate(closed, c, 1)
+    """What stands between the first of two markers; the whole text where one is missing or they are in the wrong order."""
+    a, b = F.instr(c, opened), F.instr(c, closed)
     start = a + len(opened)
-    return F.when((a > 0) & (b >= start), F.substring(c, start, b - start)).otherwise(c)
+    return F.when((a > 0) & (b > a), F.substring(c, start, F.greatest(b - start, F.lit(0)))).otherwise(c)
 
 
 def band(c: Column, high: float = 0.8, medium: float = 0.5) -> Column:
@@ -112,10 +123,12 @@ def shape(c: Column) -> Column:
 
 def quantity(c: Column) -> Column:
     """A quantity with an SI or binary suffix as a double; null where it is none."""
-    #: Multipliers of the suffixes.
-    factors = {"": 1.0, "m": 1e-3, "k": 1e3, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "Ki": 2.0**10, "Mi": 2.0**20, "Gi": 2.0**30, "Ti": 2.0**40}
+    #: The suffixes, by powers of 1000 and of 1024; k and K are alike.
+    decimal = {"n": -3, "u": -2, "m": -1, "": 0, "k": 1, "K": 1, "M": 2, "G": 3, "T": 4, "P": 5, "E": 6}
+    binary = {"Ki": 1, "Mi": 2, "Gi": 3, "Ti": 4, "Pi": 5, "Ei": 6}
+    factors = {k: float(f"1e{3 * v}") for k, v in decimal.items()} | {k: 1024.0**v for k, v in binary.items()}
     table = F.create_map(*(F.lit(x) for kv in factors.items() for x in kv))
-    number, suffix = (F.regexp_extract(c, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$", k) for k in (1, 2))
+    number, suffix = (F.regexp_extract(py_strip(c), r"^([+-]?[0-9]*\.?[0-9]+)([A-Za-z]*)$", k) for k in (1, 2))
     return number.try_cast("double") * F.try_element_at(table, suffix)
 
 
@@ -125,14 +138,24 @@ def truncated(c: Column, n: int) -> Column:
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("..."))).otherwise(line)
 
 
+#: Hints of a model's name in the order in which they are tried, with billions of parameters.
+SIZE_HINTS = (("70b", 70), ("14b", 14), ("13b", 13), ("8b", 8), ("7b", 7), ("4b", 4), ("3b", 3), ("2b", 2), ("1.7b", 2), ("1.5b", 2), ("1b", 1), ("0.6b", 1), ("0.5b", 1))
+DEFAULT_SIZE = 7
+
+
 def model_size(c: Column) -> Column:
     """Billions of parameters from a model's name: the first of an ordered list of hints that it contains, else 7."""
-    #: Hints in the order in which they are tried.
-    hints = [("70b", 70.0), ("14b", 14.0), ("13b", 13.0), ("8b", 8.0), ("7b", 7.0), ("4b", 4.0), ("3b", 3.0), ("2b", 2.0), ("1.7b", 1.7), ("1.5b", 1.5), ("1b", 1.0), ("0.5b", 0.5)]
-    out = F.lit(7.0)
-    for hint, size in reversed(hints):
-        out = F.when(F.contains(F.lower(c), F.lit(hint)), F.lit(size)).otherwise(out)
-    return out
+    known = F.array(*(F.struct(F.lit(hint).alias("hint"), F.lit(size).alias("size")) for hint, size in SIZE_HINTS))
+    return F.coalesce(F.get(F.filter(known, lambda h: F.contains(F.lower(c), h["hint"])), F.lit(0))["size"], F.lit(DEFAULT_SIZE))
+
+
+def label_display(c: Column) -> Column:
+    """A label's name as a title: blanks for underscores, each word with a capital."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def valid_name(c: Column) -> Column:
+    return F.coalesce(c.rlike(K8S_NAME), F.lit(False))
 
 
 def ordered_distinct(c: Column) -> Column:

@@ -1,54 +1,66 @@
-"""Chunkers: folds over paragraphs or lines, in Arrow batches (string building in an expression fold is quadratic)."""
+"""Chunkers. A chunk is a slice of the whole text: cumulative lengths give the cuts by binary search, then slices are taken."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEADING = re.compile(r"^#{1,6}\s+\S")
+#: A heading's line and the fence of front matter.
+HEADING = re.compile(r"^#{1,6}[^\S\n]+\S", re.M)
+FENCE = "---"
+LINE_END = re.compile("\n")
 
 
 def paragraph_chunks(text: str, sep: str = "\n\n", limit: int = 1200, overlap: int = 150, least: int = 200) -> Iterator[str]:
-    """Paragraphs gathered up to about `limit` characters; each chunk after the first starts with the last one's end."""
+    """Slices of the text's paragraphs, joined by blank lines, that end with a paragraph.
+
+    A slice ends before the first paragraph that takes it above `limit`, once it has `least` characters; the next begins
+    `overlap` characters before that. A short rest goes; a text of less than `least` characters is one chunk.
+    """
     text = text.strip()
     if len(text) < least:
-        if text:
-            yield text
+        yield from filter(None, [text])
         return
-    held = ""
-    for part in filter(None, map(str.strip, text.split(sep))):
-        if len(held) >= least and len(held) + len(part) + 2 > limit:
-            yield held.strip()
-            held = held[-overlap:] + "\n\n" + part
-        else:
-            held = held + "\n\n" + part if held else part
-    if len(held.strip()) >= least:
-        yield held.strip()
+    paragraphs = [p for p in map(str.strip, text.split(sep)) if p]
+    whole = "\n\n".join(paragraphs)
+    ends = [e - 2 for e in accumulate(len(p) + 2 for p in paragraphs)]
+    start = after = 0  # where the slice begins, and the first paragraph that it may end with
+    while (last := max(after, bisect_right(ends, start + limit) - 1, bisect_left(ends, start + least))) < len(ends) - 1:
+        yield whole[start : ends[last]].strip()
+        start, after = max(start, ends[last] - overlap), last + 1
+    if len(rest := whole[start:].strip()) >= least:
+        yield rest
 
 
 def section_chunks(text: str, section: str = "", limit: int = 2000, overlap: int = 200) -> Iterator[tuple[str, str]]:
-    """(section, chunk): split at headings and by size; front matter goes, short rests go."""
-    if text.startswith("---"):
-        end = text.find("---", 3)
-        if end > 0:
-            text = text[end + 3 :]
-    held = ""
-    for line in text.split("\n"):
-        if HEADING.match(line):
-            if len(held.strip()) > 100:
-                yield section, held.strip()
-            section, held = line.lstrip("#").strip(), line + "\n"
-            continue
-        held += line + "\n"
-        if len(held) > limit:
-            yield section, held.strip()
-            held = held[-overlap:]
-    if len(held.strip()) > 50:
-        yield section, held.strip()
+    """(section, chunk): first the sections between headings, then slices of each that end with a line.
+
+    A slice ends with the first line that takes it above `limit` (a heading's own line never does); the next begins
+    `overlap` characters before. What is left of a section goes unless it has more than 100 characters, of the last one
+    50. Front matter between two fences goes first.
+    """
+    if text.startswith(FENCE) and (end := text.find(FENCE, len(FENCE))) > 0:
+        text = text[end + len(FENCE) :].strip()
+    text += "\n"
+    heads = [m.start() for m in HEADING.finditer(text)]
+    for number, (first, stop) in enumerate(zip([0, *heads], [*heads, len(text)], strict=True)):
+        line_ends = [m.end() for m in LINE_END.finditer(text, first, stop)]
+        name, start = section, first
+        if number:
+            name = text[first : line_ends.pop(0)].lstrip("#").strip()
+        at = bisect_right(line_ends, start + limit)
+        while at < len(line_ends):
+            yield name, text[start : line_ends[at]].strip()
+            start = max(start, line_ends[at] - overlap)
+            at = max(at + 1, bisect_right(line_ends, start + limit))
+        if len(rest := text[start:stop].strip()) > (50 if stop == len(text) else 100):
+            yield name, rest
 
 
 def chunk_paragraphs(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
@@ -61,9 +73,12 @@ def chunk_paragraphs(df: DataFrame, keys: list[str], text: str = "text", **optio
     return df.select(*keys, F.posexplode(split(F.col(text))).alias("chunk_no", "chunk"))
 
 
-def chunk_sections(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
+def chunk_sections(df: DataFrame, keys: list[str], text: str = "text", section: str | None = None, **options) -> DataFrame:
+    """(keys, chunk_no, section, chunk) of every text; section names the column with the name of what precedes headings."""
+
     @F.pandas_udf("array<struct<section:string,chunk:string>>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"section": s, "chunk": c} for s, c in section_chunks(t or "", **options)])
+    def split(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([[{"section": s, "chunk": c} for s, c in section_chunks(t or "", n or "", **options)] for t, n in zip(texts, names, strict=True)])
 
-    return df.select(*keys, F.posexplode(split(F.col(text))).alias("chunk_no", "c")).select(*keys, "chunk_no", "c.section", "c.chunk")
+    named = F.col(section) if section else F.lit("")
+    return df.select(*keys, F.posexplode(split(F.col(text), named)).alias("chunk_no", "c")).select(*keys, "chunk_no", "c.section", "c.chunk")

@@ -21,17 +21,25 @@ def fit_classifier(df: DataFrame, vector: str, label: str, c: float = 10.0) -> d
     code = F.array_position(F.array(*(F.lit(x) for x in classes)), F.col(label)).cast("double") - 1
     rows = df.join(F.broadcast(class_weights(df, label).withColumnRenamed("label", label)), label)
     rows = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), code.alias("label"), "weight")
-    fit = LogisticRegression(weightCol="weight", regParam=1 / (c * max(1, df.count())), standardization=False, maxIter=2000, family="multinomial").fit(rows)
+    penalty = 1 / (c * max(1, df.count()))
+    fit = LogisticRegression(weightCol="weight", regParam=penalty, standardization=False, maxIter=2000, family="multinomial").fit(rows)
     return {"classes": classes, "coef": fit.coefficientMatrix.toArray().tolist(), "intercept": fit.interceptVector.toArray().tolist()}
 
 
 def predict_class(df: DataFrame, head: dict, vector: str) -> DataFrame:
-    """df with predicted and probability: softmax with a shifted maximum, the first class on ties."""
-    z = F.array(*(dot(F.col(vector), w) + F.lit(float(b)) for w, b in zip(head["coef"], head["intercept"], strict=True)))
-    out = df.withColumn("_z", z).withColumn("_top", F.array_max("_z"))
-    best = F.array_position("_z", F.col("_top")).cast("int")
-    total = F.aggregate("_z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))
-    return out.withColumn("predicted", F.element_at(F.array(*(F.lit(x) for x in head["classes"])), best)).withColumn("probability", 1 / total).drop("_z", "_top")
+    """df with predicted and probability, the first class on ties.
+
+    A head with one row of weights has two classes, and the row scores the second by a sigmoid; else it is a softmax with
+    a shifted maximum.
+    """
+    scores = [dot(F.col(vector), w) + F.lit(float(b)) for w, b in zip(head["coef"], head["intercept"], strict=True)]
+    scores = [F.lit(0.0), *scores] if len(scores) == 1 else scores  # sigmoid(z) is the softmax of (0, z)
+    found = F.transform(F.array(F.array(*scores)), lambda z: F.struct(z.alias("z"), F.array_max(z).alias("top")))[0]
+    out = df.withColumn("scored", found)
+    best = F.array_position("scored.z", F.col("scored.top")).cast("int")
+    total = F.aggregate("scored.z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("scored.top")))
+    classes = F.array(*map(F.lit, head["classes"]))
+    return out.withColumn("predicted", F.element_at(classes, best)).withColumn("probability", 1 / total).drop("scored")
 
 
 def fit_regressor(df: DataFrame, vector: str, target: str, alpha: float = 1.0) -> dict:

@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def indexed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+def indexed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], prefix: str = "p") -> DataFrame:
     """The value at index min(floor(n p), n - 1) of each group in ascending order, by counts of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
     ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(*keys).agg(*(at(p).alias(f"p{round(p * 100)}") for p in shares))
+    return ranked.groupBy(*keys).agg(*(at(p).alias(f"{prefix}{round(p * 100)}") for p in shares))
 
 
-def latency_summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    stats = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
-    return stats.join(indexed_percentiles(df, [key], value, [0.5, 0.95, 0.99]), key)
+def latency_summary(df: DataFrame, keys: list[str], latency: str = "latency_ms", ttft: str = "ttft_ms", itl: str = "itl_ms", rate: str = "tok_s") -> DataFrame:
+    """Latencies (avg, min, max, p50, p95, p99) by key, percentiles of the positive times to a first token and between
+    tokens, and the mean positive rate; one decimal, and 0 where there is nothing to measure.
+    """
+    stats = df.groupBy(*keys).agg(F.count(latency).alias("n"), F.avg(latency).alias("avg"), F.min(latency).alias("min"), F.max(latency).alias("max"), F.avg(F.when(F.col(rate) > 0, F.col(rate))).alias("tok_s_avg"))
+    parts = [indexed_percentiles(df, keys, latency, [0.5, 0.95, 0.99])]
+    parts += [indexed_percentiles(df.where(F.col(c) > 0), keys, c, [0.5, 0.95], f"{name}_p") for name, c in (("ttft", ttft), ("itl", itl))]
+    for part in parts:
+        stats = stats.join(part, keys, "left")
+    return stats.select(*keys, "n", *(F.coalesce(F.bround(c, 1), F.lit(0.0)).alias(c) for c in stats.columns if c not in (*keys, "n")))
 
 
 def confusion(df: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:

@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.functions.text import py_strip
+
+
+def unfenced(c: Column) -> Column:
+    """What stands in a reply's first code fence, without the fence's language; the whole reply where it has none."""
+    body = py_strip(c)
+    inside = F.when(body.startswith("```"), F.get(F.split(body, "```"), F.lit(1))).otherwise(body)
+    named = inside.startswith("json") & body.startswith("```")
+    return F.when(named & F.contains(inside, F.lit("\n")), F.substring(inside, F.instr(inside, "\n") + 1, F.length(inside))).when(named, "").otherwise(inside)
 
 
 def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
-    """Lines of JSON in a generated text as records with line_no; input must not be blank, output not null."""
-    body = F.regexp_replace(F.regexp_replace(T.py_strip(F.col(text)), r"^```[a-z]*\s*", ""), r"\s*```$", "")
-    lines = df.select("*", F.posexplode(F.split(body, "\n")).alias("line_no", "line")).withColumn("line", T.py_strip(F.col("line"))).where(F.col("line").startswith("{"))
+    """Lines of JSON in a generated text as records with line_no; input must not be empty, output not null."""
+    lines = df.select("*", F.posexplode(F.split(unfenced(F.col(text)), r"\r\n|\r|\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", py_strip(F.col("line"))).where(F.col("line").startswith("{"))
     parsed = lines.withColumn("r", F.from_json("line", "instruction string, input string, output string"))
     good = parsed.where((F.length("r.input") > 0) & F.col("r.output").isNotNull())
-    fields = [T.py_strip(F.coalesce(F.col(f"r.{k}"), F.lit(""))).alias(k) for k in ("instruction", "input", "output")]
-    return good.select(*df.columns, "line_no", *fields).drop(text)
+    fields = [py_strip(F.coalesce(F.col(f"r.{k}"), F.lit(""))).alias(k) for k in ("instruction", "input", "output")]
+    return good.select(*(c for c in df.columns if c != text), "line_no", *fields)
+
+
+def parse_targets(df: DataFrame) -> DataFrame:
+    """(text, y) of records for a regressor: the prompt, and the output as a number; rows without either go."""
+    rows = df.select(prompt_text(F.col("instruction"), F.col("input")).alias("text"), T.py_float(F.col("output")).alias("y"), *(c for c in df.columns if c not in ("instruction", "input", "output")))
+    return rows.where((F.length("text") > 0) & F.col("y").isNotNull())
 
 
 def nonempty(df: DataFrame, column: str = "output") -> DataFrame:
@@ -23,7 +38,7 @@ def nonempty(df: DataFrame, column: str = "output") -> DataFrame:
 
 
 def prompt_text(instruction: Column, given: Column) -> Column:
-    return F.when(F.length(T.py_strip(instruction)) > 0, F.concat(instruction, F.lit("\n\n"), given)).otherwise(given)
+    return F.when(F.length(instruction) > 0, F.concat(instruction, F.lit("\n\n"), given)).otherwise(given)
 
 
 def validate_entities(df: DataFrame, allowed: list[str] | None = None) -> DataFrame:

@@ -3,46 +3,67 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.records import keep_first
 
-#: Vectors of queries that are broadcast at once; more are searched in further blocks.
-QUERY_BLOCK = 20_000
+#: Vectors of queries that are broadcast at once, more are searched in further blocks; scores of a tile.
+QUERY_BLOCK, TILE = 20_000, 2_000_000
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int, spread: int = 1) -> DataFrame:
+def _vectors(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors) of those of this dimension (else the first one's) without a null."""
+    sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    dim = dim or int(next(iter(sizes[sizes > 0]), 0))
+    flat = column.flatten()
+    values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(float)
+    at = np.flatnonzero((sizes == dim) & (dim > 0))
+    x = values[np.cumsum(sizes)[at][:, None] - dim + np.arange(dim)]
+    whole = ~np.isnan(x).any(axis=1)
+    return at[whole], x[whole]
+
+
+def knn(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best inner products; ties by doc_id.
 
     queries(query_id, vector), index(doc_id, vector). Each block of queries goes to every partition of the index, which
-    multiplies matrices and keeps k a query; only those are shuffled.
+    multiplies tiles of matrices and keeps k a query; only those are shuffled. Vectors that are null, hold a null or have
+    another dimension than the queries' first are left out.
     """
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
+    rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").toLocalIterator()
     out = None
     while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
+        block = [r for r in block if len(r["vector"]) == len(block[0]["vector"]) and None not in r["vector"]]
         ids, q = np.array([r["query_id"] for r in block], np.int64), np.array([r["vector"] for r in block], float)
         held = queries.sparkSession.sparkContext.broadcast((ids, q))
 
         def search(batches, held=held):
             ids, q = held.value
-            best = None
+            best_score, best_doc = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(docs), -1)
-                score, doc = q @ v.T, np.broadcast_to(docs, (len(ids), len(docs)))
-                if best is not None:
-                    score, doc = np.hstack([best[0], score]), np.hstack([best[1], doc])
-                top = np.lexsort((doc, -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, top, 1), np.take_along_axis(doc, top, 1)
-            if best is not None:
-                width = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "doc_id", "score"])
-
-        part = index.select(F.col("doc_id").cast("long"), "vector").mapInArrow(search, "query_id long, doc_id long, score double")
+                at, v = _vectors(batch.column("vector"), q.shape[1])
+                docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[at]
+                step = max(1, TILE // max(1, len(docs)))
+                for lo in range(0, len(ids) if len(docs) else 0, step):
+                    part = slice(lo, lo + step)
+                    score = q[part] @ v.T
+                    if len(docs) > 4 * k:  # what is below the k-th best of the batch cannot be among the best
+                        least = np.partition(score, -k, axis=1)[:, -k]
+                        keep = np.flatnonzero((score >= least[:, None]).any(axis=0))
+                        score, there = score[:, keep], docs[keep]
+                    else:
+                        there = docs
+                    both = np.hstack([best_score[part], score]), np.hstack([best_doc[part], np.broadcast_to(there, score.shape)])
+                    top = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                    best_score[part], best_doc[part] = np.take_along_axis(both[0], top, 1), np.take_along_axis(both[1], top, 1)
+            found = np.isfinite(best_score)
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[found.ravel()]), pa.array(best_doc[found]), pa.array(best_score[found])], ["query_id", "doc_id", "score"])
+
+        part = index.select(F.col("doc_id").cast("long"), "vector").where("vector is not null and doc_id is not null").mapInArrow(search, "query_id long, doc_id long, score double")
         out = part if out is None else out.union(part)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
@@ -50,22 +71,32 @@ def knn(queries: DataFrame, index: DataFrame, k: int, spread: int = 1) -> DataFr
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): lower-cased runs of letters and digits."""
-    return df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), 0)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Distinct query terms up to this number are looked up where the documents are scanned; more are joined.
+WANTED_TERMS = 10_000
+WORD = r"(?U)\w+"
+
 
+def words(c: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, wanted_terms: int = WANTED_TERMS) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25. queries(query_id, text), docs(doc_id, text).
 
-    Only terms of some query leave the documents' side: it is filtered before it is joined.
+    A document's length is counted where it is scanned, and only its words that some query has leave the scan: they are
+    picked by a set of up to `wanted_terms` terms, more by a join. What is shuffled is one row for each such word.
     """
-    wanted = terms(queries, "query_id", "text").select("query_id", "term")
-    tf = terms(docs, "doc_id", "text")
-    length = F.sum("tf").over(Window.partitionBy("doc_id"))
-    tf = tf.withColumn("len", length)
-    stats = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0)).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avg"))
-    hits = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    vocabulary = [r["term"] for r in wanted.select("term").distinct().limit(wanted_terms + 1).collect()]
+    held = docs.select("doc_id", words(F.col("text")).alias("words"))
+    stats = held.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg"))
+    if len(vocabulary) <= wanted_terms:
+        known = F.filter("words", lambda w: w.isin(sorted(vocabulary)))  # a hash set once it is planned
+        rows = held.select("doc_id", F.size("words").alias("len"), F.explode(known).alias("term"))
+    else:
+        rows = held.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = rows.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
@@ -75,9 +106,14 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Dense hits, then lexical ones that are not among them, with their place."""
-    both = dense.select("query_id", "doc_id", "rank", F.lit(0).alias("list")).union(lexical.select("query_id", "doc_id", "rank", F.lit(1).alias("list")))
+#: Most candidates of each kind, and how many more of both where a search is broadened.
+DENSE_CAP, LEXICAL_CAP, BROADER = 30, 15, 4
+
+
+def hybrid(dense: DataFrame, lexical: DataFrame, dense_cap: int | None = DENSE_CAP, lexical_cap: int | None = LEXICAL_CAP, broaden: int = 0) -> DataFrame:
+    """The best dense hits, then the best lexical ones that are not among them, with their place; caps of None take all."""
+    capped = [df if cap is None else df.where(F.col("rank") <= cap + broaden) for df, cap in ((dense, dense_cap), (lexical, lexical_cap))]
+    both = capped[0].select("query_id", "doc_id", "rank", F.lit(0).alias("list")).union(capped[1].select("query_id", "doc_id", "rank", F.lit(1).alias("list")))
     first = keep_first(both, ["query_id", "doc_id"], ["list", "rank"])
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("list", "rank"))).select("query_id", "doc_id", "place")
 
@@ -97,13 +133,51 @@ def missing_positives(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
     return pairs.select(F.col("positive").alias("text")).distinct().join(corpus.select("text"), "text", "left_anti")
 
 
+#: Most candidates of a query that are scored, and characters of a query that the scorer reads.
+RERANKED, QUERY_CHARS = 50, 512
+
+
 def rerank(candidates: DataFrame, scorer, k: int) -> DataFrame:
-    """candidates(query_id, query, doc_id, text, place) by a Python scorer of text pairs, in Arrow batches; k a query."""
+    """candidates(query_id, query, doc_id, text, place) by a Python scorer of text pairs, in Arrow batches; k a query.
 
-    @F.pandas_udf("double")
-    def score(queries, texts):
-        return scorer.score(queries, texts)
+    Only the first RERANKED places are scored. Where the scorer fails, its candidates keep their places' order.
+    """
 
-    out = candidates.withColumn("score", score("query", "text"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place"))
+    @F.pandas_udf("double")
+    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(scorer.score(queries, texts), dtype="float64")
+        except Exception:  # whatever a scorer raises: the order of the candidates stands
+            return pd.Series([None] * len(queries), dtype="float64")
+
+    out = candidates.where(F.col("place") <= RERANKED).withColumn("score", score(F.substring("query", 1, QUERY_CHARS), "text"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "place"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def by_index(results: DataFrame, documents: str = "documents", index: str = "index") -> DataFrame:
+    """results with the text that each one's index (from 0) points to in its array of documents; null where there is none."""
+    return results.withColumn("text", F.get(documents, F.col(index)))
+
+
+def side_by_side(a: DataFrame, b: DataFrame, order: list[str], columns: list[str], cap: int = 15) -> DataFrame:
+    """(place, the columns of both as a_ and b_): the first rows of each in this order, one beside the other by place."""
+    numbered = [df.orderBy(*order).limit(cap).select(F.row_number().over(Window.orderBy(*order)).alias("place"), *(F.col(c).alias(f"{p}_{c}") for c in columns)) for p, df in (("a", a), ("b", b))]
+    return numbered[0].join(numbered[1], "place")
+
+
+def grounding(queries: DataFrame, docs: DataFrame, cap: int = 18, dense_k: int = 15, answer_k: int = 15, query_k: int = 10) -> DataFrame:
+    """(query_id, doc_id, place): documents to judge an answer by, in turn from four ranked lists, at most `cap`.
+
+    queries(query_id, query, answer, query_vector, answer_vector), docs(doc_id, text, vector). The lists are dense hits
+    of the query, dense hits of the answer, lexical hits of the answer and lexical hits of the query.
+    """
+    index = docs.select("doc_id", "vector")
+    text = lambda c: queries.select("query_id", F.col(c).alias("text"))
+    vector = lambda c: queries.select("query_id", F.col(c).alias("vector"))
+    found = [knn(vector("query_vector"), index, dense_k), knn(vector("answer_vector"), index, dense_k), bm25(text("answer"), docs, answer_k), bm25(text("query"), docs, query_k)]
+    lists = [df.select("query_id", F.lit(i).alias("list"), "rank", "doc_id") for i, df in enumerate(found)]
+    out = lists[0]
+    for df in lists[1:]:
+        out = out.union(df)
+    return interleave(out, cap)

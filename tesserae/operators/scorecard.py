@@ -43,13 +43,33 @@ def fold_events(df: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFra
     return rows.groupBy(run).agg(F.array_join(parts, "").alias("answer"), F.max_by(F.when(F.col("type") == "model", F.col("text")), F.when(F.col("type") == "model", F.col(seq))).alias("model"), F.count("*").alias("n"))
 
 
-def cost_tiers(avg_ms: float, hourly: float, gpu: bool, spot: bool, spark) -> DataFrame:
-    """(daily, replicas, monthly) for four volumes of requests a day."""
-    rps = 1000 / avg_ms if avg_ms else 1.0
-    rate = hourly * (1.0 if not spot else (3.0 if gpu else 2.5))
-    tiers = spark.createDataFrame([(1_000,), (10_000,), (100_000,), (1_000_000,)], "daily long")
-    replicas = F.greatest(F.lit(1), F.ceil(F.col("daily") / 86400 / rps))
-    return tiers.select("daily", replicas.cast("long").alias("replicas"), (replicas * rate * 730).alias("monthly"))
+#: Hours of a month, on-demand over spot prices and throughput over that of CPUs, prices where none is known.
+MONTH_HOURS = 730
+ON_DEMAND, THROUGHPUT, FALLBACK = {"cpu": 2.5, "gpu": 3.0}, {"cpu": 1, "gpu": 15}, {"cpu": 0.16, "gpu": 0.50}
+VOLUMES = (1_000, 10_000, 100_000, 1_000_000)
+
+
+def cost_tiers(stats: DataFrame, prices: DataFrame) -> DataFrame:
+    """(daily, rps_needed, cpu_replicas, cpu_od, cpu_spot, gpu_replicas, gpu) for four volumes of requests a day.
+
+    stats(avg) has one row with the mean latency in ms (0: one request a second); prices(cpu, gpu) one with the least
+    spot prices an hour, null where none is known. Hourly on-demand prices are rounded to three decimals, months to two.
+    """
+    spot = {k: F.coalesce(F.col(k), F.lit(FALLBACK[k])) for k in ("cpu", "gpu")}
+    month = {k: F.bround(F.bround(spot[k] * ON_DEMAND[k], 3) * MONTH_HOURS, 2) for k in spot}
+    rate = F.when(F.col("avg") > 0, 1000 / F.col("avg")).otherwise(1.0)
+    tiers = stats.sparkSession.createDataFrame([(v,) for v in VOLUMES], "daily long")
+    needed = F.col("daily") / 86400
+    replicas = {k: F.greatest(F.lit(1), F.ceil(needed / (rate * THROUGHPUT[k]))).cast("long") for k in spot}
+    return tiers.join(F.broadcast(stats.select("avg").join(prices.select("cpu", "gpu"), F.lit(True))), F.lit(True)).select(
+        "daily",
+        F.bround(needed, 2).alias("rps_needed"),
+        replicas["cpu"].alias("cpu_replicas"),
+        F.bround(month["cpu"] * replicas["cpu"], 2).alias("cpu_od"),
+        F.bround(F.bround(spot["cpu"] * MONTH_HOURS, 2) * replicas["cpu"], 2).alias("cpu_spot"),
+        replicas["gpu"].alias("gpu_replicas"),
+        F.bround(month["gpu"] * replicas["gpu"], 2).alias("gpu"),
+    )
 
 
 def context_window(most: Column, free: Column) -> Column:

@@ -22,39 +22,65 @@ def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, "pos", F.col("z.tok").alias("tok"), (end - F.length("z.tok")).cast("int").alias("s"), end.cast("int").alias("e"))
 
 
+def is_title(c):
+    """Whether a token's letters are a title's: each capital begins a run of letters, and no small letter does."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+"), 0)
+    return (F.size(runs) > 0) & F.forall(runs, lambda x: x.rlike(r"^\p{Lu}\p{Ll}*$"))
+
+
 def features(toks: DataFrame, key: str) -> DataFrame:
     """Lower form, shape, affixes, flags and the forms of two neighbours on each side."""
     w = Window.partitionBy(key).orderBy("pos")
-    low = F.lower("tok")
-    near = [(F.lag if k < 0 else F.lead)(c, abs(k)).over(w).alias(f"{n}{k:+d}") for k in (-2, -1, 1, 2) for n, c in (("low", low), ("shape", shape(F.col("tok"))))]
-    flag = lambda p, n: F.col("tok").rlike(p).cast("int").alias(n)
+    low, tok = F.lower("tok"), F.col("tok")
+    near = [(F.lag if k < 0 else F.lead)(c, abs(k)).over(w).alias(f"{n}{k:+d}") for k in (-2, -1, 1, 2) for n, c in (("w", low), ("shape", shape(tok)))]
+    flag = lambda p, n: p.cast("int").alias(n)
     return toks.select(
-        key, "pos", "tok", low.alias("low"), shape(F.col("tok")).alias("shape"), F.left(low, F.lit(2)).alias("pre2"), F.left(low, F.lit(3)).alias("pre3"), F.right(low, F.lit(2)).alias("suf2"), F.right(low, F.lit(3)).alias("suf3"),
-        flag(r"\d", "has_digit"), flag(r"^\d+$", "all_digit"), flag("-", "has_hyphen"), flag(r"\.", "has_dot"), flag(r"(?U)^[^\w\s]+$", "punct"), ((F.length("tok") > 1) & (F.upper("tok") == F.col("tok")) & (F.lower("tok") != F.col("tok"))).cast("int").alias("upper"),
-        (F.col("pos") == 0).cast("int").alias("bos"), F.lead("pos").over(w).isNull().cast("int").alias("eos"), *near,
+        key, "pos", "tok", low.alias("w"), shape(tok).alias("shape"),
+        F.left(low, F.lit(2)).alias("pre2"), F.left(low, F.lit(3)).alias("pre3"), F.right(low, F.lit(2)).alias("suf2"), F.right(low, F.lit(3)).alias("suf3"),
+        flag(is_title(tok), "title"), flag((F.length("tok") > 1) & (F.upper("tok") == tok) & (low != tok), "upper"),
+        flag(tok.rlike(r"\p{Nd}"), "hasdig"), flag(tok.rlike(r"^\p{Nd}+$"), "alldig"), flag(F.contains(tok, F.lit("-")), "hashyf"),
+        flag(F.contains(tok, F.lit(".")), "hasdot"), flag(~tok.rlike(r"[\p{L}\p{N}]"), "punct"), F.lit(1).alias("bias"),
+        flag(F.col("pos") == 0, "BOS"), flag(F.lead("pos").over(w).isNull(), "EOS"), *near,
     )
 
 
+def feature_rows(wide: DataFrame, key: str) -> DataFrame:
+    """(key, pos, feature, value) of features(): texts as name=value with 1, flags by name; what is null or not at an edge is left out."""
+    texts = [c for c in wide.columns if c in ("w", "shape", "pre2", "pre3", "suf2", "suf3") or c[-2:] in ("-2", "-1", "+1", "+2")]
+    flags = [c for c in wide.columns if c not in (*texts, key, "pos", "tok")]
+    pairs = [F.struct(F.concat(F.lit(f"{c}="), F.col(f"`{c}`")).alias("feature"), F.lit(1.0).alias("value")) for c in texts]
+    pairs += [F.struct(F.when((F.col(c) == 1) | (not c.isupper()), F.lit(c)).alias("feature"), F.col(c).cast("double").alias("value")) for c in flags]
+    return wide.select(key, "pos", F.explode(F.array(*pairs)).alias("f")).select(key, "pos", "f.feature", "f.value").where("feature is not null")
+
+
 def find_spans(df: DataFrame, surfaces: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, type, surface, gs, ge): all occurrences, not overlapping, of (type, surface) in each text.
+    """(key, type, surface, ord, gs, ge): all occurrences, not overlapping, of (type, surface) in each text.
 
-    Surfaces are a vocabulary; the join is by each one's first word, so a text meets those only that can occur in it.
+    surfaces has a text's own entities (key, ord, type, surface), or one vocabulary (type, surface) for all texts; then
+    the join is by each one's first word, so a text meets those only that can occur in it.
     """
     found = surfaces.where(F.length("surface") > 0)
+    if "ord" not in found.columns:
+        found = found.withColumn("ord", F.lit(0))
     parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col("surface"), F.lit("\\E")))
-    head = F.regexp_extract("surface", TOKEN, 0)
-    words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+|[^\w\s]"), 0))).alias("w"))
-    pairs = words.join(found.withColumn("w", F.regexp_extract("surface", r"(?U)\w+|[^\w\s]", 0)), "w").select(key, "type", "surface").distinct()
-    rows = df.select(key, text).join(pairs, key).where(F.contains(F.col(text), F.col("surface"))).select(key, "type", "surface", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("k", "gap"))
-    w = Window.partitionBy(key, "type", "surface").orderBy("k")
+    if key in found.columns:
+        pairs = found.select(key, "type", "surface", "ord")
+    else:
+        first = r"(?U)\w+|[^\w\s]"
+        words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w|[^\w\s]"), 0))).alias("c"))
+        pairs = words.join(found.withColumn("c", F.substring(F.regexp_extract("surface", first, 0), 1, 1)), "c").select(key, "type", "surface", "ord").distinct()
+    rows = df.select(key, text).join(pairs, key).where(F.contains(F.col(text), F.col("surface")))
+    rows = rows.select(key, "type", "surface", "ord", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("k", "gap"))
+    w = Window.partitionBy(key, "type", "surface", "ord").orderBy("k")
     end = F.sum(F.length("gap") + F.length("surface")).over(w)
-    return rows.select(key, "type", "surface", (end - F.length("surface")).cast("int").alias("gs"), end.cast("int").alias("ge"))
+    return rows.select(key, "type", "surface", "ord", (end - F.length("surface")).cast("int").alias("gs"), end.cast("int").alias("ge"))
 
 
 def bio_tags(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, pos, tok, s, e, tag); of overlapping spans the first by start, then type wins."""
-    hit = toks.join(spans.select(key, "type", "gs", "ge"), key).where("s < ge and e > gs")
-    first = hit.groupBy(key, "pos").agg(F.min(F.struct("gs", "type")).alias("m"))
+    """(key, pos, tok, s, e, tag); of overlapping spans the first of the list (ord) wins, then by type, then by start."""
+    order = F.struct("ord", "type", "gs") if "ord" in spans.columns else F.struct(F.lit(0).alias("ord"), "type", "gs")
+    hit = toks.join(spans, key).where("s < ge and e > gs")
+    first = hit.groupBy(key, "pos").agg(F.min(order).alias("m"))
     tag = F.when(F.col("m").isNull(), "O").when(F.col("s") <= F.col("m.gs"), F.concat(F.lit("B-"), F.col("m.type"))).otherwise(F.concat(F.lit("I-"), F.col("m.type")))
     return toks.join(first, [key, "pos"], "left").select(key, "pos", "tok", "s", "e", tag.alias("tag"))
 

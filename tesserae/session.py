@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import os
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings for one machine only. On a cluster partitions, memory and the rest are the cluster's own.
+LOCAL = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+
 
 def get_spark(app: str = "tesserae", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators assume: UTC, AQE and ANSI left at their defaults."""
-    builder = SparkSession.builder.appName(app).master(master or os.environ.get("SPARK_MASTER", "local[8]"))
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
-    } | conf
+    """A session in UTC, with AQE and ANSI left at their defaults.
+
+    The master is the one given, else what spark-submit or SPARK_MASTER names, else all cores of this machine; only a
+    local one gets LOCAL.
+    """
+    chosen = master or SparkConf().get("spark.master", None) or os.environ.get("SPARK_MASTER", "local[*]")
+    settings = {"spark.sql.session.timeZone": "UTC"} | (LOCAL if chosen.startswith("local") else {}) | conf
+    builder = SparkSession.builder.appName(app).master(chosen)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -33,7 +33,7 @@ def read_grounding_corpus(spark: SparkSession, root: str, least: int = 80) -> Da
 
 def read_section_docs(spark: SparkSession, root: str) -> DataFrame:
     """(section, text) of .md and .adoc files whose names do not start with _index."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_name").alias("name"))
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     return files.where(F.col("name").rlike(r"\.(md|adoc)$") & ~F.col("name").startswith("_index")).select(F.regexp_replace("name", r"\.md$", "").alias("section"), F.col("value").alias("text"))
 
 

@@ -6,7 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tesserae.plans.registry import ORACLES, QUERIES
+import __spark_entry__
+from tesserae.plans.base import ORACLES, QUERIES
+
+assert __spark_entry__.REGISTERING  # they register on import
 
 
 @pytest.fixture(scope="module")

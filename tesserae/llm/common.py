@@ -41,8 +41,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
-#: Spark's own setting: shuffle files of a query go when it ends, not when the driver collects its garbage.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings while a table is cut: shuffle files of a query go when it ends, not when the driver collects its
+#: garbage; and Arrow batches of at most so many rows, so that of texts some MB lie in a worker and in its executor.
+SHUFFLE_CLEANUP, BATCH_ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+WHILE_CUT = {SHUFFLE_CLEANUP: "true", BATCH_ROWS: "2000"}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,12 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     The write's shuffle files go with its end, since nothing after it reads them.
     """
     spark = df.sparkSession
-    path, before = scratch(spark), spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    path, before = scratch(spark), {name: spark.conf.get(name, None) for name in WHILE_CUT}
     try:
+        for name, value in WHILE_CUT.items():
+            spark.conf.set(name, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

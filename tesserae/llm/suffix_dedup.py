@@ -15,6 +15,8 @@ WINDOW = MIN_WORDS - GRAM + 1
 #: Suffixes of a gram that one task compares; more frequent grams are split by document into SALTS parts or more, so that
 #: a part has about SALT_ROWS suffixes of a gram at most. A document of more than BLOCK words is split like several.
 SALT_ROWS, SALTS, BLOCK = 4096, 64, 1 << 16
+#: Most grams that are split; where more have above SALT_ROWS suffixes, the bound rises so that the most frequent ones are.
+SPLIT_GRAMS = 4_000_000
 
 
 def _slide(a: np.ndarray, width: int, fn) -> np.ndarray:
@@ -157,11 +159,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     often = docs.select("text").mapInArrow(hashes, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     often = cut(often)
-    wanted = spark.sparkContext.broadcast(bloom(often.select("gram"), often.count()))
-    most = often.where(F.col("n") > SALT_ROWS).collect()
+    size = often.agg(F.count("*").alias("grams"), F.coalesce(F.sum("n"), F.lit(0)).alias("suffixes"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    wanted = spark.sparkContext.broadcast(bloom(often.select("gram"), size["grams"]))
+    bound = max(SALT_ROWS, size["suffixes"] // SPLIT_GRAMS)
+    most = often.where(F.col("n") > bound).select("gram").toArrow().column("gram").to_numpy()  # SPLIT_GRAMS at most
     discard(often)
-    salts = max([SALTS, *(-(-r["n"] // SALT_ROWS) for r in most)])
-    frequent = spark.sparkContext.broadcast(np.array(sorted(r["gram"] for r in most), np.int64))
+    salts = max(SALTS, -(-size["most"] // bound))
+    frequent = spark.sparkContext.broadcast(np.sort(most))
 
     def occurrences(batches, of_hot: bool):
         for batch in chunks(batches, "text"):
@@ -185,7 +189,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     rows = docs.mapInArrow(lambda b: occurrences(b, False), OCCURRENCE)
     spans = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _by_group(b, ("gram",), _later), SPAN)
-    if not most:
+    if not len(most):
         return spans
     rows = cut(docs.mapInArrow(lambda b: occurrences(b, True), f"{OCCURRENCE}, salt long"))
     firsts = rows.repartition("salt").sortWithinPartitions("salt", "gram").mapInArrow(lambda b: _by_group(b, ("salt", "gram"), _first), "gram long, salt long, doc_id long, text_key long, windows binary")

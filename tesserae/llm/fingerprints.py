@@ -17,6 +17,8 @@ MODULI = ((2147483647, 911382323), (2147483629, 972663749))
 #: Code points of a span, hashes kept of each text, code points that a task holds at once. Anchors are the spans whose hash
 #: is 0 modulo ANCHORS: what is chosen depends on the content alone.
 SPAN, KEPT, CHUNK, ANCHORS = 20, 64, 1 << 20, 16
+#: Most ranges of doc_id; the first id of each goes to all tasks.
+BUCKETS = 50_000
 #: The most that unequal texts get.
 UNEQUAL = 1 - 1 / 1024
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
@@ -252,9 +254,9 @@ def fingerprints(docs: DataFrame, buckets: int | None = None, chunk: int = CHUNK
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 3 * parts
+    buckets = buckets or min(3 * parts, BUCKETS)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first()["q"] if buckets > 1 else []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("q")).first()["q"] if buckets > 1 else []
     cuts = np.unique(np.array(cuts if cuts is not None else [], np.int64))
 
     @F.pandas_udf("int")
@@ -264,16 +266,12 @@ def fingerprints(docs: DataFrame, buckets: int | None = None, chunk: int = CHUNK
 
     ids = docs.select("doc_id").withColumn("bucket", bucket_of("doc_id"))
     firsts = ids.groupBy("bucket").agg(F.max("doc_id").alias("first")).orderBy("bucket").collect()  # a row a bucket
-    before = {firsts[i]["first"]: firsts[i - 1]["bucket"] for i in range(len(firsts))}
-    targets = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("head")))
-    known = [k for k in before if k is not None]
-    is_first = F.col("doc_id").isin(known) if known else F.lit(False)
-    table = F.create_map(*(x for k in known for x in (F.lit(k), F.lit(before[k])))) if known else None
-    if table is not None:
-        targets = F.when(is_first, F.concat(targets, F.array(F.struct(F.try_element_at(table, F.col("doc_id")).alias("bucket"), F.lit(True).alias("head"))))).otherwise(targets)
-    if None in before:
-        targets = F.when(F.col("doc_id").isNull(), F.concat(targets, F.array(F.struct(F.lit(before[None]).alias("bucket"), F.lit(True).alias("head"))))).otherwise(targets)
-    dealt = docs.withColumn("bucket", bucket_of("doc_id")).select("doc_id", "text", F.explode(targets).alias("t")).select("doc_id", "text", "t.bucket", "t.head")
+    before = [(r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
+    linked = F.broadcast(spark.createDataFrame(before, "first long, before int"))
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("head"))
+    targets = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("head"))))
+    dealt = docs.withColumn("bucket", bucket_of("doc_id")).join(linked, F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    dealt = dealt.select("doc_id", "text", F.explode(targets).alias("t")).select("doc_id", "text", "t.bucket", "t.head")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "head", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches):

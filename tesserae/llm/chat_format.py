@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from array import array
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, discard
-from tesserae.llm.packing import Encoder
+from tesserae.llm.packing import encoder_of
 
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -59,11 +60,11 @@ class Template:
     """
 
     def __init__(self, encoder: dict | None):
-        self.encoder = Encoder(**encoder) if encoder else None
+        self.encoder = encoder
         self.marks: dict[str, array] = {}
 
     def ids(self, text: str) -> array:
-        return array("I", self.encoder.encode(text)) if text else array("I")
+        return array("I", encoder_of(self.encoder).encode(text)) if text else array("I")
 
     def mark(self, text: str) -> array:
         if text not in self.marks:
@@ -81,14 +82,17 @@ class Template:
         return head + body + end, len(head) + len(body) + len(end), len(head), len(head) + len(body)
 
 
+@functools.lru_cache(maxsize=2)
+def _bytes_of(ranks_path: str) -> dict[int, bytes]:
+    with open(ranks_path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+
+
 class Reader:
     """Text of what a Template wrote."""
 
     def __init__(self, encoder: dict | None):
-        self.table = None
-        if encoder:
-            with open(encoder["ranks_path"], "rb") as f:
-                self.table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+        self.table = _bytes_of(encoder["ranks_path"]) if encoder else None
 
     def text(self, units) -> str:
         return units if self.table is None else b"".join(map(self.table.__getitem__, units)).decode()
@@ -313,8 +317,9 @@ def _read(batches, encoder: dict | None):
                 path.reverse()
                 for x in path:
                     if x["start"] not in texts:
-                        turn = reader.text(units[x["start"] : x["end"]])
-                        masked = reader.text(units[x["loss_start"] : x["loss_end"]]) if x["loss_start"] >= 0 else ""
+                        lo, hi = (x["loss_start"], x["loss_end"]) if x["loss_start"] >= 0 else (x["end"], x["end"])
+                        head, masked, end = (reader.text(units[a:b]) for a, b in ((x["start"], lo), (lo, hi), (hi, x["end"])))
+                        turn = head + masked + end
                         texts[x["start"]] = (*parse(turn), unescape(masked), len(turn))
                 turns = [texts[x["start"]] for x in path]
                 canon = "".join(f"{role}\n{body}\n" for role, body, _, _ in turns)

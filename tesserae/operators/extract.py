@@ -68,17 +68,23 @@ def memorized(train: DataFrame, order: str, entities: str = "entities") -> DataF
     return by.agg(F.min_by("e.type", F.struct(order, "ord")).alias("type")).where("surface <> ''")
 
 
-def recall_memorized(df: DataFrame, known: DataFrame, key: str, text: str = "text") -> DataFrame:
+#: Known surfaces up to this number go to every text; of more, each meets the texts that hold its first characters.
+FEW_SURFACES, HEAD = 2_000, 3
+
+
+def recall_memorized(df: DataFrame, known: DataFrame, key: str, text: str = "text", few: int = FEW_SURFACES) -> DataFrame:
     """(key, type, surface): the known surfaces that each text contains, whatever its case.
 
-    A surface meets the texts that hold its first three characters, so nothing is crossed with all texts; what is found
-    is checked. Surfaces of one or two characters are few by nature and go to every text.
+    Up to `few` surfaces are looked for where a text is scanned. More are joined by their first HEAD characters with the
+    texts that hold these, and what is found is checked; shorter surfaces are few by nature and go to every text.
     """
     low = F.lower(F.col(text))
-    short = known.where(F.length("surface") < 3)
-    long = known.where(F.length("surface") >= 3).withColumn("head", F.substring("surface", 1, 3))
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
-    heads = df.select(key, F.explode(windows).alias("head"))
-    pairs = heads.join(long, "head").select(key, "surface", "type")
-    rare = df.select(key, text).join(F.broadcast(short), F.contains(low, F.col("surface"))).select(key, "surface", "type")  # one or two characters
-    return pairs.join(df.select(key, low.alias("low")), key).where(F.contains("low", "surface")).select(key, "type", "surface").unionByName(rare.select(key, "type", "surface"))
+    if known.limit(few + 1).count() <= few:
+        return df.select(key, low.alias("low")).join(F.broadcast(known), F.contains("low", "surface")).select(key, "type", "surface")
+    chars = df.select(key, low.alias("low"), F.split(low, "").alias("chars")).where(F.length("low") >= HEAD)
+    head = lambda i: F.concat(*(F.get("chars", i + k) for k in range(HEAD)))
+    heads = chars.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("chars") - HEAD), head))).alias("head"))
+    long = known.where(F.length("surface") >= HEAD).withColumn("head", F.substring("surface", 1, HEAD))
+    found = heads.join(long, "head").join(df.select(key, low.alias("low")), key).where(F.contains("low", "surface"))
+    short = df.select(key, low.alias("low")).join(F.broadcast(known.where(F.length("surface") < HEAD)), F.contains("low", "surface"))
+    return found.select(key, "type", "surface").unionByName(short.select(key, "type", "surface"))

@@ -526,7 +526,7 @@ OFFSETS_SQL = """
     l AS (SELECT {key}, text, regexp_extract_all(text, '{token}', 0) AS toks, regexp_split_to_array(text, '{token}') AS gaps FROM {table}),
     u AS (SELECT {key}, text, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i, gaps FROM l),
     o AS (SELECT {key}, text, CAST(i - 1 AS INTEGER) AS pos, tok, CAST(sum(length(tok) + length(gaps[i])) OVER (PARTITION BY {key} ORDER BY i) AS INTEGER) AS e FROM u),
-    toks AS (SELECT {key}, text, pos, tok, e - length(tok) AS s, e FROM o)"""
+    toks AS (SELECT {key}, text, pos, tok, CAST(e - length(tok) AS INTEGER) AS s, e FROM o)"""
 
 
 @query("f02_token_offsets", f"WITH {OFFSETS_SQL.format(key='doc_id', token=TOKEN_SQL, table='documents')} SELECT doc_id, CAST(sum(s) AS BIGINT) AS s, CAST(sum(e * (pos + 1)) AS BIGINT) AS e, count(*) AS n FROM toks GROUP BY doc_id")
@@ -589,7 +589,7 @@ _SPANS_SQL = f"""
     cuts AS (SELECT d.doc_id, type, surface, string_split(d.text, surface) AS p FROM documents d JOIN surfaces ON contains(d.text, surface)),
     gaps AS (SELECT doc_id, type, surface, unnest(p[:-2]) AS gap, generate_subscripts(p[:-2], 1) AS k FROM cuts),
     ends AS (SELECT doc_id, type, surface, CAST(sum(length(gap) + length(surface)) OVER (PARTITION BY doc_id, type, surface ORDER BY k) AS INTEGER) AS ge FROM gaps),
-    spans AS (SELECT doc_id, type, surface, ge - length(surface) AS gs, ge FROM ends)"""
+    spans AS (SELECT doc_id, type, surface, CAST(ge - length(surface) AS INTEGER) AS gs, ge FROM ends)"""
 
 
 def vocabulary(spark):

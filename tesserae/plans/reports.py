@@ -38,10 +38,11 @@ def a19(spark, sf_dir):
     return metrics.logprob_confidence(t, "id", "i", "token", "lp")
 
 
-@query("a20_judged", "SELECT avg(CASE WHEN event_id % 3 = 0 THEN 100.0 ELSE 0 END) AS accuracy, round_even(avg(CASE WHEN event_id % 4 > 0 THEN value END), 1) AS confidence FROM events")
+@query("a20_judged", "SELECT round(CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS DOUBLE) / count(*) * 100, 6) AS accuracy, round_even(avg(CASE WHEN event_id % 4 > 0 THEN value END), 1) AS confidence FROM events")
 def a20(spark, sf_dir):
     confidence = F.when(F.col("event_id") % 4 > 0, F.col("value")).otherwise(-1.0)
-    return reports.judged(table(spark, sf_dir, "events").select(confidence.alias("confidence"), (F.col("event_id") % 3 == 0).alias("correct")))
+    out = reports.judged(table(spark, sf_dir, "events").select(confidence.alias("confidence"), (F.col("event_id") % 3 == 0).alias("correct")))
+    return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("a23_classes", "SELECT array_to_string(list_sort(list(DISTINCT source)), ',') AS classes FROM documents")

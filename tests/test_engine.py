@@ -84,7 +84,10 @@ def test_tagger_learns_and_extracts(spark):
     spans = tagger.find_spans(new, spark.createDataFrame([("C", "in", 0), ("D", "Berlin", 1)], "type string, surface string, ord int"), "id")
     assert {(r["surface"], r["gs"]) for r in spans.collect()} == {("in", 11), ("in", 18), ("in", 29), ("Berlin", 14)}
     known = extract.memorized(df, "id")
-    assert extract.recall_memorized(new, known, "id").collect()[0].asDict() == {"id": 1, "type": "C", "surface": "berlin"}
+    short = known.union(spark.createDataFrame([("in", "D"), ("é", "D")], known.schema))
+    for few in (100, 0):
+        found = extract.recall_memorized(new, short, "id", few=few).collect()
+        assert sorted(map(tuple, found)) == [(1, "C", "berlin"), (1, "D", "in")]
 
 
 def test_vectors_may_be_odd(spark):

@@ -246,10 +246,10 @@ def test_embeddings(spark):
     links = [(a, b) for a in good for b in good if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] >= 0.98]
     n, want = Counter(i for pair in links for i in pair), components([r[0] for r in rows], links)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit(0))
-    for options in ({}, {"block": 16, "pivots": 5}, {"block": 7, "pivots": 30}, {"block": 16, "pivots": 1}):
-        for given in (df, df.withColumn("label", F.concat(F.lit("l"), "label"))):
-            got = near_duplicates(given, **options).collect()
-            assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], want[i], want[i] == i) for i, _, _ in rows}
+    named = df.withColumn("label", F.concat(F.lit("l"), "label"))
+    for given, options in ((df, {}), (named, {"block": 16, "pivots": 5}), (df, {"block": 7, "pivots": 30}), (df, {"block": 16, "pivots": 1})):
+        got = near_duplicates(given, **options).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], want[i], want[i] == i) for i, _, _ in rows}
     again = near_duplicates(df.union(df.where("vec_id in (3, 300)"))).where("vec_id in (3, 300)").collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in again) == [(3, n[3] + 1, want[3])] * 2 + [(300, 0, 300)] * 2
     assert near_duplicates(df.limit(0)).count() == 0
@@ -490,7 +490,7 @@ def brute_components(rows, n, num, den=100):
     return components([*sets], [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])])
 
 
-@pytest.mark.parametrize(("large", "block"), [(64, 1024), (2, 7), (0, 1)])
+@pytest.mark.parametrize(("large", "block"), [(64, 1024), (0, 5)])
 def test_ngram_join_of_large_buckets(spark, large, block):
     """Chains of copies whose ends are unlike, and many documents that share a passage but are unlike: any plan, one result."""
     rng, rows = np.random.default_rng(9), []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import U64, Words, bloom, chunks, components, cut, discard, mix, texts_of
 
 #: Buckets of the frequency sketch (2 bytes each, whatever the corpus): any total order is exact, this one is rare-first.
-SKETCH_BITS = 23
+SKETCH_BITS = 21
 SKETCH_SLICES = 16
 #: Intervals of the suffix filter, for all sets and besides for sets of FINE_FROM shingles or more: the distance of two
 #: unlike sets over few intervals is a small share of long sets.
@@ -69,7 +69,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per document: set size, 128-bit set signature, suffix-filter counts, prefix n-grams rare first."""
+    """Per document, as a written table: set size, 128-bit set signature, suffix-filter counts, prefix n-grams rare first."""
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
 
     def rows(batches):
@@ -93,7 +93,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 ["doc_id", "n", "sig1", "sig2", "parts", "fine", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<smallint>, fine array<smallint>, prefix array<long>")
+    out = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n int, sig1 long, sig2 long, parts array<smallint>, fine array<smallint>, prefix array<long>"))
+    counts.destroy()
+    return out
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
@@ -115,6 +117,7 @@ def _shared_tokens(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array((found - first[of]).astype(np.int32)), pa.array(g[found]), batch.column("rep").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["pos", "g", "rep", "n"])
 
     out = cut(classes.select("prefix", "rep", "n").mapInArrow(keep, "pos int, g long, rep long, n int"))
+    wanted.destroy()
     discard(repeated)
     return out
 
@@ -132,6 +135,7 @@ def _fetch(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for _, s in _sets(part, n)], pa.list_(pa.int64()))], ["id", "grams"])
 
     out = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "id long, grams array<long>"))
+    wanted.destroy()
     discard(ids)
     return out
 
@@ -261,7 +265,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     the result. Classes of one canopy that stay unlinked cost compares in the square of their number and rows by their
     number of blocks. Sets are compared by 64-bit hashes of their shingles.
     """
-    rows = cut(_signatures(docs, n, num, den))
+    rows = _signatures(docs, n, num, den)
     live = rows.where("n > 0 and doc_id is not null")
     classes = live.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.first("fine").alias("fine"), F.first("prefix").alias("prefix"))
     classes = cut(classes)

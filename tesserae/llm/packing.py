@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import re
 import zlib
 from array import array
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that wait at once in a task, and words whose ids a task remembers.
-POOL, REMEMBERED = 256, 300_000
+POOL, REMEMBERED = 256, 150_000
 EDGE_SPACE = re.compile(r"^\s|\s$")
 
 
@@ -65,16 +64,6 @@ class Encoder:
         return b"".join(out)
 
 
-@functools.lru_cache(maxsize=2)
-def _kept(arguments: tuple) -> Encoder:
-    return Encoder(**dict(arguments))
-
-
-def encoder_of(arguments: dict) -> Encoder:
-    """The Encoder of these arguments; a worker keeps it, and what it remembers, from task to task."""
-    return _kept(tuple(sorted(arguments.items())))
-
-
 class Packer:
     """Packs a stream of documents; finished sequences leave as lists of pieces (row, start, ids).
 
@@ -188,7 +177,7 @@ def pack(docs: DataFrame, encoder: dict, end_id: int = 1, tokens: int = 2048, se
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder_of(encoder).encode
+        encode = Encoder(**encoder).encode
         packer = Packer(tokens, segments, tokens if loss is None else loss)
         number = TaskContext.get().partitionId() << 40
         out: list[tuple] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from tesserae.llm.asof_join import clicks_to_orders
 from tesserae.llm.chat_format import format_conversations, read_back
 from tesserae.llm.common import table
 from tesserae.llm.embedding_dedup import near_duplicates
@@ -74,7 +75,37 @@ def op10_toxicity(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_vector_packing, op3_suffix_array_dedup, op4_url_filter, op5_quality_classifier, op6_fingerprints, op7_source_mixing, op8_chat_format, op9_ngram_jaccard_join, op10_toxicity)}
+def op11_asof_join(spark, sf_dir):
+    return clicks_to_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
+DEALT = (
+    op1_embedding_dedup,
+    op2_vector_packing,
+    op3_suffix_array_dedup,
+    op4_url_filter,
+    op5_quality_classifier,
+    op6_fingerprints,
+    op7_source_mixing,
+    op8_chat_format,
+    op9_ngram_jaccard_join,
+    op10_toxicity,
+    op11_asof_join,
+)
+QUERIES = {f.__name__: f for f in DEALT}
+#: crc32 of an id's decimal digits, in SQL: a table of 256 values, then one step for each digit.
+CRC_STEP = "CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+CRC_TABLE = f"""crc_bits AS (
+            WITH RECURSIVE b(i, k, v) AS (
+                SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, {CRC_STEP} FROM b WHERE k < 8)
+            SELECT list(v ORDER BY i) AS crc_t FROM b WHERE k = 8)"""
+
+
+def crc_sql(ident: str) -> str:
+    digits = f"list_transform(string_split(CAST({ident} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, d: xor(c >> 8, crc_t[CAST(xor(c, d) & 255 AS BIGINT) + 1])), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op7_source_mixing": """
         WITH sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM documents GROUP BY source),
@@ -85,4 +116,21 @@ ORACLES: dict[str, str] = {
         times AS (SELECT d.doc_id, count(*) AS x FROM draws d JOIN steps s ON d.source = s.source AND s.cdf <= d.u GROUP BY d.doc_id)
         SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.k AS INTEGER) AS "copy"
         FROM documents d JOIN times t ON d.doc_id = t.doc_id JOIN range(1, 400) AS c(k) ON c.k <= t.x""",
+    "op11_asof_join": f"""
+        WITH {CRC_TABLE},
+        clicked AS (SELECT click_id, client_id, min(epoch_us(ts)) AS t FROM clicks GROUP BY ALL),
+        hashed AS (SELECT click_id, client_id, t, {crc_sql("click_id")} AS h FROM clicked, crc_bits),
+        events AS (SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN t - t % 86400000000 ELSE t END AS ts_us FROM hashed),
+        sold AS (SELECT *, epoch_us(sold_at) AS t, {crc_sql("sale_id")} AS h FROM sales, crc_bits),
+        used AS (SELECT client_id, sale_id, priority, CAST(floor(100 * total + 0.5) AS BIGINT) AS cents, h,
+                        CASE WHEN h % 2 = 1 THEN t - t % 86400000000 ELSE t END AS at_us FROM sold WHERE client_id IS NOT NULL AND t IS NOT NULL),
+        both_orders AS (SELECT client_id, at_us, sale_id, priority, cents FROM used
+                        UNION ALL SELECT client_id, at_us, -1 - sale_id, 6 - priority, cents FROM used WHERE h % 3 <> 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id, at_us ORDER BY priority DESC NULLS LAST, sale_id) AS r,
+                          count(*) OVER (PARTITION BY client_id, at_us) AS n FROM both_orders),
+        best AS (SELECT * FROM ranked WHERE r = 1)
+        SELECT e.click_id, e.client_id, e.ts_us, CASE WHEN ok THEN sale_id END AS sale_id, CASE WHEN ok THEN e.ts_us - at_us END AS lag_us,
+               CASE WHEN ok THEN cents END AS total_cents, CASE WHEN ok THEN n ELSE 0 END AS n_tied
+        FROM (SELECT e.*, b.sale_id, b.at_us, b.cents, b.n, coalesce(e.ts_us - b.at_us <= 259200000000, false) AS ok
+              FROM events e ASOF LEFT JOIN best b ON e.client_id = b.client_id AND e.ts_us >= b.at_us) e""",
 }

@@ -15,12 +15,15 @@ from tesserae.llm.ngram_join import ngram_components
 from tesserae.llm.packing import pack
 from tesserae.llm.quality import quality_scores
 from tesserae.llm.suffix_dedup import merged_passages
+from tesserae.llm.token_alignment import align_tokens
 from tesserae.llm.toxicity import toxicity_scores
 from tesserae.llm.url_filter import filter_urls
 
 #: Production parameters: the tokenizer's files and what its split pattern and special token are.
 BYTE_BPE = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": ("<|endoftext|>",)}
 
+#: Production parameters of the alignment: side A's files and split pattern, side B's file.
+ALIGNED = {"tokenizer_path": BYTE_BPE["tokenizer_path"], "ranks_path": BYTE_BPE["ranks_path"], "pattern": BYTE_BPE["pattern"], "pieces_path": public_tokenizers.path("piece_bpe_32k.model")}
 
 #: Production parameters of the packing: the first 32 tokens of a document (at most half) count as its prompt and bear no
 #: loss, and a sequence has at most 64 documents and 2016 loss-bearing tokens of 2048.
@@ -79,6 +82,10 @@ def op11_asof_join(spark, sf_dir):
     return clicks_to_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"), ALIGNED)
+
+
 DEALT = (
     op1_embedding_dedup,
     op2_vector_packing,
@@ -91,6 +98,7 @@ DEALT = (
     op9_ngram_jaccard_join,
     op10_toxicity,
     op11_asof_join,
+    op13_token_alignment,
 )
 QUERIES = {f.__name__: f for f in DEALT}
 #: crc32 of an id's decimal digits, in SQL: a table of 256 values, then one step for each digit.

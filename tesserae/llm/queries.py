@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.asof_join import clicks_to_orders
 from tesserae.llm.chat_format import format_conversations, read_back
 from tesserae.llm.common import table
+from tesserae.llm.decontamination import contamination
 from tesserae.llm.embedding_dedup import near_duplicates
 from tesserae.llm.fingerprints import fingerprints
 from tesserae.llm.mixing import mix_sources
@@ -82,6 +83,10 @@ def op11_asof_join(spark, sf_dir):
     return clicks_to_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
+def op12_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark, sf_dir):
     return align_tokens(table(spark, sf_dir, "documents"), ALIGNED)
 
@@ -98,6 +103,7 @@ DEALT = (
     op9_ngram_jaccard_join,
     op10_toxicity,
     op11_asof_join,
+    op12_decontamination,
     op13_token_alignment,
 )
 QUERIES = {f.__name__: f for f in DEALT}
@@ -109,6 +115,10 @@ CRC_TABLE = f"""crc_bits AS (
             SELECT list(v ORDER BY i) AS crc_t FROM b WHERE k = 8)"""
 
 
+#: Words of op12 in SQL.
+WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def crc_sql(ident: str) -> str:
     digits = f"list_transform(string_split(CAST({ident} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
     return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, d: xor(c >> 8, crc_t[CAST(xor(c, d) & 255 AS BIGINT) + 1])), 4294967295)"
@@ -141,4 +151,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN ok THEN cents END AS total_cents, CASE WHEN ok THEN n ELSE 0 END AS n_tied
         FROM (SELECT e.*, b.sale_id, b.at_us, b.cents, b.n, coalesce(e.ts_us - b.at_us <= 259200000000, false) AS ok
               FROM events e ASOF LEFT JOIN best b ON e.client_id = b.client_id AND e.ts_us >= b.at_us) e""",
+    "op12_decontamination": f"""
+        WITH item_words AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+        at AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0),
+        runs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS run, len(w[i : i + 9]) AS n FROM at),
+        doc_words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc_words),
+        ten AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g FROM words),
+        grams AS (SELECT doc_id, i, n, array_to_string(g[1 : n], ' ') AS run FROM ten JOIN (SELECT DISTINCT n FROM runs) ON len(g) >= n),
+        found AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN runs r ON g.run = r.run AND g.n = r.n),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM found GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(d.w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc_words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.functions.text import py_strip
+from tesserae.operators.written import hidden, written
 
 
 def unfenced(c: Column) -> Column:
@@ -57,20 +58,26 @@ def ungrounded_rate(df: DataFrame) -> DataFrame:
     return ungrounded(df).agg(F.coalesce(F.avg((F.size("ungrounded") > 0).cast("double")), F.lit(0.0)).alias("rate"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int = 64) -> DataFrame:
-    """A global 1-based row number in this order without gathering all rows in one task.
+#: Rows of one range of a numbering.
+RANGE_ROWS = 500_000
 
-    Rows are split at approximate quantiles of the first column (a number); each range is numbered by itself and offset
-    by the sizes of those before, of which there are `parts` at most.
+
+def numbered(df: DataFrame, order: list[str], name: str = "rn", parts: int | None = None) -> DataFrame:
+    """A global 1-based row number in this order, in two passes and without gathering rows in one task.
+
+    Rows are dealt to ranges of the order columns and of their place in the input, so that rows equal in all of these are
+    split too; the sorted ranges are written once, counted, and numbered from the sums of the ranges before. There are
+    as many ranges as the row count needs at RANGE_ROWS each, unless `parts` says so. Nulls come first; rows that are
+    equal in the order columns keep an order of their own. An empty table stays empty.
     """
-    cuts = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
-    dealt = df.withColumn("_b", bucket)
-    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return dealt.withColumn("_rn", own).join(F.broadcast(before), "_b").withColumn(name, F.col("_rn") + F.col("_before")).drop("_b", "_rn", "_before")
+    place, part, own, size, before = hidden([*df.columns, name], "place", "part", "own", "size", "before")
+    parts = parts or max(1, -(-df.count() // RANGE_ROWS))
+    dealt = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(parts, *order, place).sortWithinPartitions(*order, place)
+    kept = written(dealt.drop(place).withColumn(part, F.spark_partition_id()).withColumn(own, F.monotonically_increasing_id() % (1 << 33) + 1))
+    sizes = kept.groupBy(part).agg(F.count("*").alias(size))
+    above = F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = sizes.select(part, F.coalesce(above, F.lit(0)).alias(before))
+    return kept.join(F.broadcast(starts), part).withColumn(name, F.col(own) + F.col(before)).drop(part, own, before)
 
 
 def split_positional(df: DataFrame, order: list[str], ratio: float = 0.9) -> DataFrame:
@@ -79,7 +86,8 @@ def split_positional(df: DataFrame, order: list[str], ratio: float = 0.9) -> Dat
     cut = int(n * ratio)
     if cut >= n:
         cut = n - max(1, n // 10)
-    return numbered(df, order).withColumn("split", F.when(F.col("rn") <= cut, "train").otherwise("eval")).drop("rn")
+    (at,) = hidden([*df.columns, "split"], "at")
+    return numbered(df, order, at).withColumn("split", F.when(F.col(at) <= cut, "train").otherwise("eval")).drop(at)
 
 
 def plan_batches(spark, target: int, size: int = 5, abstain: float = 0.0) -> DataFrame:
@@ -111,8 +119,10 @@ def output_stats(df: DataFrame) -> DataFrame:
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in this order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+    (place,) = hidden(df.columns, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def last_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col("_k") <= n).drop("_k")
+    (place,) = hidden(df.columns, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col(place) <= n).drop(place)

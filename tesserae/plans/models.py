@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import extract, generate, heads, metrics, records, retrieve, tagger
+from tesserae.operators import contrastive, extract, generate, heads, metrics, records, retrieve, tagger
 from tesserae.operators.chunk import chunk_paragraphs
 from tesserae.plans.base import query, rows
 from tesserae.plans.registry import FEATURES_SQL
@@ -17,6 +17,10 @@ BINARY = {"classes": ["no", "yes"], "coef": [HEAD["coef"][1]], "intercept": [0.2
 SCORE = {"coef": HEAD["coef"][2], "intercept": 0.4, "score_min": 0.0, "score_max": 1.0}
 
 
+#: The tuning run of m06.
+TUNING = contrastive.Tuning(epochs=3, steps_an_epoch=6, rate=0.005)
+
+
 def _z(weights, bias) -> str:
     return f"list_inner_product(CAST(embedding AS DOUBLE[]), CAST({weights} AS DOUBLE[])) + {bias}"
 
@@ -64,6 +68,27 @@ def m01(spark, sf_dir):
     return generate.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), generate.HashingEncoder()).select("doc_id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
 
+#: Pairs of a text's first words: every tenth of the first hundred asks for all of them; a fifth of the pairs is held out.
+PAIRS = """SELECT doc_id AS pair_id, doc_id % 5 = 0 AS held_out, array_join(filter(w, (x, i) -> i % 10 = 0), ' ') AS query, array_join(w, ' ') AS passage
+    FROM (SELECT doc_id, slice(split(text, ' '), 1, 100) AS w FROM documents WHERE text IS NOT NULL) WHERE size(w) >= 10"""
+
+
+@query("m06_tune_encoder")
+def m06(spark, sf_dir):
+    """Retrieval of held-out queries among all passages before and after tuning on the other pairs."""
+    plain = generate.HashingEncoder(dim=64)
+    pairs = rows(spark, sf_dir, "documents", PAIRS)
+    vectors = generate.encode_texts(generate.encode_texts(pairs, plain, "query", "query_vector"), plain, "passage", "passage_vector")
+    w, _ = contrastive.tune(vectors.where("not held_out"), plain.dim, TUNING)
+    found = []
+    for phase, encoder in (("plain", plain), ("tuned", contrastive.Mapped(plain, w))):
+        asked = generate.encode_texts(pairs.where("held_out"), encoder, "query").select(F.col("pair_id").alias("query_id"), "vector")
+        index = generate.encode_texts(pairs, encoder, "passage").select(F.col("pair_id").alias("doc_id"), "vector")
+        ranked = retrieve.knn(asked, index, 10).withColumn("hit", F.col("query_id") == F.col("doc_id"))
+        found.append(metrics.retrieval_metrics(ranked, "query_id", "rank", "hit").withColumn("phase", F.lit(phase)))
+    return found[0].unionByName(found[1])
+
+
 # ---------------------------------------------------------------- retrieval with a scorer
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import py_strip
+from tesserae.operators.automaton import AUTOMATON_BYTES, contained, small_enough
 from tesserae.operators.profile import class_weights
 from tesserae.operators.records import keep_first
 from tesserae.operators.tagger import bio_tags, decode_bio, feature_rows, features, find_spans, score_tags, tokens
@@ -68,23 +69,23 @@ def memorized(train: DataFrame, order: str, entities: str = "entities") -> DataF
     return by.agg(F.min_by("e.type", F.struct(order, "ord")).alias("type")).where("surface <> ''")
 
 
-#: Known surfaces up to this number go to every text; of more, each meets the texts that hold its first characters.
-FEW_SURFACES, HEAD = 2_000, 3
+#: First characters by which surfaces too many for one automaton meet the texts that hold them.
+HEAD = 3
 
 
-def recall_memorized(df: DataFrame, known: DataFrame, key: str, text: str = "text", few: int = FEW_SURFACES) -> DataFrame:
+def recall_memorized(df: DataFrame, known: DataFrame, key: str, text: str = "text", most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """(key, type, surface): the known surfaces that each text contains, whatever its case.
 
-    Up to `few` surfaces are looked for where a text is scanned. More are joined by their first HEAD characters with the
-    texts that hold these, and what is found is checked; shorter surfaces are few by nature and go to every text.
+    Surfaces of up to `most_bytes` in all are looked for in one scan of the texts by an automaton. More are joined by
+    their first HEAD characters with the texts that hold these, and what is found is checked; of those only the ones that
+    are shorter, bounded by the pairs of characters there are, go to every text.
     """
-    low = F.lower(F.col(text))
-    if known.limit(few + 1).count() <= few:
-        return df.select(key, low.alias("low")).join(F.broadcast(known), F.contains("low", "surface")).select(key, "type", "surface")
-    chars = df.select(key, low.alias("low"), F.split(low, "").alias("chars")).where(F.length("low") >= HEAD)
+    low = df.select(key, F.lower(F.col(text)).alias("low"))
+    if small_enough(known, most_bytes=most_bytes):
+        return contained(low, known, key, "low")
+    chars = low.select(key, "low", F.split("low", "").alias("chars")).where(F.length("low") >= HEAD)
     head = lambda i: F.concat(*(F.get("chars", i + k) for k in range(HEAD)))
     heads = chars.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("chars") - HEAD), head))).alias("head"))
     long = known.where(F.length("surface") >= HEAD).withColumn("head", F.substring("surface", 1, HEAD))
-    found = heads.join(long, "head").join(df.select(key, low.alias("low")), key).where(F.contains("low", "surface"))
-    short = df.select(key, low.alias("low")).join(F.broadcast(known.where(F.length("surface") < HEAD)), F.contains("low", "surface"))
-    return found.select(key, "type", "surface").unionByName(short.select(key, "type", "surface"))
+    found = heads.join(long, "head").join(low, key).where(F.contains("low", "surface"))
+    return found.select(key, "type", "surface").unionByName(contained(low, known.where(F.length("surface") < HEAD), key, "low"))

@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import TOKEN, shape
+from tesserae.operators.automaton import AUTOMATON_BYTES, occurrences, small_enough
 
 
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, tok, s, e): words joined by - . /, or single symbols; offsets are in characters from 0.
 
     Between tokens there is only white space, so splitting the text at tokens gives the gaps, and running sums of both
-    give the offsets.
+    within the row give the offsets; nothing is shuffled.
     """
-    toks = F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)
-    gaps = F.split(F.col(text), TOKEN)
-    rows = df.select(key, F.posexplode(F.arrays_zip(toks.alias("tok"), gaps.alias("gap"))).alias("pos", "z")).where("z.tok is not null")
-    w = Window.partitionBy(key).orderBy("pos")
-    end = F.sum(F.length("z.tok") + F.length("z.gap")).over(w)
-    return rows.select(key, "pos", F.col("z.tok").alias("tok"), (end - F.length("z.tok")).cast("int").alias("s"), end.cast("int").alias("e"))
+    found = F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)
+    lengths = lambda c: F.transform(c, F.length)
+    held = df.select(key, found.alias("toks"), F.split(F.col(text), TOKEN).alias("gaps")).where("size(toks) > 0")
+    held = held.select(key, "toks", lengths("toks").alias("sizes"), F.slice(lengths("gaps"), F.lit(1), F.size("toks")).alias("before"))
+    schema = df.select(F.col(key), F.lit(0).alias("pos"), F.lit("").alias("tok"), F.lit(0).alias("s"), F.lit(0).alias("e")).schema
+    return held.mapInArrow(_laid_out, schema)
+
+
+#: Tokens of one batch that a task gives out.
+TOKENS_A_BATCH = 50_000
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tokens from rows of (key, tokens, their lengths, the lengths of the gaps before them)."""
+    for batch in batches:
+        counts = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        group = np.cumsum(counts) // TOKENS_A_BATCH
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            part, n = batch.slice(at[0], len(at)), counts[at]
+            size, gap = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            first = np.cumsum(n) - n
+            end = np.cumsum(size + gap)
+            end -= np.repeat(np.concatenate([[0], end])[first], n)
+            key = part.column(0).take(pa.array(np.repeat(np.arange(len(at)), n)))
+            columns = [pa.array(x.astype(np.int32)) for x in (np.arange(len(end)) - np.repeat(first, n), end - size, end)]
+            yield pa.RecordBatch.from_arrays([key, columns[0], part.column(1).flatten(), *columns[1:]], ["key", "pos", "tok", "s", "e"])
 
 
 def is_title(c):
@@ -53,22 +80,25 @@ def feature_rows(wide: DataFrame, key: str) -> DataFrame:
     return wide.select(key, "pos", F.explode(F.array(*pairs)).alias("f")).select(key, "pos", "f.feature", "f.value").where("feature is not null")
 
 
-def find_spans(df: DataFrame, surfaces: DataFrame, key: str, text: str = "text") -> DataFrame:
+def find_spans(df: DataFrame, surfaces: DataFrame, key: str, text: str = "text", most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """(key, type, surface, ord, gs, ge): all occurrences, not overlapping, of (type, surface) in each text.
 
-    surfaces has a text's own entities (key, ord, type, surface), or one vocabulary (type, surface) for all texts; then
-    the join is by each one's first word, so a text meets those only that can occur in it.
+    surfaces has a text's own entities (key, ord, type, surface), which meet it in a join, or one vocabulary (type,
+    surface) for all texts. A vocabulary of up to `most_bytes` is looked for in one scan of the texts; a larger one is
+    joined by each surface's first word's first character, so a text meets those only that can occur in it.
     """
     found = surfaces.where(F.length("surface") > 0)
     if "ord" not in found.columns:
         found = found.withColumn("ord", F.lit(0))
-    parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col("surface"), F.lit("\\E")))
     if key in found.columns:
         pairs = found.select(key, "type", "surface", "ord")
+    elif small_enough(found, most_bytes=most_bytes):
+        return occurrences(df, found.select("type", "surface", "ord").distinct(), key, text)
     else:
         first = r"(?U)\w+|[^\w\s]"
         words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w|[^\w\s]"), 0))).alias("c"))
         pairs = words.join(found.withColumn("c", F.substring(F.regexp_extract("surface", first, 0), 1, 1)), "c").select(key, "type", "surface", "ord").distinct()
+    parts = F.split(F.col(text), F.concat(F.lit("\\Q"), F.col("surface"), F.lit("\\E")))
     rows = df.select(key, text).join(pairs, key).where(F.contains(F.col(text), F.col("surface")))
     rows = rows.select(key, "type", "surface", "ord", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("k", "gap"))
     w = Window.partitionBy(key, "type", "surface", "ord").orderBy("k")
@@ -76,13 +106,71 @@ def find_spans(df: DataFrame, surfaces: DataFrame, key: str, text: str = "text")
     return rows.select(key, "type", "surface", "ord", (end - F.length("surface")).cast("int").alias("gs"), end.cast("int").alias("ge"))
 
 
+def stretches(spans: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, best) of spans (.., start, end) in order of rank: best[i] is the first one over edges[i - 1]:edges[i].
+
+    A sweep over the spans' ends with those that are open in a heap; where none is open, best is len(spans).
+    """
+    edges = sorted({x for span in spans for x in span[-2:]})
+    begins, open_spans, best, k = sorted(range(len(spans)), key=lambda i: spans[i][-2]), [], [len(spans)], 0
+    for x in edges:
+        while k < len(begins) and spans[begins[k]][-2] == x:
+            heappush(open_spans, begins[k])
+            k += 1
+        while open_spans and spans[open_spans[0]][-1] <= x:
+            heappop(open_spans)
+        best.append(open_spans[0] if open_spans else len(spans))
+    return np.array(edges, np.int64), np.array([*best, len(spans)], np.int64)
+
+
+def _tags_of(batch: pa.RecordBatch, spans: list[tuple]) -> np.ndarray:
+    """Tags of the tokens of one text by its spans (ord, type, gs, ge)."""
+    if not spans:
+        return np.full(batch.num_rows, "O", object)
+    spans = sorted(spans)
+    edges, best = stretches(spans)
+    s, e = (batch.column(c).to_numpy() for c in ("s", "e"))
+    ends = np.stack([np.searchsorted(edges, s, "right"), np.searchsorted(edges, e, "left") + 1], axis=1).ravel()
+    first = np.minimum.reduceat(best, ends)[::2]
+    begin = np.array([gs for _, _, gs, _ in spans] + [0])[first]
+    inner, outer = (np.array([*(f"{mark}-{kind}" for _, kind, _, _ in spans), "O"], object)[first] for mark in "IB")
+    return np.where(s <= begin, outer, inner)
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tagged tokens from rows sorted by key in which a text's spans (kind 0) stand before its tokens (kind 1)."""
+    key, spans = None, []
+    for batch in batches:
+        keys = batch.column(0)
+        code = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        kind = batch.column("kind").to_numpy()
+        starts = np.flatnonzero((np.diff(code, prepend=code[:1] - 1) != 0) | (np.diff(kind, prepend=-1) != 0)) if batch.num_rows else []
+        done = []
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            part, own = batch.slice(lo, hi - lo), keys[lo].as_py()
+            if own != key:
+                key, spans = own, []
+            if kind[lo]:
+                done.append((part.select(part.schema.names[:1] + ["pos", "tok", "s", "e"]), _tags_of(part, spans)))
+            else:
+                spans += zip(*(part.column(c).to_pylist() for c in ("ord", "type", "s", "e")), strict=True)
+        if done:
+            table = pa.Table.from_batches([p for p, _ in done]).append_column("tag", pa.array(np.concatenate([t for _, t in done]), pa.string()))
+            yield from table.combine_chunks().to_batches()
+
+
 def bio_tags(toks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, pos, tok, s, e, tag); of overlapping spans the first of the list (ord) wins, then by type, then by start."""
-    order = F.struct("ord", "type", "gs") if "ord" in spans.columns else F.struct(F.lit(0).alias("ord"), "type", "gs")
-    hit = toks.join(spans, key).where("s < ge and e > gs")
-    first = hit.groupBy(key, "pos").agg(F.min(order).alias("m"))
-    tag = F.when(F.col("m").isNull(), "O").when(F.col("s") <= F.col("m.gs"), F.concat(F.lit("B-"), F.col("m.type"))).otherwise(F.concat(F.lit("I-"), F.col("m.type")))
-    return toks.join(first, [key, "pos"], "left").select(key, "pos", "tok", "s", "e", tag.alias("tag"))
+    """(key, pos, tok, s, e, tag); of overlapping spans the first of the list (ord) wins, then by type, then by start.
+
+    Tokens and spans are dealt by key and met in a sweep, in time linear in both but for sorting: a text's spans are held,
+    its tokens pass. Tokens without a key (and spans without one) are of one text.
+    """
+    order = F.col("ord").cast("int") if "ord" in spans.columns else F.lit(0)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = toks.select(key, F.lit(1).alias("kind"), F.col("pos").cast("int").alias("pos"), "tok", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), none("int", "ord"), none("string", "type"))
+    rows = rows.union(spans.select(key, F.lit(0), none("int", "pos"), none("string", "tok"), F.col("gs").cast("int"), F.col("ge").cast("int"), order, "type"))
+    schema = toks.select(F.col(key), F.lit(0).alias("pos"), F.lit("").alias("tok"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("tag")).schema
+    return rows.repartition(key).sortWithinPartitions(key, "kind").mapInArrow(_swept, schema)
 
 
 def decode_bio(tagged: DataFrame, key: str) -> DataFrame:

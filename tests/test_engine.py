@@ -85,8 +85,8 @@ def test_tagger_learns_and_extracts(spark):
     assert {(r["surface"], r["gs"]) for r in spans.collect()} == {("in", 11), ("in", 18), ("in", 29), ("Berlin", 14)}
     known = extract.memorized(df, "id")
     short = known.union(spark.createDataFrame([("in", "D"), ("é", "D")], known.schema))
-    for few in (100, 0):
-        found = extract.recall_memorized(new, short, "id", few=few).collect()
+    for most in (100, 0):
+        found = extract.recall_memorized(new, short, "id", most_bytes=most).collect()
         assert sorted(map(tuple, found)) == [(1, "C", "berlin"), (1, "D", "in"), (1, "S", "svc-9")]
 
 

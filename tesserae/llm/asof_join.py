@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 SAMPLED = 64
 
 
-def micros(column: str) -> Column:
-    """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone."""
-    day = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    second = F.hour(column) * 3600 + F.minute(column) * 60
-    return day * 86_400_000_000 + second.cast("long") * 1_000_000 + (F.expr(f"extract(second from `{column}`)") * 1_000_000).cast("long")
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a timestamp; one without a zone counts as UTC, whatever the session's zone."""
+    if df.schema[column].dataType == T.TimestampType():
+        return F.unix_micros(column)
+    within = F.rint(F.expr(f"cast(extract(second from `{column}`) as double)") * 1e6).cast("long") % 1_000_000
+    return F.unix_timestamp(column) * 1_000_000 + within
 
 
 def _rank(best: tuple) -> tuple:
@@ -30,11 +31,14 @@ def joined(a: tuple, b: tuple) -> tuple:
 
 
 def deal_events(bounds: list[tuple]):
-    """Rows (key, at, tag, id) with the partition that holds them; equal keys and times are dealt by tag."""
+    """Rows (key, at, tag, id) with the partition that holds them; equal keys and times are dealt by tag.
+
+    Composite keys are (key, twice the time and 1 for events, partition): orders sort before events of the same time.
+    """
 
     def deal(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, at, tag, ident in rows:
-            yield (key, at, 1, bisect_right(bounds, (key, at, 1, tag))), ident
+            yield (key, 2 * at + 1, bisect_right(bounds, (key, at, 1, tag))), ident
 
     return deal
 
@@ -58,7 +62,7 @@ def deal_orders(bounds: list[tuple], tolerance: int):
                     last[p] = (at, group)
                 elif at == have[0]:
                     last[p] = (at, joined(have[1], group))
-            yield (key, at, 0, p), group
+            yield (key, 2 * at, p), group
         carried = None
         for p, bound in enumerate(bounds):
             if p and bounds[p - 1][0] != bound[0]:
@@ -71,7 +75,7 @@ def deal_orders(bounds: list[tuple], tolerance: int):
             if carried and bound[1] - carried[0] > tolerance:
                 carried = None
             if carried:
-                yield (bound[0], carried[0], 0, p + 1), carried[1]
+                yield (bound[0], 2 * carried[0], p + 1), carried[1]
 
     return deal
 
@@ -82,8 +86,9 @@ def merge(tolerance: int, width: int):
 
     def match(rows: Iterator[tuple]) -> Iterator[tuple]:
         key = at = group = None
-        for (k, t, side, _), value in rows:
-            if side:
+        for (k, when, _), value in rows:
+            t = when >> 1
+            if when & 1:
                 if group is not None and k == key and t - at <= tolerance:
                     yield (value, k, t, at, *group[1], group[0])
                 else:
@@ -96,12 +101,11 @@ def merge(tolerance: int, width: int):
     return match
 
 
-def _bounds(keys: DataFrame, partitions: int) -> list[tuple]:
+def _bounds(keys: DataFrame, rows: int, partitions: int) -> list[tuple]:
     """Keys between partitions of like numbers of rows, from a sample of SAMPLED keys for each of them."""
-    rows = keys.count()
     if partitions < 2 or not rows:
         return []
-    sample = sorted(tuple(r) for r in keys.sample(min(1.0, SAMPLED * partitions / rows), 11).collect())
+    sample = sorted(tuple(r) for r in keys.sample(min(1.0, SAMPLED * partitions / rows), 11).where("key is not null and at is not null").collect())
     return sorted({sample[i * len(sample) // partitions] for i in range(1, partitions)}) if sample else []
 
 
@@ -122,16 +126,16 @@ def asof_join(events: DataFrame, orders: DataFrame, tolerance: int, partitions:
     """
     spark = events.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    events, orders = events.select("id", "key", "at"), orders.select("key", "at", "rank").where("key is not null and at is not null")
+    events, orders = events.select("id", "key", "at"), orders.select("key", "at", "rank")
+    rows = events.count() + orders.count()
     fields = orders.schema["rank"].dataType.fields
     tag = F.hash("id")
-    keys = events.where("key is not null and at is not null").select("key", "at", F.lit(1), tag).union(orders.select("key", "at", F.lit(0), F.lit(0)))
-    bounds = _bounds(keys, partitions)
+    bounds = _bounds(events.select("key", "at", F.lit(1), tag).union(orders.select("key", "at", F.lit(0), F.lit(0))), rows, partitions)
     once = events.groupBy("id", F.when(F.col("id").isNull(), F.struct("key", "at")).alias("unlike")).agg(F.expr("min_by(struct(key, at), struct(key is null or at is null, at, key))").alias("e")).select("id", "e.key", "e.at")
-    counted = orders.groupBy("key", "at").agg(F.count("*").alias("number"), F.max("rank").alias("best"))
+    counted = orders.where("key is not null and at is not null").groupBy("key", "at").agg(F.count("*").alias("number"), F.max("rank").alias("best"))
     left = once.where("key is not null and at is not null").select("key", "at", tag, "id").rdd.mapPartitions(deal_events(bounds))
     right = counted.rdd.mapPartitions(deal_orders(bounds, tolerance))
-    dealt = left.union(right).repartitionAndSortWithinPartitions(len(bounds) + 1, lambda key: key[3])
+    dealt = left.union(right).repartitionAndSortWithinPartitions(len(bounds) + 1, lambda key: key[2])
     kinds = {f.name: f.dataType for f in events.schema.fields}
     schema = T.StructType([T.StructField(n, kinds[n]) for n in ("id", "key", "at")] + [T.StructField("matched", T.LongType())] + [T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("n_tied", T.LongType())])
     found = spark.createDataFrame(dealt.mapPartitions(merge(tolerance, len(fields))), schema, verifySchema=False)
@@ -147,13 +151,13 @@ def clicks_to_orders(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     """
     day = 86_400_000_000
 
-    def used(ident: str, at: str) -> Column:
-        t = micros(at)
+    def used(df: DataFrame, ident: str, at: str) -> Column:
+        t = micros(df, at)
         return F.when(F.crc32(F.col(ident).cast("string").cast("binary")) % 2 == 1, t - F.pmod(t, F.lit(day))).otherwise(t)
 
-    events = clicks.select(F.col("click_id").cast("long").alias("id"), F.col("client_id").cast("long").alias("key"), used("click_id", "ts").alias("at"))
+    events = clicks.select(F.col("click_id").cast("long").alias("id"), F.col("client_id").cast("long").alias("key"), used(clicks, "click_id", "ts").alias("at"))
     cents = F.when(F.abs("total") < float("inf"), F.floor(100 * F.col("total") + F.lit(0.5)))
-    first = sales.select(F.col("client_id").cast("long").alias("key"), used("sale_id", "sold_at").alias("at"), F.col("sale_id").cast("long").alias("sale_id"), F.col("priority").cast("long").alias("priority"), cents.cast("long").alias("cents"), (F.crc32(F.col("sale_id").cast("string").cast("binary")) % 3 != 0).alias("twice"))
+    first = sales.select(F.col("client_id").cast("long").alias("key"), used(sales, "sale_id", "sold_at").alias("at"), F.col("sale_id").cast("long").alias("sale_id"), F.col("priority").cast("long").alias("priority"), cents.cast("long").alias("cents"), (F.crc32(F.col("sale_id").cast("string").cast("binary")) % 3 != 0).alias("twice"))
     both = first.withColumn("p", F.explode(F.expr("case when twice then array(struct(priority, sale_id), struct(6 - priority as priority, ~sale_id as sale_id)) else array(struct(priority, sale_id)) end")))
     orders = both.select("key", "at", F.struct(F.col("p.priority").alias("priority"), F.expr("~p.sale_id").alias("against"), "cents").alias("rank"))
     found = asof_join(events, orders, 72 * 3_600_000_000)

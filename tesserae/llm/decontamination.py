@@ -34,17 +34,20 @@ def _of_doc() -> Column:
     return (F.col("same") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))
 
 
-def index_words(docs: DataFrame, terms: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def index_words(docs: DataFrame, terms: DataFrame | None = None, limit: int = BROADCAST_ROWS, ends: bool = False) -> DataFrame:
     """The index: postings (term, doc_id, same, pos) of docs(doc_id, text), written with each term's rows together.
 
     `same` is a hash of the text, so that unlike texts under one doc_id, or under none, are told apart; equal rows give
     equal postings. With `terms` (term), only their postings are stored. pos counts a text's words from 0; null and empty
-    texts have none.
+    texts have none. With `ends`, each row, those too, has one more posting of the empty term, at its number of words.
     """
-    each = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(words_of()).alias("pos", "word"))
+    words = words_of() if not ends else F.array_append(F.coalesce(words_of(), F.array().cast("array<string>")), F.lit(""))
+    each = docs.select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(words).alias("pos", "word"))
     postings = each.select(lowered("word").alias("term"), "doc_id", "same", "pos")
     if terms is not None:
-        postings = postings.join(_small(terms.select(F.col("term").alias("wanted")).distinct(), limit), F.col("term") == F.col("wanted")).drop("wanted")
+        wanted = terms.select(F.col("term").alias("wanted"))
+        wanted = wanted.union(wanted.sparkSession.createDataFrame([("",)], "wanted string")) if ends else wanted
+        postings = postings.join(_small(wanted.distinct(), limit), F.col("term") == F.col("wanted")).drop("wanted")
     return cut(postings.sortWithinPartitions("term"))
 
 
@@ -119,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, limit: int
     """
     runs = cut(phrases_of(items.select("item_id", "text"), size))
     docs = docs.select("doc_id", "text")
-    index = index_words(docs, runs.select(F.explode("terms").alias("term")), limit)
+    index = index_words(docs, runs.select(F.explode("terms").alias("term")), limit, ends=True)
     found = cut(phrase_matches(index, runs.select("phrase", "terms"), limit))
     before = Window.partitionBy(*DOC).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     ends = found.select(*DOC, "start", F.col("n").cast("long").alias("n")).distinct()
@@ -128,8 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, limit: int
     names = found.select(*DOC, "phrase").distinct().join(_small(runs.where("item_id is not null").select("phrase", F.col("item_id").cast("string").alias("item")), limit), "phrase")
     listed = names.groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = hits.join(listed.toDF("d", "s", "items"), _of_doc(), "left").select(F.col("doc_id").alias("d"), F.col("same").alias("s"), "n_hit", "items")
-    every = docs.select("doc_id", F.xxhash64("text").alias("same"), F.coalesce(F.size(words_of()).cast("long"), F.lit(0)).alias("n_words"))
-    every = every.withColumn("n_words", F.greatest("n_words", F.lit(0)))
+    every = index.where("term = ''").select(*DOC, F.col("pos").cast("long").alias("n_words"))
     out = every.join(both, _of_doc(), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

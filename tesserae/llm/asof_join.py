@@ -18,7 +18,9 @@ def micros(df: DataFrame, column: str) -> Column:
     if df.schema[column].dataType == T.TimestampType():
         return F.unix_micros(column)
     within = F.rint(F.expr(f"cast(extract(second from `{column}`) as double)") * 1e6).cast("long") % 1_000_000
-    return F.unix_timestamp(column) * 1_000_000 + within
+    second = F.unix_timestamp(column)  # before 1970 rounded up
+    up = (second <= 0) & (within > 0) & (F.pmod(second, F.lit(60)) != F.second(column))
+    return F.when(up, second - 1).otherwise(second) * 1_000_000 + within
 
 
 def _rank(best: tuple) -> tuple:

@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
         rates AS (SELECT source, (SELECT sum(n) FROM sizes) * w / (SELECT sum(w) FROM sizes) / n AS r FROM sizes),
         steps AS (SELECT source, k, sum(exp(-r + k * ln(r) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
                   FROM rates CROSS JOIN range(0, 400) AS t(k) WHERE k <= ceil(r + 12 * sqrt(r) + 40)),
-        draws AS (SELECT d.*, CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents d),
+        draws AS (SELECT d.*, CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR) || '|' || md5(coalesce(text, '')) || '|0'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents d),
         times AS (SELECT d.doc_id, count(*) AS x FROM draws d JOIN steps s ON d.source = s.source AND s.cdf <= d.u GROUP BY d.doc_id)
         SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.k AS INTEGER) AS "copy"
         FROM documents d JOIN times t ON d.doc_id = t.doc_id JOIN range(1, 400) AS c(k) ON c.k <= t.x""",

@@ -31,16 +31,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at Jaccard 0.8 or more, the document with the smallest id stays.
 
-    Of rows that repeat doc_id and text the least by the other columns stays, of unlike texts under one doc_id each;
-    rows without doc_id link with nothing and stay.
+    Of rows that repeat doc_id and text the least by the other columns (as JSON) stays, of unlike texts under one doc_id
+    each; rows without doc_id link with nothing and stay. Columns may be of any name and type.
     """
     gone_id, rest_of = hidden(docs.columns, "gone", "rest")
     found = cut(ngram_components(docs, n=5, num=80, den=100))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-        single = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias(rest_of))
+        rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias(gone_id)]
+        single = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias(rest_of))
         kept = single.select("doc_id", "text", f"{rest_of}.*").select(*(f"`{c}`" for c in docs.columns)).union(kept.where("doc_id is null"))
     return kept
 
@@ -51,8 +51,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh the square root of their sizes; documents repeat by Poisson numbers."""
-    return mix_sources(docs, exponent=0.5).select(*docs.columns)
+    """Sources weigh the square root of their sizes; documents repeat by Poisson numbers, rows without doc_id too.
+
+    Columns of any name and type stay as they are; an empty table stays empty.
+    """
+    (copy,) = hidden(docs.columns, "copy")
+    return mix_sources(docs, exponent=0.5, copy=copy).select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import chunks, cut, discard
-from tesserae.llm.packing import EDGE_SPACE, REMEMBERED, Encoder
 
 #: Token ids of one event row, links that are held unsummed, and id pairs whose counts are broadcast (16 bytes each).
 BLOCK, LINKS, BROADCAST_PAIRS = 8192, 1 << 20, 2_000_000
@@ -36,55 +36,38 @@ def byte_level(vocabulary: dict[str, int]) -> list[bytes]:
 
 
 class Sides:
-    """Both sides' ids of a text as arrays, or None where a side's joined token bytes differ from space and text.
+    """Both sides' ids of a text as bytes, or None where a side's joined token bytes differ from space and text.
 
-    Between single spaces each side gives a stretch the same ids wherever it stands (no piece of side B holds its space
-    mark after another character, which is checked), so these are remembered; other texts are encoded whole.
+    With a rank file of side A's vocabulary and its split pattern, the library for these encodes instead.
     """
 
     def __init__(self, tokenizer_path: str, pieces_path: str, ranks_path: str | None = None, pattern: str | None = None):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(tokenizer_path)
-        whole.encode_special_tokens = True
-        self.a = Encoder(tokenizer_path, ranks_path, pattern)
-        self.a._whole = whole
+        self.a = Tokenizer.from_file(tokenizer_path)
+        self.a.encode_special_tokens = True
+        self.ranked = None
+        if ranks_path:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_a = byte_level(whole.get_vocab())
+        self.bytes_a = byte_level(self.a.get_vocab())
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.split = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.kinds = tuple(np.uint16 if len(x) <= 1 << 16 else np.uint32 for x in (self.bytes_a, self.bytes_b))
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def whole(self, text: str) -> tuple[bytes, bytes] | None:
-        raw = b" " + text.encode()
-        a = np.frombuffer(self.a.encode(" " + text), "<u4")
-        b = self.b.encode(text, num_threads=1)
-        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
-            return None
-        return a.astype(self.kinds[0]).tobytes(), np.asarray(b, self.kinds[1]).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, bytes] | None:
         if not text:
             return None
-        if not self.split or MARK in text:
-            return self.whole(text)
-        words, known, found = text.split(" "), self.words, []
-        for word in words:
-            try:
-                pair = known[word]
-            except KeyError:
-                if not word or EDGE_SPACE.search(word):
-                    return self.whole(text)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                pair = known[word] = self.whole(word)
-            if pair is None:
-                return None if len(words) == 1 else self.whole(text)
-            found.append(pair)
-        return b"".join([p[0] for p in found]), b"".join([p[1] for p in found])
+        raw, given = b" " + text.encode(), " " + text
+        a = self.ranked(given) if self.ranked else self.a.encode(given, add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a)) != raw:
+            return None
+        return np.array(a, self.kinds[0]).tobytes(), np.array(b, self.kinds[1]).tobytes()
 
 
 _sides: dict[tuple, Sides] = {}

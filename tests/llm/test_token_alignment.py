@@ -104,8 +104,8 @@ def test_empty(odd):
     assert align_tokens(odd.limit(0), queries.ALIGNED, broadcast_pairs=-1).count() == 0
 
 
-def test_remembered_words_change_nothing(plain):
-    sides = token_alignment.Sides(**queries.ALIGNED)
-    for text in ("a b c", "a  b", "x\n y", "x \n y", "é è", "▁", "it's don't", "1 22 333", "a. b", "word\n\nword"):
-        assert sides.encode(text) == sides.whole(text)
-    assert sides.encode("") is None
+def test_both_libraries_encode_alike():
+    ranked = token_alignment.Sides(**queries.ALIGNED)
+    plain = token_alignment.Sides(queries.ALIGNED["tokenizer_path"], queries.ALIGNED["pieces_path"])
+    for text in ("a b c", "a  b", "x\n y", "x \n y", "é è", "▁", "it's don't", "1 22 333", "<|endoftext|>", "word\n\nword", ""):
+        assert ranked.encode(text) == plain.encode(text)

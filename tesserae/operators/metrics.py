@@ -2,29 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.written import hidden
 
-def indexed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], prefix: str = "p") -> DataFrame:
-    """The value at index min(floor(n p), n - 1) of each group in ascending order, by counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(*keys).agg(*(at(p).alias(f"{prefix}{round(p * 100)}") for p in shares))
 
+#: Rows of a group that its last step sorts, and parts into which a narrowing step cuts a group's range.
+SORTED_ROWS, PARTS = 1_000_000, 4096
 
-def latency_summary(df: DataFrame, keys: list[str], latency: str = "latency_ms", ttft: str = "ttft_ms", itl: str = "itl_ms", rate: str = "tok_s") -> DataFrame:
+
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], own: list[str], part: Column) -> DataFrame:
+    """state with each place's range cut to the part that holds it; `part` is a part's number, rising with the value."""
+    value, share, lo, hi, index, below = own[len(keys) :]
+    same = F.lit(True)
+    for key, name in zip(keys, own, strict=False):
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    inside = rows.join(state, same).where(F.col(value).between(F.col(lo), F.col(hi)))
+    mine = [*own[: len(keys)], share, index, below]
+    cut = inside.groupBy(*mine, part.alias("part")).agg(F.count("*").alias("c"), F.min(value).alias("least"), F.max(value).alias("most"))
+    upto = F.sum("c").over(Window.partitionBy(*own[: len(keys)], share).orderBy("part")) + F.col(below)
+    held = cut.withColumn("upto", upto).where((F.col("upto") > F.col(index)) & (F.col("upto") - F.col("c") <= F.col(index)))
+    return held.select(*own[: len(keys)], share, index, F.col("least").alias(lo), F.col("most").alias(hi), (F.col("upto") - F.col("c")).alias(below))
+
+
+def indexed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], prefix: str = "p", rounds: int | None = None) -> DataFrame:
+    """The value at index min(floor(n p), n - 1) of each group in ascending order, exactly and without sorting a group.
+
+    Each of `rounds` narrowing steps counts the rows of PARTS parts of the range that holds a place, in every task, and
+    goes on with one part; what is left is counted by distinct value. Rounds are chosen by the row count so that a last
+    step sorts SORTED_ROWS or so. Nulls are left out, a group of nulls alone is missing; null keys are a group. Numbers
+    of any kind; NaN is the largest.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    if rounds is None:
+        n, rounds = rows.count(), 0
+        while n > SORTED_ROWS:
+            n, rounds = n // PARTS, rounds + 1
+    own = hidden(df.columns, *(f"key{i}" for i in range(len(keys))), "share", "lo", "hi", "index", "below")
+    own.insert(len(keys), value)
+    share, lo, hi, index, below = own[len(keys) + 1 :]
+    sizes = rows.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=False))).agg(F.count("*").alias("n"), F.min(value).alias(lo), F.max(value).alias(hi))
+    state = sizes.withColumn(share, F.explode(F.array(*map(F.lit, shares)))).withColumn(below, F.lit(0).cast("long"))
+    state = state.withColumn(index, F.least(F.floor(F.col("n") * F.col(share)), F.col("n") - 1)).drop("n")
+    at = (F.col(value) - F.col(lo)).cast("double") / (F.col(hi) - F.col(lo)).cast("double") * PARTS
+    part = F.when(F.col(hi) > F.col(lo), F.least(F.floor(F.nanvl(at, F.lit(float(PARTS)))), F.lit(PARTS - 1))).otherwise(0)
+    for _ in range(rounds):
+        state = _narrowed(rows, state, keys, own, part)
+    found = _narrowed(rows, state, keys, own, F.col(value))
+    named = found.groupBy(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=False)))
+    return named.agg(*(F.max(F.when(F.col(share) == p, F.col(lo))).alias(f"{prefix}{round(p * 100)}") for p in shares))
+
+
+def latency_summary(df: DataFrame, keys: list[str], latency: str = "latency_ms", ttft: str = "ttft_ms", itl: str = "itl_ms", rate: str = "tok_s", rounds: int | None = None) -> DataFrame:
     """Latencies (avg, min, max, p50, p95, p99) by key, percentiles of the positive times to a first token and between
     tokens, and the mean positive rate; one decimal, and 0 where there is nothing to measure.
     """
     stats = df.groupBy(*keys).agg(F.count(latency).alias("n"), F.avg(latency).alias("avg"), F.min(latency).alias("min"), F.max(latency).alias("max"), F.avg(F.when(F.col(rate) > 0, F.col(rate))).alias("tok_s_avg"))
-    parts = [indexed_percentiles(df, keys, latency, [0.5, 0.95, 0.99])]
-    parts += [indexed_percentiles(df.where(F.col(c) > 0), keys, c, [0.5, 0.95], f"{name}_p") for name, c in (("ttft", ttft), ("itl", itl))]
-    for part in parts:
-        stats = stats.join(part, keys, "left")
-    return stats.select(*keys, "n", *(F.coalesce(F.bround(c, 1), F.lit(0.0)).alias(c) for c in stats.columns if c not in (*keys, "n")))
+    kind, at = hidden(df.columns, "kind", "at")
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    kinds = {"": F.col(latency), "ttft_": positive(ttft), "itl_": positive(itl)}
+    each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias(kind), c.cast("double").alias(at)) for k, c in kinds.items()))).alias("e")).select(*keys, f"e.{kind}", f"e.{at}")
+    found = indexed_percentiles(each, [*keys, kind], at, [0.5, 0.95, 0.99], rounds=rounds)
+    wanted = [("", 50), ("", 95), ("", 99), ("ttft_", 50), ("ttft_", 95), ("itl_", 50), ("itl_", 95)]
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col(kind) == k, F.col(f"p{p}"))).alias(f"{k}p{p}") for k, p in wanted))
+    own = hidden(stats.columns, *(f"key{i}" for i in range(len(keys))))
+    same = F.lit(True)
+    for key, name in zip(keys, own, strict=True):
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    both = stats.join(wide.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), *(f"{k}p{p}" for k, p in wanted)), same, "left").drop(*own)
+    return both.select(*keys, "n", *(F.coalesce(F.bround(c, 1), F.lit(0.0)).alias(c) for c in both.columns if c not in (*keys, "n")))
 
 
 def confusion(df: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:

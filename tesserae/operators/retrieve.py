@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.records import keep_first
+from tesserae.operators.written import written
 
 #: Vectors of queries that are broadcast at once, more are searched in further blocks; scores of a tile.
 QUERY_BLOCK, TILE = 20_000, 2_000_000
@@ -71,8 +72,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-#: Distinct query terms up to this number are looked up where the documents are scanned; more are joined.
-WANTED_TERMS = 10_000
+#: Distinct query terms up to this number go to where the documents are scanned; more are joined.
+WANTED_TERMS = 200_000
 WORD = r"(?U)\w+"
 
 
@@ -84,19 +85,17 @@ def words(c: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, wanted_terms: int = WANTED_TERMS) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25. queries(query_id, text), docs(doc_id, text).
 
-    A document's length is counted where it is scanned, and only its words that some query has leave the scan: they are
-    picked by a set of up to `wanted_terms` terms, more by a join. What is shuffled is one row for each such word.
+    Documents are read and cut into words once: of each there remain its words that some query has, with their counts, and
+    an empty word that stands for the document and its length. The distinct query terms, up to `wanted_terms` of them,
+    are broadcast for that; more are joined. These rows are written once, since counts and averages go over all of them.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    vocabulary = [r["term"] for r in wanted.select("term").distinct().limit(wanted_terms + 1).collect()]
-    held = docs.select("doc_id", words(F.col("text")).alias("words"))
-    stats = held.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg"))
-    if len(vocabulary) <= wanted_terms:
-        known = F.filter("words", lambda w: w.isin(sorted(vocabulary)))  # a hash set once it is planned
-        rows = held.select("doc_id", F.size("words").alias("len"), F.explode(known).alias("term"))
-    else:
-        rows = held.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = rows.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    terms = wanted.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = F.broadcast(terms) if terms.limit(wanted_terms + 1).count() <= wanted_terms else terms
+    held = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = held.select("doc_id", F.size("words").alias("len"), F.explode(F.array_append("words", F.lit(""))).alias("term")).join(terms, "term")
+    hits = written(rows.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
+    stats = hits.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from fractions import Fraction
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,32 +61,82 @@ def with_member(values, member):
     return F.array_sort(F.array_union(F.coalesce(values, F.expr("cast(array() as array<string>)")), F.array(member)))
 
 
-def at_path(tree, path: str):
-    for part in path.split("."):
-        tree = tree.get(part) if isinstance(tree, dict) else None
-    return tree
+#: What a quantity's suffix multiplies by: fixed values of the notation.
+SUFFIXES = {"": 1, "n": Fraction(1, 10**9), "u": Fraction(1, 10**6), "m": Fraction(1, 1000)} | {s: 1000 ** (i + 1) for i, s in enumerate("kMGTPE")} | {f"{s}i": 1024 ** (i + 1) for i, s in enumerate("KMGTPE")}
+AMOUNT = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+))(?:[eE]([+-]?\d+))?(Ki|Mi|Gi|Ti|Pi|Ei|[numkMGTPE]?)\s*")
 
 
-def nested(path: str, value) -> dict:
-    for part in reversed(path.split(".")):
-        value = {part: value}
-    return value
+def amount(value) -> Fraction | None:
+    """The exact number that a quantity stands for: 1000m is 1, 1Gi is 1024Mi; None for what is none."""
+    found = AMOUNT.fullmatch(str(value)) if isinstance(value, str | int | float) and not isinstance(value, bool) else None
+    return Fraction(found[1]) * Fraction(10) ** int(found[2] or 0) * SUFFIXES[found[3]] if found else None
+
+
+class Field:
+    """A field of a resource as a list of keys: reads it, and gives the merge patch that sets it."""
+
+    def __init__(self, path: str):
+        self.keys = path.split(".")
+
+    def read(self, tree):
+        return reduce(lambda t, k: t.get(k) if isinstance(t, dict) else None, self.keys, tree)
+
+    def patch(self, value) -> dict:
+        return reduce(lambda inner, k: {k: inner}, reversed(self.keys), value)
+
+
+def _set(kind):
+    """A verb that sets a value of this kind, and holds where the value there is of equal worth."""
+    return (lambda tree, field, value, keys: field.patch(kind(value))), (lambda tree, field, value, keys: (w := worth(kind, value)) is not None and worth(kind, field.read(tree)) == w)
+
+
+def worth(kind, value):
+    if kind is str:
+        return amount(value)
+    return int(value) if isinstance(value, int | str) and not isinstance(value, bool) and re.fullmatch(r"\s*[+-]?\d+\s*", str(value)) else None
+
+
+def _entries(tree, matching_only: bool = False) -> list:
+    held = Field(SET_AT["list"]).read(tree) or []
+    return [e for e in held if isinstance(e, dict) and e.get(SET_AT["match"]) == SET_AT["is"]] if matching_only else held
+
+
+def _with(entry, value):
+    if not isinstance(entry, dict) or entry.get(SET_AT["match"]) != SET_AT["is"]:
+        return entry
+    return entry | {SET_AT["target"]: sorted({*(entry.get(SET_AT["target"]) or ()), value})}
+
+
+def _add(tree, field, value, keys):
+    sets = [e.get(SET_AT["target"]) or () for e in _entries(tree, True)]
+    if not sets or any(value in held for held in sets):
+        return None
+    return Field(SET_AT["list"]).patch([_with(e, value) for e in _entries(tree)])
+
+
+def _has(tree, field, value, keys):
+    return any(value in (e.get(SET_AT["target"]) or ()) for e in _entries(tree, True)[:1])
+
+
+def _unknown(tree, field, keys) -> list[str]:
+    return sorted(k for k in field.read(tree) or () if k not in keys)
+
+
+#: What each verb of the schema plans on a resource, and whether a resource shows it.
+VERBS = {
+    "set_quantity": _set(str),
+    "set_int": _set(int),
+    "add_to_set": (_add, _has),
+    "remove_unschedulable_nodeselector_keys": (
+        lambda tree, field, value, keys: field.patch(dict.fromkeys(gone)) if (gone := _unknown(tree, field, keys)) else None,
+        lambda tree, field, value, keys: not _unknown(tree, field, keys),
+    ),
+}
 
 
 def plan(current: dict, field: str, verb: str, value, node_keys: set[str] = frozenset()) -> dict | None:
     """The smallest merge patch that applies a valid proposal; None where nothing is to be done."""
-    if verb in ("set_quantity", "set_int"):
-        return nested(field, int(value) if verb == "set_int" else value)
-    if verb == "add_to_set":
-        entries = [dict(e) if isinstance(e, dict) else e for e in at_path(current, SET_AT["list"]) or []]
-        matching = [e for e in entries if isinstance(e, dict) and e.get(SET_AT["match"]) == SET_AT["is"]]
-        if not matching or any(value in (e.get(SET_AT["target"]) or []) for e in matching):
-            return None
-        for e in matching:
-            e[SET_AT["target"]] = sorted({*(e.get(SET_AT["target"]) or []), value})
-        return nested(SET_AT["list"], entries)
-    gone = sorted(set(at_path(current, field) or {}) - set(node_keys))
-    return nested(field, dict.fromkeys(gone)) if gone else None
+    return VERBS[verb][0](current, Field(field), value, node_keys)
 
 
 def merged(tree, patch):
@@ -100,15 +153,8 @@ def merged(tree, patch):
 
 
 def verified(after: dict, field: str, verb: str, value, node_keys: set[str] = frozenset()) -> bool:
-    """Whether a resource shows the proposal: planning it once more has nothing left to do."""
-    if verb == "set_int":
-        return str(at_path(after, field)) == str(int(value))
-    if verb == "set_quantity":
-        return str(at_path(after, field)) == str(value)
-    if verb == "add_to_set":
-        entries = [e for e in at_path(after, SET_AT["list"]) or [] if isinstance(e, dict) and e.get(SET_AT["match"]) == SET_AT["is"]]
-        return bool(entries) and all(value in (e.get(SET_AT["target"]) or []) for e in entries[:1])
-    return plan(after, field, verb, value, node_keys) is None
+    """Whether a resource shows the proposal; quantities count by their worth, however they are written."""
+    return bool(VERBS[verb][1](after, Field(field), value, node_keys))
 
 
 def apply_patches(df: DataFrame) -> DataFrame:
@@ -125,3 +171,14 @@ def apply_patches(df: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["patch", "after", "verified"])
 
     return df.withColumn("p", run("resource", "field", "verb", "normal", "node_keys")).select("*", "p.*").drop("p")
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """df(resource JSON, field, verb, normal, node_keys) with verified: whether the resource shows the proposal."""
+
+    @F.pandas_udf("boolean")
+    def run(resource: pd.Series, field: pd.Series, verb: pd.Series, value: pd.Series, keys: pd.Series) -> pd.Series:
+        each = zip(map(json.loads, resource), field, verb, value, keys, strict=True)
+        return pd.Series([verified(tree, f, v, x, set(k) if k is not None else set()) for tree, f, v, x, k in each])
+
+    return df.withColumn("verified", run("resource", "field", "verb", "normal", "node_keys"))

@@ -185,18 +185,32 @@ MANIFEST = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'apiVersion: policy
     ELSE 'no manifest ' || event_type END AS t FROM events"""
 
 
-@query("p25_lint", f"""
-    SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'PodDisruptionBudget: apiVersion ''policy/v1beta1'' is deprecated; use ''policy/v1''' WHEN 1 THEN 'Pod: missing metadata.name' WHEN 2 THEN 'Pod: missing apiVersion; Pod: missing metadata.name'
-        WHEN 3 THEN 'X: missing apiVersion; X: missing metadata.name' ELSE '{M.SOUND}' END AS findings FROM events""")
+#: Versions of manifests, one for each event; all deprecated ones, one that is sound, and none.
+VERSIONS = [*M.DEPRECATED, "apps/v1", ""]
+VERSIONED = f"""SELECT event_id, CASE event_id % {len(VERSIONS)} {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VERSIONS))} END AS version,
+    CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS kind, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'n' || CAST(user_id AS VARCHAR(9)) END AS name FROM events"""
+YAML = f"""SELECT event_id, version, kind, name, CASE WHEN version = '' THEN '' ELSE 'apiVersion: ' || version || chr(10) END || CASE WHEN kind = '' THEN '' ELSE 'kind: ' || kind || chr(10) END || 'metadata:' || chr(10) ||
+    CASE WHEN name = '' THEN '  labels: {{}}' ELSE '  name: ' || name END AS t FROM ({VERSIONED})"""
+_NEWER = f"(VALUES {', '.join(str(x) for x in M.DEPRECATED.items())}) AS d(old, newer)"
+_FINDINGS = f"""SELECT v.event_id, coalesce(nullif(concat_ws('; ', CASE WHEN version = '' THEN label || ': missing apiVersion' END, CASE WHEN kind = '' THEN 'missing kind' END,
+    CASE WHEN name = '' THEN label || ': missing metadata.name' END, label || ': apiVersion ' || chr(39) || old || chr(39) || ' is deprecated; use ' || chr(39) || newer || chr(39)), ''), '{M.SOUND}') AS findings
+    FROM (SELECT *, coalesce(nullif(kind, ''), 'resource') AS label FROM ({VERSIONED})) v LEFT JOIN {_NEWER} ON d.old = v.version"""
+
+
+@query("p25_lint", _FINDINGS)
 def p25(spark, sf_dir):
-    manifest = F.when(F.col("event_id") % 5 == 1, M.extract_manifest(F.col("t"))).otherwise(F.col("t"))
-    return rows(spark, sf_dir, "events", MANIFEST).select("event_id", M.lint_manifest(manifest).alias("findings"))
+    return rows(spark, sf_dir, "events", YAML).select("event_id", M.lint_manifest(F.col("t")).alias("findings"))
 
 
-@query("p26_lint_draft", f"SELECT event_id, CAST(CASE WHEN event_id % 5 IN (0, 1, 3) THEN 1 ELSE 0 END AS INTEGER) AS n FROM ({MANIFEST})")
+@query("p26_lint_draft", f"SELECT event_id, CASE WHEN version <> '' AND kind <> '' AND findings <> '{M.SOUND}' THEN [findings] ELSE [] END AS findings FROM ({VERSIONED}) JOIN ({_FINDINGS}) USING (event_id)")
 def p26(spark, sf_dir):
-    draft = F.concat(F.lit("Try:\n```yaml\n"), M.extract_manifest(F.col("t")), F.lit("\n```\nor so"))
-    return rows(spark, sf_dir, "events", MANIFEST).select("event_id", F.size(M.lint_draft(draft)).alias("n"))
+    draft = F.concat(F.lit("Try:\n```yaml\n"), F.col("t"), F.lit("\n```\nor so"))
+    return rows(spark, sf_dir, "events", YAML).select("event_id", M.lint_draft(draft).alias("findings"))
+
+
+@query("p26_extract_manifest", f"SELECT event_id, CASE event_id % 5 WHEN 1 THEN substring(t, 7, length(t) - 25) ELSE t END AS manifest FROM ({MANIFEST})")
+def p26_manifest(spark, sf_dir):
+    return rows(spark, sf_dir, "events", MANIFEST).select("event_id", M.extract_manifest(F.col("t")).alias("manifest"))
 
 
 @query("p27_looks_like_yaml", rf"SELECT event_id, regexp_matches(t, '(?m)^\s*apiVersion:\s*\S') AND regexp_matches(t, '(?m)^\s*kind:\s*\S') AS yaml FROM ({MANIFEST})")
@@ -255,19 +269,33 @@ def b01(spark, sf_dir):
     return patches.validate_patch(rows(spark, sf_dir, "events", PROPOSAL), patches.patch_schema(spark)).select("event_id", "ok", "error")
 
 
+#: A node pool for each event, what its cpu limit is to be, and what it shows afterwards (now and then in other units).
+AMOUNTS = """SELECT event_id, event_type, user_id % 40 + 1 AS cores, CASE event_id % 3 WHEN 0 THEN CAST((user_id % 40 + 1) * 1000 AS VARCHAR(9)) || 'm' WHEN 1 THEN CAST(user_id % 40 + 1 AS VARCHAR(9)) ELSE CAST(event_id % 40 + 1 AS VARCHAR(9)) END AS shown,
+    event_id % 40 + 1 AS other, event_id % 3 AS form FROM events"""
+
+
+@query("b02_verify_quantity", f"SELECT event_id, form < 2 OR cores = other AS verified FROM ({AMOUNTS})")
+def b02_quantity(spark, sf_dir):
+    resource = F.concat(F.lit('{"spec":{"limits":{"cpu":"'), "shown", F.lit('"}}}'))
+    df = rows(spark, sf_dir, "events", AMOUNTS).select("event_id", resource.alias("resource"), F.lit("spec.limits.cpu").alias("field"), F.lit("set_quantity").alias("verb"), F.col("cores").cast("string").alias("normal"))
+    return patches.shown(df.withColumn("node_keys", F.array().cast("array<string>"))).select("event_id", "verified")
+
+
 RESOURCE = """SELECT event_id, '{"spec":{"replicas":' || CAST(event_id % 5 AS VARCHAR(9)) || ',"template":{"spec":{"nodeSelector":{"zone":"a","' || event_type || '":"x"},"requirements":[{"key":"karpenter.sh/capacity-type","values":["spot"]}]}}}}' AS resource,
     CASE event_id % 3 WHEN 0 THEN 'spec.replicas' WHEN 1 THEN 'capacity_type' ELSE 'spec.template.spec.nodeSelector' END AS field, CASE event_id % 3 WHEN 0 THEN 'set_int' WHEN 1 THEN 'add_to_set' ELSE 'remove_unschedulable_nodeselector_keys' END AS verb,
-    CASE event_id % 3 WHEN 0 THEN '7' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'spot' ELSE 'on-demand' END ELSE '' END AS normal, event_type FROM events"""
+    CASE event_id % 3 WHEN 0 THEN CAST(user_id % 50 AS VARCHAR(9)) WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'spot' ELSE 'on-demand' END ELSE '' END AS normal, event_type, user_id FROM events"""
 
 
-@query("b02_apply_patch", f"""SELECT event_id, event_id % 3 = 1 AND normal = 'spot' AS noop, true AS verified,
-    CASE event_id % 3 WHEN 0 THEN '7' WHEN 1 THEN CASE WHEN normal = 'spot' THEN 'spot' ELSE 'on-demand,spot' END ELSE 'zone' END AS now FROM ({RESOURCE})""")
+@query("b02_apply_patch", f"""
+    WITH r AS ({RESOURCE}), s AS (SELECT *, ['spot'] AS held, list_filter(['zone', event_type], lambda k: k IN ('zone', 'arch')) AS known FROM r)
+    SELECT event_id, (verb = 'add_to_set' AND list_contains(held, normal)) OR (verb LIKE 'remove%' AND len(known) = 2) AS noop, true AS verified,
+        CASE verb WHEN 'set_int' THEN normal WHEN 'add_to_set' THEN array_to_string(list_sort(list_distinct(list_append(held, normal))), ',') ELSE array_to_string(list_distinct(known), ',') END AS now FROM s""")
 def b02(spark, sf_dir):
     df = rows(spark, sf_dir, "events", RESOURCE).withColumn("node_keys", F.array(F.lit("zone"), F.lit("arch")))
     out = patches.apply_patches(df)
     values = F.array_join(F.from_json(F.get_json_object("after", "$.spec.template.spec.requirements[0].values"), "array<string>"), ",")
     keys = F.array_join(F.map_keys(F.from_json(F.get_json_object("after", "$.spec.template.spec.nodeSelector"), "map<string,string>")), ",")
-    now = F.when(F.col("event_id") % 3 == 0, F.get_json_object("after", "$.spec.replicas")).when(F.col("event_id") % 3 == 1, values).otherwise(keys)
+    now = F.when(F.col("verb") == "set_int", F.get_json_object("after", "$.spec.replicas")).when(F.col("verb") == "add_to_set", values).otherwise(keys)
     return out.select("event_id", F.col("patch").isNull().alias("noop"), "verified", now.alias("now"))
 
 

@@ -228,15 +228,22 @@ def test_config_of_other_tasks():
     assert [f for f, _ in sizing.validate_config(embedding)] == ["project.labels", "data.sources"]
 
 
-def test_patches_and_manifests():
+def test_patches_and_manifests(spark):
     tree = {"spec": {"template": {"spec": {"nodeSelector": {"a": "1", "b": "2"}}}}}
     patch = patches.plan(tree, "spec.template.spec.nodeSelector", "remove_unschedulable_nodeselector_keys", "", {"a"})
     assert patches.merged(tree, patch) == {"spec": {"template": {"spec": {"nodeSelector": {"a": "1"}}}}}
     assert patches.plan(tree, "capacity_type", "add_to_set", "spot") is None
-    assert manifests.manifest_of("hi\n```yaml\napiVersion: v1\nkind: Pod\n```\nbye") == "apiVersion: v1\nkind: Pod"
-    assert manifests.manifest_of("see\napiVersion: v1\nkind: Pod\nmetadata:\n  name: x\nThat is all.") == "apiVersion: v1\nkind: Pod\nmetadata:\n  name: x"
-    assert manifests.manifest_of(" none ") == "none"
-    assert manifests.lint("a: [").startswith("Invalid YAML") and manifests.lint("apiVersion: v1\nkind: Pod\nmetadata: {name: a}") == manifests.SOUND
+    cpu = lambda shown: {"spec": {"limits": {"cpu": shown}}}
+    same = [("1000m", "1"), ("1", "1000m"), (2, "2"), ("0.5", "500m"), ("1e3", "1k"), ("1Gi", "1024Mi"), ("1Gi", "1073741824")]
+    unlike = [("1", "2"), ("1G", "1Gi"), (None, "1"), ("one", "one"), ("100m", "1"), (True, "1")]
+    assert [patches.verified(cpu(a), "spec.limits.cpu", "set_quantity", b) for a, b in same + unlike] == [True] * 7 + [False] * 6
+    assert patches.verified({"spec": {"replicas": 3}}, "spec.replicas", "set_int", "3") and not patches.verified({}, "spec.replicas", "set_int", "3")
+    texts = ["hi\n```yaml\napiVersion: v1\nkind: Pod\n```\nbye", "see\napiVersion: v1\nkind: Pod\nmetadata:\n  name: x\nThat is all.", " none ", "a: [", "apiVersion: v1\nkind: Pod\nmetadata: {name: a}", None]
+    c = F.col("t")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(manifests.extract_manifest(c).alias("m"), manifests.lint_manifest(c).alias("l"), manifests.lint_draft(c).alias("d")).collect()
+    assert [r["m"] for r in got[:3]] == ["apiVersion: v1\nkind: Pod", "apiVersion: v1\nkind: Pod\nmetadata:\n  name: x", "none"]
+    assert got[3]["l"].startswith("Invalid YAML") and got[4]["l"] == manifests.SOUND and got[5]["l"] is None
+    assert [len(r["d"]) for r in got] == [1, 0, 0, 0, 0, 0]
     assert manifests.pruned({"a": [None, "", {"b": {}}, 0, False], "c": ""}) == {"a": [0, False]}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -14,9 +16,9 @@ from tesserae.llm.common import U64, mix
 
 #: Two primes below 2**31 with their bases: products fit 64 bits.
 MODULI = ((2147483647, 911382323), (2147483629, 972663749))
-#: Code points of a span, hashes kept of each text, code points that a task holds at once. Anchors are the spans whose hash
-#: is 0 modulo ANCHORS: what is chosen depends on the content alone.
-SPAN, KEPT, CHUNK, ANCHORS = 20, 64, 1 << 20, 16
+#: Code points of a span, anchors kept of each text, code points that a task holds at once. Anchors are spans whose hash is
+#: 0 modulo ANCHORS: what is chosen depends on the content alone. The first of the doubling lengths around an anchor.
+SPAN, KEPT, CHUNK, ANCHORS, LEAST = 20, 16, 1 << 19, 16, 8
 #: Most ranges of doc_id; the first id of each goes to all tasks.
 BUCKETS = 50_000
 #: The most that unequal texts get.
@@ -99,137 +101,146 @@ def join_hashes(first: int, n_first: int, second: int) -> int:
     return out
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    """The KEPT least distinct values in ascending order."""
-    if len(values) > 6 * KEPT:
-        few = np.unique(np.partition(values, 4 * KEPT)[: 4 * KEPT])
-        if len(few) >= KEPT:
-            return few[:KEPT]
-    return np.unique(values)[:KEPT]
-
-
-def _written(n: int, whole: int, sketch: np.ndarray) -> str:
-    return f"{n:x}-{whole:016x}-{sketch.astype('>u4').tobytes().hex()}"
-
-
-def likeness(a: str, b: str) -> float:
-    """Estimated Jaccard similarity of two fingerprints' spans: exact for short texts, 1 only where they are equal."""
-    if a == b:
-        return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(s.rsplit("-", 1)[1]), ">u4") for s in (a, b))
-    least = np.union1d(x, y)[:KEPT]
-    return min(UNEQUAL, float(np.isin(least, np.intersect1d(x, y)).sum() / len(least))) if len(least) else 0.0
+@dataclass
+class Prints:
+    """Fingerprints of some texts: lengths, whole hashes, and what is around each text's anchors.
 
+    An anchor has its span's hash (value), its position, and hashes of the LEAST * 2^k code points that follow its start
+    (right) and precede it (left), k < levels; where the text is too short, of what there is. The last two of the anchors
+    of a text are its start and its end, so that texts without a span have something to compare.
+    """
 
-def _sketchable(spans: np.ndarray) -> np.ndarray:
-    return (mix(spans, 5) >> U64(32)).astype(np.uint32)
+    n: np.ndarray
+    whole: np.ndarray
+    count: np.ndarray
+    value: np.ndarray
+    at: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Prints:
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(n) - n
+        hashes = PrefixHashes("".join(texts))
+        spans = hashes.windows(SPAN)
+        at = np.flatnonzero(mix(spans, 9) % U64(ANCHORS) == 0)
+        of = np.searchsorted(begin, at, side="right") - 1
+        inside = at + SPAN <= begin[of] + n[of]
+        at, of = at[inside], of[inside]
+        value = (mix(spans[at], 5) >> U64(32)).astype(np.uint32)
+        order = np.lexsort((at, value, of))
+        at, of, value = at[order], of[order], value[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+        at, of, value = at[fresh], of[fresh], value[fresh]
+        place = np.arange(len(at)) - np.searchsorted(of, of)
+        kept = place < KEPT
+        at, of, value, place = at[kept], of[kept], value[kept], place[kept]
+        deep = int(levels(n).max(initial=1))
+        out = cls(n, hashes.spans(begin, begin + n), np.bincount(of, minlength=len(n)), np.zeros((len(n), KEPT), np.uint32), np.zeros((len(n), KEPT + 2), np.int64), np.zeros((len(n), KEPT + 2, deep), np.uint16), np.zeros((len(n), KEPT + 2, deep), np.uint16))
+        out.value[of, place], out.at[of, place], out.at[:, KEPT + 1] = value, at - begin[of], n
+        rows = np.arange(len(n))
+        of, place, at = np.concatenate([of, rows, rows]), np.repeat([0, KEPT, KEPT + 1], [len(of), len(n), len(n)]) + np.concatenate([place, rows * 0, rows * 0]), np.concatenate([at, begin, begin + n])
+        for k in range(deep):
+            some = np.flatnonzero(levels(n)[of] > k)
+            x, lo = at[some], begin[of[some]]
+            for side, (i, j) in ((out.right, (x, np.minimum(x + (LEAST << k), lo + n[of[some]]))), (out.left, (np.maximum(x - (LEAST << k), lo), x))):
+                side[of[some], place[some], k] = (mix(hashes.spans(i, j), 7) >> U64(48)).astype(np.uint16)
+        return out
 
+    def written(self) -> list[str]:
+        out = []
+        for i, (n, whole, count, deep) in enumerate(zip(self.n.tolist(), self.whole.tolist(), self.count.tolist(), levels(self.n).tolist(), strict=True)):
+            held = [*range(count), KEPT, KEPT + 1]
+            body = self.value[i, :count].astype("<u4").tobytes() + self.at[i, :count].astype("<u4").tobytes() + self.right[i, held, :deep].astype("<u2").tobytes() + self.left[i, held, :deep].astype("<u2").tobytes()
+            out.append(f"{n:x}-{whole:016x}-{base64.b64encode(body).decode()}")
+        return out
 
-def _short(part: str) -> np.ndarray:
-    """Sketch values of a text of fewer than SPAN code points: itself as one span."""
-    h = PrefixHashes(part)
-    return _sketchable(np.atleast_1d(h.spans(0, h.n))) if h.n else np.zeros(0, np.uint32)
+    @classmethod
+    def read(cls, texts: list[str]) -> Prints:
+        heads = [t.split("-", 2) for t in texts]
+        n = np.array([int(h[0], 16) for h in heads], np.int64)
+        deep = int(levels(n).max(initial=1))
+        out = cls(n, np.array([int(h[1], 16) for h in heads], U64), np.zeros(len(n), np.int64), np.zeros((len(n), KEPT), np.uint32), np.zeros((len(n), KEPT + 2), np.int64), np.zeros((len(n), KEPT + 2, deep), np.uint16), np.zeros((len(n), KEPT + 2, deep), np.uint16))
+        out.at[:, KEPT + 1] = n
+        for i, own in enumerate(levels(n).tolist()):
+            body = base64.b64decode(heads[i][2])
+            count = (len(body) - 8 * own) // (8 + 4 * own)
+            held, sides = [*range(count), KEPT, KEPT + 1], np.frombuffer(body, "<u2", offset=8 * count).reshape(2, count + 2, own)
+            out.count[i], out.value[i, :count], out.at[i, :count] = count, np.frombuffer(body, "<u4", count), np.frombuffer(body, "<u4", count, 4 * count)
+            out.right[i, held, :own], out.left[i, held, :own] = sides
+        return out
 
+    def rows(self, i) -> Prints:
+        return Prints(*(getattr(self, f.name)[i] for f in fields(self)))
 
-class _Covered:
-    """Spans of some texts in one array, and how much of each text they cover together."""
 
-    def __init__(self, n: int):
-        self.edges = np.zeros(n + 1, np.int64)
+def levels(n: np.ndarray) -> np.ndarray:
+    """Doubling lengths from LEAST on until one covers n code points, one at least."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / LEAST))).astype(np.int64) + 1
 
-    def add(self, start: np.ndarray, length: np.ndarray) -> None:
-        np.add.at(self.edges, start, 1)
-        np.add.at(self.edges, start + length, -1)
 
-    def lengths(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(np.cumsum(self.edges[:-1]) > 0)])
-        return total[end] - total[begin]
+def _agreeing(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many of the first `most` hashes of each row agree, by binary search: longer spans agree only if shorter do."""
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    rows = np.arange(len(a))
+    while (todo := low < high).any():
+        middle = (low + high + 1) // 2
+        same = a[rows, middle - 1] == b[rows, middle - 1]
+        low, high = np.where(todo & same, middle, low), np.where(todo & ~same, middle - 1, high)
+    return low
 
 
-def _shared_anchors(windows: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, position, position): for pair i, each anchor that [lo, hi) of text i and [first, last) of text i + 1 hold.
+def alike(a: Prints, b: Prints) -> np.ndarray:
+    """Likeness of each row of a to that of b: the share of both texts' code points in the common spans that these show.
 
-    Of an anchor that a text holds several times the first counts. All are positions in the joined texts.
+    Anchors that both hold, their starts and their ends are extended to both sides as far as the hashes of doubling
+    lengths agree. Equal fingerprints get 1, others UNEQUAL at most.
     """
-    at = np.flatnonzero(mix(windows, 9) % U64(ANCHORS) == 0)
-    of = np.searchsorted(begin, at, side="right") - 1
-    n = len(lo)
-
-    def keyed(pair: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, one = np.unique(mix(windows[here] ^ mix(pair.astype(U64), 10), 11), return_index=True)
-        return key, here[one]
-
-    own = at[(of < n) & (at >= np.append(lo, 0)[np.minimum(of, n)]) & (at + SPAN <= np.append(hi, 0)[np.minimum(of, n)])]
-    up = np.maximum(of - 1, 0)
-    next_ = at[(of > 0) & (at >= first[up]) & (at + SPAN <= last[up])] if n else at[:0]
-    a, where_a = keyed(np.searchsorted(begin, own, side="right") - 1, own)
-    b, where_b = keyed(np.searchsorted(begin, next_, side="right") - 2, next_)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return np.searchsorted(begin, where_a[i], side="right") - 1, where_a[i], where_b[j]
-
+    live = (np.arange(KEPT) < a.count[:, None])[:, :, None] & (np.arange(KEPT) < b.count[:, None])[:, None, :]
+    row, i, j = np.nonzero((a.value[:, :, None] == b.value[:, None, :]) & live)
+    every = np.arange(len(a.n))
+    row, i, j = (np.concatenate([x, y, z]) for x, y, z in ((row, every, every), (i, every * 0 + KEPT, every * 0 + KEPT + 1), (j, every * 0 + KEPT, every * 0 + KEPT + 1)))
+    span = np.where(i < KEPT, SPAN, 0)
+    most = np.minimum(levels(a.n), levels(b.n))[row]
+    x, y, n_a, n_b = a.at[row, i], b.at[row, j], a.n[row], b.n[row]
+    reach = lambda agreeing, room: np.minimum(np.where(agreeing > 0, LEAST << np.maximum(agreeing - 1, 0), 0), room)
+    right = np.maximum(span, reach(_agreeing(a.right[row, i], b.right[row, j], most), np.minimum(n_a - x, n_b - y)))
+    left = reach(_agreeing(a.left[row, i], b.left[row, j], most), np.minimum(x, y))
+    covered = _covered(row, x - left, x + right, n_a) + _covered(row, y - left, y + right, n_b)
+    total = np.bincount(row, covered, len(a.n))
+    same = (a.n == b.n) & (a.whole == b.whole)
+    return np.where(same, 1.0, np.minimum(UNEQUAL, total / np.maximum(a.n + b.n, 1)))
+
+
+def _covered(row: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each span what it covers of its row's text that no span before it does."""
+    order = np.lexsort((start, row))
+    base = row[order] * (int(n.max(initial=0)) + 1)
+    lo, hi = base + start[order], base + end[order]
+    before = np.concatenate([[0], np.maximum.accumulate(hi)[:-1]]) if len(hi) else hi
+    out = np.zeros(len(row), np.int64)
+    out[order] = np.maximum(0, hi - np.maximum(lo, before))
+    return out
 
-def _common(hashes: PrefixHashes, windows: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[_Covered, _Covered]:
-    """What [lo, hi) of each text and [first, last) of the next have in common, as the spans covered in each.
 
-    Common spans are the longest common extensions from both starts, to both ends, and both ways from each shared anchor.
-    """
-    a, b = _Covered(hashes.n), _Covered(hashes.n)
-    short = np.minimum(hi - lo, last - first)
-    head = hashes.extensions(lo, first, short)
-    tail = hashes.extensions(hi, last, short - head, back=True)
-    a.add(lo, head)
-    b.add(first, head)
-    a.add(hi - tail, tail)
-    b.add(last - tail, tail)
-    pair, i, j = _shared_anchors(windows, begin, lo, hi, first, last)
-    right = hashes.extensions(i, j, np.minimum(hi[pair] - i, last[pair] - j))
-    left = hashes.extensions(i, j, np.minimum(i - lo[pair], j - first[pair]), back=True)
-    a.add(i - left, left + right)
-    b.add(j - left, left + right)
-    return a, b
-
-
-def _share(covered: np.ndarray, total: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Covered code points of both texts over all of both; 1 for equal texts only."""
-    return np.where(same, 1.0, np.minimum(UNEQUAL, covered / np.maximum(total, 1)))
+def likeness(a: str, b: str) -> float:
+    """Likeness of two fingerprints, from these alone: see alike."""
+    return float(alike(Prints.read([a]), Prints.read([b]))[0])
 
 
 def _pairs(docs: list[tuple[int | None, str, bool]]):
     """For consecutive (doc_id, text, linked to the next): the row of each linked document."""
     texts = [t for _, t, _ in docs]
-    n = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.concatenate([[0], np.cumsum(n)])
-    hashes = PrefixHashes("".join(texts))
-    whole = hashes.spans(begin[:-1], begin[1:])
-    windows = hashes.windows(SPAN)
-    marks = _sketchable(windows)
-    own = [marks[b : b + k - SPAN + 1] if k >= SPAN else _short(t) for b, k, t in zip(begin[:-1].tolist(), n.tolist(), texts, strict=True)]
-    prints = [_written(k, w, _least(s)) for k, w, s in zip(n.tolist(), whole.tolist(), own, strict=True)]
-    linked = np.array([d[2] for d in docs[:-1]], bool)
-    keep, half = n[:-1] - n[:-1] // 2, np.where(linked, np.minimum(n[:-1] // 2, n[1:]), 0)
-    seams, edges = [], [0]
-    for i in range(len(docs) - 1):
-        seams.append(texts[i][max(0, keep[i] - SPAN + 1) : keep[i]] + texts[i + 1][: min(half[i], SPAN - 1)] if linked[i] else "")
-        edges.append(edges[-1] + len(seams[-1]))
-    across = _sketchable(PrefixHashes("".join(seams)).windows(SPAN))
-    here, there, size = begin[:-2], begin[1:-1], keep + half
-    heads, tails = hashes.spans(here, here + keep), hashes.spans(there, there + half)
-    a, b = _common(hashes, windows, begin[:-1], here, begin[1:-1], there, begin[2:])
-    near_next = _share(a.lengths(here, begin[1:-1]) + b.lengths(there, begin[2:]), n[:-1] + n[1:], (whole[:-1] == whole[1:]) & (n[:-1] == n[1:]))
-    a, b = _common(hashes, windows, begin[:-1], here + keep, begin[1:-1], there, there + half)
-    joined = [join_hashes(int(x), int(k), int(y)) for x, k, y in zip(heads, keep, tails, strict=True)]
-    same = (np.array(joined, U64) == whole[:-1]) & (size == n[:-1])
-    near_edited = _share(2 * keep + a.lengths(here + keep, begin[1:-1]) + b.lengths(there, there + half), n[:-1] + size, same)
-    for i in np.flatnonzero(linked):
-        doc, text, _ = docs[i]
-        edited = text[: keep[i]] + texts[i + 1][: half[i]]
-        if size[i] >= SPAN:
-            b, c = int(begin[i]), int(begin[i + 1])
-            parts = [marks[b : b + max(0, keep[i] - SPAN + 1)], across[edges[i] : max(edges[i], edges[i + 1] - SPAN + 1)], marks[c : c + max(0, half[i] - SPAN + 1)]]
-            sketch = _least(np.concatenate(parts))
-        else:
-            sketch = _least(_short(edited))
-        yield doc, int(n[i]), hashlib.sha256(edited.encode()).hexdigest(), prints[i], _written(int(size[i]), joined[i], sketch), float(near_edited[i]), float(near_next[i])
+    linked = [i for i in range(len(docs) - 1) if docs[i][2]]
+    edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in linked]
+    own, other = Prints.of(texts), Prints.of(edited)
+    mine = own.rows(linked)
+    near = alike(mine, other), alike(mine, own.rows([i + 1 for i in linked]))
+    for k, (one, changed, near_edited, near_next) in enumerate(zip(mine.written(), other.written(), *near, strict=True)):
+        i = linked[k]
+        yield docs[i][0], len(texts[i]), hashlib.sha256(edited[k].encode()).hexdigest(), one, changed, float(near_edited), float(near_next)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -241,13 +252,12 @@ def fingerprints(docs: DataFrame, buckets: int | None = None, chunk: int = CHUNK
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document in
     descending doc_id, after the last one of the first. Null texts are empty. Rows that repeat a doc_id follow each other
     by text; rows without doc_id come last. Every row has its own, empty texts and repeated rows too; an empty table gives
-    an empty one, and columns but doc_id and text are not read. A fingerprint holds the length, the polynomial hash of the
-    text and the least KEPT hashes of its spans of SPAN code points; two texts are equal where theirs are.
+    an empty one, and columns but doc_id and text are not read. A fingerprint holds the length and the polynomial hash of
+    the text, the hashes and positions of the KEPT least anchors (see Prints) and of its start and end, with the hashes of
+    doubling extensions of each to both sides. Equal texts have equal ones.
 
-    near_next and near_edited are the share of both texts' code points that common spans cover: the longest common
-    extensions, by binary search over the prefix arrays, from both starts, to both ends and around each anchor that both
-    hold (of the edited text: its kept half, and such spans of what was replaced and what replaced it). Unequal texts
-    get less than 1. likeness() estimates it from two fingerprints alone.
+    near_edited and near_next are likeness() of the fingerprint to the edited text's and to the next document's: the share
+    of both texts that common spans cover, from the longest extensions of common anchors, found by binary search.
 
     One shuffle deals documents into ranges of doc_id, each with a copy of the next range's first document; the ranges
     come from approximate quantiles. What a task holds at once is bounded by `chunk` code points and one text.

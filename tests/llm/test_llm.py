@@ -255,71 +255,79 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def followers(rows):
+    """(row, the next row in descending doc_id) with those that repeat an id by text and those without one last."""
+    order = sorted(rows, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))
+    return list(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_fingerprints(docs):
-    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
-    order = sorted((r for r in docs.collect()), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or ""))
-    for r, after in zip(order, order[1:] + order[:1], strict=True):
-        if r["doc_id"] is None or r["doc_id"] == 4:
-            continue
+    """Every row, those without an id and with a repeated one too; both columns follow from the returned strings."""
+    got = Counter(tuple(r) for r in fingerprints.fingerprints(docs).collect())
+    want, prints = Counter(), {}
+    for r, after in followers(docs.collect()):
         text, other = r["text"] or "", after["text"] or ""
-        half = len(text) // 2
-        edited = text[: len(text) - half] + other[:half]
-        g = got[r["doc_id"]]
-        assert g["n_chars"] == len(text) and g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert (g["fingerprint"] == g["edited_fingerprint"]) == (text == edited)
-        assert 0 <= g["near_edited"] <= 1 and (g["near_next"] == 1) == (text == other)
-    assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[9]["fingerprint"] == got[10]["fingerprint"]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        a, e, n = (prints.setdefault(t, fingerprints.Prints.of([t]).written()[0]) for t in (text, edited, other))
+        assert (a == e) == (text == edited) and (a == n) == (text == other)
+        near = fingerprints.likeness(a, e), fingerprints.likeness(a, n)
+        assert all(0 <= x <= 1 for x in near) and (near[0] == 1) == (text == edited) and (near[1] == 1) == (text == other)
+        want[r["doc_id"], len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, *near] += 1
+    assert got == want
 
 
-def covered_share(a, b):
-    """Common spans by plain comparison: from the starts, to the ends, and around the first places of shared anchors."""
+def plain_likeness(a, b):
+    """What doubling lengths around common anchors, starts and ends show to be common, by plain comparison."""
     if a == b:
         return 1.0
-
-    def run(x, y):
-        return next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    depth = lambda t: next(k for k in range(99) if 8 << k >= len(t)) + 1
 
     def anchors(t):
-        h = fingerprints.PrefixHashes(t).windows(20)
-        out = {}
+        h, out = fingerprints.PrefixHashes(t).windows(20), {}
         for i in np.flatnonzero(fingerprints.mix(h, 9) % np.uint64(16) == 0):
-            out.setdefault(t[i : i + 20], int(i))
+            out.setdefault(int(fingerprints.mix(h[i : i + 1], 5)[0] >> np.uint64(32)), int(i))
+        return dict(sorted(out.items())[: fingerprints.KEPT])
+
+    def reach(x, y):
+        out = 0
+        for k in range(min(depth(a), depth(b))):
+            if x[: 8 << k] == y[: 8 << k]:
+                out = min(8 << k, len(x), len(y))
         return out
 
-    head = run(a, b)
-    tail = run(a[head:][::-1], b[head:][::-1])
-    spans = [(0, 0, head), (len(a) - tail, len(b) - tail, tail)]
     mine, other = anchors(a), anchors(b)
-    for t in mine.keys() & other.keys():
-        i, j = mine[t], other[t]
-        left = run(a[:i][::-1], b[:j][::-1])
-        spans.append((i - left, j - left, left + run(a[i:], b[j:])))
-    cover = [{x for s in spans for x in range(s[k], s[k] + s[2])} for k in (0, 1)]
-    return min(1 - 1 / 1024, (len(cover[0]) + len(cover[1])) / max(1, len(a) + len(b)))
+    cover = set(), set()
+    for i, j, least in [(mine[v], other[v], 20) for v in mine.keys() & other.keys()] + [(0, 0, 0), (len(a), len(b), 0)]:
+        left, right = reach(a[:i][::-1], b[:j][::-1]), max(least, reach(a[i:], b[j:]))
+        for c, at in zip(cover, (i, j), strict=True):
+            c.update(range(at - left, at + right))
+    return min(1 - 1 / 1024, (len(cover[0]) + len(cover[1])) / (len(a) + len(b)))
 
 
 def test_likeness_by_extensions(spark):
     """near_next and near_edited against plain character comparison; in one task's chunk and split over many."""
     rng, texts = np.random.default_rng(8), []
     for i in range(60):
-        base = texts[-1] if texts and rng.random() < 0.6 else prose(5000 + i, int(rng.integers(1, 120)))
+        base = texts[-1] if texts and rng.random() < 0.6 else prose(5000 + i, int(rng.integers(1, 400)))
         at, to = np.sort(rng.integers(0, len(base) + 1, 2)).tolist()
         texts.append([base, base[:at] + prose(6000 + i, 5) + base[to:], base[to:] + " " + base[:at], base[at:], "\u00e9\U0001f600" + base][int(rng.integers(5))])
-    texts += ["", "", "a", "ab", "x" * 50, "x" * 50, "x" * 49]
+    texts += ["", "", "a", "ab", "x" * 50, "x" * 50, "x" * 49, "x" * 8, "x" * 64]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for options in ({}, {"chunk": 300}, {"buckets": 1}):
         got = {r["doc_id"]: r for r in fingerprints.fingerprints(df, **options).collect()}
         for i, text in enumerate(texts):
             other = texts[i - 1]
-            keep, half = len(text) - len(text) // 2, other[: len(text) // 2]
-            rest = text[keep:]
-            assert got[i]["near_next"] == pytest.approx(covered_share(text, other))
-            if text == text[:keep] + half:
-                want = 1.0
-            else:
-                inner = 1.0 if rest == half else covered_share(rest, half)
-                want = (2 * keep + inner * (len(rest) + len(half))) / (len(text) + keep + len(half))
-            assert got[i]["near_edited"] == pytest.approx(min(want, 1 - 1 / 1024) if want < 1 else want, abs=2e-3)
+            edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+            assert got[i]["near_next"] == pytest.approx(plain_likeness(text, other))
+            assert got[i]["near_edited"] == pytest.approx(plain_likeness(text, edited))
+            assert fingerprints.likeness(got[i]["fingerprint"], got[i]["edited_fingerprint"]) == got[i]["near_edited"]
+
+
+def test_likeness_tells_copies_from_others(spark):
+    base = prose(1, 2000).split()
+    near = " ".join(base[:700] + ["new", "words"] + base[703:1500] + base[1520:])
+    a, b, c = fingerprints.Prints.of([" ".join(base), near, prose(2, 2000)]).written()
+    assert fingerprints.likeness(a, b) > 0.5 and fingerprints.likeness(a, c) < 0.05 and fingerprints.likeness(a, b) == fingerprints.likeness(b, a)
 
 
 def test_prefix_hashes():

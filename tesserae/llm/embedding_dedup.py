@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import components, cut, discard
 
 #: Most pivots of a label, vectors of a label that they are chosen from (by a hash of vec_id, so at random), and bytes of
-#: pivots that go to all tasks; labels beyond that have one cell.
-PIVOTS, SAMPLE, PIVOT_BYTES = 256, 4000, 64 << 20
+#: pivots that go to all tasks; labels beyond that have one cell. Labels of fewer than SMALL vectors need no pivots.
+PIVOTS, SAMPLE, PIVOT_BYTES, SMALL = 256, 4000, 64 << 20, 16
 #: Vectors that one task compares with as many others, and rows of them at a time.
 BLOCK, STRIP = 8192, 128
 #: More than rounding can add to an angle or a projection.
@@ -87,24 +89,31 @@ def _links(cosine: float):
     return run
 
 
-def _pivots(classes: DataFrame, most: int, block: int, kind: str) -> dict[tuple, np.ndarray]:
-    """By (label, dim): farthest-first pivots, one for each `block` vectors, `most` at most, of labels with more than a block.
+def pivot_count(n: int, most: int) -> int:
+    """Pivots of a label of n vectors: an eighth of the square root, two at least."""
+    return min(most, max(2, math.ceil(math.sqrt(n) / 8)))
+
+
+def _pivots(classes: DataFrame, most: int, kind: str) -> dict[tuple, np.ndarray]:
+    """By (label, dim): farthest-first pivots of labels of SMALL vectors or more, pivot_count of them.
 
-    Such labels are fewer than vectors / block; those with the most vectors come first, until PIVOT_BYTES are used.
+    Labels with the most vectors come first, until PIVOT_BYTES are used.
     """
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL)
     wanted, used = [], 0
     for r in sizes.orderBy(F.desc("n"), "label", "dim").toLocalIterator():
-        k = min(most, -(-r["n"] // block))
+        k = pivot_count(r["n"], most)
         used += k * r["dim"] * 8
         if used > PIVOT_BYTES:
             break
-        wanted.append((r["label"], r["dim"], k))
+        wanted.append((r["label"], r["dim"], k, r["n"]))
     if not wanted:
         return {}
-    chosen = classes.sparkSession.createDataFrame(wanted, f"label {kind}, dim int, k int")
-    order = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("vec_id"), "vec_id"))
-    sample = classes.join(F.broadcast(chosen), ["label", "dim"]).select("label", "dim", "k", "unit", order.alias("at")).where(F.col("at") <= SAMPLE)
+    chosen = classes.sparkSession.createDataFrame(wanted, f"label {kind}, dim int, k int, n long")
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    drawn = classes.join(F.broadcast(chosen), ["label", "dim"]).where(place.cast("double") * F.col("n") < float(2 * SAMPLE << 30))  # some 2 SAMPLE of each label
+    order = F.row_number().over(Window.partitionBy("label", "dim").orderBy(place, "vec_id"))
+    sample = drawn.select("label", "dim", "k", "unit", order.alias("at")).where(F.col("at") <= SAMPLE)
 
     def choose(rows: pa.Table) -> pa.Table:
         dim, k = rows.column("dim")[0].as_py(), rows.column("k")[0].as_py()
@@ -130,8 +139,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVO
     label, and is replicated to each cell of a lower number that can hold a vector within r (r = acos(cosine)): by the
     triangle inequality its pivot is at most 2 r farther, and x is within r of the half of the sphere that is nearer to
     it. So each pair meets in one cell, and cells join independently, in blocks of bounded size that give link counts and
-    spanning links. Pivots are farthest-first from a sample of SAMPLE vectors of a label, one for each `block` vectors and
-    `pivots` at most, which any choice leaves exact; a label of one block needs none.
+    spanning links. Pivots are farthest-first from a sample of SAMPLE vectors of a label, two or more of each label of SMALL
+    vectors (see pivot_count) and `pivots` at most; any choice leaves the result exact.
     """
     base = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
     kind = base.schema["label"].dataType.simpleString()
@@ -148,7 +157,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVO
     usable = cut(usable)
     classes = usable.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes = cut(classes)
-    sets = vectors.sparkSession.sparkContext.broadcast(_pivots(classes, pivots, block, kind))
+    sets = vectors.sparkSession.sparkContext.broadcast(_pivots(classes, pivots, kind))
     angle_of = float(np.arccos(np.clip(cosine, -1.0, 1.0)))
     reach, beyond = 2 * angle_of + SLACK, (np.sin(angle_of) if cosine > 0 else 2.0) + SLACK
 

@@ -255,6 +255,32 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_meet_in_cells(spark, monkeypatch):
+    """The query's labels have several cells each, vectors are replicated between them, and the links are the plain ones."""
+    from tesserae.llm import embedding_dedup
+
+    sets, placed = [], []
+    pivots, write = embedding_dedup._pivots, embedding_dedup.cut
+    monkeypatch.setattr(embedding_dedup, "_pivots", lambda *a: sets.append(pivots(*a)) or sets[-1])
+
+    def counted(df):
+        out = write(df)
+        placed.append(("cell" in out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "cut", counted)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op1_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert len(sets[0]) >= 8 and all(len(p) >= 2 for p in sets[0].values())
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) / np.linalg.norm(np.array(r["embedding"], float)) for r in rows}
+    label = {r["vec_id"]: r["label"] for r in rows}
+    ids = sorted(x)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if label[a] == label[b] is not None and x[a] @ x[b] >= 0.98]
+    degree, component = Counter(v for pair in links for v in pair), components(ids, links)
+    assert got == {i: (degree[i], component[i]) for i in ids}
+    assert next(n for cells, n in placed if cells) > 1.2 * placed[1][1]
+
+
 def followers(rows):
     """(row, the next row in descending doc_id) with those that repeat an id by text and those without one last."""
     order = sorted(rows, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))

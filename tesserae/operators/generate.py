@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.replies import gate_verdict, judge_line
 from tesserae.functions.text import KNOWN_IDENTIFIERS, py_strip, strip_think
-from tesserae.operators.records import parse_responses, plan_batches, sample_n, ungrounded
+from tesserae.operators.leading import leading_text
+from tesserae.operators.records import numbered, parse_responses, plan_batches, sample_n, ungrounded
 
 #: Records asked for in a prompt, characters of a source, of a reference and of a chunk in one, queries asked of a chunk.
 BATCH, SAMPLE_CHARS, REFERENCE_CHARS, CHUNK_CHARS, QUERIES_A_CHUNK = 5, 500, 8_000, 4_000, 3
@@ -175,18 +176,31 @@ def render_reference(chunks: DataFrame, keys: list[str], order: str) -> DataFram
     known = F.filter(F.array("source", "section"), lambda x: F.length(F.coalesce(x, F.lit(""))) > 0)
     header, body = F.array_join(known, " / "), py_strip(F.coalesce("text", F.lit("")))
     one = F.when(F.length(header) > 0, F.concat(F.lit("["), header, F.lit("]\n"), body)).otherwise(body)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, one.alias("text")))), lambda x: x["text"])
-    return chunks.groupBy(*keys).agg(F.substring(F.array_join(listed, "\n\n---\n\n"), 1, REFERENCE_CHARS).alias("reference"))
+    return leading_text(chunks, keys, order, one, "\n\n---\n\n", REFERENCE_CHARS, "reference")
 
 
-def _drawn(batches: DataFrame, pool: DataFrame, key: str, n: int, seed: int, most: int = 1000) -> DataFrame:
-    """(batch, place, the pool's columns): n rows of the pool for each batch, drawn by a hash from at most `most` of them.
+def _drawn(batches: DataFrame, pool: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(batch, place, the pool's columns): for each batch n rows of the whole pool, without replacement, by a hash.
 
-    The pool of prompts is itself a sample: a thousand sources give any batch its n without meeting the whole corpus.
+    The pool's distinct keys are numbered; a batch draws numbers until it has n unlike ones, or takes all in the order of
+    a hash where there are few. Of rows that repeat a key the first comes, in order of its text.
     """
-    few = sample_n(pool, key, most, seed)
-    place = F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64(F.lit(seed), "batch", key), key))
-    return batches.select("batch").join(F.broadcast(few), F.lit(True)).withColumn("place", place).where(F.col("place") <= n)
+    keys = pool.select(F.col(key).alias("drawn")).where("drawn is not null").distinct()
+    at = numbered(keys, ["drawn"], "number")
+    size = at.count()
+    if size <= 4 * n:
+        drawn = batches.select("batch", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long"))).alias("number")) if size else batches.select("batch", F.lit(None).cast("long").alias("number")).limit(0)
+        drawn = drawn.withColumn("turn", F.xxhash64(F.lit(seed), "batch", "number"))
+    else:  # each draw is a new number at three of four: with so many none runs short
+        tries = batches.select("batch", F.explode(F.sequence(F.lit(0), F.lit(3 * n + 60))).alias("try"))
+        number = F.pmod(F.xxhash64(F.lit(seed), "batch", "try"), F.lit(size)) + 1
+        drawn = tries.groupBy("batch", number.alias("number")).agg(F.min("try").cast("long").alias("turn"))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("turn", "number"))
+    picked = drawn.withColumn("place", place).where(F.col("place") <= n).join(at, "number").select("batch", "place", "drawn")
+    wanted = pool.join(picked.select("drawn").distinct(), F.col(key) == F.col("drawn"), "left_semi")
+    rest = [c for c in pool.columns if c != key]
+    single = wanted.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
+    return picked.join(single, F.col("drawn") == F.col(key)).drop("drawn")
 
 
 def generate_records(sources: DataFrame, generator: Generator, target: int, domain: str, seed: int = 0, partitions: int | None = None) -> DataFrame:

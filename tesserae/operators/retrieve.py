@@ -11,65 +11,143 @@ from pyspark.sql import functions as F
 from tesserae.operators.records import keep_first
 from tesserae.operators.written import written
 
-#: Vectors of queries that are broadcast at once, more are searched in further blocks; scores of a tile.
-QUERY_BLOCK, TILE = 20_000, 2_000_000
+#: Vectors of one block of either side, most cells of an index, vectors that their pivots are chosen from.
+BLOCK, CELLS, SAMPLE = 8192, 256, 4000
+FOUND = "query_id long, doc_id long, score double"
 
 
-def _vectors(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, vectors) of those of this dimension (else the first one's) without a null."""
-    sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    dim = dim or int(next(iter(sizes[sizes > 0]), 0))
-    flat = column.flatten()
-    values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(float)
-    at = np.flatnonzero((sizes == dim) & (dim > 0))
-    x = values[np.cumsum(sizes)[at][:, None] - dim + np.arange(dim)]
-    whole = ~np.isnan(x).any(axis=1)
-    return at[whole], x[whole]
+def _usable(df: DataFrame, name: str, dim: int) -> DataFrame:
+    """(name, vector) with vectors of this dimension as bytes of doubles; what holds a null or a NaN is left out."""
+    whole = (F.size("vector") == dim) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))
+    rows = df.where(F.col(name).isNotNull() & F.col("vector").isNotNull()).where(whole)
 
+    def packed(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in flat.reshape(batch.num_rows, dim)], pa.binary())], [name, "vector"])
 
-def knn(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    return rows.select(F.col(name).cast("long").alias(name), "vector").mapInArrow(packed, f"{name} long, vector binary")
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+
+
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.sqrt((x * x).sum(axis=1))
+    return norm, x / np.where(norm > 0, norm, 1)[:, None]
+
+
+def choose_pivots(x: np.ndarray, k: int) -> np.ndarray:
+    """Directions of x, each as far as can be from those before it."""
+    _, x = _directions(x)
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < min(k, len(x)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _best_in_block(k: int, dim: int):
+    """For applyInArrow on one block of documents and one of queries: the k best of each query."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
+        x = _matrix(rows.column("vector"), dim)
+        docs = np.flatnonzero(side == 1)
+        docs, queries = docs[np.argsort(ids[docs], kind="stable")], np.flatnonzero(side == 0)
+        found = []
+        step = max(1, (1 << 21) // max(1, len(docs)))
+        for lo in range(0, len(queries) if len(docs) else 0, step):
+            part = queries[lo : lo + step]
+            score = x[part] @ x[docs].T
+            there = docs
+            if len(docs) > 4 * k:  # what is below every query's k-th best cannot be among the best
+                keep = np.flatnonzero((score >= np.partition(score, -k, axis=1)[:, -k][:, None]).any(axis=0))
+                score, there = score[:, keep], docs[keep]
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            found.append((np.repeat(ids[part], top.shape[1]), ids[there[top]].ravel(), np.take_along_axis(score, top, 1).ravel()))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "doc_id", "score"), columns, strict=True)), schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
+
+    return run
+
+
+def knn(queries: DataFrame, index: DataFrame, k: int, cells: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best inner products; ties by doc_id.
 
-    queries(query_id, vector), index(doc_id, vector). Each block of queries goes to every partition of the index, which
-    multiplies tiles of matrices and keeps k a query; only those are shuffled. Vectors that are null, hold a null or have
-    another dimension than the queries' first are left out.
+    queries(query_id, vector), index(doc_id, vector). Vectors that are null, hold a null or a NaN, or have another
+    dimension than the vector of the least query_id are left out; of rows that repeat an id each counts.
+
+    An index of more than two blocks is dealt to cells by the nearest of some pivots, each with its least and largest
+    norm and its largest angle from the pivot. A query meets the cell of its own nearest pivot first; the k-th best score
+    there goes ahead, and only cells whose vectors can reach it (by the triangle inequality on angles) are met too. Both
+    sides are met in blocks; nothing but pivots and the cells' figures passes the driver.
     """
-    rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    out = None
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        block = [r for r in block if len(r["vector"]) == len(block[0]["vector"]) and None not in r["vector"]]
-        ids, q = np.array([r["query_id"] for r in block], np.int64), np.array([r["vector"] for r in block], float)
-        held = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-        def search(batches, held=held):
-            ids, q = held.value
-            best_score, best_doc = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                at, v = _vectors(batch.column("vector"), q.shape[1])
-                docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[at]
-                step = max(1, TILE // max(1, len(docs)))
-                for lo in range(0, len(ids) if len(docs) else 0, step):
-                    part = slice(lo, lo + step)
-                    score = q[part] @ v.T
-                    if len(docs) > 4 * k:  # what is below the k-th best of the batch cannot be among the best
-                        least = np.partition(score, -k, axis=1)[:, -k]
-                        keep = np.flatnonzero((score >= least[:, None]).any(axis=0))
-                        score, there = score[:, keep], docs[keep]
-                    else:
-                        there = docs
-                    both = np.hstack([best_score[part], score]), np.hstack([best_doc[part], np.broadcast_to(there, score.shape)])
-                    top = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
-                    best_score[part], best_doc[part] = np.take_along_axis(both[0], top, 1), np.take_along_axis(both[1], top, 1)
-            found = np.isfinite(best_score)
-            if found.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[found.ravel()]), pa.array(best_doc[found]), pa.array(best_score[found])], ["query_id", "doc_id", "score"])
-
-        part = index.select(F.col("doc_id").cast("long"), "vector").where("vector is not null and doc_id is not null").mapInArrow(search, "query_id long, doc_id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    spark = queries.sparkSession
+    dim = queries.where("vector is not null").agg(F.min_by(F.size("vector"), "query_id").alias("d")).first()["d"]
+    if not dim:
+        return spark.createDataFrame([], FOUND + ", rank int")
+    asked, docs = _usable(queries, "query_id", dim), _usable(index, "doc_id", dim)
+    n = index.count()
+    cells = cells or (1 if n <= 2 * block else min(CELLS, int(n**0.5) // 8))
+    pivots = np.zeros((1, dim))
+    if cells > 1:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        rows = docs.where(place.cast("double") * n < float(2 * SAMPLE << 30)).orderBy(place, "doc_id").limit(SAMPLE).select("vector").collect()
+        pivots = choose_pivots(np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), "<f8").reshape(-1, dim), cells) if rows else pivots
+
+    def near(batches):
+        for batch in batches:
+            norm, x = _directions(_matrix(batch.column(1), dim))
+            dots = x @ pivots.T
+            cell = dots.argmax(axis=1)
+            angle = np.arccos(np.clip(dots[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(norm), pa.array(angle)], [*batch.schema.names, "cell", "norm", "angle"])
+
+    placed = docs.mapInArrow(near, "doc_id long, vector binary, cell int, norm double, angle double")
+    placed = written(placed) if cells > 1 else placed
+    figures = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("norm").alias("least"), F.max("norm").alias("most"), F.max("angle").alias("wide")).collect()}  # a row a cell
+    parts = {c: -(-r["n"] // block) for c, r in figures.items()}
+    turns = -(-queries.count() // block)
+    each = lambda at: F.sequence(F.lit(0), at - 1)
+    blocks_of = F.create_map(*(F.lit(x) for c, p in parts.items() for x in (c, p))) if parts else F.create_map(F.lit(-1), F.lit(1))
+    held = placed.select(F.lit(1).alias("side"), F.col("doc_id").alias("id"), "vector", "cell", F.pmod(F.xxhash64("doc_id"), F.element_at(blocks_of, F.col("cell"))).cast("int").alias("part"), F.explode(each(F.lit(max(1, turns)))).alias("turn"))
+
+    def search(met: DataFrame) -> DataFrame:
+        """FOUND of met(query_id, vector, cell): the k best of each query in each block of its cells."""
+        mine = met.select(F.lit(0).alias("side"), F.col("query_id").alias("id"), "vector", "cell", F.explode(each(F.element_at(blocks_of, F.col("cell")))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, turns))).cast("int").alias("turn"))
+        return mine.union(held).groupBy("cell", "part", "turn").applyInArrow(_best_in_block(k, dim), FOUND)
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k)
+    if len(figures) < 2:
+        only = next(iter(figures), -1)
+        return best(search(asked.withColumn("cell", F.lit(only))) if figures else spark.createDataFrame([], FOUND))
+    there = np.array(sorted(figures))
+    least, most, wide = (np.array([figures[c][f] for c in there]) for f in ("least", "most", "wide"))
+
+    def home(batches):
+        for batch in batches:
+            _, x = _directions(_matrix(batch.column(1), dim))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(there[(x @ pivots[there].T).argmax(axis=1)].astype(np.int32))], ["query_id", "vector", "cell"])
+
+    homes = written(asked.mapInArrow(home, "query_id long, vector binary, cell int"))
+    first = written(best(search(homes)).drop("rank"))
+    ahead = first.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+
+    def others(batches):
+        for batch in batches:
+            norm, x = _directions(_matrix(batch.column(1), dim))
+            cosine = np.cos(np.maximum(0, np.arccos(np.clip(x @ pivots[there].T, -1, 1)) - wide - 1e-9))
+            bound = norm[:, None] * np.where(cosine >= 0, most, least) * cosine
+            reached = batch.column("reached").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            wanted = (bound + 1e-9 * (1 + np.abs(bound)) >= reached[:, None]) & (there != batch.column("cell").to_numpy()[:, None])
+            row, cell = np.nonzero(wanted)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(there[cell].astype(np.int32))], ["query_id", "vector", "cell"])
+
+    rest = homes.join(ahead, "query_id", "left").mapInArrow(others, "query_id long, vector binary, cell int")
+    return best(first.union(search(rest)))
 
 
 #: Distinct query terms up to this number go to where the documents are scanned; more are joined.

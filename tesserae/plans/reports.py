@@ -91,7 +91,7 @@ def o06(spark, sf_dir):
     return reports.weakest_categories(named, "source", "gold", "predicted").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("o07_sample")
+@query("o07_sample", "SELECT doc_id, source FROM documents ORDER BY md5('3|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 40")
 def o07(spark, sf_dir):
     return records.sample_n(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 40, 3)
 

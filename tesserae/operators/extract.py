@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import py_strip
 from tesserae.operators.automaton import AUTOMATON_BYTES, contained, small_enough
+from tesserae.operators.logistic import lbfgs, mean_loss
 from tesserae.operators.profile import class_weights
-from tesserae.operators.records import keep_first
+from tesserae.operators.records import keep_first, numbered
 from tesserae.operators.tagger import bio_tags, decode_bio, feature_rows, features, find_spans, score_tags, tokens
+from tesserae.operators.written import written
 
 
 def entity_rows(df: DataFrame, key: str, entities: str = "entities") -> DataFrame:
@@ -25,26 +26,36 @@ def tagged(df: DataFrame, key: str, text: str = "text", entities: str = "entitie
     return bio_tags(toks, find_spans(df, entity_rows(df, key, entities), key, text), key)
 
 
-def fit_tagger(df: DataFrame, key: str, text: str = "text", entities: str = "entities", c: float = 4.0) -> tuple[DataFrame, DataFrame]:
+#: Most features that have a weight of their own (for each class); of more, each has one of so many by a hash.
+FEATURES = 500_000
+
+
+def fit_tagger(df: DataFrame, key: str, text: str = "text", entities: str = "entities", c: float = 4.0, most: int = FEATURES) -> tuple[DataFrame, DataFrame]:
     """(weights(feature, class, weight), intercepts(class, intercept)) of a balanced logistic tagger on one-hot features.
 
-    The vocabulary is numbered by a window over the distinct features; rows become sparse vectors of their numbers.
+    Features are numbered in order (see numbered), or hashed where there are more than `most`, which bounds what goes to
+    the tasks and back. A token's features are lists of numbers and values; loss and gradient are summed over partitions.
     """
     spark = df.sparkSession
-    rows = tagged(df, key, text, entities)
-    facts = feature_rows(features(rows, key), key)
-    vocabulary = facts.select("feature").distinct().withColumn("at", F.row_number().over(Window.orderBy("feature")) - 1)
+    rows = written(tagged(df, key, text, entities))
+    facts = feature_rows(features(rows.select(key, "pos", "tok"), key), key)
+    vocabulary = written(numbered(facts.select("feature").distinct(), ["feature"], "at").select("feature", (F.col("at") - 1).cast("int").alias("at")))
     n = vocabulary.count()
+    if n > most:
+        vocabulary, n = vocabulary.select("feature", F.pmod(F.xxhash64("feature"), F.lit(most)).cast("int").alias("at")), most
     classes = [r[0] for r in rows.select("tag").distinct().orderBy("tag").collect()]  # two a type and O
-    sparse = F.udf(lambda xs: SparseVector(n, {int(x["at"]): float(x["value"]) for x in xs}), VectorUDT())
-    vectors = facts.join(vocabulary, "feature").groupBy(key, "pos").agg(sparse(F.collect_list(F.struct("at", "value"))).alias("features"))
-    code = F.array_position(F.array(*map(F.lit, classes)), F.col("tag")).cast("double") - 1
-    train = rows.join(class_weights(rows, "tag").withColumnRenamed("label", "tag"), "tag").join(vectors, [key, "pos"]).select("features", code.alias("label"), "weight")
-    fit = LogisticRegression(weightCol="weight", regParam=1 / (c * max(1, train.count())), standardization=False, maxIter=2000, family="multinomial").fit(train)
-    matrix, bias = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
-    names = [r[0] for r in vocabulary.orderBy("at").select("feature").toLocalIterator()]
-    weights = spark.createDataFrame(((f, k, float(matrix[j, i])) for i, f in enumerate(names) for j, k in enumerate(classes)), "feature string, class string, weight double")
-    return weights, spark.createDataFrame([(k, float(b)) for k, b in zip(classes, bias, strict=True)], "class string, intercept double")
+    if not classes:
+        return spark.createDataFrame([], "feature string, class string, weight double"), spark.createDataFrame([], "class string, intercept double")
+    held = facts.join(vocabulary, "feature").groupBy(key, "pos").agg(F.collect_list(F.struct("at", "value")).alias("x"))
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col("tag")).cast("int") - 1
+    weighted = rows.join(class_weights(rows, "tag").withColumnRenamed("label", "tag"), "tag").join(held, [key, "pos"])
+    train = written(weighted.select(F.expr("transform(x, f -> f.at)").alias("at"), F.expr("transform(x, f -> f.value)").alias("value"), code.alias("label"), F.col("weight").cast("double").alias("weight")))
+    penalty = 1 / (c * max(1, train.count()))
+    w = lbfgs(lambda w: mean_loss(train, w, penalty), np.zeros((n + 1, len(classes))))
+    bias = w[-1] - w[-1].mean()
+    table = ((at, k, float(w[at, j])) for at in range(n) for j, k in enumerate(classes))
+    own = spark.createDataFrame(table, "at int, class string, weight double")
+    return vocabulary.join(own, "at").select("feature", "class", "weight"), spark.createDataFrame([(k, float(b)) for k, b in zip(classes, bias, strict=True)], "class string, intercept double")
 
 
 def extract(df: DataFrame, weights: DataFrame, intercepts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from tesserae.operators.written import shared_folder
 from tesserae.plans.base import LABELS, ORACLES, OUTPUT, PREDICTED, QUERIES, RECORDS, SCORED, STATUS, STRIP_SQL, TOKEN_SQL, UNIT, UNIT_SQL, query, rows
 from tesserae.session import table
 from tesserae.sources import files
+from tesserae.streaming import runs
 
 __all__ = ["ORACLES", "OUTPUT", "QUERIES"]
 
@@ -638,6 +639,17 @@ def st1(spark, sf_dir):
     return scorecard.fold_events(df)
 
 
+@query("st1_fold_stream", ORACLES["st1_fold_events"])
+def st1_stream(spark, sf_dir):
+    """The same fold by a stream over the events, with its state and its versions in the shared folder."""
+    held = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file
+    kind = F.when(F.col("event_id") % 9 == 0, "answer_reset").when(F.col("event_id") % 9 == 1, "model").otherwise("token")
+    events = held.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"), "ts")
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    runs.fold_to(events, f"{path}/out", f"{path}/state").awaitTermination()
+    return runs.folded(spark, f"{path}/out").select("run_id", "answer", "model", "n")
+
+
 @query("s08_html_text")
 def s08(spark, sf_dir):
     return files.html_to_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), T.slug(F.col("url")).alias("slug"))

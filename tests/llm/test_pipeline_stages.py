@@ -69,7 +69,8 @@ def test_mixing(kept):
     want = Counter()
     for r in kept[3]:
         rate = total / weights * sizes[r["source"]] ** 0.5 / sizes[r["source"]]
-        u, k, cdf = int(hashlib.md5(f"7|{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        text = hashlib.md5((r["text"] or "").encode()).hexdigest()
+        u, k, cdf = int(hashlib.md5(f"7|{r['doc_id']}|{text}|0".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
         while cdf <= u:
             k += 1
             cdf += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))

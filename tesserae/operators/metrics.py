@@ -31,7 +31,7 @@ def indexed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list
 
     Each of `rounds` narrowing steps counts the rows of PARTS parts of the range that holds a place, in every task, and
     goes on with one part; what is left is counted by distinct value. Rounds are chosen by the row count so that a last
-    step sorts SORTED_ROWS or so. Nulls are left out, a group of nulls alone is missing; null keys are a group. Numbers
+    step sorts SORTED_ROWS or so; of fewer rows all are counted by distinct value at once. Nulls are left out, a group of nulls alone is missing; null keys are a group. Numbers
     of any kind; NaN is the largest.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
@@ -39,6 +39,12 @@ def indexed_percentiles(df: DataFrame, keys: list[str], value: str, shares: list
         n, rounds = rows.count(), 0
         while n > SORTED_ROWS:
             n, rounds = n // PARTS, rounds + 1
+    if not rounds:  # few rows: one shuffle of counts by distinct value
+        c, upto, n = hidden(df.columns, "c", "upto", "n")
+        w = Window.partitionBy(*keys)
+        counts = rows.groupBy(*keys, value).agg(F.count("*").alias(c)).withColumn(upto, F.sum(c).over(w.orderBy(value))).withColumn(n, F.sum(c).over(w))
+        at = lambda p: F.min(F.when(F.col(upto) > F.least(F.floor(F.col(n) * p), F.col(n) - 1), F.col(value)))
+        return counts.groupBy(*keys).agg(*(at(p).alias(f"{prefix}{round(p * 100)}") for p in shares))
     own = hidden(df.columns, *(f"key{i}" for i in range(len(keys))), "share", "lo", "hi", "index", "below")
     own.insert(len(keys), value)
     share, lo, hi, index, below = own[len(keys) + 1 :]

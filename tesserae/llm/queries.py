@@ -153,8 +153,8 @@ ORACLES: dict[str, str] = {
               FROM events e ASOF LEFT JOIN best b ON e.client_id = b.client_id AND e.ts_us >= b.at_us) e""",
     "op12_decontamination": f"""
         WITH item_words AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
-        at AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0),
-        runs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS run, len(w[i : i + 9]) AS n FROM at),
+        begins AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0),
+        runs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS run, len(w[i : i + 9]) AS n FROM begins),
         doc_words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
         words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc_words),
         ten AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g FROM words),

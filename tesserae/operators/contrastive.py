@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,3 +149,13 @@ class Mapped:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         return _unit(self.encoder.encode(texts) @ self.w.T)[0].astype(np.float32)
+
+
+def mapped(df: DataFrame, w: np.ndarray, vector: str) -> DataFrame:
+    """df with the map applied to a column of an encoder's vectors, as Mapped gives them for the texts."""
+
+    @F.pandas_udf("array<float>")
+    def run(c: pd.Series) -> pd.Series:
+        return pd.Series(list(_unit(np.stack(c.to_numpy()) @ w.T)[0].astype(np.float32)) if len(c) else [])
+
+    return df.withColumn(vector, run(vector))

@@ -6,6 +6,7 @@ deterministic and need no network: they make the flow testable and say nothing a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import time
@@ -53,6 +54,11 @@ class Reranker(Protocol):
     def score(self, queries: pd.Series, texts: pd.Series) -> pd.Series: ...
 
 
+@functools.lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 class HashingEncoder:
     """Signed hashed words, L2-normalised (with 1e-12, so a text without words has zeros): the offline encoder."""
 
@@ -60,11 +66,11 @@ class HashingEncoder:
         self.dim, self.most_tokens = dim, most_tokens
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split()[: self.most_tokens]:
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % self.dim] += 1.0 if h >> 63 else -1.0
+        words = [text.lower().split()[: self.most_tokens] for text in texts]
+        h = np.fromiter((word_hash(w) for row in words for w in row), np.uint64)
+        at = np.repeat(np.arange(len(texts)) * self.dim, [len(row) for row in words]) + (h % np.uint64(self.dim)).astype(np.int64)
+        signs = np.where(h >> np.uint64(63), 1.0, -1.0)
+        out = np.bincount(at, signs, len(texts) * self.dim).astype(np.float32).reshape(len(texts), self.dim)
         return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-12)
 
 

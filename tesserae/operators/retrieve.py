@@ -150,6 +150,73 @@ def knn(queries: DataFrame, index: DataFrame, k: int, cells: int | None = None,
     return best(first.union(search(rest)))
 
 
+#: Documents and queries of one block where places are counted, documents met at once, scores that count as alike.
+OWN_DOCS, OWN_QUERIES, OWN_CHUNK, ALIKE = 16_384, 8_192, 1_024, 1e-9
+OWN = "query_id long, vector binary, own double, better long"
+
+
+def _better_in_block(most: int, dim: int):
+    """For applyInArrow on one block of documents and one of queries: how many documents go before each query's own."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, ids, own = (rows.column(c).to_numpy() for c in ("side", "id", "own"))
+        x = _matrix(rows.column("vector"), dim)
+        docs, asked = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        better = rows.column("better").to_numpy()[asked]
+        for lo in range(0, len(docs), OWN_CHUNK):
+            at = np.flatnonzero(better < most)
+            if not len(at):
+                break
+            part, of = docs[lo : lo + OWN_CHUNK], asked[at]
+            score, own_score = x[of] @ x[part].T, own[of][:, None]
+            above, least = score > own_score + ALIKE, score >= own_score - ALIKE
+            better[at] += np.count_nonzero(above, axis=1)
+            for row in np.flatnonzero(np.count_nonzero(least, axis=1) > np.count_nonzero(above, axis=1)):
+                alike = least[row] & ~above[row]
+                better[at[row]] += np.count_nonzero(ids[part[alike]] < ids[of[row]])
+        before = rows.column("better").to_numpy()[asked]
+        return pa.table({"query_id": pa.array(ids[asked], pa.int64()), "vector": rows.column("vector").take(pa.array(asked)), "own": pa.array(own[asked], pa.float64()), "better": pa.array(better - before, pa.int64())})
+
+    return run
+
+
+def own_places(queries: DataFrame, index: DataFrame, most: int, block: int = OWN_DOCS) -> DataFrame:
+    """(query_id, rank): the place of the index's row with the query's own id by inner products, null beyond `most`.
+
+    queries(query_id, vector), index(doc_id, vector), as for knn; scores within ALIKE are ties, by doc_id. A query is done
+    once `most` rows stand before its own, so it meets one block of the index, the next eight if it is still open, and
+    then all others. Both sides are met in blocks.
+    """
+    spark = queries.sparkSession
+    dim = queries.where("vector is not null").agg(F.min_by(F.size("vector"), "query_id").alias("d")).first()["d"]
+    if not dim:
+        return queries.select(F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast("int").alias("rank")).distinct()
+    docs = written(_usable(index, "doc_id", dim))
+
+    def scored(batches):
+        for batch in batches:
+            own = np.einsum("ij,ij->i", _matrix(batch.column("vector"), dim), _matrix(batch.column("mine"), dim))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own), pa.array(np.zeros(len(own), np.int64))], ["query_id", "vector", "own", "better"])
+
+    mine = docs.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("mine"))
+    pairs = _usable(queries, "query_id", dim).join(mine, "query_id").select("query_id", "vector", "mine").mapInArrow(scored, OWN)
+    still = written(pairs.groupBy("query_id", "vector").agg(F.max("own").alias("own"), F.max("better").alias("better")))
+    parts = max(1, -(-docs.count() // block))
+    each = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
+    held = docs.select(F.lit(1).alias("side"), F.col("doc_id").alias("id"), "vector", F.lit(0.0).alias("own"), F.lit(0).cast("long").alias("better"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
+    edges = sorted({0, 1, min(9, parts), parts})
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        turns = max(1, -(-still.count() * (hi - lo) // (parts * OWN_QUERIES)))
+        turn = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(turns)).cast("int")
+        met = still.select(F.lit(0).alias("side"), F.col("query_id").alias("id"), "vector", "own", "better", each(lo, hi).alias("by"), turn.alias("turn"))
+        met = met.withColumn("part", ((F.pmod(F.xxhash64("id"), F.lit(parts)) + F.col("by")) % parts).cast("int")).drop("by").select("side", "id", "vector", "own", "better", "part", "turn")
+        found = met.unionByName(held.withColumn("turn", each(0, turns))).groupBy("part", "turn").applyInArrow(_better_in_block(most, dim), OWN)
+        before = still.select("query_id", "vector", "own", "better")
+        still = written(before.union(found).groupBy("query_id", "vector", "own").agg(F.sum("better").alias("better")).where(F.col("better") < most))
+    ranks = still.groupBy("query_id").agg((F.min("better") + 1).cast("int").alias("rank"))
+    return queries.select(F.col("query_id").cast("long").alias("query_id")).where("query_id is not null").distinct().join(ranks, "query_id", "left")
+
+
 #: Distinct query terms up to this number go to where the documents are scanned; more are joined.
 WANTED_TERMS = 200_000
 WORD = r"(?U)\w+"

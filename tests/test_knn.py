@@ -49,3 +49,22 @@ def test_far_cells_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "_best_in_block", counting)
     met = retrieve.knn(d.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id"), d, 3, cells=8).collect()
     assert len(met) == 160 * 3 and pairs.value < 0.5 * 160 * len(x)
+
+
+def test_own_places_are_those_of_a_plain_search(spark, monkeypatch):
+    """Copies that tie by id, rows without usable vectors, a query whose own row is missing."""
+    monkeypatch.setattr(retrieve, "OWN_CHUNK", 16)
+    monkeypatch.setattr(retrieve, "OWN_QUERIES", 60)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 8))
+    x[300:340] = x[20:60]
+    q = x + rng.normal(size=x.shape) * 0.8
+    docs = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [float("nan")] * 8)]
+    queries = [(i, v.tolist()) for i, v in enumerate(q) if i % 2 == 0] + [(7000, x[0].tolist()), (9001, x[0].tolist())]
+    d = spark.createDataFrame(docs, "doc_id long, vector array<double>").repartition(5)
+    a = spark.createDataFrame(queries, "query_id long, vector array<double>").repartition(3)
+    got = {r["query_id"]: r["rank"] for r in retrieve.own_places(a, d, 10, block=30).collect()}
+    want = {i: 1 + int(sum((s > x[i] @ v + 1e-9) or (abs(s - x[i] @ v) <= 1e-9 and j < i) for j, s in enumerate(x @ v))) for i, v in enumerate(q) if i % 2 == 0}
+    assert got == {i: r if r <= 10 else None for i, r in want.items()} | {7000: None, 9001: None}
+    assert 30 < sum(r is not None for r in got.values()) < 200
+    assert retrieve.own_places(a.limit(0), d, 10).count() == 0

@@ -284,7 +284,8 @@ RERANKED, QUERY_CHARS = 50, 512
 def rerank(candidates: DataFrame, scorer, k: int) -> DataFrame:
     """candidates(query_id, query, doc_id, text, place) by a Python scorer of text pairs, in Arrow batches; k a query.
 
-    Only the first RERANKED places are scored. Where the scorer fails, its candidates keep their places' order.
+    Only the first RERANKED places are scored. Scores alike in nine digits are ties, which places break. Where the scorer
+    fails, its candidates keep their places' order.
     """
 
     @F.pandas_udf("double")
@@ -295,7 +296,7 @@ def rerank(candidates: DataFrame, scorer, k: int) -> DataFrame:
             return pd.Series([None] * len(queries), dtype="float64")
 
     out = candidates.where(F.col("place") <= RERANKED).withColumn("score", score(F.substring("query", 1, QUERY_CHARS), "text"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "place"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc_nulls_last(), "place"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -68,3 +68,13 @@ def test_own_places_are_those_of_a_plain_search(spark, monkeypatch):
     assert got == {i: r if r <= 10 else None for i, r in want.items()} | {7000: None, 9001: None}
     assert 30 < sum(r is not None for r in got.values()) < 200
     assert retrieve.own_places(a.limit(0), d, 10).count() == 0
+
+
+def test_scores_alike_in_nine_digits_keep_their_places(spark):
+    class Scorer:
+        def score(self, queries, texts):
+            return texts.astype(float)
+
+    rows = [(1, "q", 10, "0.7071067811865475", 1), (1, "q", 11, "0.7071067811865476", 2), (1, "q", 12, "0.9", 3)]
+    found = retrieve.rerank(spark.createDataFrame(rows, "query_id int, query string, doc_id int, text string, place int"), Scorer(), 3)
+    assert [r["doc_id"] for r in found.orderBy("rank").collect()] == [12, 10, 11]

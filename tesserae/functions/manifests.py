@@ -130,18 +130,29 @@ def extract_manifest(c: Column) -> Column:
     return py_strip(F.coalesce(F.get(_fenced(c), F.lit(0)), F.when(begin.isNull(), c).otherwise(tail)))
 
 
-def _facts(texts: list[str]) -> list[tuple]:
-    """(error, [(version, kind, name)]) of each YAML text: what its documents say of themselves, empty values as null."""
-    out = []
-    for text in texts:
+#: What the fast loader and Python's read alike: printable lines of keys, items and plain values, and empty brackets.
+PLAIN_YAML = re.compile(r"(?:[A-Za-z0-9 \n:./_+=()~^$;\\-]|\{\}(?=\n|$)|\[\](?=\n|$))*")
+FAST_LOADER = getattr(yaml, "CSafeLoader", None)
+
+
+def _documents(text: str) -> list[dict]:
+    """The mappings among a YAML text's documents; what the fast loader refuses or may read otherwise goes to Python's."""
+    if FAST_LOADER and PLAIN_YAML.fullmatch(text):
         try:
-            held = [d for d in yaml.safe_load_all(text or "") if isinstance(d, dict)]
-        except yaml.YAMLError as e:
-            out.append((str(e), []))
-            continue
-        named = [d["metadata"] if isinstance(d.get("metadata"), dict) else {} for d in held]
-        out.append((None, [tuple(str(x) if x else None for x in (d.get("apiVersion"), d.get("kind"), m.get("name"))) for d, m in zip(held, named, strict=True)]))
-    return out
+            return [d for d in yaml.load_all(text, FAST_LOADER) if isinstance(d, dict)]
+        except yaml.YAMLError:
+            pass  # said in Python's words
+    return [d for d in yaml.safe_load_all(text) if isinstance(d, dict)]
+
+
+def _fact(text: str) -> tuple:
+    """(error, [(version, kind, name)]) of a YAML text: what its documents say of themselves, empty values as null."""
+    try:
+        held = _documents(text)
+    except yaml.YAMLError as e:
+        return str(e), []
+    named = [d["metadata"] if isinstance(d.get("metadata"), dict) else {} for d in held]
+    return None, [tuple(str(x) if x else None for x in (d.get("apiVersion"), d.get("kind"), m.get("name"))) for d, m in zip(held, named, strict=True)]
 
 
 def _findings(facts: Column) -> Column:
@@ -158,10 +169,24 @@ def _findings(facts: Column) -> Column:
     return F.when(facts["error"].isNotNull(), F.concat(F.lit("Invalid YAML: "), facts["error"])).when(said == "", SOUND).otherwise(said)
 
 
+def _told(c: pd.Series) -> pd.Series:
+    """Facts of arrays of texts; texts that come again in a batch are read once."""
+    told: dict[str, tuple] = {}
+
+    def facts(texts) -> list[tuple]:
+        held = [text or "" for text in texts]
+        for text in held:
+            if text not in told:
+                told[text] = _fact(text)
+        return [told[text] for text in held]
+
+    return c.map(facts, na_action="ignore")
+
+
 def _read(texts: Column) -> Column:
     @F.pandas_udf(f"array<{FACTS}>")
     def run(c: pd.Series) -> pd.Series:
-        return c.map(_facts, na_action="ignore")
+        return _told(c)
 
     return run(texts)
 

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 #: State that is keyed within a run lives in this store.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Events of a run that lie in one entry of its state.
+ENTRY = 1000
 FOLDED = "run_id {run}, answer string, model string, n long, ended boolean, closed boolean, version long"
 
 
@@ -25,10 +27,10 @@ def fold(events: dict[int, tuple[str | None, str | None]]) -> tuple[str, str | N
 
 
 class RunFold(StatefulProcessor):
-    """A run's events by number, until none has come for `idle_ms` of event time; then it is closed and they go.
+    """A run's events until none has come for `idle_ms` of event time; then it is closed and they go.
 
     Each batch that brings a run new events gives its fold so far, numbered by version. Events that come again (with
-    a number that is known), and whatever comes for a closed run, change nothing.
+    a number that is known), and whatever comes for a closed run, change nothing. State is read and written by entries.
     """
 
     def __init__(self, idle_ms: int):
@@ -36,35 +38,50 @@ class RunFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "seq long", "type string, text string")
+        self.events = handle.getMapState("entries", "entry long", "seqs array<long>, types array<string>, texts array<string>")
         self.state = handle.getValueState("state", "version long, closed boolean")
 
-    def _row(self, key, closed: bool) -> pd.DataFrame:
+    def _held(self) -> tuple[int, dict[int, tuple[str | None, str | None]]]:
+        """The number of entries, and the events (type, text) by number."""
+        entries, events = 0, {}
+        for _, (seqs, kinds, texts) in self.events.iterator():
+            entries += 1
+            events.update(zip(map(int, seqs), zip(kinds, texts, strict=True), strict=True))
+        return entries, events
+
+    def _row(self, key, closed: bool, events: dict) -> pd.DataFrame:
         held = self.state.get()
         version = (held[0] if held else 0) + 1
         self.state.update((version, closed))
-        events = {k[0]: (v[0], v[1]) for k, v in self.events.iterator()}
         return pd.DataFrame([(key[0], *fold(events), closed, version)], columns=["run_id", "answer", "model", "n", "ended", "closed", "version"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, fresh, latest = self.state.get(), False, None
+        held, latest = self.state.get(), None
+        if held and held[1]:
+            for _ in rows:
+                pass
+            return
+        entries, events = self._held()
+        fresh = {}
+        text = lambda x: x if isinstance(x, str) else None
         for frame in rows:
-            if held and held[1]:
-                continue
-            for seq, kind, text, at in zip(frame["seq"], frame["type"], frame["text"], frame["at"], strict=True):
-                latest = at if latest is None or at > latest else latest
-                if not self.events.containsKey((int(seq),)):
-                    self.events.updateValue((int(seq),), (kind if isinstance(kind, str) else None, text if isinstance(text, str) else None))
-                    fresh = True
+            latest = max(frame["at"].max(), latest or frame["at"].max())
+            for seq, kind, said in zip(frame["seq"], frame["type"], frame["text"], strict=True):
+                if int(seq) not in events:
+                    events[int(seq)] = fresh[int(seq)] = (text(kind), text(said))
+        seqs = list(fresh)
+        for lo in range(0, len(seqs), ENTRY):
+            part = seqs[lo : lo + ENTRY]
+            self.events.updateValue((entries + lo // ENTRY,), (part, *(list(x) for x in zip(*(fresh[s] for s in part), strict=True))))
         if fresh:
             timers = list(self.handle.listTimers())
             for timer in timers:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(max([*timers, int(latest) + self.idle_ms]))
-            yield self._row(key, False)
+            yield self._row(key, False, events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._row(key, True)
+        yield self._row(key, True, self._held()[1])
         self.events.clear()
 
     def close(self) -> None:

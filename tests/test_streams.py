@@ -61,3 +61,25 @@ def test_runs_that_never_end_close(spark, tmp_path):
     copies = spark.read.parquet(f"{tmp_path}/out").groupBy("run_id", "version").agg(F.count("*").alias("c")).where("c > 1").count()
     assert not copies
     shutil.rmtree(f"{tmp_path}/in")
+
+
+def test_a_run_s_events_lie_in_few_entries(monkeypatch):
+    """State is written for ENTRY events at once, not for each; events that come again are told from its entries."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tesserae.streaming import runs
+
+    entries, told = {}, {}
+    store = SimpleNamespace(iterator=lambda: iter(entries.items()), updateValue=lambda k, v: entries.__setitem__(k, v))
+    value = SimpleNamespace(get=lambda: told.get(0), update=lambda v: told.__setitem__(0, v))
+    handle = SimpleNamespace(getMapState=lambda *a: store, getValueState=lambda *a: value, listTimers=list, registerTimer=lambda t: None)
+    folding = runs.RunFold(1000)
+    folding.init(handle)
+    frame = pd.DataFrame({"seq": range(2500), "type": "token", "text": [None if i == 7 else f"{i}." for i in range(2500)], "at": range(2500)})
+    (first,) = folding.handleInputRows((1,), iter([frame[:1200], frame[1200:]]), None)
+    assert len(entries) == 3 and first["n"][0] == 2500 and first["answer"][0] == "".join(f"{i}." for i in range(2500) if i != 7)
+    assert not list(folding.handleInputRows((1,), iter([frame[:50]]), None)) and len(entries) == 3
+    (again,) = folding.handleInputRows((1,), iter([frame[-1:].assign(seq=2500)]), None)
+    assert len(entries) == 4 and again["n"][0] == 2501 and again["version"][0] == 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What Python's str.strip removes among ASCII and the usual Unicode spaces.
 WHITE = r"[\s\u001c-\u001f\u0085   -     　]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Patterns of the record formats, and identifiers that need no reference.
 IDENTIFIER = r"\b[a-z0-9][a-z0-9.]*\.[a-z]{2,}/[A-Za-z0-9][A-Za-z0-9._-]*\b"
 KNOWN_IDENTIFIERS = ("apps/v1", "v1", "batch/v1")
@@ -17,7 +18,7 @@ TOKEN = r"(?U)\w+(?:[-./]\w+)*|[^\w\s]"
 
 def py_strip(c: Column) -> Column:
     """White space off both ends, as Python does it (Spark's trim takes blanks only)."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def segments(c: Column, sep: str = "[|]") -> Column:

@@ -10,22 +10,34 @@ from tesserae.functions.text import py_strip
 from tesserae.operators.written import hidden, written
 
 
+def _once(c: Column, use) -> Column:
+    """use(c), where c is worked out once however often use names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def unfenced(c: Column) -> Column:
     """What stands in a reply's first code fence, without the fence's language; the whole reply where it has none."""
-    body = py_strip(c)
-    inside = F.when(body.startswith("```"), F.get(F.split(body, "```"), F.lit(1))).otherwise(body)
-    named = inside.startswith("json") & body.startswith("```")
-    return F.when(named & F.contains(inside, F.lit("\n")), F.substring(inside, F.instr(inside, "\n") + 1, F.length(inside))).when(named, "").otherwise(inside)
+
+    def body_of(inside: Column) -> Column:
+        lines = F.contains(inside, F.lit("\n"))
+        return F.when(inside.startswith("json") & lines, F.substring(inside, F.instr(inside, "\n") + 1, F.length(inside))).when(inside.startswith("json"), "").otherwise(inside)
+
+    return _once(py_strip(c), lambda body: F.when(body.startswith("```"), _once(F.get(F.split(body, "```"), F.lit(1)), body_of)).otherwise(body))
 
 
 def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
-    """Lines of JSON in a generated text as records with line_no; input must not be empty, output not null."""
-    lines = df.select("*", F.posexplode(F.split(unfenced(F.col(text)), r"\r\n|\r|\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", py_strip(F.col("line"))).where(F.col("line").startswith("{"))
-    parsed = lines.withColumn("r", F.from_json("line", "instruction string, input string, output string"))
-    good = parsed.where((F.length("r.input") > 0) & F.col("r.output").isNotNull())
-    fields = [py_strip(F.coalesce(F.col(f"r.{k}"), F.lit(""))).alias(k) for k in ("instruction", "input", "output")]
-    return good.select(*(c for c in df.columns if c != text), "line_no", *fields)
+    """Lines of JSON in a generated text as records with line_no; input must not be empty, output not null.
+
+    A text is cut, and each of its lines read, once: only what is a record becomes a row.
+    """
+    (found,) = hidden(df.columns, "found")
+    lines = F.transform(F.split(unfenced(F.col(text)), r"\r\n|\r|\n"), lambda x, i: F.struct(i.alias("line_no"), py_strip(x).alias("line")))
+    read = F.transform(F.filter(lines, lambda x: x["line"].startswith("{")), lambda x: F.struct(x["line_no"].alias("line_no"), F.from_json(x["line"], "instruction string, input string, output string").alias("r")))
+    good = F.filter(read, lambda x: (F.length(x["r"]["input"]) > 0) & x["r"]["output"].isNotNull())
+    kept = [c for c in df.columns if c != text]
+    rows = df.select(*kept, F.explode_outer(good).alias(found)).where(F.col(found).isNotNull())
+    fields = [py_strip(F.coalesce(F.col(f"{found}.r.{k}"), F.lit(""))).alias(k) for k in ("instruction", "input", "output")]
+    return rows.select(*kept, F.col(f"{found}.line_no").alias("line_no"), *fields)
 
 
 def parse_targets(df: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.written import hidden, pieces
+
 #: A heading's line and the fence of front matter.
 HEADING = re.compile(r"^#{1,6}[^\S\n]+\S", re.M)
 FENCE = "---"
@@ -63,22 +65,34 @@ def section_chunks(text: str, section: str = "", limit: int = 2000, overlap: int
             yield name, rest
 
 
-def chunk_paragraphs(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
-    """(keys, chunk_no, chunk) of every text."""
+def _chunked(df: DataFrame, keys: list[str], text: Column, section: Column, cut: Callable[[str, str], Iterator[tuple[str, str]]]) -> DataFrame:
+    """(keys, chunk_no, section, chunk): rows leave a task in pieces, so it holds the chunks of a bounded part of a batch."""
+    n = len(keys)
+    rows = df.select(*keys, *(c.alias(name) for c, name in zip((text, section), hidden(keys, "text", "section"), strict=True)))
+    names = hidden(keys, "chunk_no", "section", "chunk")
+    schema = df.select(*keys, *(F.lit(x).alias(c) for x, c in zip((0, "", ""), names, strict=True))).schema
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(paragraph_chunks(t or "", **options)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in pieces(batch.column(n)):
+                texts, heads = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (n, n + 1))
+                found = [(lo + i, number, *c) for i, (t, name) in enumerate(zip(texts, heads, strict=True)) for number, c in enumerate(cut(t or "", name or ""))]
+                row, number, sections, chunks = zip(*found, strict=True) if found else ((), (), (), ())
+                at = pa.array(row, pa.int64())
+                columns = [*(batch.column(i).take(at) for i in range(n)), pa.array(number, pa.int32()), pa.array(sections, pa.string()), pa.array(chunks, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.select(*keys, F.posexplode(split(F.col(text))).alias("chunk_no", "chunk"))
+    return rows.mapInArrow(run, schema).toDF(*keys, "chunk_no", "section", "chunk")
 
 
-def chunk_sections(df: DataFrame, keys: list[str], text: str = "text", section: str | None = None, **options) -> DataFrame:
-    """(keys, chunk_no, section, chunk) of every text; section names the column with the name of what precedes headings."""
+def chunk_paragraphs(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
+    """(keys, chunk_no, chunk) of every text."""
+    cut = lambda t, _: (("", c) for c in paragraph_chunks(t, **options))
+    found = _chunked(df, keys, F.col(text), F.lit(""), cut)
+    return found.toDF(*keys, "chunk_no", *hidden([*keys, "chunk_no", "chunk"], "section"), "chunk").select(*keys, "chunk_no", "chunk")
 
-    @F.pandas_udf("array<struct<section:string,chunk:string>>")
-    def split(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([[{"section": s, "chunk": c} for s, c in section_chunks(t or "", n or "", **options)] for t, n in zip(texts, names, strict=True)])
 
-    named = F.col(section) if section else F.lit("")
-    return df.select(*keys, F.posexplode(split(F.col(text), named)).alias("chunk_no", "c")).select(*keys, "chunk_no", "c.section", "c.chunk")
+def chunk_sections(df: DataFrame, keys: list[str], text: str = "text", section: str | None = None, **options) -> DataFrame:
+    """(keys, chunk_no, section, chunk) of every text; section names the column with the name of what precedes headings."""
+    cut = lambda t, name: section_chunks(t, name, **options)
+    return _chunked(df, keys, F.col(text), F.col(section) if section else F.lit(""), cut)

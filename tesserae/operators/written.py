@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -38,3 +42,15 @@ def hidden(columns: list[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Rows and bytes of text that a Python task turns into its own objects at once; a longer text is a piece of its own.
+PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive rows of texts, each of bounded rows and bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    piece = size // PIECE_BYTES + np.arange(len(texts)) // PIECE_ROWS
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+    yield from ((lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo)

@@ -145,9 +145,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Two scans: the first counts the hashes of the retained suffixes' grams, the second emits each suffix with a repeated
     hash and the 64-bit hashes of the windows of MIN_WORDS words that it was retained for. Equal windows retain equal
     grams, so all documents that hold a window meet in its gram's group; each window but the first document's is
-    reported. A longer passage is the union of its windows. Grams of more than SALT_ROWS suffixes are scanned once more
-    and split over tasks; what comes first in each part is compared over all parts and given back to them, so the
-    results do not depend on the split.
+    reported. A longer passage is the union of its windows. Where grams have more than SALT_ROWS suffixes, the suffixes are
+    written once (a row each, however often their grams come), and those grams are split over tasks; what comes first in
+    each part is compared over all parts and given back to them, so the results do not depend on the split.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     spark = docs.sparkSession
@@ -167,12 +167,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     salts = max(SALTS, -(-size["most"] // bound))
     frequent = spark.sparkContext.broadcast(np.sort(most))
 
-    def occurrences(batches, of_hot: bool):
+    def occurrences(batches):
         for batch in chunks(batches, "text"):
             words = Words(texts_of(batch), fold=False)
             first, count, gram = suffixes(words)
-            is_hot = np.isin(gram.view(np.int64), frequent.value)
-            hit = is_hot if of_hot else wanted.value.has(gram.view(np.int64)) & ~is_hot
+            hit = wanted.value.has(gram.view(np.int64))
             first, count, gram = first[hit], count[hit], gram[hit].view(np.int64)
             if not len(gram):
                 continue
@@ -180,23 +179,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "text_key"))
             windows = _binary(words.grams(MIN_WORDS), first, count)
             pos = first - words.first[text]
-            columns = [pa.array(gram), pa.array(ids), pa.array(keys), pa.array(pos.astype(np.int32)), windows]
-            if of_hot:
-                part = mix(keys.astype(np.int64).view(U64) ^ mix(ids.astype(np.int64).view(U64), 31), 32) + (pos // BLOCK).astype(U64)
-                columns.append(pa.array((part % U64(salts)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "text_key", "pos", "windows", "salt"][: len(columns)])
-
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
-    rows = docs.mapInArrow(lambda b: occurrences(b, False), OCCURRENCE)
-    spans = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _by_group(b, ("gram",), _later), SPAN)
+            part = mix(keys.astype(np.int64).view(U64) ^ mix(ids.astype(np.int64).view(U64), 31), 32) + (pos // BLOCK).astype(U64)
+            salt = np.where(np.isin(gram, frequent.value), (part % U64(salts)).astype(np.int64), -1)
+            columns = [pa.array(gram), pa.array(ids), pa.array(keys), pa.array(pos.astype(np.int32)), windows, pa.array(salt)]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "doc_id", "text_key", "pos", "windows", "salt"])
+
+    rows = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(occurrences, f"{OCCURRENCE}, salt long")
+    dealt = lambda rows: rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    later = lambda rows: dealt(rows).mapInArrow(lambda b: _by_group(b, ("gram", "salt"), _later), SPAN)
     if not len(most):
-        return spans
-    rows = cut(docs.mapInArrow(lambda b: occurrences(b, True), f"{OCCURRENCE}, salt long"))
-    firsts = rows.repartition("salt").sortWithinPartitions("salt", "gram").mapInArrow(lambda b: _by_group(b, ("salt", "gram"), _first), "gram long, salt long, doc_id long, text_key long, windows binary")
+        return later(rows)
+    rows = cut(rows)
+    firsts = dealt(rows.where("salt >= 0")).mapInArrow(lambda b: _by_group(b, ("gram", "salt"), _first), "gram long, salt long, doc_id long, text_key long, windows binary")
     firsts = firsts.groupBy("gram", "windows").agg(F.min(F.struct("doc_id", "text_key")).alias("f"), F.collect_list("salt").alias("salts")).where(F.size("salts") > 1)
     firsts = firsts.select("gram", "f.doc_id", "f.text_key", F.lit(-1).alias("pos"), "windows", F.explode("salts").alias("salt"))
-    rows = rows.union(firsts).repartition("salt").sortWithinPartitions("salt", "gram")
-    return spans.union(rows.mapInArrow(lambda b: _by_group(b, ("salt", "gram"), _later), SPAN))
+    return later(rows.union(firsts))
 
 
 def merged_passages(docs: DataFrame) -> DataFrame:

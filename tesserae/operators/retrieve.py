@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tesserae.operators.records import keep_first
 from tesserae.operators.written import written
@@ -217,8 +219,9 @@ def own_places(queries: DataFrame, index: DataFrame, most: int, block: int = OWN
     return queries.select(F.col("query_id").cast("long").alias("query_id")).where("query_id is not null").distinct().join(ranks, "query_id", "left")
 
 
-#: Distinct query terms up to this number go to where the documents are scanned; more are joined.
-WANTED_TERMS = 200_000
+#: Pairs of a query and its term up to this number go to where the documents are scanned; more are joined. Cells of a
+#: table of scores (queries by documents) and sums that a task holds at once; how far scores may lie that round alike.
+WANTED_TERMS, CELLS_AT_ONCE, SUMS_AT_ONCE, NEAR = 200_000, 1 << 21, 1 << 22, 2e-9
 WORD = r"(?U)\w+"
 
 
@@ -227,16 +230,99 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, wanted_terms: int = WANTED_TERMS) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25. queries(query_id, text), docs(doc_id, text).
 
-    Documents are read and cut into words once: of each there remain its words that some query has, with their counts, and
-    an empty word that stands for the document and its length. The distinct query terms, up to `wanted_terms` of them,
-    are broadcast for that; more are joined. These rows are written once, since counts and averages go over all of them.
+    Documents are read and cut into words once. The queries' terms, up to `wanted_terms` pairs of query and term, are
+    broadcast: of a document there remains one row, its length and its counts of these terms, which is written, since
+    counts and averages go over all of them; then each task scores the documents that it reads for all queries, and sends
+    on those that can be among a query's k best. Rows that repeat a doc_id are one document then, as in SQL, and rows
+    without one are found by nothing. More terms are joined, and scores summed by query and document.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = wanted.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    terms = F.broadcast(terms) if terms.limit(wanted_terms + 1).count() <= wanted_terms else terms
+    wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct()
+    pairs = wanted.limit(wanted_terms + 1).toArrow()
+    if pairs.num_rows > wanted_terms:
+        return _joined(wanted, docs, k, k1, b)
+    coded = pairs.column("term").combine_chunks().dictionary_encode()
+    given = pairs.column("query_id").combine_chunks()
+    places: dict[str, int] = {}
+    asked = np.array([places.setdefault(repr(x), len(places)) for x in given.to_pylist()], np.int64)
+    names = given.take(pa.array(np.unique(asked, return_index=True)[1]))
+    n_terms, order = len(coded.dictionary), np.argsort(coded.indices.to_numpy(), kind="stable")
+    first = np.searchsorted(coded.indices.to_numpy()[order], np.arange(n_terms + 1))
+    spark, askers = queries.sparkSession, asked[order]
+    terms = spark.sparkContext.broadcast(coded.dictionary.cast(pa.string()))
+
+    def counted(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            at = pc.index_in(lists.flatten().cast(pa.string()), value_set=terms.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))[at >= 0]
+            key, tf = np.unique(row * n_terms + at[at >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(key // max(1, n_terms), np.arange(len(lists) + 1)).astype(np.int32))
+            held = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % max(1, n_terms), tf))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists.value_lengths().cast(pa.int64()), *held], ["doc_id", "len", "at", "tf"])
+
+    cut = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words"))
+    schema = docs.select("doc_id", F.lit(0).cast("long").alias("len"), *(F.array(F.lit(0)).alias(c) for c in ("at", "tf"))).schema
+    hits = written(cut.mapInArrow(counted, schema))
+    n, total = hits.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    if hits.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        both = hits.groupBy("doc_id").agg(F.sum("len").alias("len"), F.collect_list(F.struct("at", "tf")).alias("held"))
+        hits = written(both.select("doc_id", "len", F.flatten("held.at").alias("at"), F.flatten("held.tf").alias("tf")))
+    by = hits.select(F.explode(F.array_distinct("at")).alias("at")).groupBy("at").count().toArrow()  # a row a term
+    df = np.zeros(n_terms)
+    df[by.column("at").to_numpy()] = by.column("count").to_numpy()
+    idf, average = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / max(1, n) or 1.0
+    shared = spark.sparkContext.broadcast((first, askers, idf, names))
+
+    def scored(batches):
+        first, askers, idf, names = shared.value
+        reached = np.zeros(len(names))
+        for whole in batches:
+            step = max(1, CELLS_AT_ONCE // max(1, len(names)))
+            for batch in (whole.slice(lo, step) for lo in range(0, whole.num_rows, step)):
+                lists, length = batch.column("at"), batch.column("len").to_numpy()
+                row = np.repeat(np.arange(len(length)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                key, back = np.unique(row * n_terms + lists.flatten().to_numpy(), return_inverse=True)
+                row, at, tf = key // max(1, n_terms), key % max(1, n_terms), np.bincount(back, batch.column("tf").flatten().to_numpy(), len(key))
+                part = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average))
+                count = first[at + 1] - first[at]
+                score, group = np.zeros(len(names) * len(length)), np.cumsum(count) // SUMS_AT_ONCE
+                for g in np.unique(group):
+                    lo, hi = np.searchsorted(group, [g, g + 1])
+                    own, c = np.arange(lo, hi), count[lo:hi]
+                    of = np.repeat(own, c)
+                    who = askers[np.repeat(first[at[own]] - np.cumsum(c) + c, c) + np.arange(len(of))]
+                    np.add.at(score, who * len(length) + row[of], part[of])
+                score = score.reshape(len(names), len(length))
+                if len(length) >= k:
+                    reached = np.maximum(reached, np.partition(score, -k, axis=1)[:, -k])
+                query, doc = np.nonzero((score > 0) & (score >= reached[:, None] - NEAR))
+                value, place = score[query, doc], pc.sort_indices(batch.column("doc_id")).to_numpy()
+                rank = np.empty(len(place), np.int64)
+                rank[place] = np.arange(len(place))
+                by = np.lexsort((rank[doc], -value, query))  # of scores that are the same k documents suffice
+                query, doc, value = query[by], doc[by], value[by]
+                begins = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(value, prepend=-1.0) != 0))
+                nth = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
+                query, doc, value = query[nth < k], doc[nth < k], value[nth < k]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column("doc_id").take(pa.array(doc)), pa.array(value)], ["query_id", "doc_id", "score"])
+
+    schema = queries.select("query_id").schema.fields + docs.select("doc_id").schema.fields
+    found = StructType([*schema, StructField("score", DoubleType())])
+    return _ranked(hits.where("doc_id is not null and size(at) > 0").mapInArrow(scored, found), k)
+
+
+def _joined(wanted: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """bm25 of any number of wanted(query_id, term): of documents there remain the terms that some query has, with their
+    counts, and an empty term that stands for the document and its length."""
+    terms = wanted.select("term").union(wanted.sparkSession.range(1).select(F.lit(""))).distinct()
     held = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words"))
     rows = held.select("doc_id", F.size("words").alias("len"), F.explode(F.array_append("words", F.lit(""))).alias("term")).join(terms, "term")
     hits = written(rows.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
@@ -245,9 +331,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     scored = hits.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", part.alias("part"))
-    out = wanted.join(scored, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(wanted.join(scored, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
 
 
 #: Most candidates of each kind, and how many more of both where a search is broadened.

@@ -384,6 +384,17 @@ def rerank(candidates: DataFrame, scorer, k: int) -> DataFrame:
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_texts(pairs: DataFrame, docs: DataFrame, most: int = WANTED_TERMS) -> DataFrame:
+    """pairs(query_id, doc_id, ..) with the text of docs(doc_id, text).
+
+    Up to `most` pairs go to where the documents are scanned, so that of their texts only those that are wanted move; more
+    are met by Spark's own choice of join. The pairs are written once.
+    """
+    held = written(pairs)
+    few = held.limit(most + 1).count() <= most
+    return docs.select("doc_id", "text").join(F.broadcast(held) if few else held, "doc_id")
+
+
 def by_index(results: DataFrame, documents: str = "documents", index: str = "index") -> DataFrame:
     """results with the text that each one's index (from 0) points to in its array of documents; null where there is none."""
     return results.withColumn("text", F.get(documents, F.col(index)))

@@ -410,13 +410,15 @@ def grounding(queries: DataFrame, docs: DataFrame, cap: int = 18, dense_k: int =
     """(query_id, doc_id, place): documents to judge an answer by, in turn from four ranked lists, at most `cap`.
 
     queries(query_id, query, answer, query_vector, answer_vector), docs(doc_id, text, vector). The lists are dense hits
-    of the query, dense hits of the answer, lexical hits of the answer and lexical hits of the query.
+    of the query, dense hits of the answer, lexical hits of the answer and lexical hits of the query. Vectors and queries
+    are written once, since the dense searches read them several times; both lexical lists come from one search.
     """
-    index = docs.select("doc_id", "vector")
-    text = lambda c: queries.select("query_id", F.col(c).alias("text"))
+    queries, vectors = written(queries), written(docs.select("doc_id", "vector"))
     vector = lambda c: queries.select("query_id", F.col(c).alias("vector"))
-    found = [knn(vector("query_vector"), index, dense_k), knn(vector("answer_vector"), index, dense_k), bm25(text("answer"), docs, answer_k), bm25(text("query"), docs, query_k)]
-    lists = [df.select("query_id", F.lit(i).alias("list"), "rank", "doc_id") for i, df in enumerate(found)]
+    text = lambda i, c: queries.select(F.struct("query_id", F.lit(i).alias("list")).alias("query_id"), F.col(c).alias("text"))
+    dense = [knn(vector(c), vectors, dense_k).select("query_id", F.lit(i).alias("list"), "rank", "doc_id") for i, c in enumerate(("query_vector", "answer_vector"))]
+    lexical = bm25(text(2, "answer").union(text(3, "query")), docs, max(answer_k, query_k)).select("query_id.*", "rank", "doc_id")
+    lists = [*dense, lexical.where(F.col("rank") <= F.when(F.col("list") == 2, answer_k).otherwise(query_k))]
     out = lists[0]
     for df in lists[1:]:
         out = out.union(df)

@@ -23,13 +23,15 @@ def write_part(docs: DataFrame, path: str, part: str, block: int = BLOCK) -> Non
     """Index docs(doc_id, text) as one part of the index, in place of what that part held.
 
     Blocks hold documents of like length. For each count of a term that occurs in a block its shortest document is kept
-    (best), from which the largest part that the term can give there follows, whatever the average length will be.
+    (best), from which the largest part that the term can give there follows, whatever the average length will be. Documents
+    are numbered by ids and lengths alone; their words are dealt by row, whose number says nothing of its length.
     Rows without doc_id are left out, null texts have no words; of rows that repeat a doc_id each is a document.
     """
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.coalesce("text", F.lit(""))).alias("words"))
-    placed = numbered(held.withColumn("len", F.size("words")), ["len", "doc_id"], "at")
-    placed = written(placed.withColumn("block", F.expr(f"(at - 1) div {block}")))
-    each = placed.select("block", "at", "doc_id", "len", F.explode("words").alias("term")).groupBy("block", "at", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    held = written(held.select("doc_id", F.size("words").alias("len"), "words", F.monotonically_increasing_id().alias("row")))
+    placed = numbered(held.select("row", "doc_id", "len"), ["len", "doc_id"], "at").withColumn("block", F.expr(f"(at - 1) div {block}"))
+    each = held.select("row", "words").join(placed, "row").select("row", "block", "at", "doc_id", "len", F.explode("words").alias("term"))
+    each = each.groupBy("row", "block", "at", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
     by_count = each.groupBy("term", "block", "tf").agg(F.count("*").alias("n"), F.min("len").alias("shortest"), F.collect_list(F.struct("doc_id", "tf", "len", "at")).alias("postings"))
     rows = by_count.groupBy("term", "block").agg(F.sum("n").alias("n"), F.collect_list(F.struct("tf", "shortest")).alias("best"), F.sort_array(F.flatten(F.collect_list("postings"))).alias("postings"))
     placed.select("doc_id", "len").write.mode("overwrite").parquet(f"{path}/docs/part={part}")

@@ -13,7 +13,6 @@ IDENTIFIER = r"\b[a-z0-9][a-z0-9.]*\.[a-z]{2,}/[A-Za-z0-9][A-Za-z0-9._-]*\b"
 KNOWN_IDENTIFIERS = ("apps/v1", "v1", "batch/v1")
 SNAKE_WORD = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
 K8S_NAME = r"^[a-z0-9]([-a-z0-9.]{0,251}[a-z0-9])?$"
-TOKEN = r"(?U)\w+(?:[-./]\w+)*|[^\w\s]"
 
 
 def py_strip(c: Column) -> Column:

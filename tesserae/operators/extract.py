@@ -11,19 +11,13 @@ from tesserae.operators.automaton import AUTOMATON_BYTES, contained, small_enoug
 from tesserae.operators.logistic import lbfgs, mean_loss
 from tesserae.operators.profile import class_weights
 from tesserae.operators.records import keep_first, numbered
-from tesserae.operators.tagger import bio_tags, decode_bio, feature_rows, features, find_spans, score_tags, tokens
+from tesserae.operators.tagger import decode_bio, feature_rows, features, score_tags, tag_own, tokens
 from tesserae.operators.written import written
 
 
-def entity_rows(df: DataFrame, key: str, entities: str = "entities") -> DataFrame:
-    """(key, ord, type, surface) of an array of (type, text)."""
-    return df.select(key, F.posexplode(entities).alias("ord", "e")).select(key, "ord", F.col("e.type").alias("type"), F.col("e.text").alias("surface"))
-
-
 def tagged(df: DataFrame, key: str, text: str = "text", entities: str = "entities") -> DataFrame:
     """(key, pos, tok, s, e, tag) of texts with their gold entities, each found wherever its surface stands in the text."""
-    toks = tokens(df, key, text)
-    return bio_tags(toks, find_spans(df, entity_rows(df, key, entities), key, text), key)
+    return tag_own(df, key, text, entities)
 
 
 #: Most features that have a weight of their own (for each class); of more, each has one of so many by a hash.

@@ -361,14 +361,14 @@ def missing_positives(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
     return pairs.select(F.col("positive").alias("text")).distinct().join(corpus.select("text"), "text", "left_anti")
 
 
-#: Most candidates of a query that are scored, and characters of a query that the scorer reads.
-RERANKED, QUERY_CHARS = 50, 512
+#: Most candidates of a query that are scored.
+RERANKED = 50
 
 
 def rerank(candidates: DataFrame, scorer, k: int) -> DataFrame:
     """candidates(query_id, query, doc_id, text, place) by a Python scorer of text pairs, in Arrow batches; k a query.
 
-    Only the first RERANKED places are scored. Scores alike in nine digits are ties, which places break. Where the scorer
+    Only the first RERANKED places are scored, each by its whole text and query. Scores alike in nine digits are ties, which places break. Where the scorer
     fails, its candidates keep their places' order.
     """
 
@@ -379,7 +379,7 @@ def rerank(candidates: DataFrame, scorer, k: int) -> DataFrame:
         except Exception:  # whatever a scorer raises: the order of the candidates stands
             return pd.Series([None] * len(queries), dtype="float64")
 
-    out = candidates.where(F.col("place") <= RERANKED).withColumn("score", score(F.substring("query", 1, QUERY_CHARS), "text"))
+    out = candidates.where(F.col("place") <= RERANKED).withColumn("score", score("query", "text"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc_nulls_last(), "place"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

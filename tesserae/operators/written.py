@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -33,6 +34,41 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own settings while steps of a long job are written: shuffle files of a query go when it ends, not when the driver
+#: collects its garbage; and Arrow batches of at most so many rows.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextlib.contextmanager
+def tidied(spark) -> Iterator[None]:
+    """TIDY holds meanwhile, for queries that end within."""
+    before = {name: spark.conf.get(name, None) for name in TIDY}
+    try:
+        for name, value in TIDY.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def deleted(spark, path: str) -> None:
+    """Delete a folder in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextlib.contextmanager
+def meanwhile(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a compressed table in the shared folder that is deleted afterwards."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/w-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        deleted(spark, path)
+
+
 def hidden(columns: list[str], *names: str) -> list[str]:
     """Names for columns of our own that none of the given columns has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []
